@@ -105,7 +105,8 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
 from documents d left join sums using (doc_id)"""
 
 
-#: Pairs of distinct lines are found by an equal first or second half, one of which two lines at distance one share.
+#: Pairs of distinct lines are found by an equal first or second half, one of which two lines at distance one share. The distance is
+#: spelt out, in characters: the database's own works on bytes.
 LINES_SQL = r"""
 with raw as (
   select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from documents where text is not null
@@ -122,7 +123,8 @@ keys as (
 late as (
   select distinct case when a.first > b.first then a.line else b.line end as line
   from keys a join keys b on a.k = b.k and a.m = b.m and a.n = a.m and a.line <> b.line
-  where levenshtein(a.line, b.line) <= 1
+  where case when a.n = b.n then len(list_filter(range(1, a.n + 1), lambda x: substr(a.line, x, 1) <> substr(b.line, x, 1))) = 1
+    else len(list_filter(range(0, b.n), lambda x: left(b.line, x) || substr(b.line, x + 2) = a.line)) > 0 end
 ),
 gone as (
   select doc_id, i from occ join lines using (line) left join late on late.line = occ.line
