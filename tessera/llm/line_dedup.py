@@ -159,7 +159,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     known = durable(known)
     gone = occurrences(docs).select("h1", "h2", "doc_", "text_", "line_").join(_small(known), ["h1", "h2"]).where(F.col("late") | (F.col("first") != first))
     gone = durable(gone.groupBy("doc_", "text_").agg(F.collect_set("line_").alias("gone")))
-    rows = _keyed(docs).join(_small(gone, F.size("gone")), ["doc_", "text_"], "left")
+    # most documents of a large corpus may lose lines: this side is never broadcast, so that the plan is the same at every size
+    rows = _keyed(docs).join(gone, ["doc_", "text_"], "left")
     body, drop = F.col("body_"), F.sort_array("gone")
     n = F.size(body)
     # the text is what is between the dropped lines: slices, so that the work is in proportion to the lines
