@@ -169,7 +169,9 @@ def centralities(edges: DataFrame, by: Sequence[str] = (), inverse: bool = False
 def degrees(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Degree and weighted degree without leaving SQL."""
     ends = edges.select(*by, F.explode(F.array("a", "b")).alias("lemma"), "pmi")
-    return ends.groupBy(*by, "lemma").agg(F.count("*").alias("degree"), F.round(F.sum("pmi"), 3).alias("weighted_degree"))
+    # weights have four decimals: their sum is exact as a decimal
+    weight = F.round(F.sum(F.col("pmi").cast("decimal(20,4)")), 3).cast("double")
+    return ends.groupBy(*by, "lemma").agg(F.count("*").alias("degree"), weight.alias("weighted_degree"))
 
 
 def density(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

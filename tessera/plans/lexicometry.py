@@ -182,7 +182,7 @@ def _(spark, d):
 _DEGREES = "(select lang, a as lemma, pmi from edges union all select lang, b, pmi from edges)"
 
 
-@query("L9_degrees", f"with {_cooccurrence_sql(-0.5)} select lang, lemma, count(*) as degree, round(sum(pmi), 3) as weighted_degree from {_DEGREES} group by 1, 2")
+@query("L9_degrees", f"with {_cooccurrence_sql(-0.5)} select lang, lemma, count(*) as degree, cast(round(sum(cast(pmi as decimal(20,4))), 3) as double) as weighted_degree from {_DEGREES} group by 1, 2")
 def _(spark, d):
     from tessera.operators.graphs import degrees
 

@@ -575,10 +575,10 @@ def _(spark, d):
     return c.groupBy("role").agg(*summaries.quantiles("n"))
 
 
-@query("Q28_views_by_week", "select cast(date_trunc('week', ts) as date) as week, round(sum(value), 4) as total, round(sum(value) / count(*), 4) as mean, count(*) as n from events where event_type = 'view' and value is not null group by 1")
+@query("Q28_views_by_week", "select cast(date_trunc('week', ts) as date) as week, round(sum(value), 4) as total, round(sum(value) / count(*), 7) as mean, count(*) as n from events where event_type = 'view' and value is not null group by 1")
 def _(spark, d):
     e = table(spark, d, "events").where("event_type = 'view' and value is not null").groupBy(periods.start_of(F.col("ts"), "week").alias("week"))
-    return e.agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.sum("value") / F.count("*"), 4).alias("mean"), F.count("*").alias("n"))
+    return e.agg(F.round(F.sum("value"), 4).alias("total"), F.round(F.sum("value") / F.count("*"), 7).alias("mean"), F.count("*").alias("n"))
 
 
 @query("Q28_views_by_sunday_week", "select cast(date_trunc('week', ts + interval 1 day) as date) - 1 as week, count(*) as n from events group by 1")

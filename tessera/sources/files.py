@@ -98,7 +98,8 @@ def format_srt(segments: Column, skip_blank: bool = True) -> Column:
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """(path, segments) of each file; unreadable ones have no segments."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), parse_srt(F.col("value")).alias("segments"))
+    files = spark.read.format("binaryFile").load(path)  # the text source leaves empty files out
+    return files.select("path", parse_srt(F.decode("content", "UTF-8")).alias("segments"))
 
 
 def media_files(spark: SparkSession, path: str, pattern: str = "*", content: bool = False) -> DataFrame:
