@@ -98,7 +98,7 @@ class Index:
         for dim, n in sizes.items():
             half = max(1, dim // 2)
             x = unit(sample[dim]) if sample.get(dim) else np.zeros((1, dim))
-            k = max(1, min(256, round(math.sqrt(n) / 8)))
+            k = max(1, min(512, round(math.sqrt(n) / 4)))
             self.books[dim] = (codebook(x[:, :half], k), codebook(x[:, half:], k) if dim > 1 else np.zeros((1, 0)))
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ class Index:
         return visits(*self.cell_margins(x), self.bound(x.shape[1]))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.999, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.99, sample: int = SAMPLE) -> DataFrame:
     """A row for each row of `vectors` (vec_id long, embedding array<float or double>): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -159,7 +159,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
     # blocks of a cell: by hash, as many as its rows ask for
     counts = placed.groupBy("dim", "cell").agg(*(F.ceil(F.count_if(F.col("query") == q) / BLOCK).cast("int").alias(name) for q, name in ((0, "members"), (1, "visitors"))))
     counts = durable(counts.where("members > 0 and visitors > 0"))
-    dealt = placed.join(F.broadcast(counts), ["dim", "cell"])  # at most 256 * 256 cells a dimension
+    dealt = placed.join(F.broadcast(counts), ["dim", "cell"])  # at most 512 * 512 cells a dimension
     own_block = F.when(F.col("query") == 0, F.pmod(F.xxhash64("id"), F.col("members"))).otherwise(F.pmod(F.xxhash64("id"), F.col("visitors"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("query") == 0, F.col("visitors")).otherwise(F.col("members")) - 1)
     dealt = dealt.withColumn("own", own_block).withColumn("other", F.explode(others))

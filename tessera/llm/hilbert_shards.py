@@ -4,8 +4,8 @@ Each row's source, language, id and size are quantised to `bits` bits, the Hilbe
 its place on the curve, rows are ordered by it, and the order is cut into equal runs. A run holds few cells of
 each dimension, so that files written by shard (and slot) can be skipped by their minima and maxima.
 
-The order is global but no task holds it: rows (without their text) are range-partitioned by (curve index, hash,
-id), numbered within a partition, and shifted by the sizes of the partitions before it, a table with a row
+The order is global but no task holds it: rows (without their text) are range-partitioned by (curve index, checksum,
+hash, id), numbered within a partition, and shifted by the sizes of the partitions before it, a table with a row
 for each partition. Equal cells are split by the tie-breakers, so a hot source does not make a hot partition.
 
 Edge cases: a null text has size 1 and checksum 0; null source and lang are cells of their own (0), null ids go with the
@@ -125,7 +125,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows", bits: in
     rows = rows.select(
         "doc_id", "size", "text_crc32", curve(*cells, F.coalesce("doc_id", least), "size").alias("curve"), F.xxhash64("doc_id", "text_crc32").alias("mix_")
     )
-    order = ["curve", "mix_", "doc_id", "text_crc32"]
+    order = ["curve", "text_crc32", "mix_", "doc_id"]  # equal texts of a cell stay together
     placed = numbered(rows, order)
     if law == "rows":
         n = rows.count()

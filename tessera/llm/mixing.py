@@ -4,9 +4,9 @@ Targets come by water-filling: sources share `share` times all words by weight,
 documents fall into permuted blocks (by a hash of id and text) of `block_docs` documents at most, on average. A target is met by
 whole passes over the source, then by whole blocks in permuted order, then by documents of one more block, the largest that still fit.
 
-Every (source, pass, block) drawn goes to one output shard. The tree splits the range of shards in two again and again; at each
-node the number of blocks that go left is split over the sources by one multivariate-hypergeometric draw, seeded by the node,
-so each shard's composition is that of a fair draw without replacement and the quotas add up exactly. A source's drawn blocks,
+Blocks are dealt in PARTS parts, by the hash too. Every (source, pass, block, part) drawn goes to one output shard. The tree splits the range of shards in two again and again; at each
+node the number of parts that go left is split over the sources by one multivariate-hypergeometric draw, seeded by the node,
+so each shard's composition is that of a fair draw without replacement and the quotas add up exactly. A source's drawn parts,
 in permuted order, are then cut by its shards' quotas: disjoint runs. In a shard documents are ordered by a seeded hash.
 
 What is collected is one row for each source (sizes and quotas); blocks and documents stay distributed.
@@ -17,7 +17,7 @@ Edge cases: a null text has size 0 and is taken 0 words. A null source is a sour
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from tessera.llm.common import durable
 
 #: Weights of sources in their order, repeated.
 WEIGHTS = (3, 1, 2)
+PARTS = 16
 BROADCAST_SOURCES = 10_000
 BROADCAST_ROWS = 500_000
 
@@ -73,22 +74,24 @@ def _draw(draw: np.random.Generator, own: np.ndarray, n: int) -> np.ndarray:
     return taken
 
 
-def mix(docs: DataFrame, shards: int = 8, block_docs: int = 256, seed: int = 0, share: float = 1.5, most: int = 2) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 8, block_docs: int = 256, seed: int = 0, share: float = 1.5, most: int = 2, carry: Sequence[str] = ()) -> DataFrame:
     """A row for each row of `docs` (doc_id, source, text): doc_id, size, source_size, target, taken, shards (the shard of each
-    time it is taken, in pass order), order (of the document in its shards)."""
+    time it is taken, in pass order), order (of the document in its shards), and the columns in `carry`, whose names must differ from these."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix"))
+    kept = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
+    back = [F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)]
+    rows = docs.select(*kept, "doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix"))
     rows = durable(rows)
     # at least one block for each source; the number of blocks grows with the source
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("docs")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     if not found:
-        return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("shards"), F.col("mix").alias("order"))
+        return rows.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("shards"), F.col("mix").alias("order"), *back)
     sizes = [r["size"] for r in found]
     wanted = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))], share, most)
     table = [
-        (r["source"], i, s, float(t), int(t // s) if s else 0, float(t - (t // s) * s) if s else 0.0, max(1, -(-r["docs"] // block_docs), min(r["docs"], 8 * shards)))
+        (r["source"], i, s, float(t), int(t // s) if s else 0, float(t - (t // s) * s) if s else 0.0, max(1, -(-r["docs"] // block_docs)))
         for i, (r, s, t) in enumerate(zip(found, sizes, wanted))
     ]
     schema = "source string, source_no int, source_size long, target double, passes int, rest double, blocks int"
@@ -127,15 +130,16 @@ def mix(docs: DataFrame, shards: int = 8, block_docs: int = 256, seed: int = 0,
         extra = F.broadcast(extra)
     # blocks that are drawn: those of whole passes, the whole ones of the last pass, and the one in part
     numbers = {r["source_no"]: (r["n"], r["more"]) for r in blocks.groupBy("source_no").agg(F.count("*").alias("n"), F.count_if(F.col("state") > 0).alias("more")).collect()}
-    drawn = np.array([t[4] * numbers.get(t[1], (0, 0))[0] + numbers.get(t[1], (0, 0))[1] for t in table], dtype=np.int64)
+    drawn = np.array([PARTS * (t[4] * numbers.get(t[1], (0, 0))[0] + numbers.get(t[1], (0, 0))[1]) for t in table], dtype=np.int64)
     quotas = split_quotas(drawn, shards, seed)
-    edges = np.cumsum(quotas, axis=0)  # of shard x source: drawn blocks before its end
+    edges = np.cumsum(quotas, axis=0)  # of shard x source: drawn parts before its end
     cuts = spark.createDataFrame([(t[1], [int(x) for x in edges[:, t[1]]], numbers.get(t[1], (0, 0))[0]) for t in table], "source_no int, edges array<long>, of_pass int")
     cuts = F.broadcast(cuts) if len(table) <= BROADCAST_SOURCES else cuts
     at = rows.join(cuts, "source_no").join(blocks.select(*keys, "state", "place"), keys, "left").join(extra, "row_", "left")
     more = F.when((F.col("state") == 1) | F.coalesce("filled", F.lit(False)), 1).otherwise(0)
     times = F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + more)
-    number = lambda p: p * F.col("of_pass") + F.col("place") - 1  # noqa: E731  the drawn block's number in its source
+    part = F.pmod(F.shiftright("mix", 32), F.lit(PARTS))
+    number = lambda p: (p * F.col("of_pass") + F.col("place") - 1) * PARTS + part  # noqa: E731  the drawn part's number in its source
     shard = lambda p: F.size(F.filter("edges", lambda e: e <= number(p)))
     taken = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), shard)).otherwise(F.array().cast("array<int>"))
-    return at.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), taken.alias("shards"), F.xxhash64(F.lit(seed + 1), "mix").alias("order"))
+    return at.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), taken.alias("shards"), F.xxhash64(F.lit(seed + 1), "mix").alias("order"), *back)
