@@ -97,8 +97,8 @@ def format_srt(segments: Column, skip_blank: bool = True) -> Column:
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
-    """(path, segments) of each file; unreadable ones have no segments."""
-    files = spark.read.format("binaryFile").load(path)  # the text source leaves empty files out
+    """(path, segments) of each file; malformed ones have no segments. Spark leaves out files of no bytes."""
+    files = spark.read.format("binaryFile").load(path)
     return files.select("path", parse_srt(F.decode("content", "UTF-8")).alias("segments"))
 
 

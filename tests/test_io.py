@@ -47,7 +47,7 @@ def test_append_new(spark, tmp_path):
 def test_srt(spark, tmp_path):
     text = "1\n00:00:01,500 --> 00:00:02,000\nhello\nthere\n\n2\nno arrow\nx\n\n3\n00:01:00,000 --> 00:01:01,250\n\n\n4\n00:02:00,001 --> 00:02:03,000\nend"
     (tmp_path / "a.srt").write_text(text)
-    (tmp_path / "b.srt").write_text("")
+    (tmp_path / "b.srt").write_text("no blocks")
     rows = {r.path.rsplit("/", 1)[1]: [tuple(s) for s in r.segments] for r in files.read_srt(spark, str(tmp_path)).collect()}
     assert rows["a.srt"] == [(1.5, 2.0, "hello there"), (120.001, 123.0, "end")] and rows["b.srt"] == []
     df = spark.createDataFrame([([(0.0, 1.2346, "a"), (2.0, 3.0, " "), (3600.5, 3601.0, "b")],)], "s array<struct<start:double,end:double,text:string>>")
