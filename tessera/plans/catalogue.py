@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import lexicometry, measures, relational  # noqa: F401  they register their queries
+from tessera.plans import elements, lexicometry, measures, relational, reports  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
