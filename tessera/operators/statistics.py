@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessera.operators.ordering import running_sum
+
 
 @F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
@@ -128,12 +130,16 @@ def proportion(rows: DataFrame, by: str, flag: Column) -> DataFrame:
 
 
 def ranked(rows: DataFrame, value: str, by: Sequence[str] = (), name: str = "r") -> DataFrame:
-    """Average ranks. Ranks are of distinct values with their counts: the window runs over distinct values of a group only."""
+    """Average ranks, from distinct values and their counts. Within groups by a window over their distinct values; over the whole
+    table by a running sum over range partitions, since a continuous variable has as many distinct values as rows."""
     by = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("t_"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    upto = F.sum("t_").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn(name, upto - (F.col("t_") - 1) / 2.0)
+    if by:
+        upto = F.sum("t_").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("upto_", upto)
+    else:
+        counts = running_sum(counts, [value], "t_", "upto_")
+    ranks = counts.withColumn(name, F.col("upto_") - (F.col("t_") - 1) / 2.0).drop("upto_")
     return rows.join(ranks, [*by, value])
 
 

@@ -212,7 +212,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", words.xml_escape(F.substring("html", 1, 80)).alias("shown"))
 
 
-@query("S13_srt_round_trip", "select conv_id, count(*) as n, round(sum(turn * 1.5), 3) as seconds from conversations where trim(role) <> '' group by 1")
+@query("S13_srt_round_trip", "select conv_id, count(*) as n, round(sum(cast(turn as double) * 1.5), 3) as seconds from conversations where trim(role) <> '' group by 1")
 def _(spark, d):
     from tessera.sources.files import format_srt, parse_srt
 

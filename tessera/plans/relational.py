@@ -479,9 +479,9 @@ def _(spark, d):
 @query("T1_systematic_sample", "select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as r from documents) where r % 10 = 0")
 def _(spark, d):
     # systematic sampling is the feature: every tenth row in order of id
-    ids = table(spark, d, "documents").select("doc_id")
-    ranks = ids.withColumn("r", F.row_number().over(Window.orderBy("doc_id")) - 1)
-    return ranks.where("r % 10 = 0").select("doc_id")
+    from tessera.operators.ordering import running_sum
+
+    return running_sum(table(spark, d, "documents").select("doc_id"), ["doc_id"]).where("(upto - 1) % 10 = 0").select("doc_id")
 
 
 # --- sets and shapes -----------------------------------------------------------------------------------------------------------

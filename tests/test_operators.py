@@ -233,3 +233,17 @@ def test_document_counts_in_topics(spark):
     good = topics.coherence(lists, [["cat", "dog", "pet"], ["car", "road", "fuel"]])
     bad = topics.coherence(lists, [["cat", "road", "pet"], ["car", "dog", "fuel"]])
     assert good > bad
+
+
+def test_running_sum_and_ranks_over_the_whole_table(spark):
+    from tessera.operators.ordering import running_sum
+
+    data = [(i % 7, i, float(i // 3)) for i in range(200)]
+    df = spark.createDataFrame(data, "w long, k long, v double").repartition(5)
+    upto, want = {r.k: r.upto for r in running_sum(df, ["k"], "w").collect()}, 0
+    for w, k, _ in data:
+        want += w
+        assert upto[k] == want
+    ranks = {r.k: r.r for r in statistics.ranked(df, "v").collect()}
+    assert all(ranks[i] == 3 * (i // 3) + (2 if i < 198 else 1.5) for i in range(200))
+    assert running_sum(df.limit(0), ["k"]).count() == 0
