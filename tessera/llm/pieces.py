@@ -19,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,14 @@ MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CACHE = 250_000
 PAIRS = 500_000
+ROWS = 2000
+TWO = (2,)
 LONG = 200
+NEVER = float("-inf")
 
 
 class Encoder:
-    """Pieces, scores and bytes of a model file's contents. Loaded anew in each worker."""
+    """Pieces, scores and bytes of a model file's contents. Loaded once in each worker."""
 
     def __init__(self, data: bytes, unigram: bool = False):
         model = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -60,6 +64,15 @@ class Encoder:
         self.worst = min(self.scores.values(), default=0.0) - 10.0
         self.unigram = unigram
         self.stable: dict[tuple[str, str], bool] = {}
+        #: pieces of two characters or more that the merges can make at all
+        self.histories: dict[str, tuple[tuple, tuple, tuple]] = {}
+        self.made = {p for p in self.ids if len(p) > 1 and (unigram or self.history(p)[1][-1] == p)}
+        #: by the last three characters of a text, the lengths that a piece at its end may have, the greatest first
+        lengths: dict[str, set[int]] = {}
+        for p in self.made:
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], {2} if p[-2:] in self.made else set()).add(len(p))
+        self.lengths = {end: tuple(sorted(own, reverse=True)) for end, own in lengths.items()}
         self.known: dict[str, bytes] = {}
         self.reset()
 
@@ -69,21 +82,65 @@ class Encoder:
     def merged(self, text: str) -> list[str]:
         """The merges' result, plainly: again and again the best pair, the leftmost of equals."""
         parts = list(text)
-        while len(parts) > 1:
-            best = max(((s, -i) for i in range(len(parts) - 1) if (s := self.scores.get(parts[i] + parts[i + 1])) is not None), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        for _ in self.merges(parts):
+            pass
         return parts
 
+    def merges(self, parts: list[str]) -> Iterator[float]:
+        """Merges `parts` step by step, giving each step's score."""
+        while True:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                score = self.scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None:
+                return
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            yield best
+
+    def history(self, piece: str) -> tuple[tuple, tuple, tuple]:
+        """Scores of the merges inside a piece (then NEVER), and its first and last part before each of them and at the end."""
+        if (known := self.histories.get(piece)) is None:
+            parts = list(piece)
+            scores, first, last = [], [parts[0]], [parts[-1]]
+            for score in self.merges(parts):
+                scores.append(score)
+                first.append(parts[0])
+                last.append(parts[-1])
+            known = ((*scores, NEVER), tuple(first), tuple(last))
+            if len(piece) > 1:
+                self.histories[piece] = known
+        return known
+
     def fits(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        if (known := self.stable.get(key)) is None:
-            if len(self.stable) > PAIRS:
-                self.stable.clear()
-            want = [before, piece] if before else [piece]
-            known = self.stable[key] = self.merged(before + piece) == want
+        """Whether the border between two pieces stays when their characters are merged anew.
+
+        The merges on either side go on as in the piece alone, the better one first, until a merge across the border would come before
+        both: it needs the better score, and of equals the leftmost goes first.
+        """
+        if len(self.stable) > PAIRS:
+            self.stable.clear()
+        left, _, ends = self.history(before)
+        right, begins, _ = self.history(piece)
+        score = self.scores.get
+        i = j = 0
+        x, y, end, begin = left[0], right[0], ends[0], begins[0]
+        while True:
+            across = score(end + begin)
+            if across is not None and across > x and across >= y:
+                known = False
+                break
+            if x >= y:
+                if x == NEVER:
+                    known = True
+                    break
+                i += 1
+                x, end = left[i], ends[i]
+            else:
+                j += 1
+                y, begin = right[j], begins[j]
+        self.stable[before, piece] = known
         return known
 
     def pieces(self, word: str) -> list[str]:
@@ -91,34 +148,50 @@ class Encoder:
         shared, most = 0, min(len(word), len(self.word))
         while shared < most and word[shared] == self.word[shared]:
             shared += 1
-        last, total = self.last, self.total
-        del last[shared + 1 :], total[shared + 1 :]
-        scores, longest = self.scores, self.longest
-        for end in range(shared + 1, len(word) + 1):
-            if self.unigram:
-                found = max((total[end - k] + (scores[p] if p in scores else self.worst), -k, p) for k in range(1, min(end, longest) + 1) if (p := word[end - k : end]) in scores or k == 1)
-                total.append(found[0])
-                last.append(found[2])
-                continue
-            for k in range(min(end, longest), 0, -1):
-                piece = word[end - k : end]
-                if (k == 1 or piece in scores) and self.fits("", piece) and self.fits(last[end - k], piece):
-                    last.append(piece)
-                    total.append(0.0)
-                    break
+        last = self.last
+        del last[shared + 1 :], self.total[shared + 1 :]
+        if self.unigram:
+            self.best_sums(word, shared)
+        else:
+            made, lengths, stable = self.made, self.lengths, self.stable
+            for end in range(shared + 1, len(word) + 1):
+                found = lengths.get(word[end - 3 : end]) if end > 2 else None
+                for k in found or (TWO if end > 1 else ()):
+                    if k > end:
+                        continue
+                    piece = word[end - k : end]
+                    if piece in made:
+                        if k == end:
+                            break
+                        before = last[end - k]
+                        fits = stable.get((before, piece))
+                        if fits or fits is None and self.fits(before, piece):
+                            break
+                else:  # exactly one fits: where no longer piece does, the single character
+                    piece = word[end - 1]
+                last.append(piece)
         self.word = word
         out, end = [], len(word)
         while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+            piece = last[end]
+            out.append(piece)
+            end -= len(piece)
+        out.reverse()
+        return out
+
+    def best_sums(self, word: str, shared: int) -> None:
+        scores, total = self.scores, self.total
+        for end in range(shared + 1, len(word) + 1):
+            found = max((total[end - k] + (scores[p] if p in scores else self.worst), -k, p) for k in range(1, min(end, self.longest) + 1) if (p := word[end - k : end]) in scores or k == 1)
+            total.append(found[0])
+            self.last.append(found[2])
 
     def ids_of(self, word: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pieces(word):
-            found = self.ids.get(piece)
-            out += [self.bytes[b] for b in piece.encode()] if found is None else [found]
-        return out
+        pieces = self.pieces(word)
+        try:
+            return [self.ids[p] for p in pieces]
+        except KeyError:  # characters that are no piece become bytes
+            return [i for p in pieces for i in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
 
     def units(self, text: str) -> list[str]:
         """The marked words: a mark first, and one for each space."""
@@ -128,7 +201,7 @@ class Encoder:
         """The ids of new words, in the trie's depth-first order."""
         self.reset()
         for word in sorted(words):
-            self.known[word] = np.array(self.ids_of(word), dtype=np.int32).tobytes()
+            self.known[word] = array("i", self.ids_of(word)).tobytes()
         self.reset()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
@@ -151,16 +224,28 @@ class Encoder:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
+_loaded: dict[tuple[int, bool], Encoder] = {}
+
+
+def loaded(model: bytes, unigram: bool) -> Encoder:
+    """The worker's encoder, which stays from task to task with what it has learned (in bounds)."""
+    key = (hash(model), unigram)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Encoder(model, unigram)
+    return _loaded[key]
+
+
 def encode(docs: DataFrame, model: bytes, unigram: bool = False) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, n_pieces (long), ids (array<int>), decoded (string), round_trip.
 
     The model is read on the driver and broadcast: its size is the model file's.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, unigram))
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, ROWS)  # more texts share more words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(*shared.value)
+        own = loaded(*shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = own.encode_batch(texts)
