@@ -189,7 +189,7 @@ def _(spark, d):
     return degrees(_edges(spark, d), ["lang"])
 
 
-@query("L9_density", f"with {_cooccurrence_sql(-0.5)}, v as (select lang, count(distinct lemma) as nodes from {_DEGREES} group by 1), e as (select lang, count(*) as edges from edges group by 1) select lang, nodes, edges, round(2.0 * edges / (nodes * (nodes - 1)), 6) as density from v join e using (lang)".replace("e as (select lang, count(*) as edges from edges", "e as (select lang, count(*) as edges from edges"))
+@query("L9_density", f"with {_cooccurrence_sql(-0.5)}, v as (select lang, count(distinct lemma) as nodes from {_DEGREES} group by 1), e as (select lang, count(*) as edges from edges group by 1) select lang, nodes, edges, round(2.0 * edges / (nodes * (nodes - 1)), 6) as density from v join e using (lang)")
 def _(spark, d):
     from tessera.operators.graphs import density
 

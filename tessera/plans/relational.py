@@ -465,7 +465,7 @@ def _(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("t")).select("conv_id", middle(F.col("t")).alias("middle"))
 
 
-@query("W18_winsorise", "select hour, dow, least(n, (select quantile_cont(n, .98) from h)) as n from (select hour(ts) as hour, isodow(ts) as dow, count(*) as n from events group by 1, 2), (select 1) order by 1, 2".replace("select hour, dow", "with h as (select hour(ts) as hour, isodow(ts) as dow, count(*) as n from events group by 1, 2) select hour, dow", 1))
+@query("W18_winsorise", "with h as (select hour(ts) as hour, isodow(ts) as dow, cast(count(*) as double) as n from events group by 1, 2) select hour, dow, least(n, (select quantile_cont(n, .98) from h)) as n from h")
 def _(spark, d):
     h = table(spark, d, "events").groupBy(F.hour("ts").cast("long").alias("hour"), (F.weekday("ts") + 1).cast("long").alias("dow")).agg(F.count("*").cast("double").alias("n"))
     return summaries.winsorise(h, "n", 0.98)
