@@ -111,12 +111,14 @@ def fingerprints(docs: DataFrame, k: int = K, ranges_per_partition: int = 4) ->
     parts = partitions_of(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = [i / (parts * ranges_per_partition) for i in range(parts * ranges_per_partition)]
-    found = rows.agg(F.percentile_approx("doc_id", cuts, 10_000).alias("b"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.min("doc_id").alias("least")).first()
+    found = rows.agg(F.percentile_approx("doc_id", cuts, max(10_000, 4 * len(cuts))).alias("b"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.min("doc_id").alias("least")).first()
     bounds = sorted(set(found["b"] or []) - {found["least"]})  # ids of the table, each the first of its range
     last = len(bounds)
     # the ranges that a row is in: its own, as a row; the one before as what follows, where it is the first
     where = spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
-    first = None if found["nulls"] else found["least"]  # None: the rows with null ids open the order
+    # what follows the last row is the first of all; of rows without id, which come first, that is the least text
+    first = None if found["nulls"] else found["least"]
+    opening = rows.where("doc_id is null").agg(F.min("text").alias("text")).first()["text"] if found["nulls"] else None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = where.value
@@ -127,7 +129,7 @@ def fingerprints(docs: DataFrame, k: int = K, ranges_per_partition: int = 4) ->
             missing = ids.is_null().to_numpy(zero_copy_only=False)
             ranges[missing] = 0
             leads = (ranges > 0) & (raw == np.append(own, 0)[np.maximum(ranges - 1, 0)]) & ~missing
-            opens = missing if first is None else (raw == first) & ~missing
+            opens = (raw == first) & ~missing if first is not None else np.zeros(len(raw), bool)
             take = np.concatenate([np.arange(len(raw)), np.flatnonzero(leads), np.flatnonzero(opens)])
             goes = np.concatenate([ranges, ranges[leads] - 1, np.full(int(opens.sum()), last)]).astype(np.int32)
             kind = np.concatenate([np.zeros(len(raw)), np.ones(int(leads.sum())), np.ones(int(opens.sum()))]).astype(np.int8)
@@ -152,5 +154,7 @@ def fingerprints(docs: DataFrame, k: int = K, ranges_per_partition: int = 4) ->
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
     dealt = rows.mapInArrow(deal, "range_ int, guard byte, doc_id long, text string")
+    if opening is not None:
+        dealt = dealt.unionByName(spark.createDataFrame([(last, 1, None, opening)], dealt.schema))
     placed = dealt.repartition(parts, "range_").sortWithinPartitions("range_", "guard", "doc_id", "text")
     return placed.mapInArrow(read, f"doc_id long, {FIELDS}")

@@ -1,25 +1,14 @@
-"""Helpers that several corpus operators share: durable lineage cuts, Arrow batch limits, components of link graphs."""
+"""Helpers that several corpus operators share: Arrow batch limits, components of link graphs."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import durable, partitions_of
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
-
-    The folder is the one in `spark.checkpoint.dir`, which all executors share. Only where that
-    setting is absent (tests, notebooks) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+__all__ = ["bound_batches", "components", "durable", "labels", "partitions_of"]
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
@@ -28,10 +17,6 @@ def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def partitions_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest node reachable from each of n nodes over the links i-j."""
     lab = np.arange(n)

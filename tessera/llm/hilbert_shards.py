@@ -15,17 +15,12 @@ empty. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import durable, partitions_of
+from tessera.operators.ordering import durable, running_sum
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -60,39 +55,11 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _ranks(rows: DataFrame, column: str, levels: int) -> DataFrame:
     """(column, cell): each value's place among all rows by value, as one of levels - 1 equal parts; a row for each distinct value."""
-    counts = numbered(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")), [column], "n")
+    counts = running_sum(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")), [column], "n")
     total = counts.agg(F.max("upto")).first()[0] or 1
     return counts.select(column, (1 + F.floor((F.col("upto") - F.col("n")) * (levels - 1) / total)).cast("int").alias(f"{column}_cell"))
 
 
-def numbered(rows: DataFrame, order: list[str], weight: str | None = None) -> DataFrame:
-    """`rows` with `upto`: the running sum of `weight` (of ones without) in `order`, the row itself included.
-
-    Range partitions, a running sum in each, and the sums of the partitions before: no task holds the whole order.
-    """
-    given = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("within", T.LongType())])
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            if batch.num_rows:
-                sums = total + np.cumsum(batch.column("weight_").to_numpy(zero_copy_only=False), dtype=np.int64)
-                total = int(sums[-1])
-                here = pa.array(np.full(batch.num_rows, part, np.int32))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), here, pa.array(sums)], [*names, "part", "within"])
-
-    dealt = rows.withColumn("weight_", given).repartitionByRange(partitions_of(rows), *order).sortWithinPartitions(*order)
-    runs = durable(dealt.mapInArrow(run, schema))
-    before, so_far = [], 0
-    for part, size in sorted(runs.groupBy("part").agg(F.max("within")).collect()):  # a row for each partition
-        before.append((part, so_far))
-        so_far += size or 0
-    offsets = rows.sparkSession.createDataFrame(before, "part int, before_ long")
-    return runs.join(F.broadcast(offsets), "part").withColumn("upto", F.col("within") + F.col("before_")).drop("part", "within", "before_")
-
-
 def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows", bits: int = 4) -> DataFrame:
     """A row for each row of `docs` (doc_id, text, source, lang): doc_id, size, text_crc32, law, shard, slot, grown_shard, curve.
 
@@ -126,7 +93,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows", bits: in
         "doc_id", "size", "text_crc32", curve(*cells, F.coalesce("doc_id", least), "size").alias("curve"), F.xxhash64("doc_id", "text_crc32").alias("mix_")
     )
     order = ["curve", "text_crc32", "mix_", "doc_id"]  # equal texts of a cell stay together
-    placed = numbered(rows, order)
+    placed = running_sum(rows, order)
     if law == "rows":
         n = rows.count()
         placed = placed.withColumn("at_", F.col("upto") - 1)
@@ -137,7 +104,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows", bits: in
     else:
         total = rows.agg(F.sum("size")).first()[0] or 1
         placed = placed.withColumnRenamed("upto", "row_")
-        placed = numbered(placed, order, "size").withColumn("shard", F.expr(f"cast(((upto * 2 - size) * {shards}) div {2 * total} as int)"))
+        placed = running_sum(placed, order, "size").withColumn("shard", F.expr(f"cast(((upto * 2 - size) * {shards}) div {2 * total} as int)"))
         firsts = placed.groupBy("shard").agg(F.min("row_").alias("first_"))  # at most `shards` rows
         placed = placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("row_") - F.col("first_"))
     return placed.select(

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import bottom_k, common, embeddings, hilbert_shards, langid, line_dedup, mixing, pieces, queries, secret_scan, simhash, wordpiece
+from tessera.operators import ordering
 
 FOLDER = Path(queries.TOKENIZERS)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -128,7 +129,7 @@ def test_shards(law, spark, sf_dir):
 def test_running_sums(spark):
     pick = random.Random(1)
     data = [(i, pick.randint(0, 5)) for i in range(500)]
-    got = {r.k: r.upto for r in hilbert_shards.numbered(spark.createDataFrame(data, "k long, w long"), ["k"], "w").collect()}
+    got = {r.k: r.upto for r in ordering.running_sum(spark.createDataFrame(data, "k long, w long"), ["k"], "w").collect()}
     assert got == dict(zip(range(500), itertools.accumulate(w for _, w in data)))
 
 
@@ -181,6 +182,8 @@ def test_one_document_and_null_ids(spark):
     assert one.near_next == 1.0 and one.n_chars == 11
     odd = bottom_k.fingerprints(spark.createDataFrame([(None, "x y"), (2, "x y"), (1, "q")], "doc_id long, text string")).collect()
     assert {r.doc_id: r.near_next for r in odd} == {None: 0.0, 1: 0.0, 2: 1.0}
+    none = bottom_k.fingerprints(spark.createDataFrame([(None, "b"), (None, "a"), (None, "a")], "doc_id long, text string")).collect()
+    assert sorted(r.near_next for r in none) == [0.0, 0.0, 1.0]
 
 
 def test_sketches_merge_and_estimate():
