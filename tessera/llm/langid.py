@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from tessera.llm.common import bound_batches, durable
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-CACHE = 200_000
+CACHE = 60_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -119,8 +119,10 @@ def fit(docs: DataFrame, train_docs: int = 3000, max_words: int = 120_000, max_g
     return Model([lang for lang, _ in sizes], [row for frame in kept for row in frame.itertuples(index=False, name=None)])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each row of `docs` (doc_id, text): doc_id, lang_pred, score. The score is the posterior of the language under equal priors."""
+def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFrame:
+    """A row for each row of `docs` (doc_id, text): doc_id, lang_pred, score, and the columns in `carry` as carry_0, carry_1, ..
+
+    The score is the posterior of the language under equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bound_batches(docs.sparkSession)
 
@@ -128,10 +130,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         for batch in batches:
             found = [own.predict(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+            kept = batch.columns[2:]
+            names = ["doc_id", "lang_pred", "score", *(f"carry_{i}" for i in range(len(kept)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64()), *kept], names)
+
+    rows = docs.select("doc_id", "text", *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields]
+    schema = ", ".join([f"doc_id {kinds[0]}, lang_pred string, score double", *(f"carry_{i} {k}" for i, k in enumerate(kinds[2:]))])
+    return rows.mapInArrow(predict, schema)
 
 
 def held_out() -> Column:

@@ -34,7 +34,7 @@ LAST = 2**63 - 1
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The document's place: null ids last, then the text's hash."""
-    return docs.withColumns({"doc_": F.coalesce("doc_id", F.lit(LAST)), "text_": F.xxhash64(F.lit(3), "text")})
+    return docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(LAST)), "__text": F.xxhash64(F.lit(3), "text")})
 
 
 def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -44,8 +44,8 @@ def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Each line that is not blank: its place (doc_, text_, line_), its hashes (h1, h2) and the line."""
-    lines = _keyed(docs.where("text is not null")).select("doc_", "text_", F.posexplode(F.split("text", "\n", -1)).alias("line_", "line"))
+    """Each line that is not blank: its place (__doc, __text, line_), its hashes (h1, h2) and the line."""
+    lines = _keyed(docs.where("text is not null")).select("__doc", "__text", F.posexplode(F.split("text", "\n", -1)).alias("line_", "line"))
     hashes = {"h1": F.xxhash64(F.lit(1), "line"), "h2": F.xxhash64(F.lit(2), "line")}
     return lines.where("line rlike '[^\\\\s]'").withColumns(hashes)
 
@@ -69,7 +69,7 @@ def _halves(line: Column, n: Column) -> Column:
 def distinct_lines(found: DataFrame) -> DataFrame:
     """A row for each distinct line: h1, h2, its first place, its length, its halves and its number of occurrences."""
     n = F.char_length("line")
-    rows = found.select("h1", "h2", F.struct("doc_", "text_", "line_", n.alias("n"), _halves(F.col("line"), n).alias("halves")).alias("first"))
+    rows = found.select("h1", "h2", F.struct("__doc", "__text", "line_", n.alias("n"), _halves(F.col("line"), n).alias("halves")).alias("first"))
     return rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("times")).select("h1", "h2", "first.*", "times")
 
 
@@ -96,7 +96,7 @@ def _frames(lines: DataFrame) -> DataFrame:
     head, tail = F.left(F.col("line"), F.col("at")), F.right(F.col("line"), F.col("behind"))
     frame = lambda seed: F.xxhash64(F.lit(seed), m, g, F.xxhash64(head), F.lit(seed), tail)
     piece = F.substr(F.col("line"), F.col("at") + 1, n - F.col("at") - F.col("behind"))
-    return rows.select("h1", "h2", "doc_", "text_", "line_", "n", F.col("m").alias("class_"), F.col("at"), piece.alias("piece"), frame(11).alias("f1"), frame(12).alias("f2"))
+    return rows.select("h1", "h2", "__doc", "__text", "line_", "n", F.col("m").alias("class_"), F.col("at"), piece.alias("piece"), frame(11).alias("f1"), frame(12).alias("f2"))
 
 
 def _shared(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -111,15 +111,15 @@ def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     `lines` are the distinct lines (checkpointed). A group of lines that delete the same position to the same text is linked to its
     earliest; the longer lines of a shorter one are linked to that.
     """
-    place = ["doc_", "text_", "line_"]
+    place = ["__doc", "__text", "line_"]
     short = lines.where("n < 32").select("h1", "h2", *place)
     halves = lines.where("n >= 31").select("h1", "h2", *place, F.explode("halves").alias("half"))
     hot = durable(_shared(halves, ["half"]))
     long = halves.join(_small(hot), "half", "left_semi").drop("half").distinct()
     places = short.unionByName(long).distinct()
-    by_doc = durable(places.groupBy("doc_", "text_").agg(F.collect_set(F.struct("line_", "h1", "h2")).alias("wanted")))
+    by_doc = durable(places.groupBy("__doc", "__text").agg(F.collect_set(F.struct("line_", "h1", "h2")).alias("wanted")))
     body = F.split("text", "\n", -1)
-    texts = _keyed(docs.where("text is not null")).join(_small(by_doc, F.size("wanted")), ["doc_", "text_"]).withColumn("body", body)
+    texts = _keyed(docs.where("text is not null")).join(_small(by_doc, F.size("wanted")), ["__doc", "__text"]).withColumn("body", body)
     wanted = texts.select(*place[:2], F.explode("wanted").alias("w"), "body").select(*place[:2], "w.*", F.get("body", F.col("w.line_")).alias("line"))
     # rows that repeat a document bring a line again
     lines = durable(wanted.dropDuplicates(["h1", "h2"]).withColumn("n", F.char_length("line")))
@@ -154,24 +154,24 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (doc_id, text, ..) with lines removed from text, and the columns n_lines and n_kept (long)."""
     lines = durable(distinct_lines(occurrences(docs)))
     late = durable(links(docs, lines)).withColumn("late", F.lit(True))
-    first = F.struct("doc_", "text_", "line_")
+    first = F.struct("__doc", "__text", "line_")
     known = lines.join(_small(late), ["h1", "h2"], "left").where("times > 1 or late").select("h1", "h2", first.alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
     known = durable(known)
-    gone = occurrences(docs).select("h1", "h2", "doc_", "text_", "line_").join(_small(known), ["h1", "h2"]).where(F.col("late") | (F.col("first") != first))
-    gone = durable(gone.groupBy("doc_", "text_").agg(F.collect_set("line_").alias("gone")))
+    gone = occurrences(docs).select("h1", "h2", "__doc", "__text", "line_").join(_small(known), ["h1", "h2"]).where(F.col("late") | (F.col("first") != first))
+    gone = durable(gone.groupBy("__doc", "__text").agg(F.collect_set("line_").alias("__gone")))
     # most documents of a large corpus may lose lines: this side is never broadcast, so that the plan is the same at every size
-    rows = _keyed(docs).join(gone, ["doc_", "text_"], "left")
-    body, drop = F.col("body_"), F.sort_array("gone")
+    rows = _keyed(docs).join(gone, ["__doc", "__text"], "left")
+    body, drop = F.col("__body"), F.sort_array("__gone")
     n = F.size(body)
     # the text is what is between the dropped lines: slices, so that the work is in proportion to the lines
-    edges = F.concat(F.array(F.lit(-1)), F.col("drop_"), F.array(n))
+    edges = F.concat(F.array(F.lit(-1)), F.col("__drop"), F.array(n))
     between = F.transform(
-        F.sequence(F.lit(0), F.size("drop_")),
-        lambda j: F.slice(body, F.get(F.col("edges_"), j) + 2, F.get(F.col("edges_"), j + 1) - F.get(F.col("edges_"), j) - 1),
+        F.sequence(F.lit(0), F.size("__drop")),
+        lambda j: F.slice(body, F.get(F.col("__edges"), j) + 2, F.get(F.col("__edges"), j + 1) - F.get(F.col("__edges"), j) - 1),
     )
-    rows = rows.withColumn("body_", F.split("text", "\n", -1)).withColumn("drop_", drop).withColumn("edges_", edges)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
+    rows = rows.withColumn("__body", F.split("text", "\n", -1)).withColumn("__drop", drop).withColumn("__edges", edges)
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
     total = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(n), F.lit(0)).cast("long")
-    kept = (total - F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0))).cast("long")
+    kept = (total - F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0))).cast("long")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
     return rows.select(*(text.alias(c) if c == "text" else c for c in columns), total.alias("n_lines"), kept.alias("n_kept"))

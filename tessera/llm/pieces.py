@@ -32,9 +32,8 @@ from tessera.llm.common import bound_batches
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 250_000
-PAIRS = 500_000
-ROWS = 2000
+CACHE = 100_000
+PAIRS = 200_000
 TWO = (2,)
 LONG = 200
 NEVER = float("-inf")
@@ -228,7 +227,7 @@ _loaded: dict[tuple[int, bool], Encoder] = {}
 
 
 def loaded(model: bytes, unigram: bool) -> Encoder:
-    """The worker's encoder, which stays from task to task with what it has learned (in bounds)."""
+    """The worker's encoder. Its tables stay from task to task; the words that it has learned go with the task (see `encode`)."""
     key = (hash(model), unigram)
     if key not in _loaded:
         _loaded.clear()
@@ -242,7 +241,7 @@ def encode(docs: DataFrame, model: bytes, unigram: bool = False) -> DataFrame:
     The model is read on the driver and broadcast: its size is the model file's.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, unigram))
-    bound_batches(docs.sparkSession, ROWS)  # more texts share more words
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(*shared.value)
@@ -256,6 +255,7 @@ def encode(docs: DataFrame, model: bytes, unigram: bool = False) -> DataFrame:
             same = [d == (t or "") for d, t in zip(decoded, texts)]
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, pa.array(decoded, pa.string()), pa.array(same)], ["doc_id", "n_pieces", "ids", "decoded", "round_trip"])
+        own.known.clear()  # the worker may serve another operator next
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, decoded string, round_trip boolean")

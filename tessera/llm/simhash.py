@@ -14,7 +14,7 @@ are linked. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +49,19 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, carry_0, ..): fp is the fingerprint as a signed long."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(text) for text in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            kept = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *kept], ["doc_id", "fp", *(f"carry_{i}" for i in range(len(kept)))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    more = [f"carry_{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[2:])]
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *more]))
 
 
 class Node:
@@ -240,11 +243,13 @@ def trie_links(fps: DataFrame, budget: int = 2, most: int | None = None) -> Data
     return fps.select("fp").mapInArrow(deal, "pair long, side byte, fp long").groupBy("pair").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """A row for each row of `docs` (doc_id long, text): doc_id, fp (signed long), component_id."""
-    rows = durable(fingerprints(docs))
+def near_duplicates(docs: DataFrame, budget: int = 2, carry: Sequence[str] = ()) -> DataFrame:
+    """A row for each row of `docs` (doc_id long, text): doc_id, fp (signed long), component_id, root (a fingerprint of the component), and the
+    columns in `carry` as carry_0, carry_1, .."""
+    rows = durable(fingerprints(docs, carry))
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(trie_links(distinct, budget))
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    more = [f"carry_{i}" for i in range(len(carry))]
+    return rows.join(named.join(lowest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", "root", *more)
