@@ -62,6 +62,7 @@ class Encoder:
         self.longest = max(map(len, self.ids), default=1)
         self.worst = min(self.scores.values(), default=0.0) - 10.0
         self.unigram = unigram
+        self.most_words, self.most_pairs = CACHE, PAIRS
         self.stable: dict[tuple[str, str], bool] = {}
         #: pieces of two characters or more that the merges can make at all
         self.histories: dict[str, tuple[tuple, tuple, tuple]] = {}
@@ -118,7 +119,7 @@ class Encoder:
         The merges on either side go on as in the piece alone, the better one first, until a merge across the border would come before
         both: it needs the better score, and of equals the leftmost goes first.
         """
-        if len(self.stable) > PAIRS:
+        if len(self.stable) > self.most_pairs:
             self.stable.clear()
         left, _, ends = self.history(before)
         right, begins, _ = self.history(piece)
@@ -205,7 +206,7 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, as little-endian 32-bit integers."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.most_words:
             self.known.clear()
         units = [self.units(t or "") for t in texts]
         new = set().union(*units).difference(self.known)
@@ -235,16 +236,18 @@ def loaded(model: bytes, unigram: bool) -> Encoder:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, model: bytes, unigram: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, unigram: bool = False, words: int = CACHE, pairs: int = PAIRS, rows: int = 1000, keep: bool = False) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, n_pieces (long), ids (array<int>), decoded (string), round_trip.
 
-    The model is read on the driver and broadcast: its size is the model file's.
+    words, pairs and rows bound what a worker knows and takes at a time; `keep` lets it keep its words for the next task. They trade memory for
+    time and don't change the result. The model is read on the driver and broadcast: its size is the model file's.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, unigram))
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(*shared.value)
+        own.most_words, own.most_pairs = words, pairs
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = own.encode_batch(texts)
@@ -255,7 +258,8 @@ def encode(docs: DataFrame, model: bytes, unigram: bool = False) -> DataFrame:
             same = [d == (t or "") for d, t in zip(decoded, texts)]
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, pa.array(decoded, pa.string()), pa.array(same)], ["doc_id", "n_pieces", "ids", "decoded", "round_trip"])
-        own.known.clear()  # the worker may serve another operator next
+        if not keep:  # the worker may serve another operator next
+            own.known.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, decoded string, round_trip boolean")

@@ -61,7 +61,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
-    found = pieces.encode(documents(spark, sf_dir), Path(folder, "piece_bpe_32k.model").read_bytes())
+    found = pieces.encode(documents(spark, sf_dir), Path(folder, "piece_bpe_32k.model").read_bytes(), words=250_000, pairs=500_000, rows=2000, keep=True)
     return found.select("doc_id", "n_pieces", "ids", "round_trip")
 
 
