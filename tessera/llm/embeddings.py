@@ -3,9 +3,11 @@
 Vectors are normalised and halved; each half has a codebook of its own (k-means over a bounded sample), and the pairs of codes form a
 grid of cells, which is the inverted index: every vector is in the cell of its two nearest centroids. A vector as a query visits cells
 in a multi-sequence traversal, in order of the sum of the two halves' squared margins, the margin of a centroid
-being the distance from the half to the centroid's region. It stops where the margin exceeds what a vector within
-the radius has with the probability `recall` left out: the displacement is spread over all dimensions, so
-its part across a region's border is normal with deviation radius / sqrt(dims). What is visited is verified by cosine in double precision.
+being the distance from the half to the centroid's region. It stops at a bound of the margin with which the target recall is met: the links
+of a hashed set of queries with all rows are counted by the bound each of them needs, and the bound is the least at which the share of these
+links that is met, and the mean share of a query's, reach `recall`. It is at least what holds where the displacement is spread over all
+dimensions (its part across a region's border is then normal with deviation radius / sqrt(dims)), and at most radius squared, at which no
+link is lost. What is visited is verified by cosine in double precision.
 
 Equal vectors come together first. A cell's members and its visitors are split into blocks by hash, so a hot cell is many tasks; a task
 multiplies two blocks and emits counts and a spanning forest of its links, not the pairs. A pair that both ends
@@ -29,6 +31,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bound_batches, components, durable, labels
 
 SAMPLE = 20_000
+#: Queries of a dimension that the bound is measured with, and its steps up to the exact bound.
+QUERIES = 512
+STEPS = 256
 BLOCK = 768
 
 
@@ -92,7 +97,9 @@ class Index:
     """Codebooks by dimension, and the bound of the margins."""
 
     def __init__(self, sample: dict[int, list], sizes: dict[int, int], least: float, recall: float):
+        self.least, self.recall = least, recall
         self.radius = math.sqrt(max(0.0, 2 - 2 * least))
+        self.bounds: dict[int, float] = {}
         self.z = NormalDist().inv_cdf(1 - (1 - recall) / 4)
         self.books = {}
         for dim, n in sizes.items():
@@ -114,7 +121,25 @@ class Index:
         return tuple(margins(h, b) for h, b in zip(self.halves(x), self.books[x.shape[1]]))
 
     def bound(self, dim: int) -> float:
-        return (self.z * self.radius / math.sqrt(dim)) ** 2 + 1e-12
+        exact = self.radius**2
+        return min(exact, max((self.z * self.radius / math.sqrt(dim)) ** 2, self.bounds.get(dim, 0.0))) + 1e-12
+
+    def steps(self, x: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, step) of the links of x[i] with queries[j]: the step of the bound from which one of the two ends visits the other."""
+        i, j = np.nonzero(x @ queries.T >= self.least)
+        mx, mq, cx, cq = self.cell_margins(x), self.cell_margins(queries), self.codes(x), self.codes(queries)
+        k2 = mx[1].shape[1]
+        there = mx[0][i, cq[j] // k2] + mx[1][i, cq[j] % k2]
+        back = mq[0][j, cx[i] // k2] + mq[1][j, cx[i] % k2]
+        exact = self.radius**2
+        step = np.ceil(np.minimum(there, back) / exact * STEPS) if exact else np.zeros(len(i))
+        return i, j, np.minimum(step, STEPS).astype(np.int64)
+
+    def calibrate(self, dim: int, links: np.ndarray) -> None:
+        """links: for each query with links, their number by step."""
+        met = links.cumsum(axis=1)
+        share = np.minimum(met.sum(axis=0) / links.sum(), (met / met[:, -1:]).mean(axis=0))
+        self.bounds[dim] = self.radius**2 * int(np.argmax(share >= min(self.recall, share[-1]))) / STEPS
 
     def visited(self, x: np.ndarray) -> list[np.ndarray]:
         return visits(*self.cell_margins(x), self.bound(x.shape[1]))
@@ -133,10 +158,40 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
     groups = durable(groups.select(F.monotonically_increasing_id().alias("id"), "vec_id", "times", "embedding", F.size("embedding").alias("dim")))
     sizes = {r["dim"]: r["count"] for r in groups.groupBy("dim").count().collect()}  # a row for each dimension
     picked: dict[int, list] = {}
+    asked: dict[int, tuple] = {}
     for dim in sizes:
         some = groups.where(F.col("dim") == dim).orderBy(F.xxhash64("embedding")).limit(sample)
         picked[dim] = [r["embedding"] for r in some.select("embedding").toLocalIterator()]
-    index = spark.sparkContext.broadcast(Index(picked, sizes, least, recall))
+        some = groups.where(F.col("dim") == dim).orderBy(F.xxhash64(F.lit("query"), "embedding")).limit(QUERIES).select("id", "times", "embedding").collect()
+        asked[dim] = (np.array([r["id"] for r in some]), np.array([r["times"] for r in some]), unit([r["embedding"] for r in some]))
+    index = Index(picked, sizes, least, recall)
+    shared = spark.sparkContext.broadcast((index, asked))
+
+    def measure(batches):
+        own, asked = shared.value
+        for batch in batches:
+            ids, times, dims = (batch.column(c).to_numpy() for c in ("id", "times", "dim"))
+            bodies = batch.column("embedding")
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                x = np.asarray(bodies.take(pa.array(at)).flatten()).reshape(len(at), dim)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                queries, repeats, q = asked[dim]
+                i, j, step = own.steps(x, q)
+                ok = ids[at][i] != queries[j]
+                i, j, step = i[ok], j[ok], step[ok]
+                n = np.bincount(j * (STEPS + 1) + step, weights=times[at][i] * repeats[j], minlength=1)
+                key = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), dim, np.int32)), pa.array(key), pa.array(n[key].astype(np.float64))], ["dim", "key", "n"])
+
+    needed: dict[int, np.ndarray] = {}
+    measured = groups.select("id", "times", "embedding", "dim").mapInArrow(measure, "dim int, key long, n double")
+    for r in measured.groupBy("dim", "key").agg(F.sum("n").alias("n")).collect():  # at most QUERIES * STEPS rows a dimension
+        needed.setdefault(r["dim"], np.zeros(QUERIES * (STEPS + 1)))[r["key"]] = r["n"]
+    for dim, n in needed.items():
+        links = n.reshape(QUERIES, STEPS + 1)
+        index.calibrate(dim, links[links.sum(axis=1) > 0])
+    index = spark.sparkContext.broadcast(index)
 
     def deal(batches):
         own = index.value

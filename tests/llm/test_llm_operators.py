@@ -279,6 +279,20 @@ def test_links_and_recall_against_brute_force(spark):
     assert all(rows[i].kept == (rows[i].component_id == i) for i in range(len(x)))
 
 
+def test_recall_of_a_hot_group_that_varies_in_few_directions(spark):
+    pick = np.random.default_rng(0)
+    x = pick.normal(size=(9000, 64))
+    centre = pick.normal(size=64)
+    base = np.linalg.qr(pick.normal(size=(64, 2)))[0].T
+    x[:3000] = centre / np.linalg.norm(centre) + 0.35 * pick.uniform(-1, 1, size=(3000, 2)) @ base
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = np.array([rows[i].n_links for i in range(len(x))])
+    assert (got <= true).all() and got.sum() >= 0.98 * true.sum()
+
+
 def test_odd_vectors(spark):
     a = [1.0, 2.0, 3.0, 4.0]
     rows = [(1, a), (2, a), (3, [2 * v for v in a]), (4, None), (5, [0.0] * 4), (6, [1.0, None, 1.0, 1.0]), (7, [float("nan")] * 4), (8, [1.0, 2.0]), (9, [1.0, 2.0]), (None, a), (10, [float("inf")] * 4), (11, [])]
