@@ -1,8 +1,9 @@
 """Language identification: known words first, shorter and shorter character n-grams for unseen ones.
 
 `fit` counts words and character n-grams (of words marked with ^ and $) per language over labelled rows. Where there are more than
-`train_docs` labelled rows of a language, a hashed share of about that many is taken, which bounds the fit; the
-`max_words` and `max_grams` commonest entries are kept, which bounds the model that is broadcast.
+`train_docs` labelled rows of a language, a hashed share of about that many is taken, which bounds the fit and the model that is broadcast:
+it grows with the languages, not with the rows. All entries of these rows are kept, with their counts in all languages. Entries
+are held as 64-bit hashes, and only the languages that have an entry are stored with it.
 `identify` adds, over all words of a whole text, a vector with an entry for each language: log frequencies of
 the word where it is known, else the mean log frequencies of its known n-grams of the longest length that has any.
 
@@ -18,13 +19,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, durable
+from tessera.llm.common import bound_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+KINDS = ("w", *map(str, range(1, LONGEST + 1)))
 CACHE = 60_000
 
 
@@ -38,37 +41,100 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def hash_of(kind: str, entry: str) -> int:
+    return xxhash.xxh64_intdigest(entry.encode(), KINDS.index(kind))
+
+
+class Entries:
+    """Log frequencies by language of the entries of one kind: sorted hashes, and for each what its languages have above an entry not seen."""
+
+    def __init__(self, kind: str, hashes: np.ndarray, langs: np.ndarray, n: np.ndarray, n_langs: int, smooth: float):
+        order = np.lexsort((langs, hashes))
+        self.kind, self.langs, n = kind, langs[order].astype(np.int32), n[order].astype(float)
+        self.keys, starts = np.unique(hashes[order], return_index=True)
+        self.starts = np.append(starts, len(order))
+        self.absent = np.log(smooth / np.maximum(np.bincount(self.langs, weights=n, minlength=n_langs) + smooth * len(self.keys), smooth))
+        self.more = np.log((n + smooth) / smooth)
+
+    def find(self, entries: Sequence[str]) -> np.ndarray:
+        """The entries' places, -1 where not known."""
+        hashes = np.fromiter((hash_of(self.kind, x) for x in entries), np.uint64, len(entries))
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def logs(self, places: np.ndarray) -> np.ndarray:
+        out = np.tile(self.absent, (len(places), 1))
+        each = self.starts[places + 1] - self.starts[places]
+        row = np.repeat(np.arange(len(places)), each)
+        at = np.arange(len(row)) + np.repeat(self.starts[places] - np.cumsum(each) + each, each)
+        out[row, self.langs[at]] += self.more[at]
+        return out
+
+
+class Grams:
+    """n-grams of all lengths."""
+
+    def __init__(self, by_size: dict[int, Entries]):
+        self.by_size = by_size
+
+    def __getitem__(self, gram: str) -> np.ndarray:
+        own = self.by_size[len(gram)]
+        place = own.find([gram])
+        if place[0] < 0:
+            raise KeyError(gram)
+        return own.logs(place)[0]
+
+
 class Model:
-    """Log frequencies by language: `words` and `grams` map an entry to its row in `table`."""
+    """Log frequencies by language of `words` and `grams`."""
 
     def __init__(self, langs: list[str], entries: list[tuple[str, str, str, int]], smooth: float = 0.5):
         """entries: (lang, kind, entry, count), kind "w" or the n-gram's length."""
-        self.langs = sorted(langs)
-        place = {lang: i for i, lang in enumerate(self.langs)}
-        counts: dict[tuple[str, str], np.ndarray] = {}
+        names = sorted(langs)
+        place = {lang: i for i, lang in enumerate(names)}
+        found: Counter = Counter()
         for lang, kind, entry, n in entries:
-            counts.setdefault((kind, entry), np.zeros(len(place)))[place[lang]] += n
-        totals: dict[str, np.ndarray] = {}
-        sizes: Counter = Counter()
-        for (kind, _), row in counts.items():
-            totals[kind] = totals.get(kind, 0) + row
-            sizes[kind] += 1
-        self.words: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
-        for (kind, entry), row in counts.items():
-            logs = np.log((row + smooth) / (totals[kind] + smooth * sizes[kind]))
-            (self.words if kind == "w" else self.grams)[entry] = logs
+            found[place[lang], KINDS.index(kind), hash_of(kind, entry)] += n
+        keys = list(found)
+        columns = [np.array([k[i] for k in keys], dtype) for i, dtype in enumerate((np.int32, np.int8, np.uint64))]
+        self._set(names, *columns, np.array([found[k] for k in keys], np.int64), smooth)
+
+    @classmethod
+    def of_counts(cls, langs: list[str], lang: np.ndarray, kind: np.ndarray, hashes: np.ndarray, n: np.ndarray, smooth: float = 0.5) -> Model:
+        """langs sorted; lang and kind are places in `langs` and KINDS."""
+        model = cls.__new__(cls)
+        model._set(langs, lang, kind, hashes, n, smooth)
+        return model
+
+    def _set(self, langs: list[str], lang: np.ndarray, kind: np.ndarray, hashes: np.ndarray, n: np.ndarray, smooth: float) -> None:
+        own = [Entries(name, *(c[kind == k] for c in (hashes, lang, n)), len(langs), smooth) for k, name in enumerate(KINDS)]
+        self.langs, self.words, self.grams = langs, own[0], Grams(dict(enumerate(own[1:], 1)))
         self.cache: dict[str, np.ndarray] = {}
 
-    def score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+    def scores(self, words: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(self.langs)))
+        place = self.words.find(words)
+        known = place >= 0
+        out[known] = self.words.logs(place[known])
+        open_ = np.flatnonzero(~known)
         for n in range(LONGEST, 0, -1):
-            found = [g for x in grams_of(word, n) if (g := self.grams.get(x)) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            if not len(open_):
+                break
+            grams = [grams_of(words[w], n) for w in open_]
+            place = self.grams.by_size[n].find([x for own in grams for x in own])
+            of = np.repeat(np.arange(len(open_)), [len(own) for own in grams])[place >= 0]
+            each = np.bincount(of, minlength=len(open_))
+            some = each > 0
+            if some.any():
+                logs = self.grams.by_size[n].logs(place[place >= 0])
+                out[open_[some]] = np.add.reduceat(logs, (np.cumsum(each) - each)[some]) / each[some][:, None]
+            open_ = open_[~some]
+        return out
+
+    def score(self, word: str) -> np.ndarray:
+        return self.scores([word])[0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
@@ -77,8 +143,9 @@ class Model:
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
-        for word in set(words).difference(cache):
-            cache[word] = self.score(word)
+        new = list(set(words).difference(cache))
+        for i in range(0, len(new), 4096):
+            cache.update(zip(new[i : i + 4096], self.scores(new[i : i + 4096])))
         total = np.zeros(len(self.langs))
         for i in range(0, len(words), 4096):
             total += np.array(list(map(cache.__getitem__, words[i : i + 4096]))).sum(axis=0)
@@ -86,12 +153,14 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, train_docs: int = 3000, max_words: int = 120_000, max_grams: int = 80_000) -> Model:
+def fit(docs: DataFrame, train_docs: int = 3000) -> Model:
     """A model from the rows of `docs` (doc_id, text, lang) whose lang is known."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
     sizes = rows.groupBy("lang").count().collect()  # a row for each language
     if not sizes:
         return Model([], [])
+    langs = sorted(lang for lang, _ in sizes)
+    places = {lang: i for i, lang in enumerate(langs)}
     share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, min(1.0, train_docs / n))))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     bound_batches(docs.sparkSession)
@@ -108,15 +177,15 @@ def fit(docs: DataFrame, train_docs: int = 3000, max_words: int = 120_000, max_g
                     for size in range(1, LONGEST + 1):
                         for gram in grams_of(word, size):
                             out[lang, str(size), gram] += n
-            keys = list(out)
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array([out[k] for k in keys], pa.int64())], ["lang", "kind", "entry", "n"])
+            lang = pa.array([places[k[0]] for k in out], pa.int32())
+            kind = pa.array([KINDS.index(k[1]) for k in out], pa.int8())
+            entry = pa.array(np.fromiter((hash_of(k[1], k[2]) for k in out), np.uint64, len(out)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([lang, kind, entry, pa.array(list(out.values()), pa.int64())], ["lang", "kind", "entry", "n"])
 
     sample = rows.where(place < F.element_at(share, F.col("lang"))).select("text", "lang")
-    counts = sample.mapInArrow(count, "lang string, kind string, entry string, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")).where("n > 1 or length(entry) < 4")
-    order = [F.desc("n"), "kind", "entry", "lang"]
-    counts = durable(counts)
-    kept = [counts.where(kind).orderBy(*order).limit(most).toPandas() for kind, most in (("kind = 'w'", max_words), ("kind <> 'w'", max_grams))]
-    return Model([lang for lang, _ in sizes], [row for frame in kept for row in frame.itertuples(index=False, name=None)])
+    counts = sample.mapInArrow(count, "lang int, kind byte, entry long, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")).toArrow()
+    lang, kind, entry, n = (counts.column(c).to_numpy() for c in ("lang", "kind", "entry", "n"))
+    return Model.of_counts(langs, lang, kind, entry.view(np.uint64), n)
 
 
 def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFrame:

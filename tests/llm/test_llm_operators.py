@@ -152,6 +152,15 @@ def test_words_first_then_ngrams():
     assert list(model.score("thx")) == list(model.grams["^th"])
 
 
+def test_a_language_with_few_documents_keeps_its_words(spark):
+    pick = random.Random(4)
+    words = lambda n: ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(n)]
+    common_, twice, once = words(125_000), words(200), words(200)
+    docs = [(1, " ".join(common_ * 2), "en"), (2, " ".join(twice * 2), "xx"), (3, " ".join(once), "yy")]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert [model.predict(" ".join(x[:50]))[0] for x in (common_, twice, once)] == ["en", "xx", "yy"]
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------------------
 
 
