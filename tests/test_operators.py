@@ -191,6 +191,19 @@ def test_ward():
     assert factors.cut(5, factors.ward(points), 3) == [0, 0, 1, 1, 2]
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_ward_over_groups(small, spark):
+    pick = np.random.default_rng(2)
+    blobs = [(3000, 0, 0, 0.01), (3000, 4, 0, 0.01), (150, 0, 100, 1), (150, 12, 100, 1)]
+    points = np.concatenate([np.array([x, y]) + spread * pick.normal(size=(n // 25 if small else n, 2)) for n, x, y, spread in blobs])
+    got = factors.ward_clusters(spark.createDataFrame(list(enumerate(points.tolist())), "k long, v array<double>"), "k", "v", 3)
+    if small:
+        want = factors.cut(len(points), factors.ward(points), 3)
+    else:  # the two large groups are worth 24,000 apart, the small ones 10,800
+        want = [0] * 3000 + [1] * 3000 + [2] * 300
+    assert [r.cluster for r in got.orderBy("k").collect()] == want
+
+
 def test_hamming_pairs(spark):
     rows = [(1, "0" * 16), (2, "0" * 15 + "1"), (3, "f" * 16), (4, "0" * 16), (5, "8" + "0" * 15), (6, "abc")]
     df = spark.createDataFrame(rows, "k long, x string").withColumn("h", similarity.bits_of(F.col("x")))
