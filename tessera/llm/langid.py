@@ -2,7 +2,7 @@
 
 `fit` counts words and character n-grams (of words marked with ^ and $) per language over labelled rows. Where there are more than
 `train_docs` labelled rows of a language, a hashed share of about that many is taken, which bounds the fit and the model that is broadcast:
-it grows with the languages, not with the rows. All entries of these rows are kept, with their counts in all languages. Entries
+it grows with the languages, not with the rows. All entries of these rows are kept but long ones seen once in all, with their counts in all languages. Entries
 are held as 64-bit hashes, and only the languages that have an entry are stored with it.
 `identify` adds, over all words of a whole text, a vector with an entry for each language: log frequencies of
 the word where it is known, else the mean log frequencies of its known n-grams of the longest length that has any.
@@ -180,12 +180,16 @@ def fit(docs: DataFrame, train_docs: int = 3000) -> Model:
             lang = pa.array([places[k[0]] for k in out], pa.int32())
             kind = pa.array([KINDS.index(k[1]) for k in out], pa.int8())
             entry = pa.array(np.fromiter((hash_of(k[1], k[2]) for k in out), np.uint64, len(out)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([lang, kind, entry, pa.array(list(out.values()), pa.int64())], ["lang", "kind", "entry", "n"])
+            short = pa.array([len(k[2]) < 4 for k in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([lang, kind, entry, pa.array(list(out.values()), pa.int64()), short], ["lang", "kind", "entry", "n", "short"])
 
     sample = rows.where(place < F.element_at(share, F.col("lang"))).select("text", "lang")
-    counts = sample.mapInArrow(count, "lang int, kind byte, entry long, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.mapInArrow(count, "lang int, kind byte, entry long, n long, short boolean").groupBy("lang", "kind", "entry", "short").agg(F.sum("n").alias("n")).toArrow()
     lang, kind, entry, n = (counts.column(c).to_numpy() for c in ("lang", "kind", "entry", "n"))
-    return Model.of_counts(langs, lang, kind, entry.view(np.uint64), n)
+    # a long entry seen once in all tells less than its shorter n-grams
+    _, at, times = np.unique(entry, return_inverse=True, return_counts=True)
+    kept = (n > 1) | (times[at] > 1) | counts.column("short").to_numpy()
+    return Model.of_counts(langs, lang[kept], kind[kept], entry[kept].view(np.uint64), n[kept])
 
 
 def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFrame:
