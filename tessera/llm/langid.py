@@ -1,5 +1,6 @@
 """Language identification: known words first, shorter and shorter character n-grams for unseen ones.
 
+A word is a Unicode letter with the letters and marks that follow it.
 `fit` counts words and character n-grams (of words marked with ^ and $) per language over labelled rows. Where there are more than
 `train_docs` labelled rows of a language, a hashed share of about that many is taken, which bounds the fit and the model that is broadcast:
 it grows with the languages, not with the rows. All entries of these rows are kept but long ones seen once in all, with their counts in all languages. Entries
@@ -7,28 +8,32 @@ are held as 64-bit hashes, and only the languages that have an entry are stored
 `identify` adds, over all words of a whole text, a vector with an entry for each language: log frequencies of
 the word where it is known, else the mean log frequencies of its known n-grams of the longest length that has any.
 
-Edge cases: a null text or one without letters is `und` with score 0. Rows with a null lang or doc_id teach nothing.
-Without any labelled row all texts are `und`. Ties go to the language that sorts first. Rows that repeat are predicted alike.
+Edge cases: a null text or one without letters (digits, numerals and symbols are none) is `und` with score 0. Rows with a null lang or doc_id teach nothing.
+Without any labelled row all texts are `und`. Ties go to the language that sorts first. Rows that repeat are predicted alike. Very long texts are read whole; a very long word counts with all
+its n-grams, some at a time, and is not cached. Other columns are ignored but for those carried, which may have any name.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 5
 KINDS = ("w", *map(str, range(1, LONGEST + 1)))
+#: Words that a task's cache holds, the length of those that it leaves out, and the n-grams of such that are looked up at a time.
 CACHE = 60_000
+LONG = 64
+SOME = 65_536
 
 
 def words_of(text: str | None) -> list[str]:
@@ -111,9 +116,9 @@ class Model:
     def _set(self, langs: list[str], lang: np.ndarray, kind: np.ndarray, hashes: np.ndarray, n: np.ndarray, smooth: float) -> None:
         own = [Entries(name, *(c[kind == k] for c in (hashes, lang, n)), len(langs), smooth) for k, name in enumerate(KINDS)]
         self.langs, self.words, self.grams = langs, own[0], Grams(dict(enumerate(own[1:], 1)))
-        self.cache: dict[str, np.ndarray] = {}
 
     def scores(self, words: Sequence[str]) -> np.ndarray:
+        """A row for each word: its own log frequencies, or the means of its longest known n-grams."""
         out = np.zeros((len(words), len(self.langs)))
         place = self.words.find(words)
         known = place >= 0
@@ -134,23 +139,59 @@ class Model:
         return out
 
     def score(self, word: str) -> np.ndarray:
-        return self.scores([word])[0]
+        """As `scores`, for one word of any length."""
+        place = self.words.find([word])
+        if place[0] >= 0:
+            return self.words.logs(place)[0]
+        marked = f"^{word}$"
+        for n in range(LONGEST, 0, -1):
+            own, total, times = self.grams.by_size[n], np.zeros(len(self.langs)), 0
+            for begin in range(0, len(marked) - n + 1, SOME):
+                end = min(begin + SOME, len(marked) - n + 1)
+                place = own.find([marked[i : i + n] for i in range(begin, end)])
+                total += own.logs(place[place >= 0]).sum(axis=0)
+                times += int((place >= 0).sum())
+            if times:
+                return total / times
+        return np.zeros(len(self.langs))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return Scorer(self).predict(text)
+
+
+class Scorer:
+    """Predictions of a model, with a bounded table of the words met so far."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.table = model, {}, np.zeros((4096, len(model.langs)))
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) + len(words) > CACHE:
+            self.known.clear()
+        for i in range(0, len(words), 4096):
+            some, used = words[i : i + 4096], len(self.known)
+            if used + len(some) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[used : used + len(some)] = self.model.scores(some)
+            self.known.update(zip(some, range(used, used + len(some))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
+        words, langs = words_of(text), self.model.langs
+        if not words or not langs:
             return "und", 0.0
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = list(set(words).difference(cache))
-        for i in range(0, len(new), 4096):
-            cache.update(zip(new[i : i + 4096], self.scores(new[i : i + 4096])))
-        total = np.zeros(len(self.langs))
+        total = np.zeros(len(langs))
+        if len(max(words, key=len)) > LONG:
+            for word, n in Counter(w for w in words if len(w) > LONG).items():
+                total += n * self.model.score(word)
+            words = [w for w in words if len(w) <= LONG]
         for i in range(0, len(words), 4096):
-            total += np.array(list(map(cache.__getitem__, words[i : i + 4096]))).sum(axis=0)
+            some = words[i : i + 4096]
+            if new := set(some).difference(self.known):
+                self.learn(list(new if len(self.known) + len(new) <= CACHE else set(some)))
+            rows = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+            total += self.table[rows].sum(axis=0)
         best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def fit(docs: DataFrame, train_docs: int = 3000) -> Model:
@@ -198,18 +239,19 @@ def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFr
     The score is the posterior of the language under equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bound_batches(docs.sparkSession)
+    sent = list(dict.fromkeys(["doc_id", "text", *carry]))  # a column goes to the workers once, also if it is carried
+    places = [sent.index(c) for c in carry]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Scorer(shared.value)
         for batch in batches:
-            found = [own.predict(text) for text in batch.column(1).to_pylist()]
-            kept = batch.columns[2:]
-            names = ["doc_id", "lang_pred", "score", *(f"carry_{i}" for i in range(len(kept)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64()), *kept], names)
+            found = [own.predict(text.as_py()) for text in batch.column(1)]
+            names = ["doc_id", "lang_pred", "score", *(f"carry_{i}" for i in range(len(places)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64()), *(batch.column(i) for i in places)], names)
 
-    rows = docs.select("doc_id", "text", *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    rows = docs.select(*(F.col(c).alias(f"sent_{i}") for i, c in enumerate(sent)))
     kinds = [f.dataType.simpleString() for f in rows.schema.fields]
-    schema = ", ".join([f"doc_id {kinds[0]}, lang_pred string, score double", *(f"carry_{i} {k}" for i, k in enumerate(kinds[2:]))])
+    schema = ", ".join([f"doc_id {kinds[0]}, lang_pred string, score double", *(f"carry_{i} {kinds[place]}" for i, place in enumerate(places))])
     return rows.mapInArrow(predict, schema)
 
 
