@@ -1,14 +1,21 @@
-"""Helpers that several corpus operators share: Arrow batch limits, components of link graphs."""
+"""Helpers that several corpus operators share: Arrow batch limits, bitmaps of keys, components of link graphs."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import durable, partitions_of
 
-__all__ = ["bound_batches", "components", "durable", "labels", "partitions_of"]
+__all__ = ["bound_batches", "components", "durable", "labels", "may_hold", "partitions_of"]
+
+#: Bits of the largest bitmap that is broadcast: 32 MB.
+MOST_BITS = 1 << 28
+#: Fixed value: bits of one of the engine's bitmaps.
+BITMAP = 1 << 15
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
@@ -17,6 +24,29 @@ def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def marked(rows: DataFrame, keys: DataFrame, by: Sequence[str], mark: str) -> DataFrame:
+    """`rows` with the column `mark`: whether the row's `by` is, or may be, in `keys` (checkpointed). It costs no shuffle of the rows.
+
+    Hashed keys are bits of bitmaps, which are broadcast: sixteen bits a key, and MOST_BITS at most. With more keys than those bits serve,
+    more rows are marked than must; none is missed at any size.
+    """
+    parts = 1
+    while BITMAP * parts < min(16 * keys.count(), MOST_BITS):
+        parts *= 2
+    bit = F.pmod(F.xxhash64(F.lit(77), *by), F.lit(BITMAP * parts))
+    part, place = F.shiftright(bit, 15), (bit % BITMAP).cast("int")
+    held = keys.select(part.alias("part_"), place.cast("long").alias("place_")).repartition(partitions_of(keys), "part_")
+    maps = durable(held.groupBy("part_").agg(F.bitmap_construct_agg("place_").alias("map_")))
+    at = rows.withColumns({"part_": part, "place_": place}).join(F.broadcast(maps), "part_", "left")
+    byte = F.ascii(F.decode(F.expr("substring(map_, place_ div 8 + 1, 1)"), "ISO-8859-1"))
+    return at.select(*rows.columns, F.coalesce(F.getbit(byte, F.col("place_") % 8) == 1, F.lit(False)).alias(mark))
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows that `marked` marks: a filter before a join."""
+    return marked(rows, keys, by, "mark_").where("mark_").drop("mark_")
+
+
 def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest node reachable from each of n nodes over the links i-j."""
     lab = np.arange(n)
