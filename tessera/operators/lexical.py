@@ -89,13 +89,13 @@ def volcano(rows: DataFrame, by: str, least: int = 5) -> DataFrame:
     totals = counts.groupBy(by).agg(F.sum("c").alias("t"))
     kept = counts.groupBy("lemma").agg(F.max("c").alias("most")).where(F.col("most") >= least).select("lemma")
     some = counts.join(kept, "lemma", "left_semi")
-    left = totals.select(F.col(by).alias("a"), F.col("t").alias("ta"))
-    right = totals.select(F.col(by).alias("b"), F.col("t").alias("tb"))
-    pairs = left.join(right, F.col("a") < F.col("b"))  # few groups: pairs of labels, not of rows
-    ca = some.select(F.col(by).alias("a"), "lemma", F.col("c").alias("ca"))
-    cb = some.select(F.col(by).alias("b"), "lemma", F.col("c").alias("cb"))
-    lemmas = F.broadcast(pairs).join(kept)
-    met = lemmas.join(ca, ["a", "lemma"], "left").join(cb, ["b", "lemma"], "left").na.fill(0, ["ca", "cb"]).where("ca + cb > 0")
+    groups = totals.where(F.col(by).isNotNull()).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("g"), "t"))).alias("groups"))  # one row, of labels
+    own = some.where(F.col(by).isNotNull()).groupBy("lemma").agg(F.map_from_entries(F.collect_list(F.struct(by, "c"))).alias("own"))
+    count = lambda x: F.coalesce(F.try_element_at("own", x["g"]), F.lit(0).cast("long"))
+    pair = lambda x, y: F.struct(x["g"].alias("a"), y["g"].alias("b"), x["t"].alias("ta"), y["t"].alias("tb"), count(x).alias("ca"), count(y).alias("cb"))
+    pairs = F.flatten(F.transform("groups", lambda x: F.transform(F.filter("groups", lambda y: y["g"] > x["g"]), lambda y: pair(x, y))))
+    # a lemma's counts meet in one row, which forms its pairs of groups
+    met = own.crossJoin(F.broadcast(groups)).select("lemma", F.inline(pairs)).where("ca + cb > 0")
     fold = F.log2(((F.col("cb") + 0.5) / F.col("tb")) / ((F.col("ca") + 0.5) / F.col("ta")))
     chi = yates(*(F.col(c).cast("double") for c in ("ca", "cb", "ta", "tb")))
     return met.select("a", "b", "lemma", "ca", "cb", F.round(fold, 4).alias("log2fc"), F.round(chi, 4).alias("chi2"))
@@ -186,8 +186,13 @@ def kwic_summary(rows: DataFrame, target: str, by: str, window: int = 5, top: in
     """The commonest neighbours on each side, with local PMI = log2(c * N / (n_target * window * f)), 3 decimals."""
     freq = rows.groupBy(by, "lemma").agg(F.count("*").alias("f"))
     total = freq.groupBy(by).agg(F.sum("f").alias("n"), F.sum(F.when(F.col("lemma") == target, F.col("f"))).alias("n_target")).where("n_target > 0")
-    hits = rows.where(F.col("lemma") == target).select(document, F.col("pos").alias("at"))
-    near = rows.where(F.col("lemma") != target).join(hits, document).withColumn("gap", F.col("pos") - F.col("at")).where(F.abs("gap") <= window)
+    # neighbours are slices of the document's own array, around each hit: as many rows as hits times the window
+    holds = rows.where(F.col("lemma") == target).select(document).distinct()
+    lists = rows.join(holds, document, "left_semi").groupBy(by, document).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("t"))
+    at = lists.select(by, "t", F.posexplode("t").alias("i", "x")).where(F.col("x.lemma") == target)
+    first = F.greatest(F.lit(1), F.col("i") + 1 - window)
+    near = at.select(by, F.col("x.pos").alias("at"), F.inline(F.slice("t", first, F.col("i") + 2 + window - first)))
+    near = near.where(F.col("lemma") != target).withColumn("gap", F.col("pos") - F.col("at")).where(F.abs("gap") <= window)
     side = F.when(F.col("gap") < 0, "left").otherwise("right")
     counts = near.groupBy(by, side.alias("position"), F.col("lemma")).agg(F.count("*").alias("count"))
     first = top_n(counts, [by, "position"], [F.desc("count"), F.asc("lemma")], top)

@@ -108,51 +108,67 @@ def mean_distance(rows: DataFrame, by: Sequence[str], order: str, value: str, le
 
 
 def hamming_pairs(rows: DataFrame, key: str, value: str, most: int = 3) -> DataFrame:
-    """J14 with a bound: (a, b, d), a < b, for pairs of rows at most `most` bits apart. Of most + 1 bands of the 64 bits one is
-    equal in such a pair, so equi-joins on bands find them; equal hashes come together first."""
+    """J14 with a bound: (a, b, n_a, n_b, d): classes of rows with an equal hash, named by their least key, with their numbers of rows, for each pair of
+    classes at most `most` bits apart, and each class of more than one row with itself. Rows of a class aren't paired one by one. Of most + 1
+    bands of the 64 bits one is equal in such a pair, so equi-joins on bands find them."""
     n = most + 1
     edges = [64 * i // n for i in range(n + 1)]
     band = lambda i: F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft(value, 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]).alias("bits"))
-    hashes = rows.where(F.col(value).isNotNull()).select(value).distinct()
-    banded = hashes.select(value, F.explode(F.array(*map(band, range(n)))).alias("band"))
-    left, right = banded.withColumnRenamed(value, "x"), banded.withColumnRenamed(value, "y")
-    near = left.join(right, "band").where(F.col("x") <= F.col("y")).select("x", "y").distinct().withColumn("d", hamming(F.col("x"), F.col("y"))).where(F.col("d") <= most)
-    ids = rows.select(F.col(key), F.col(value))
-    met = near.join(ids.select(F.col(key).alias("p"), F.col(value).alias("x")), "x").join(ids.select(F.col(key).alias("q"), F.col(value).alias("y")), "y")
-    return met.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "d").distinct()
+    classes = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(key).alias("id"), F.count("*").alias("n"))
+    banded = classes.select(F.struct(F.col(value).alias("h"), "id", "n").alias("c"), F.explode(F.array(*map(band, range(n)))).alias("band"))
+    left, right = banded.withColumnRenamed("c", "x"), banded.withColumnRenamed("c", "y")
+    met = left.join(right, "band").where(F.col("x.h") < F.col("y.h")).where(hamming(F.col("x.h"), F.col("y.h")) <= most).select("x", "y").distinct()
+    own = classes.where("n > 1").select(F.struct(F.col(value).alias("h"), "id", "n").alias("x")).withColumn("y", F.col("x"))
+    a, b = F.when(F.col("x.id") < F.col("y.id"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.id") < F.col("y.id"), F.col("y")).otherwise(F.col("x"))
+    pairs = met.unionByName(own).select(a.alias("a"), b.alias("b"))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), hamming(F.col("a.h"), F.col("b.h")).alias("d"))
 
 
-def top_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
+def top_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = BLOCK) -> DataFrame:
     """Each query's k most similar rows (itself left out): (query, key, sim, rank), of equals the least key.
 
-    Queries are a stated, bounded set and are broadcast as one matrix; each batch of rows keeps k a query.
+    Queries and rows are dealt into blocks by hash; a task compares two blocks and keeps k rows for each query, so nothing is
+    collected and no task holds more than two blocks.
     """
-    own = [(r[key], r[vector]) for r in queries.select(key, vector).collect()]
-    ids = np.array([i for i, _ in own], dtype=np.int64)
-    q = np.array([v for _, v in own], dtype=np.float64)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(own) else q))
-
-    def run(batches):
-        ids, q = shared.value
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(keys) or not len(ids):
-                continue
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+    some = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    asked, given = some(queries), some(rows)
+    a, b = _blocks(asked, block), _blocks(given, block)
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(place(a).alias("a_"), every(b).alias("b_"), F.lit(True).alias("asks"), "id", "v")
+    right = given.select(every(a).alias("a_"), place(b).alias("b_"), F.lit(False).alias("asks"), "id", "v")
+
+    def task(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        ids = table.column("id").to_numpy()
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if asks.any() and not asks.all():
+            x = np.array(table.column("v").to_pylist(), dtype=np.float64)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            sims = np.round(q @ x.T, 6)
-            sims[ids[:, None] == keys[None, :]] = -np.inf
-            at = np.lexsort((np.broadcast_to(keys, sims.shape), -sims), axis=1)[:, :k]
-            best = np.take_along_axis(sims, at, axis=1)
-            ok = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, at.shape[1]).reshape(at.shape)[ok]), pa.array(keys[at][ok]), pa.array(best[ok])], ["query", "id", "sim"])
+            q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+            for part in np.array_split(q, max(1, len(q) // 256)):
+                sims = np.round(x[part] @ x[m].T, 6)
+                sims[ids[part][:, None] == ids[m][None, :]] = -np.inf
+                at = np.lexsort((np.broadcast_to(ids[m], sims.shape), -sims), axis=1)[:, :k]
+                best = np.take_along_axis(sims, at, axis=1)
+                ok = np.isfinite(best)
+                out.append((np.repeat(ids[part], at.shape[1]).reshape(at.shape)[ok], ids[m][at][ok], best[ok]))
+        return pa.table(dict(zip(("query", "id", "sim"), map(np.concatenate, zip(*out)))))
 
     from tessera.operators.lexical import top_n
 
-    found = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "query long, id long, sim double")
+    found = left.unionByName(right).groupBy("a_", "b_").applyInArrow(task, "query long, id long, sim double")
     return top_n(found, ["query"], [F.desc("sim"), F.asc("id")], k)
 
 
+def ratio_matches(rows: DataFrame, queries: DataFrame, key: str, vector: str, ratio: float = 0.75) -> DataFrame:
+    """(query, id, d1, d2): each query's nearest row where its distance is below `ratio` times the second nearest's (1 - cosine)."""
+    two = top_cosine(rows, queries, key, vector, 2)
+    best = two.groupBy("query").agg(*(F.max(F.when(F.col("rank") == i, F.col(c))).alias(name) for i, c, name in ((1, "id", "id"), (1, "sim", "s1"), (2, "sim", "s2"))))
+    gaps = best.select("query", "id", F.round(1 - F.col("s1"), 6).alias("d1"), F.round(1 - F.col("s2"), 6).alias("d2"))
+    return gaps.where(F.col("d1") < ratio * F.col("d2"))
+
+
 def similarity_summary(rows: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean cosine over a group's pairs without forming them: (|sum of unit vectors|^2 - n) / (n (n - 1))."""
     length = norm(F.col(vector))

@@ -129,6 +129,18 @@ def proportion(rows: DataFrame, by: str, flag: Column) -> DataFrame:
     return sums.select(by, "n", F.round(100 * F.col("p"), 4).alias("percent"), F.round(100 * wide, 4).alias("error"))
 
 
+def ellipse(rows: DataFrame, by: str, x: str, y: str, level: float) -> DataFrame:
+    """(by, n, mx, my, major, minor, angle): the ellipse that holds `level` of a bivariate normal with the group's means and covariance. One aggregation."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by)
+    sums = both.agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("c")).where("n > 2")
+    half, apart = (F.col("vx") + F.col("vy")) / 2, F.col("vx") - F.col("vy")
+    gap = F.sqrt(apart * apart / 4 + F.col("c") * F.col("c"))
+    scale = -2 * math.log(1 - level)  # the chi-square quantile of two degrees of freedom
+    axis = lambda value: F.round(F.sqrt(scale * value), 6)
+    angle = F.round(F.atan2(half + gap - F.col("vx"), F.col("c")), 6)
+    return sums.select(by, "n", F.round("mx", 6).alias("mx"), F.round("my", 6).alias("my"), axis(half + gap).alias("major"), axis(F.greatest(half - gap, F.lit(0.0))).alias("minor"), angle.alias("angle"))
+
+
 def ranked(rows: DataFrame, value: str, by: Sequence[str] = (), name: str = "r") -> DataFrame:
     """Average ranks, from distinct values and their counts. Within groups by a window over their distinct values; over the whole
     table by a running sum over range partitions, since a continuous variable has as many distinct values as rows."""

@@ -7,12 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import running_sum
+
 
 def quantiles(value: str | Column, points: Sequence[float] = (0.25, 0.5, 0.75)) -> list[Column]:
     """A3, A4: exact quantiles with linear interpolation."""
     return [F.round(F.percentile(value, F.lit(p)), 6).alias(f"p{round(100 * p)}") for p in points]
 
 
+def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, points: dict[str, float], decimals: int | None = None) -> DataFrame:
+    """A3, A4: (by.., a column for each of `points`): exact quantiles with linear interpolation, null where a group has no value.
+
+    No task holds a group's values: distinct values are counted, their counts summed along range partitions, and the two values
+    around each quantile's place picked by aggregation."""
+    by = list(by)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_"))
+    summed = running_sum(counts, [*by, value], "n_", "upto_")
+    bounds = summed.groupBy(*by).agg(F.min(F.col("upto_") - F.col("n_")).alias("base_"), F.max("upto_").alias("last_"))
+    placed = summed.join(bounds.select(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by)), "base_", "last_"), [F.col(c).eqNullSafe(F.col(f"by_{i}")) for i, c in enumerate(by)])
+    upto, n = F.col("upto_") - F.col("base_"), F.col("last_") - F.col("base_")
+    at = {name: (n - 1) * F.lit(q) for name, q in points.items()}
+    ends = [F.min(F.when(upto > f(at[name]), F.col(value).cast("double"))).alias(f"{end}_{name}") for name in points for end, f in (("low", F.floor), ("high", F.ceil))]
+    found = placed.groupBy(*by).agg(F.max(n).alias("size_"), *ends)
+    part = {name: (F.col("size_") - 1) * F.lit(q) - F.floor((F.col("size_") - 1) * F.lit(q)) for name, q in points.items()}
+    between = {name: F.col(f"low_{name}") + part[name] * (F.col(f"high_{name}") - F.col(f"low_{name}")) for name in points}
+    every = rows.select(*by).distinct()
+    met = every.select(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by))).join(found, [F.col(f"by_{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)], "left")
+    return met.select(*(F.col(f"by_{i}").alias(c) for i, c in enumerate(by)), *((F.round(x, decimals) if decimals is not None else x).alias(name) for name, x in between.items()))
+
+
 def rate(flag: Column) -> Column:
     """Percent of rows where the flag holds."""
     return F.avg(flag.cast("double")) * 100

@@ -53,9 +53,9 @@ def _(spark, d):
     return lexical.sources_of(rows, "c", "s", "o", "conf", least=0.5, keep=["doc_id"])
 
 
-@query("L1_token_table", f"with {TOKENS_SQL} select doc_id, cast(pos as integer) as pos, lemma from tok where lemma like 'ab%'")
+@query("L1_token_table", f"with {TOKENS_SQL} select doc_id, cast(pos as integer) as pos, lemma from tok")
 def _(spark, d):
-    return _tokens(spark, d).where("lemma like 'ab%'").select("doc_id", "pos", "lemma")
+    return _tokens(spark, d).select("doc_id", "pos", "lemma")
 
 
 @query("L2_tf_idf", f"""with {TOKENS_SQL}, tf as (select lang, lemma, count(*) as tf from tok group by 1, 2), g as (select count(distinct lang) as n from tf),
@@ -93,11 +93,11 @@ def _(spark, d):
     return adjusted.withColumns({"neg_log10_p": F.round(logs, 4), "side": significant(F.col("p_adj"), F.col("log2fc"), F.greatest("ca", "cb"))})
 
 
-@query("W13_adjust", _VOLCANO_SQL + ", r as (select a, b, lemma, exp(-chi2 / 2) as p, row_number() over (partition by a, b order by exp(-chi2 / 2), lemma) as k, count(*) over (partition by a, b) as m from v where chi2 < 30) select a, b, lemma, round(least(1.0, min(p * m / k) over (partition by a, b order by k desc rows unbounded preceding)), 6) as p_adj from r")
+@query("W13_adjust", _VOLCANO_SQL + ", r as (select a, b, lemma, exp(-chi2 / 2) as p, row_number() over (partition by a, b order by exp(-chi2 / 2), lemma) as k, count(*) over (partition by a, b) as m from v where chi2 is not null) select a, b, lemma, round(least(1.0, min(p * m / k) over (partition by a, b order by k desc rows unbounded preceding)), 6) as p_adj from r")
 def _(spark, d):
     from tessera.operators.statistics import adjust
 
-    rows = lexical.volcano(_tokens(spark, d), "lang", 20).where("chi2 < 30").withColumn("p", F.exp(-F.col("chi2") / 2))
+    rows = lexical.volcano(_tokens(spark, d), "lang", 20).where("chi2 is not null").withColumn("p", F.exp(-F.col("chi2") / 2))
     return adjust(rows, "p", ["a", "b"]).select("a", "b", "lemma", F.round("p_adj", 6).alias("p_adj"))
 
 

@@ -41,10 +41,17 @@ def _(spark, d):
     return statistics.proportion(table(spark, d, "documents"), "source", F.col("n_chars") > 1500)
 
 
-_RANKS = f"x as (select {EVENT_PHASE_SQL} as g, round(value) as v from events where value is not null and {EVENT_PHASE_SQL} is not null), r as (select g, v, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from x), t as (select sum(cast(t as double) * t * t - t) as ties, sum(t) as n from (select count(*) as t from x group by v)), s as (select g, cast(count(*) as double) as n_g, sum(r) as r_g from r group by 1)"
+def ranks_sql(value: str) -> str:
+    """Rank sums of `value` by phase (s) and its ties (t)."""
+    return f"x as (select {EVENT_PHASE_SQL} as g, {value} as v from events where {value} is not null and {EVENT_PHASE_SQL} is not null), r as (select g, v, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r from x), t as (select sum(cast(t as double) * t * t - t) as ties, sum(t) as n from (select count(*) as t from x group by v)), s as (select g, cast(count(*) as double) as n_g, sum(r) as r_g from r group by 1)"
 
 
-@query("M3_kruskal", f"with {_RANKS} select cast(max(t.n) as bigint) as n, count(*) as k, count(*) - 1 as df, round((12.0 / (max(t.n) * (max(t.n) + 1)) * sum(r_g * r_g / n_g) - 3 * (max(t.n) + 1)) / (1 - max(ties) / (cast(max(t.n) as double) * max(t.n) * max(t.n) - max(t.n))), 4) as h, round(exp(-((12.0 / (max(t.n) * (max(t.n) + 1)) * sum(r_g * r_g / n_g) - 3 * (max(t.n) + 1)) / (1 - max(ties) / (cast(max(t.n) as double) * max(t.n) * max(t.n) - max(t.n)))) / 2), 6) as p from s, t")
+#: H, its degrees of freedom and p, which is exp(-H / 2) for the three phases.
+KRUSKAL_SQL = "cast(max(t.n) as bigint) as n, count(*) as k, count(*) - 1 as df, round((12.0 / (max(t.n) * (max(t.n) + 1)) * sum(r_g * r_g / n_g) - 3 * (max(t.n) + 1)) / (1 - max(ties) / (cast(max(t.n) as double) * max(t.n) * max(t.n) - max(t.n))), 4) as h, round(exp(-((12.0 / (max(t.n) * (max(t.n) + 1)) * sum(r_g * r_g / n_g) - 3 * (max(t.n) + 1)) / (1 - max(ties) / (cast(max(t.n) as double) * max(t.n) * max(t.n) - max(t.n)))) / 2), 6) as p from s, t"
+_RANKS = ranks_sql("round(value)")
+
+
+@query("M3_kruskal", f"with {_RANKS} select {KRUSKAL_SQL}")
 def _(spark, d):
     return statistics.kruskal(_events(spark, d).withColumn("v", F.round("value")), "v", "phase")
 
@@ -74,7 +81,11 @@ def _(spark, d):
     return rows.withColumnRenamed("l_returnflag", "g")
 
 
-@query("M5_spearman_matrix")
+def _rho_of(x: str, y: str) -> str:
+    return f"select '{x}' as x, '{y}' as y, n, rho from (" + _RHO.format(g="", p="", p2="partition by x", p3="partition by y", src=f"select {x} as x, {y} as y from lineitem where {x} is not null and {y} is not null") + ")"
+
+
+@query("M5_spearman_matrix", " union all ".join(_rho_of(x, y) for x, y in (("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax"))))
 def _(spark, d):
     return statistics.spearman_matrix(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
 
@@ -98,7 +109,7 @@ def _(spark, d):
     return similarity.nearest_earlier(_hashes(spark, d), "doc_id", "h")
 
 
-@query("J14_hamming_pairs", f"with {_HASH} select a.doc_id as a, b.doc_id as b, cast(bit_count(xor(a.h, b.h)) as integer) as d from h a join h b on a.doc_id < b.doc_id where bit_count(xor(a.h, b.h)) <= 3")
+@query("J14_hamming_pairs", f"with {_HASH}, c as (select h, min(doc_id) as id, count(*) as n from h group by 1) select least(x.id, y.id) as a, greatest(x.id, y.id) as b, case when x.id < y.id then x.n else y.n end as n_a, case when x.id < y.id then y.n else x.n end as n_b, cast(bit_count(xor(x.h, y.h)) as integer) as d from c x join c y on (x.h < y.h and bit_count(xor(x.h, y.h)) <= 3) or (x.h = y.h and x.n > 1)")
 def _(spark, d):
     return similarity.hamming_pairs(_hashes(spark, d), "doc_id", "h", 3)
 
@@ -128,6 +139,35 @@ def _(spark, d):
     return found.select("query", "id", "sim", F.col("rank").cast("long").alias("rank"))
 
 
+@query("J19_ratio_matches", """with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+s as (select a.vec_id as query, b.vec_id as id, round(list_cosine_similarity(a.e, b.e), 6) as sim from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query order by sim desc, id) as k from s),
+m as (select query, max(id) filter (where k = 1) as id, round(1 - max(sim) filter (where k = 1), 6) as d1, round(1 - max(sim) filter (where k = 2), 6) as d2 from r where k <= 2 group by 1)
+select * from m where d1 < 0.75 * d2""")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    return similarity.ratio_matches(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+@query("M11_ellipse", """with m as (select label, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings),
+s as (select label, count(*) as n, avg(x) as mx, avg(y) as my, var_samp(x) as vx, var_samp(y) as vy, covar_samp(x, y) as c from m group by 1),
+a as (select *, (vx + vy) / 2 as h, sqrt((vx - vy) * (vx - vy) / 4 + c * c) as g, -2 * ln(1 - .8) as q from s where n > 2)
+select label, n, round(mx, 6) as mx, round(my, 6) as my, round(sqrt(q * (h + g)), 6) as major, round(sqrt(q * greatest(h - g, 0)), 6) as minor, round(atan2(h + g - vx, c), 6) as angle from a""")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("label", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xy")))
+    return statistics.ellipse(e, "label", "x", "y", 0.8)
+
+
+@query("S10_vector_files", "select vec_id, round(cast(embedding[1] as double) + embedding[64], 6) as ends, len(embedding) as size from embeddings")
+def _(spark, d):
+    """The vectors packed into files' contents and read from them again."""
+    from tessera.sources import files
+
+    contents = files.npz_contents(table(spark, d, "embeddings"), "vec_id", "embedding", 16)
+    back = files.vectors_of(contents, "vec_id", "embedding", 64)
+    return back.select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double") + F.get("embedding", F.lit(63)), 6).alias("ends"), F.size("embedding").cast("long").alias("size"))
+
+
 @query("M10_similarity", "with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings) select a.label, (1 + cast(sqrt(1 + 8 * count(*)) as bigint)) // 2 as n, round(avg(list_cosine_similarity(a.e, b.e)), 6) as mean_sim from v a join v b on a.label = b.label and a.vec_id < b.vec_id group by 1")
 def _(spark, d):
     return similarity.similarity_summary(table(spark, d, "embeddings"), "label", "embedding")
@@ -140,7 +180,11 @@ def _(spark, d):
     return e.join(later, "vec_id").select("vec_id", F.round(similarity.cosine(F.col("embedding"), F.col("e2")), 6).alias("sim"))
 
 
-@query("M9_epsilon_components")
+@query("M9_epsilon_components", """with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+near as (select a.label, a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and 1 - list_cosine_similarity(a.e, b.e) <= 0.55),
+reach as (select label, vec_id, vec_id as root from v union select n.label, n.b, r.root from reach r join near n on n.label = r.label and n.a = r.vec_id),
+c as (select label, vec_id, min(root) as root from reach group by 1, 2)
+select label, vec_id, cast(dense_rank() over (partition by label order by root) - 1 as integer) as cluster_id from c""")
 def _(spark, d):
     return similarity.epsilon_components(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.55)
 
@@ -207,9 +251,9 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(words.hrefs(F.col("html"))).cast("long").alias("n"))
 
 
-@query("F21_xml_escape", "select page_id, replace(replace(replace(replace(replace(substr(html, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as shown from pages")
+@query("F21_xml_escape", "select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as shown from pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", words.xml_escape(F.substring("html", 1, 80)).alias("shown"))
+    return table(spark, d, "pages").select("page_id", words.xml_escape(F.col("html")).alias("shown"))
 
 
 @query("S13_srt_round_trip", "select conv_id, count(*) as n, round(sum(cast(turn as double) * 1.5), 3) as seconds from conversations where trim(role) <> '' group by 1")

@@ -141,10 +141,10 @@ def _(spark, d):
     return classify.mentions(table(spark, d, "documents"), "doc_id", F.col("text"), _WORDS, (("key", "AKIA[A-Z0-9]{16}"),))
 
 
-@query("P17_branding", "select conv_id, turn, case when regexp_matches(t || ' ' || role, '414') then 'strong' when regexp_matches(t || ' ' || role, 'system') then 'second' when regexp_matches(role, 'user') then 'name' when regexp_matches(t || ' ' || role, '.') then 'other' else 'none' end as brand from (select *, substr(text, 1, 40) as t from conversations)")
+@query("P17_branding", "select conv_id, turn, case when regexp_matches(t || ' ' || role, '414') then 'strong' when regexp_matches(t || ' ' || role, 'system') then 'second' when regexp_matches(role, 'user') then 'name' when regexp_matches(t || ' ' || role, '.') then 'other' else 'none' end as brand from (select *, text as t from conversations)")
 def _(spark, d):
     c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", classify.branding(F.substring("text", 1, 40), F.col("role"), "414", "system", "user").alias("brand"))
+    return c.select("conv_id", "turn", classify.branding(F.col("text"), F.col("role"), "414", "system", "user").alias("brand"))
 
 
 @query("P18_families", "select event_id, case when regexp_matches(lower(event_type), 'click|cart') then 'H.264' when regexp_matches(lower(event_type), 'view') then 'H.265' else 'other' end as family, coalesce(trim(case when event_id % 4 = 0 then null when event_id % 4 = 1 then 'NA' when event_id % 4 = 2 then '' else '7' end) not in ('', 'NA'), false) as album from events")
@@ -219,10 +219,11 @@ def _(spark, d):
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("J3_full", "select coalesce(c.k, s.k) as nation, n_c, n_s from (select c_nationkey as k, count(*) as n_c from customer where c_acctbal > 5000 group by 1) c full join (select s_nationkey as k, count(*) as n_s from supplier where s_acctbal > 5000 group by 1) s on c.k = s.k")
+@query("J3_full", "select coalesce(c.k, s.k) as nation, n_c, n_s from (select c_nationkey + 3 as k, count(*) as n_c from customer group by 1) c full join (select s_nationkey as k, count(*) as n_s from supplier group by 1) s on c.k = s.k")
 def _(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 5000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n_c"))
-    s = table(spark, d, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n_s"))
+    # keys moved by three, so that either side has some of its own
+    c = table(spark, d, "customer").groupBy((F.col("c_nationkey") + 3).alias("nation")).agg(F.count("*").alias("n_c"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n_s"))
     return c.join(s, "nation", "full")
 
 
@@ -276,9 +277,9 @@ def _(spark, d):
 _MONTHS = "months as (select cast(unnest(generate_series((select min(m) from c), (select max(m) from c), interval 1 month)) as date) as m)"
 
 
-@query("A1_complete", f"with c as (select cast(date_trunc('month', o_orderdate) as date) as m, o_orderstatus as s, count(*) as n from orders where o_totalprice > 400000 group by 1, 2), {_MONTHS}, lv as (select unnest(['F', 'O', 'P', 'X']) as s) select months.m as month, lv.s as status, coalesce(n, 0) as n from months cross join lv left join c on c.m = months.m and c.s = lv.s")
+@query("A1_complete", f"with c as (select cast(date_trunc('month', o_orderdate) as date) as m, o_orderstatus as s, count(*) as n from orders group by 1, 2), {_MONTHS}, lv as (select unnest(['F', 'O', 'P', 'X']) as s) select months.m as month, lv.s as status, coalesce(n, 0) as n from months cross join lv left join c on c.m = months.m and c.s = lv.s")
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice > 400000")
+    o = table(spark, d, "orders")
     counts = o.groupBy(periods.start_of(F.col("o_orderdate"), "month").alias("month"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
     return periods.complete(counts, "month", fill={"n": 0}, levels={"status": ["F", "O", "P", "X"]})
 
@@ -291,7 +292,7 @@ def _(spark, d):
 
 @query("A4_quantiles", "select event_type, round(quantile_cont(value, .25), 6) as p25, round(quantile_cont(value, .5), 6) as p50, round(quantile_cont(value, .75), 6) as p75 from events group by 1")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(*summaries.quantiles("value"))
+    return summaries.exact_quantiles(table(spark, d, "events"), ["event_type"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, decimals=6)
 
 
 @query("A5_distinct", "select event_type, count(distinct user_id) as users, count(distinct cast(ts as date)) as days from events group by 1")
@@ -520,9 +521,9 @@ def _(spark, d):
 # --- the report queries --------------------------------------------------------------------------------------------------------
 
 
-@query("Q01_posts_by_month", f"with c as (select cast(date_trunc('month', o_orderdate) as date) as m, count(*) as n from orders where o_orderpriority = '1-URGENT' and o_totalprice > 300000 group by 1), {_MONTHS} select months.m as month, coalesce(n, 0) as n from months left join c on c.m = months.m")
+@query("Q01_posts_by_month", f"with c as (select cast(date_trunc('month', o_orderdate) as date) as m, count(*) as n from orders group by 1), {_MONTHS} select months.m as month, coalesce(n, 0) as n from months left join c on c.m = months.m")
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 300000")
+    o = table(spark, d, "orders")
     return periods.complete(o.groupBy(periods.start_of(F.col("o_orderdate"), "month").alias("month")).agg(F.count("*").alias("n")), "month", fill={"n": 0})
 
 

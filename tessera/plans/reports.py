@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tessera.functions.media import resolution
 from tessera.operators import classify, cleaning, factors, lexical, periods, statistics, summaries
 from tessera.operators.lexical import top_n
+from tessera.plans.measures import KRUSKAL_SQL, ranks_sql
 from tessera.plans.registry import EVENT_PHASE_SQL, EVENT_PHASES, ORDER_PHASE_SQL, ORDER_PHASES, TOKENS_SQL, query, table
 
 _MONTH_SQL = "cast(date_trunc('month', o_orderdate) as date)"
@@ -62,9 +65,15 @@ def _(spark, d):
     return summaries.share(o, "n", ["quarter"])
 
 
+#: The first month of the planted break.
+BREAK = date(1998, 3, 1)
+
+
 def _series(spark, d):
     o = table(spark, d, "orders").groupBy(_month()).agg(F.count("*").cast("double").alias("n"), F.median("o_totalprice").alias("price"), F.avg((F.col("o_orderstatus") == "O").cast("double")).alias("open"))
-    return o.unpivot("month", ["n", "price", "open"], "series", "value")
+    # a series with a known break: a level of its own from BREAK on
+    o = o.withColumn("step", F.col("n") + F.when(F.col("month") >= F.lit(BREAK), 1000.0).otherwise(0.0))
+    return o.unpivot("month", ["n", "price", "open", "step"], "series", "value")
 
 
 @query("Q26_series_changepoints")
@@ -81,7 +90,7 @@ def _(spark, d):
     return found.withColumn("days", F.array_min(gaps))
 
 
-@query("Q27_kruskal_metrics")
+@query("Q27_kruskal_metrics", " union all ".join(f"select '{m}' as metric, * from (with {ranks_sql(v)} select {KRUSKAL_SQL})" for m, v in (("hour", "cast(hour(ts) as double)"), ("rounded", "round(value)"))))
 def _(spark, d):
     e = _events(spark, d).withColumns({"hour": F.hour("ts").cast("double"), "rounded": F.round("value")})
     parts = [statistics.kruskal(e, m, "phase").withColumn("metric", F.lit(m)) for m in ("hour", "rounded")]
@@ -125,11 +134,11 @@ def _(spark, d):
     return lexical.period_ratio(rows, "source", "lang", "en", "fr")
 
 
-@query("Q38_phase_calendar", f"with c as (select {_MONTH_SQL} as month, round(avg(o_totalprice), 4) as mean from orders where {ORDER_PHASE_SQL} = 'P1' and o_orderpriority = '2-HIGH' and o_totalprice > 450000 group by 1), k as (select cast(unnest(generate_series(date '1995-01-01', date '1996-12-01', interval 1 month)) as date) as month) select k.month, mean from k left join c on c.month = k.month")
+@query("Q38_phase_calendar", f"with c as (select {_MONTH_SQL} as month, round(avg(o_totalprice), 2) as mean from orders where {ORDER_PHASE_SQL} = 'P1' group by 1), k as (select cast(unnest(generate_series(date '1995-01-01', date '1996-12-01', interval 1 month)) as date) as month) select k.month, mean from k left join c on c.month = k.month")
 def _(spark, d):
     first = ORDER_PHASES[0]
-    rows = periods.in_phase(table(spark, d, "orders"), "o_orderdate", first).where("o_orderpriority = '2-HIGH' and o_totalprice > 450000")
-    counts = rows.groupBy(_month()).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    rows = periods.in_phase(table(spark, d, "orders"), "o_orderdate", first)
+    counts = rows.groupBy(_month()).agg(F.round(F.avg("o_totalprice"), 2).alias("mean"))
     months = spark.range(1).select(F.explode(F.sequence(F.lit(first.start), F.lit(first.end), F.expr("interval 1 month"))).alias("month"))
     return periods.complete(counts, "month", skeleton=months)
 

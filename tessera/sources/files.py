@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,8 +48,7 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 def append_new(rows: DataFrame, path: str, keys: Sequence[str], format_: str = "parquet") -> DataFrame:
     """Appends rows whose keys are not there yet, and returns them. A missing target has none."""
     spark = rows.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path)
+    there = _exists(spark, path)
     new = rows.dropDuplicates(list(keys))
     if there:
         new = new.join(spark.read.format(format_).load(path).select(*keys), list(keys), "left_anti")
@@ -60,11 +62,84 @@ def checked_vectors(rows: DataFrame, vector: str, size: int) -> DataFrame:
     return rows.withColumn(vector, F.when(ok, F.col(vector)).otherwise(F.raise_error(F.concat(F.lit("vector of size "), F.size(vector).cast("string")))))
 
 
+def npz_contents(rows: DataFrame, key: str, vector: str, parts: int) -> DataFrame:
+    """(part, content): `parts` files of the vectors by hashed key, each with arrays named as the columns."""
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), key, vector)
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by(key)
+        out = io.BytesIO()
+        np.savez(out, **{key: table.column(key).to_numpy(), vector: np.array(table.column(vector).to_pylist(), dtype=np.float32)})
+        return pa.table({"part": table.column("part").slice(0, 1), "content": pa.array([out.getvalue()], pa.binary())})
+
+    return dealt.groupBy("part").applyInArrow(pack, "part int, content binary")
+
+
+def vectors_of(contents: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(key long, vector array<float>) of all files in `contents` (content), each vector of `size` components."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with np.load(io.BytesIO(content.as_py())) as arrays:
+                    keys, body = arrays[key].astype(np.int64), arrays[vector].astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * body.shape[1]), pa.array(body.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), lists], [key, vector])
+
+    found = contents.select("content").mapInArrow(unpack, f"{key} long, {vector} array<float>")
+    return checked_vectors(found, vector, size)
+
+
+def write_npz(rows: DataFrame, key: str, vector: str, path: str, parts: int = 64) -> None:
+    """The vectors as a table of `parts` files' contents, which `read_npz` reads; a part is one task's, so let `parts` grow with the rows."""
+    npz_contents(rows, key, vector, parts).write.mode("overwrite").parquet(path)
+
+
+def read_npz(spark: SparkSession, path: str, key: str, vector: str, size: int) -> DataFrame:
+    """Vectors from a folder of .npz files or from a table that `write_npz` wrote."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    contents = spark.read.parquet(path) if found.select("path").isEmpty() else found
+    return vectors_of(contents, key, vector, size)
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(path, vector) of reference vectors in .npy files."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [np.load(io.BytesIO(x.as_py())).astype(float).ravel().tolist() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], ["path", "vector"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "path string, vector array<double>")
+
+
 def document_path(rows: DataFrame, key: str, bucket: int = 1000) -> DataFrame:
     """A folder number for each key, to write documents with partitionBy."""
     return rows.withColumn("folder", F.floor(F.col(key) / bucket))
 
 
+def save_documents(rows: DataFrame, path: str, key: str, bucket: int = 1000) -> None:
+    """Documents by key, in folders of `bucket` keys. A document that is saved again replaces the one there, the last save of a key counting; a save
+    appends files and rewrites none."""
+    stamped = document_path(rows, key, bucket).withColumn("saved_", F.current_timestamp())
+    stamped.write.mode("append").partitionBy("folder").parquet(path)
+
+
+def load_documents(spark: SparkSession, path: str, key: str, schema: str, keys: Sequence[int], bucket: int = 1000) -> DataFrame:
+    """The documents of `keys`, a list; only their folders are read. None for keys that are absent, or an absent store."""
+    declared = StructType.fromDDL(schema)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], declared)
+    rows = spark.read.schema(StructType([*declared.fields]).add("saved_", "timestamp").add("folder", "long")).parquet(path)
+    some = rows.where(F.col("folder").isin(sorted({k // bucket for k in keys})) & F.col(key).isin(list(keys)))
+    return some.groupBy(key).agg(F.max_by(F.struct(*declared.names), F.col("saved_")).alias("last")).select("last.*")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there)
+
+
 def _seconds(stamp: Column) -> Column:
     part = lambda i: F.split_part(F.replace(F.trim(stamp), F.lit(","), F.lit(".")), F.lit(":"), F.lit(i)).try_cast("double")
     return part(1) * 3600 + part(2) * 60 + part(3)

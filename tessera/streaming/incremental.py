@@ -29,28 +29,49 @@ def sessions(stream: DataFrame, when: str, key: str, gap: str = "30 minutes", de
     return found.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.col("count").alias("n"))
 
 
-def album_ranks(stream: DataFrame, album: str, key: str) -> DataFrame:
-    """(album, key, rank): a running number for each album, kept in state; rows of a batch are ordered by key."""
+def album_ranks(stream: DataFrame, album: str, key: str, forget: str = "") -> DataFrame:
+    """(album, key, rank): a running number for each album, kept in state; rows of a batch are ordered by key. State is a number for each album.
+    `forget` (a duration, "30 days") drops that of albums without a row for so long: a row that comes later still would begin at 1."""
 
     def number(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.get[0] if state.exists else 0
         keys = sorted(k for frame in frames for k in frame[key])
         state.update((seen + len(keys),))
+        if forget:
+            state.setTimeoutDuration(int(pd.Timedelta(forget).total_seconds() * 1000))
         yield pd.DataFrame({album: [group[0]] * len(keys), key: keys, "rank": range(seen + 1, seen + len(keys) + 1)})
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     schema = f"{album} {kinds[album]}, {key} {kinds[key]}, rank int"
-    return stream.select(album, key).groupBy(album).applyInPandasWithState(number, schema, "seen int", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return stream.select(album, key).groupBy(album).applyInPandasWithState(number, schema, "seen int", "append", timeout)
 
 
-def enrich_into(path: str, keys: Sequence[str], overwrite: bool = False, format_: str = "parquet"):
-    """A function for foreachBatch that merges a batch of new fields into a table: written beside it, by batch number, so that a batch
-    that is run again replaces its own result. `current(spark)` reads the newest."""
+BATCH = "batch_"
+
+
+def enrich_into(path: str, keys: Sequence[str], format_: str = "parquet"):
+    """A function for foreachBatch that keeps each batch's new fields (a row for each key) in a folder of its own: a batch that is run again
+    replaces its own result, and none rewrites the table. `current` reads the table with them."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.format(format_).load(f"{path}/{number}")
         new = batch.groupBy(*keys).agg(*(F.max(c).alias(c) for c in batch.columns if c not in keys))
-        merge_fields(before, new, keys, overwrite).write.mode("overwrite").format(format_).save(f"{path}/{number + 1}")
+        new.write.mode("overwrite").format(format_).save(f"{path}/{BATCH}={number}")
 
     return merge
+
+
+def current(table: DataFrame, path: str, keys: Sequence[str], overwrite: bool = False, format_: str = "parquet") -> DataFrame:
+    """`table` with the fields of all batches under `path`: the first value that came for a field that is null, or with `overwrite` the last batch's
+    row of the key, nulls too. As merging the batches one after the other."""
+    batches = table.sparkSession.read.format(format_).option("basePath", path).load(f"{path}/{BATCH}=*")
+    fields = [c for c in batches.columns if c not in (*keys, BATCH)]
+    if overwrite:
+        rows = F.max_by(F.struct(*fields), F.col(BATCH)).alias("last_")
+        new = batches.groupBy(*keys).agg(rows).select(*keys, "last_.*")
+    else:
+        new = batches.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(BATCH))).alias(c) for c in fields))
+    return merge_fields(table, new, keys, overwrite)

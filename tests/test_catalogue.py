@@ -51,6 +51,17 @@ def test_runs(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_planted_break(spark, sf_dir):
+    """The last point before the break of the planted series is a changepoint, and no series has one that is not of its months."""
+    from tessera.plans.reports import BREAK
+
+    before = date(BREAK.year, BREAK.month - 1, 1)
+    found = [(r.series, r.month) for r in QUERIES["Q26_series_changepoints"](spark, sf_dir).collect()]
+    assert [m for s, m in found if s == "step"] == [before]
+    near = {(r.series, r.month): r.days for r in QUERIES["Q29_ruptures_against_bounds"](spark, sf_dir).collect()}
+    assert set(near) == set(found) and near["step", before] == (date(1999, 1, 1) - before).days
+
+
 def test_entry(spark):
     import __spark_entry__
 

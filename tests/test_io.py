@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,10 +121,38 @@ def test_streams_equal_their_batch_twins(spark, tmp_path, sf_dir):
 
 
 def test_foreach_batch_merge(spark, tmp_path):
-    spark.createDataFrame([(1, None), (2, "old")], "k int, v string").write.parquet(str(tmp_path / "t" / "0"))
-    merge = incremental.enrich_into(str(tmp_path / "t"), ["k"])
-    batch = spark.createDataFrame([(1, "new"), (2, "new")], "k int, v string")
-    for _ in range(2):  # a batch that is run again gives the same
-        merge(batch, 0)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t" / "1")).collect()) == [(1, "new"), (2, "old")]
-    assert time.time() > 0
+    table = spark.createDataFrame([(1, None, None), (2, "old", None), (3, None, None)], "k int, v string, w int")
+    path = str(tmp_path / "t")
+    merge = incremental.enrich_into(path, ["k"])
+    batches = [[(1, "new", None), (2, "new", 5)], [(1, "later", 7), (2, None, 6)]]
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # a batch that is run again gives the same
+            merge(spark.createDataFrame(rows, "k int, v string, w int"), number)
+    got = lambda overwrite: sorted(map(tuple, incremental.current(table, path, ["k"], overwrite).collect()))
+    assert got(False) == [(1, "new", 7), (2, "old", 5), (3, None, None)]
+    assert got(True) == [(1, "later", 7), (2, None, 6), (3, None, None)]
+
+
+def test_vector_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i), 1.0, -2.5]) for i in range(5)], "k long, v array<float>")
+    files.write_npz(rows, "k", "v", str(tmp_path / "v"), parts=2)
+    back = files.read_npz(spark, str(tmp_path / "v"), "k", "v", 3)
+    assert sorted((r.k, list(r.v)) for r in back.collect()) == sorted((r.k, list(r.v)) for r in rows.collect())
+    (tmp_path / "one").mkdir()
+    np.savez(tmp_path / "one" / "hist.npz", k=np.array([7, 8]), v=np.ones((2, 3), np.float32))
+    assert sorted(r.k for r in files.read_npz(spark, str(tmp_path / "one"), "k", "v", 3).collect()) == [7, 8]
+    with pytest.raises(Exception, match="size 3"):
+        files.read_npz(spark, str(tmp_path / "one"), "k", "v", 4).collect()
+    np.save(tmp_path / "ref.npy", np.array([0.5, 0.25]))
+    assert files.read_npy(spark, str(tmp_path / "ref.npy")).first().vector == [0.5, 0.25]
+
+
+def test_document_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert files.load_documents(spark, path, "k", "k long, body string", [1]).count() == 0
+    rows = spark.createDataFrame([(1, "a"), (1500, "b"), (1501, "c")], "k long, body string")
+    files.save_documents(rows, path, "k")
+    assert sorted((r.k, r.body) for r in files.load_documents(spark, path, "k", "k long, body string", [1, 1501, 9]).collect()) == [(1, "a"), (1501, "c")]
+    files.save_documents(spark.createDataFrame([(1500, "new")], "k long, body string"), path, "k")
+    found = files.load_documents(spark, path, "k", "k long, body string", [1, 1500, 1501])
+    assert sorted((r.k, r.body) for r in found.collect()) == [(1, "a"), (1500, "new"), (1501, "c")]
