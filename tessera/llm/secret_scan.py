@@ -2,11 +2,14 @@
 
 Every rule is a regular expression. `trigram_query` parses it and derives a Boolean trigram query: an OR
 of clauses, each an AND of trigrams that any match must contain. `posting_rows` builds the inverted
-index (trigram -> doc_id) over the trigrams that some clause asks for; `candidates` intersects postings by
+index (trigram -> doc_id) over the trigrams that some clause asks for, in one pass over a text; `candidates` intersects postings by
 counting, per document and clause, how many of the clause's trigrams were found; only candidates meet the
 rule's regex. A rule without mandatory trigrams (plain character runs) scans every text.
 
-Edge cases: a null text is an empty text and has no spans. Rows with a null doc_id cannot be posted; they are
+Candidates' ids go back to the texts by a bitmap of bounded size (`common.marked`): only texts that it marks are shuffled and joined with what they
+are candidates for, the others are read where they are. A bit that two ids share costs a shuffle of a text, and no result.
+
+Edge cases: very long texts are scanned whole; the work is in proportion to the text and its matches. a null text is an empty text and has no spans. Rows with a null doc_id cannot be posted; they are
 scanned for every rule. Rows that repeat a doc_id share postings (a superset), and each is verified on its own text.
 An empty table gives an empty result. Other columns of the input are ignored.
 """
@@ -15,13 +18,18 @@ from __future__ import annotations
 
 import re._constants as K
 import re._parser as parser
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import durable, marked
+
 MAX_ALTERNATIVES = 512
+#: Matches whose positions are added up together.
+BLOCK = 512
+SPAN = "struct<start:int,ord:int,end:int,value:int>"
 
 
 @dataclass(frozen=True)
@@ -86,9 +94,20 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
     return [list(c) for c in sorted(clauses) if not any(set(d) < set(c) for d in clauses)]
 
 
+def _any_of(trigrams: Sequence[str]) -> str:
+    """A pattern that finds each of the trigrams wherever it begins, also where they overlap: branches by the first and second character."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in sorted(set(trigrams)):
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+    code = lambda chars: "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+    any_ = lambda chars: code(chars) if len(chars) == 1 else f"[{code(chars)}]"
+    branches = "|".join(any_(a) + "(?:" + "|".join(any_(b) + any_(cs) for b, cs in own.items()) + ")" for a, own in tree.items())
+    return f"(?={any_(tree)})(?=({branches}))"
+
+
 def posting_rows(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
     """(trigram, doc_id): the inverted index, for the trigrams that queries may ask for."""
-    here = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("folded"), t))
+    here = F.array_distinct(F.regexp_extract_all("folded", F.lit(_any_of(trigrams)), F.lit(1)))
     rows = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("folded"))
     return rows.select("doc_id", F.explode(here).alias("trigram")).distinct()
 
@@ -101,23 +120,35 @@ def candidates(postings: DataFrame, queries: dict[str, list[list[str]]]) -> Data
     return met.where("has = needs").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` of the value, which is worked out once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start,order,end>> of the rule's matches, in code points. The gaps between matches give the positions."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.transform(F.split(text, rule.pattern, -1), F.char_length)
-    whole = F.transform(matches, lambda m: F.struct(F.char_length(m).alias("size"), F.char_length(F.regexp_extract(m, rule.pattern, rule.group)).alias("value")))
-    # a running end of the last match; each step appends one span
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int,value:int>>").alias("out"))
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), whole.alias("m"))
+    value = lambda m: F.char_length(F.regexp_extract(m, rule.pattern, rule.group))
+
+    def step(own: Column, x: Column) -> Column:
+        begin = own["at"] + x["gap"]
+        end = begin + F.char_length(x["m"])
+        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), value(x["m"]).alias("value"))
+        return F.struct(end.alias("at"), F.concat(own["out"], F.array(span)).alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["m"]["size"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), x["m"]["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def block(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return _once(F.aggregate(part, start, step), lambda done: F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
 
-    spans = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.filter(spans, lambda s: s["value"] >= rule.least)
+    # the last match's end is a running sum, kept in blocks: a step appends to its block, and a block to those before it
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    of_parts = lambda x, n: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda i: F.slice(x, i * BLOCK + 1, BLOCK))
+    spans = lambda x: F.flatten(F.aggregate(of_parts(x, F.size(x)), zero, block, lambda acc: acc["out"]))
+    zipped = lambda x: F.arrays_zip(F.slice(x["gaps"], 1, F.size(x["matches"])).alias("gap"), x["matches"].alias("m"))
+    none = F.array().cast(f"array<{SPAN}>")
+    some = lambda x: F.when(F.size(x["matches"]) == 0, none).otherwise(_once(zipped(x), spans))
+    return F.filter(_once(F.struct(matches.alias("matches"), gaps.alias("gaps")), some), lambda s: s["value"] >= rule.least)
 
 
 def secret_scan(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA) -> DataFrame:
@@ -125,23 +156,27 @@ def secret_scan(docs: DataFrame, rules: Sequence[Rule] = BASE + EXTRA) -> DataFr
     struct<start:int, ord:int, end:int, value:int> by start, then by the rules' order. `ord` is the rule's place in `rules`."""
     asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if asked:
-        trigrams = sorted({t for clauses in asked.values() for clause in clauses for t in clause})
-        kinds = candidates(posting_rows(rows, trigrams), asked)
-        rows = rows.join(kinds, "doc_id", "left")
-    else:
-        rows = rows.withColumn("kinds", F.array().cast("array<string>"))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,value:int>>")
-    found = []
-    for order, rule in enumerate(rules):
-        spans = spans_of(F.col("text"), rule, order)
-        if rule.kind in asked:
-            is_candidate = F.coalesce(F.array_contains("kinds", rule.kind), F.col("doc_id").isNull())
-            spans = F.when(is_candidate, spans).otherwise(none)
-        else:  # a full scan, which needs no spans where the text has no match at all
-            spans = F.when(F.col("text").rlike(rule.pattern), spans).otherwise(none)
-        found.append(spans)
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("spans"))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def spans(rows: DataFrame) -> DataFrame:
+        found = []
+        for order, rule in enumerate(rules):
+            own = spans_of(F.col("text"), rule, order)
+            if rule.kind in asked:
+                meets = F.col("doc_id").isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            else:  # a full scan, which needs no spans where the text has no match at all
+                meets = F.col("text").rlike(rule.pattern)
+            found.append(F.when(meets, own).otherwise(none))
+        return rows.select("doc_id", "text", F.array_sort(F.concat(*found)).alias("spans"))
+
+    no_kinds = F.array().cast("array<string>").alias("kinds")
+    if not asked:
+        return spans(rows.select("*", no_kinds))
+    trigrams = sorted({t for clauses in asked.values() for clause in clauses for t in clause})
+    kinds = durable(candidates(posting_rows(rows, trigrams), asked))
+    at = marked(rows, kinds, ["doc_id"], "mark_")
+    some = at.where("mark_").join(kinds, "doc_id", "left").select("doc_id", "text", "kinds")
+    return spans(some).unionByName(spans(at.where("not mark_").select("doc_id", "text", no_kinds)))
 
 
 def digest(found: DataFrame, rules: Sequence[Rule] = BASE + EXTRA, base: int = len(BASE)) -> DataFrame:
