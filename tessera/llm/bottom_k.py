@@ -9,7 +9,8 @@ global, but no task holds it: rows go to ranges of ids whose bounds are ids of t
 row of each range is sent to the range before as well. A range is read in order, holding one document at a time.
 
 Edge cases: a null text is an empty text; it has an empty sketch, which is like another empty sketch (1) and unlike any
-other (0). Fewer than five words are one shingle. Rows with null ids come first; rows that share an id are ordered by the text.
+other (0). Fewer than five words are one shingle. Very long texts are sketched
+in parts and merged. Rows with null ids come first; rows that share an id are ordered by the text.
 A table of one row has itself as the next document. Rows that repeat stand after each other. Other columns are ignored.
 """
 
@@ -24,24 +25,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, partitions_of
+from tessera.llm.common import alone, bound_batches, partitions_of, tidy
 
 WORDS = 5
 K = 128
+#: Words of a part that is sketched by itself.
+PART = 65_536
+#: Word hashes that a worker keeps, and the bytes of words that it does not keep.
 CACHE = 400_000
+LONG = 64
 _hashes: dict[bytes, int] = {}
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     """Hashes (uint64) of the text's shingles, repeats included. The order of the words in a shingle matters."""
+    return _hashes_of(text.lower().encode().split(), words)
+
+
+def _hashes_of(parts: list[bytes], words: int) -> np.ndarray:
     if len(_hashes) > CACHE:
         _hashes.clear()
-    parts = text.lower().encode().split()
     if not parts:
         return np.empty(0, np.uint64)
+    long = {}
     for part in set(parts).difference(_hashes):
-        _hashes[part] = xxhash.xxh64_intdigest(part)
-    own = np.array(list(map(_hashes.__getitem__, parts)), dtype=np.uint64)
+        (_hashes if len(part) <= LONG else long)[part] = xxhash.xxh64_intdigest(part)
+    known = _hashes | long if long else _hashes
+    own = np.array(list(map(known.__getitem__, parts)), dtype=np.uint64)
     size = min(words, len(own))
     mixed = np.zeros(len(own) - size + 1, np.uint64)
     for i in range(size):
@@ -52,8 +62,16 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(33))
 
 
-def sketch(text: str, k: int = K) -> np.ndarray:
-    hashes = shingle_hashes(text)
+def sketch(text: str, k: int = K, words: int = WORDS) -> np.ndarray:
+    """The text's sketch, merged from those of its parts of PART words, which overlap so that each shingle is in one."""
+    parts = text.lower().encode().split()
+    found = _smallest(_hashes_of(parts[: PART + words - 1], words), k)
+    for begin in range(PART, len(parts) - words + 1, PART):
+        found = merge(found, _smallest(_hashes_of(parts[begin : begin + PART + words - 1], words), k), k=k)
+    return found
+
+
+def _smallest(hashes: np.ndarray, k: int) -> np.ndarray:
     if len(hashes) > 4 * k:  # only the smallest matter: leave most of the sort out
         low = np.unique(hashes[hashes <= np.uint64((1 << 64) // len(hashes) * 3 * k)])
         if len(low) >= k:
@@ -138,6 +156,7 @@ def fingerprints(docs: DataFrame, k: int = K, ranges_per_partition: int = 4) ->
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_shingles", pa.float64())])
+        alone("bottom_k", _hashes.clear)
         held = None  # the row before: range, id, text, sketch
         for batch in batches:
             out = []
@@ -153,8 +172,8 @@ def fingerprints(docs: DataFrame, k: int = K, ranges_per_partition: int = 4) ->
                     held = (part, doc_id, text, sketch(text, k))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
-    dealt = rows.mapInArrow(deal, "range_ int, guard byte, doc_id long, text string")
+    dealt = rows.mapInArrow(tidy(deal), "range_ int, guard byte, doc_id long, text string")
     if opening is not None:
         dealt = dealt.unionByName(spark.createDataFrame([(last, 1, None, opening)], dealt.schema))
     placed = dealt.repartition(parts, "range_").sortWithinPartitions("range_", "guard", "doc_id", "text")
-    return placed.mapInArrow(read, f"doc_id long, {FIELDS}")
+    return placed.mapInArrow(tidy(read), f"doc_id long, {FIELDS}")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import durable, partitions_of
 
-__all__ = ["bound_batches", "components", "durable", "labels", "may_hold", "partitions_of"]
+__all__ = ["alone", "bound_batches", "components", "durable", "labels", "marked", "may_hold", "partitions_of", "tidy"]
 
 #: Bits of the largest bitmap that is broadcast: 32 MB.
 MOST_BITS = 1 << 28
@@ -19,9 +23,39 @@ BITMAP = 1 << 15
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
-    """Bound what one Arrow batch holds, so that very long texts do not meet in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bound what one Arrow batch holds, so that very long texts do not meet in a Python worker. The session's lower bounds stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(task: Task) -> Task:
+    """The task of a Python worker; when it ends, memory that it has freed goes back to the system: workers wait for their next task beside the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # of the C library on Linux
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def alone(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called by a task of the operator `name` in its worker: what other operators keep there from task to task goes; `clear` drops its own."""
+    for other in [x for x in _held if x != name]:
+        _held.pop(other)()
+    _held[name] = clear
 
 
 def marked(rows: DataFrame, keys: DataFrame, by: Sequence[str], mark: str) -> DataFrame:

@@ -8,7 +8,7 @@ The order is global but no task holds it: rows (without their text) are range-pa
 hash, id), numbered within a partition, and shifted by the sizes of the partitions before it, a table with a row
 for each partition. Equal cells are split by the tie-breakers, so a hot source does not make a hot partition.
 
-Edge cases: a null text has size 1 and checksum 0; null source and lang are cells of their own (0), null ids go with the
+Edge cases: very long texts count by their bytes, and are not moved; a null text has size 1 and checksum 0; null source and lang are cells of their own (0), null ids go with the
 smallest. Rows that tie in every key are numbered in any order; they are equal. Fewer rows than shards leave shards
 empty. Other columns of the input are ignored.
 """

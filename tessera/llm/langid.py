@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches
+from tessera.llm.common import alone, bound_batches, tidy
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 5
@@ -34,6 +34,8 @@ KINDS = ("w", *map(str, range(1, LONGEST + 1)))
 CACHE = 60_000
 LONG = 64
 SOME = 65_536
+#: Documents whose n-grams are counted together in a worker.
+DOCS = 250
 
 
 def words_of(text: str | None) -> list[str]:
@@ -207,10 +209,11 @@ def fit(docs: DataFrame, train_docs: int = 3000) -> Model:
     bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        alone("langid")
+        for batch in (b.slice(i, DOCS) for b in batches for i in range(0, b.num_rows, DOCS)):
             words: dict[str, Counter] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(words_of(text))
+            for text, lang in zip(batch.column(0), batch.column(1)):
+                words.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
             out: Counter = Counter()
             for lang, own in words.items():
                 for word, n in own.items():
@@ -225,7 +228,7 @@ def fit(docs: DataFrame, train_docs: int = 3000) -> Model:
             yield pa.RecordBatch.from_arrays([lang, kind, entry, pa.array(list(out.values()), pa.int64()), short], ["lang", "kind", "entry", "n", "short"])
 
     sample = rows.where(place < F.element_at(share, F.col("lang"))).select("text", "lang")
-    counts = sample.mapInArrow(count, "lang int, kind byte, entry long, n long, short boolean").groupBy("lang", "kind", "entry", "short").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.mapInArrow(tidy(count), "lang int, kind byte, entry long, n long, short boolean").groupBy("lang", "kind", "entry", "short").agg(F.sum("n").alias("n")).toArrow()
     lang, kind, entry, n = (counts.column(c).to_numpy() for c in ("lang", "kind", "entry", "n"))
     # a long entry seen once in all tells less than its shorter n-grams
     _, at, times = np.unique(entry, return_inverse=True, return_counts=True)
@@ -243,6 +246,7 @@ def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFr
     places = [sent.index(c) for c in carry]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("langid")
         own = Scorer(shared.value)
         for batch in batches:
             found = [own.predict(text.as_py()) for text in batch.column(1)]
@@ -252,7 +256,7 @@ def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFr
     rows = docs.select(*(F.col(c).alias(f"sent_{i}") for i, c in enumerate(sent)))
     kinds = [f.dataType.simpleString() for f in rows.schema.fields]
     schema = ", ".join([f"doc_id {kinds[0]}, lang_pred string, score double", *(f"carry_{i} {kinds[place]}" for i, place in enumerate(places))])
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(tidy(predict), schema)
 
 
 def held_out() -> Column:

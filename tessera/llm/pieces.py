@@ -28,12 +28,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches
+from tessera.llm.common import alone, bound_batches, tidy
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 100_000
-PAIRS = 200_000
+#: Words and pairs of pieces that a worker knows, some 150 MB of both.
+CACHE = 250_000
+PAIRS = 500_000
 TWO = (2,)
 LONG = 200
 NEVER = float("-inf")
@@ -66,7 +67,7 @@ class Encoder:
         self.stable: dict[tuple[str, str], bool] = {}
         #: pieces of two characters or more that the merges can make at all
         self.histories: dict[str, tuple[tuple, tuple, tuple]] = {}
-        self.made = {p for p in self.ids if len(p) > 1 and (unigram or self.history(p)[1][-1] == p)}
+        self.made = {p: p for p in self.ids if len(p) > 1 and (unigram or self.history(p)[1][-1] == p)}  # one object of each, which the tables share
         #: by the last three characters of a text, the lengths that a piece at its end may have, the greatest first
         lengths: dict[str, set[int]] = {}
         for p in self.made:
@@ -159,8 +160,8 @@ class Encoder:
                 for k in found or (TWO if end > 1 else ()):
                     if k > end:
                         continue
-                    piece = word[end - k : end]
-                    if piece in made:
+                    piece = made.get(word[end - k : end])
+                    if piece is not None:
                         if k == end:
                             break
                         before = last[end - k]
@@ -228,7 +229,7 @@ _loaded: dict[tuple[int, bool], Encoder] = {}
 
 
 def loaded(model: bytes, unigram: bool) -> Encoder:
-    """The worker's encoder. Its tables stay from task to task; the words that it has learned go with the task (see `encode`)."""
+    """The worker's encoder, which stays from task to task until another operator's task comes (`common.alone`)."""
     key = (hash(model), unigram)
     if key not in _loaded:
         _loaded.clear()
@@ -236,16 +237,17 @@ def loaded(model: bytes, unigram: bool) -> Encoder:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, model: bytes, unigram: bool = False, words: int = CACHE, pairs: int = PAIRS, rows: int = 1000, keep: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, unigram: bool = False, words: int = CACHE, pairs: int = PAIRS, rows: int = 1000) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, n_pieces (long), ids (array<int>), decoded (string), round_trip.
 
-    words, pairs and rows bound what a worker knows and takes at a time; `keep` lets it keep its words for the next task. They trade memory for
+    words, pairs and rows bound what a worker knows and takes at a time; what it knows stays for its next task of this operator. They trade memory for
     time and don't change the result. The model is read on the driver and broadcast: its size is the model file's.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, unigram))
     bound_batches(docs.sparkSession, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("pieces", _loaded.clear)
         own = loaded(*shared.value)
         own.most_words, own.most_pairs = words, pairs
         for batch in batches:
@@ -258,8 +260,6 @@ def encode(docs: DataFrame, model: bytes, unigram: bool = False, words: int = CA
             same = [d == (t or "") for d, t in zip(decoded, texts)]
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, pa.array(decoded, pa.string()), pa.array(same)], ["doc_id", "n_pieces", "ids", "decoded", "round_trip"])
-        if not keep:  # the worker may serve another operator next
-            own.known.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, decoded string, round_trip boolean")
+    return docs.select("doc_id", F.col("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_pieces long, ids array<int>, decoded string, round_trip boolean")

@@ -7,7 +7,7 @@ more is pruned with all below it. The traversal starts on the driver over a trie
 fingerprints (its size is bounded by counts of prefixes), and each surviving pair of cut-off nodes goes on in a task of
 its own. A task emits a spanning forest of its links, and the forests' components are found by contraction.
 
-Edge cases: a null text and one without words have fingerprint 0, which links like any other. Fewer than three words
+Edge cases: very long texts are hashed whole, some shingles at a time; a null text and one without words have fingerprint 0, which links like any other. Fewer words than a shingle has
 are one shingle. component_id is the least non-null doc_id of the component, null if it has none. Rows that repeat
 are linked. An empty table gives an empty result. Other columns are ignored.
 """
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, components, durable, labels
+from tessera.llm.common import alone, bound_batches, components, durable, labels, tidy
 
 SHINGLE = 3
 #: Node pairs that a task holds at a time.
@@ -49,19 +49,20 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, fp, carry_0, ..): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, carry: Sequence[str] = (), words: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, carry_0, ..): fp is the fingerprint, of shingles of `words` words, as a signed long."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("simhash")
         for batch in batches:
-            found = np.array([fingerprint(text) for text in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(text.as_py(), words) for text in batch.column(1)], dtype=np.uint64).view(np.int64)
             kept = batch.columns[2:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *kept], ["doc_id", "fp", *(f"carry_{i}" for i in range(len(kept)))])
 
     rows = docs.select("doc_id", "text", *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
     more = [f"carry_{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[2:])]
-    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *more]))
+    return rows.mapInArrow(tidy(run), ", ".join(["doc_id long, fp long", *more]))
 
 
 class Node:
@@ -243,10 +244,10 @@ def trie_links(fps: DataFrame, budget: int = 2, most: int | None = None) -> Data
     return fps.select("fp").mapInArrow(deal, "pair long, side byte, fp long").groupBy("pair").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 2, carry: Sequence[str] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 2, carry: Sequence[str] = (), words: int = SHINGLE) -> DataFrame:
     """A row for each row of `docs` (doc_id long, text): doc_id, fp (signed long), component_id, root (a fingerprint of the component), and the
     columns in `carry` as carry_0, carry_1, .."""
-    rows = durable(fingerprints(docs, carry))
+    rows = durable(fingerprints(docs, carry, words))
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(trie_links(distinct, budget))
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

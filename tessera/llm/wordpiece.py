@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches
+from tessera.llm.common import alone, bound_batches, tidy
 
 CACHE = 300_000
 LONG = 64
@@ -91,6 +91,7 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("wordpiece")
         count, known = shared.value.count, {}
         for batch in batches:
             out = []
@@ -108,4 +109,4 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(sums[:, i]) for i in range(3))], ["doc_id", "n_words", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_bytes long, n_tokens long")
+    return docs.select("doc_id", F.col("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_bytes long, n_tokens long")

@@ -93,6 +93,19 @@ def test_a_rule_that_the_index_prunes_finds_the_same(spark):
     assert got[1] == "forge:3:43" and got[2] == "" and got[3] == "" and "forge:0:44" in got[None]
 
 
+def test_a_text_of_many_matches(spark):
+    text = " ".join(f"token={'k' * (6 + i % 5)}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "f" * 30 + " é " + "e" * 40)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.secret_scan(df)).collect()}
+    assert got[1].n_assign == 100_000 and got[1].spans == spans(text) and got[2].spans == "hex:0:30,hex:33:73"
+
+
+def test_postings_overlap(spark):
+    df = spark.createDataFrame([(1, "xABCDe-b]"), (2, "ab"), (3, None), (None, "abc")], "doc_id long, text string")
+    rows = secret_scan.posting_rows(df, ["abc", "bcd", "-b]", "zzz", "cde"]).collect()
+    assert {tuple(r) for r in rows} == {(1, "abc"), (1, "bcd"), (1, "cde"), (1, "-b]")}
+
+
 # --- sharding --------------------------------------------------------------------------------------------------------------------
 
 
@@ -126,6 +139,85 @@ def test_shards(law, spark, sf_dir):
     assert [r.curve for r in order] == sorted(r.curve for r in rows)
 
 
+def curve_by_hand(cell, bits):
+    """Place of a cell on the curve, by going down its orthants: each holds the curve again, turned by an entry corner and a direction (Hamilton's rules)."""
+    dims = len(cell)
+    turn = lambda x, k: ((x >> k) | (x << (dims - k))) & ((1 << dims) - 1) if k else x
+    gray = lambda x: x ^ (x >> 1)
+    place = entry = direction = 0
+    for level in range(bits - 1, -1, -1):
+        corner = sum((c >> level & 1) << d for d, c in enumerate(cell))
+        corner = turn(corner ^ entry, (direction + 1) % dims)
+        w = corner
+        for shift in range(1, dims):
+            w ^= corner >> shift
+        start = 0 if w == 0 else gray(2 * ((w - 1) // 2))
+        entry ^= turn(start, dims - (direction + 1) % dims)
+        ones = lambda x: (~x & (x + 1)).bit_length() - 1  # noqa: E731  trailing ones
+        direction = (direction + (0 if w == 0 else ones(w - 1) if w % 2 == 0 else ones(w)) % dims + 1) % dims
+        place = place << dims | w
+    return place
+
+
+def test_a_curve_by_hand_is_one_too():
+    for dims, bits in ((2, 3), (3, 2)):
+        cells = sorted(itertools.product(range(1 << bits), repeat=dims), key=lambda c: curve_by_hand(c, bits))
+        assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in itertools.pairwise(cells))
+        own = hilbert_shards.hilbert_index(np.array(cells), bits)
+        # both go through an orthant of any size as a whole, whichever way they turn in it
+        for level in range(1, bits):
+            runs = lambda order: [len(list(g)) for _, g in itertools.groupby(tuple(x >> level for x in c) for c in order)]
+            assert set(runs(cells)) == set(runs([cells[i] for i in np.argsort(own)])) == {1 << dims * level}
+
+
+def test_shards_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (-5, "", "en", None, 0)], docs.schema))
+    rows = docs.selectExpr("*", "xxhash64(doc_id, crc32(cast(coalesce(text, '') as binary))) as mix").collect()
+    size = lambda r: len((r.text or "").encode()) + 1
+
+    def ranks(values):
+        """A text's place among all, as one of 15 equal parts; 0 for null."""
+        known = sorted(v for v in values if v is not None)
+        return {v: 1 + known.index(v) * 15 // len(known) for v in known} | {None: 0}
+
+    cuts = lambda values: [sorted(values)[max(0, -(-len(values) * i // 16) - 1)] for i in range(1, 16)]
+    source, lang = ranks([r.source for r in rows]), ranks([r.lang for r in rows])
+    ids, sizes = cuts([r.doc_id for r in rows if r.doc_id is not None]), cuts([size(r) for r in rows])
+    where = lambda cuts, x: sum(c <= x for c in cuts)
+    cell = [(source[r.source], lang[r.lang], where(ids, -(2**63) if r.doc_id is None else r.doc_id), where(sizes, size(r))) for r in rows]
+    curve = hilbert_shards.hilbert_index(np.array(cell), 4).tolist()
+    crc = [zlib.crc32((r.text or "").encode()) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], crc[i], rows[i].mix, -(2**63) if rows[i].doc_id is None else rows[i].doc_id))
+    n = len(rows)
+    want = {}
+    for at, i in enumerate(order):
+        shard = at * 8 // n
+        want[rows[i].doc_id] = (shard, at - -(-shard * n // 8), curve[i])
+    assert {r.doc_id: (r.shard, r.slot, r.curve) for r in hilbert_shards.hilbert_shards(docs, 8).collect()} == want
+
+
+def test_range_filters_read_few_shards(spark):
+    """Shards whose minima and maxima a range filter can't rule out, for a filter on each dimension: by the curve, and by one column's order."""
+    pick = random.Random(16)
+    data = [(i, "w" * pick.randint(1, 4000), f"l{pick.randint(0, 9):02d}", f"s{pick.randint(0, 39):02d}", 0) for i in range(6000)]
+    rows = hilbert_shards.hilbert_shards(spark.createDataFrame(data, DOCS), 64).collect()
+    place = {r.doc_id: r.shard for r in rows}
+    by_id = {d[0]: n * 64 // len(data) for n, d in enumerate(data)}
+    columns = [lambda d: d[0], lambda d: len(d[1]), lambda d: d[2], lambda d: d[3]]
+
+    def read(shards, of):
+        values = sorted(map(of, data))
+        low, high = values[len(values) // 10], values[len(values) // 5]
+        held = defaultdict(list)
+        for d in data:
+            held[shards[d[0]]].append(of(d))
+        return sum(min(v) <= high and max(v) >= low for v in held.values())
+
+    curve, single = [read(place, of) for of in columns], [read(by_id, of) for of in columns]
+    assert single[1:] == [64, 64, 64] and max(curve) <= 48 and sum(curve) < 0.75 * sum(single)
+
+
 def test_running_sums(spark):
     pick = random.Random(1)
     data = [(i, pick.randint(0, 5)) for i in range(500)]
@@ -161,6 +253,59 @@ def test_a_language_with_few_documents_keeps_its_words(spark):
     assert [model.predict(" ".join(x[:50]))[0] for x in (common_, twice, once)] == ["en", "xx", "yy"]
 
 
+def test_letters_of_any_script():
+    model = langid.Model(["en", "hi"], [("en", "w", "the", 10), ("hi", "w", "हिन्दी", 10), ("en", "1", "t", 3)])
+    assert all(model.predict(x) == ("und", 0.0) for x in ("½ ²", "①", "Ⅷ", "12 34", "\u0301", ""))
+    assert langid.words_of("हिन्दी x\u0301y Don't") == ["हिन्दी", "x\u0301y", "don", "t"] and model.predict("हिन्दी")[0] == "hi"
+
+
+def score_plainly(rows, text):
+    """The model of all `rows` (text, lang), word by word and n-gram by n-gram."""
+    langs = sorted({lang for _, lang in rows})
+    counts = {(kind, lang): Counter() for kind in langid.KINDS for lang in langs}
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())  # noqa: E731  the texts have no marks or numerals
+    ends = lambda w, n: ["".join(x) for x in zip(*(f"^{w}$"[i:] for i in range(n)))]
+    for body, lang in rows:
+        for word in letters(body):
+            counts["w", lang][word] += 1
+            for n in range(1, 6):
+                counts[str(n), lang].update(ends(word, n))
+    for kind in langid.KINDS:  # long entries seen once in all are left out
+        whole = sum((counts[kind, lang] for lang in langs), Counter())
+        for lang in langs:
+            counts[kind, lang] = Counter({x: n for x, n in counts[kind, lang].items() if whole[x] > 1 or len(x) < 4})
+    known = {kind: set().union(*(counts[kind, lang] for lang in langs)) for kind in langid.KINDS}
+    log = lambda kind, x: np.array([np.log((counts[kind, g][x] + 0.5) / (sum(counts[kind, g].values()) + 0.5 * len(known[kind]))) for g in langs])
+    total = np.zeros(len(langs))
+    for word in letters(text):
+        if word in known["w"]:
+            total += log("w", word)
+            continue
+        for n in range(5, 0, -1):
+            if own := [x for x in ends(word, n) if x in known[str(n)]]:
+                total += np.mean([log(str(n), x) for x in own], axis=0)
+                break
+    return langs, total
+
+
+def test_language_against_a_plain_model(spark):
+    pick = random.Random(12)
+    sound = {"aa": "aeiou", "bb": "bcdfg", "cc": "klmnop"}
+    word = lambda s: "".join(pick.choice(s + "xy") for _ in range(pick.randint(1, 6)))
+    text = lambda s, n: " ".join(word(s) for _ in range(n))
+    rows = [(i, text(s, pick.randint(1, 30)), lang) for i, (lang, s) in enumerate(list(sound.items()) * 12)]
+    rows += [(100 + i, text("abklxz", pick.randint(1, 12)) + " q" * (i % 2), None) for i in range(20)] + [(200, "aei" * 400_000, None), (201, "42", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = [(t, lang) for _, t, lang in rows if lang]
+    for r in langid.identify(df, langid.fit(df)).collect():
+        body = next(t for i, t, _ in rows if i == r.doc_id)
+        if r.doc_id >= 200:
+            assert r.lang_pred == {200: "aa", 201: "und"}[r.doc_id]
+            continue
+        langs, total = score_plainly(taught, body)
+        assert r.score == pytest.approx(1 / np.exp(total - total.max()).sum()) and total[langs.index(r.lang_pred)] == pytest.approx(total.max())
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------------------
 
 
@@ -186,6 +331,24 @@ def test_fingerprints_against_brute_force(spark):
         assert r.near_next == bottom_k.resemblance(np.array(low, np.uint64), np.array(sorted(exact(following))[:128], np.uint64))
 
 
+@pytest.mark.parametrize("part", [7, 64])
+def test_sketches_of_parts(part, monkeypatch):
+    monkeypatch.setattr(bottom_k, "PART", part)
+    pick = random.Random(15)
+    for n in (0, 1, 4, 5, part - 1, part, part + 1, part + 4, 3 * part, 500):
+        text = " ".join(pick.choice("abcdefgh") * pick.choice([1, 2, 90]) for _ in range(n))
+        words = text.encode().split()
+        plain = []
+        for shingle in {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set()):
+            x = 0  # the polynomial of the words' hashes, then two rounds of mixing
+            for word in shingle:
+                x = (x * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(word)) % 2**64
+            for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                x = (x ^ x >> 33) * factor % 2**64
+            plain.append(x ^ x >> 33)
+        assert bottom_k.sketch(text).tolist() == sorted(plain)[:128]
+
+
 def test_one_document_and_null_ids(spark):
     one = bottom_k.fingerprints(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.n_chars == 11
@@ -219,10 +382,9 @@ def near(a, b):
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_lines_against_brute_force(broadcast, spark, monkeypatch):
-    if not broadcast:
-        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+@pytest.mark.parametrize("piece", [64, 16])
+def test_lines_against_brute_force(piece, spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PIECE", piece)  # pieces of more are cut again
     pick = random.Random(5)
     alphabet = "ab é😀"
     line = lambda n: "".join(pick.choice(alphabet) for _ in range(n))
@@ -248,7 +410,9 @@ def test_lines_against_brute_force(broadcast, spark, monkeypatch):
     want = sorted(((d, keep(d, t)) for d, t in docs), key=str)
     got = line_dedup.line_dedup(df).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == want and len(late) > 20
-    assert all(r.n_kept == (0 if r.text is None else r.n_kept) for r in got)
+    lines_of = lambda t: 0 if t is None else len(t.split("\n"))
+    counts = Counter((d, lines_of(t), lines_of(t) - sum((2**63 if d is None else d, t, i) in gone for i in range(lines_of(t)))) for d, t in docs)
+    assert Counter((r.doc_id, r.n_lines, r.n_kept) for r in got) == counts
 
 
 def test_two_long_lines_that_differ_in_one_place(spark):
@@ -258,6 +422,29 @@ def test_two_long_lines_that_differ_in_one_place(spark):
     assert got == {1: 1, 2: 0, 3: 0, 4: 1}
 
 
+def test_very_long_lines(spark):
+    pick = random.Random(13)
+    body = "".join(map(chr, pick.choices(range(97, 123), k=1_000_000)))
+    docs = [(1, body), (2, body[:700_001] + "#" + body[700_002:]), (3, body[:123_456] + body[123_457:]), (4, body[:5] + "##" + body[7:])]
+    got = {r.doc_id: r.n_kept for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_columns_named_as_the_counts_stay(spark):
+    df = spark.createDataFrame([(1, "one\ntwo", 7, "x"), (2, "one", 8, "y")], "doc_id long, text string, n_lines int, n_kept string")
+    found = line_dedup.line_dedup(df)
+    assert found.columns == df.columns and sorted(map(tuple, found.collect())) == [(1, "one\ntwo", 7, "x"), (2, "", 8, "y")]
+
+
+def test_bitmaps_lose_no_key(spark, monkeypatch):
+    keys, rows = spark.range(0, 30_000, 3), spark.range(30_000)
+    kept = {r.id for r in common.may_hold(rows, keys, ["id"]).collect()}
+    assert set(range(0, 30_000, 3)) <= kept and len(kept) < 13_000
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 15)
+    assert set(range(0, 30_000, 3)) <= {r.id for r in common.may_hold(rows, keys, ["id"]).collect()}
+    assert common.may_hold(rows, keys.limit(0), ["id"]).count() == 0
+
+
 # --- embeddings ------------------------------------------------------------------------------------------------------------------
 
 
@@ -313,13 +500,30 @@ def test_odd_vectors(spark):
 
 
 def test_blocks_of_a_hot_cell(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    for name, n in (("MEMBERS", 16), ("VISITORS", 32), ("SLICE", 8)):
+        monkeypatch.setattr(embeddings, name, n)
     pick = np.random.default_rng(3)
     x = np.tile(pick.normal(size=8), (200, 1)) + 0.01 * pick.normal(size=(200, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert {(r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()} == {(199, 0)}
 
 
+def test_multi_sequence_order():
+    pick = np.random.default_rng(5)
+    m1, m2 = np.abs(pick.normal(size=(20, 7))), np.abs(pick.normal(size=(20, 5)))
+    for q, cells in enumerate(embeddings.visits(m1, m2, 0.9)):
+        sums = {i * 5 + j: m1[q, i] + m2[q, j] for i in range(7) for j in range(5)}
+        assert set(cells) == {c for c, x in sums.items() if x <= 0.9} and len(cells) == len(set(cells))
+        assert [sums[c] for c in cells] == sorted(sums[c] for c in cells)
+    assert embeddings.visits(m1[:1] + 9, m2[:1], 0.9) == [[]]
+
+
+def test_vectors_with_clashing_columns(spark):
+    names = ["id", "times", "dim", "cell", "n", "to", "root", "h1", "h2", "n_links", "component_id", "kept", "node"]
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, -1.0])], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in names})
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
 # --- SimHash ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -419,6 +623,81 @@ def test_mix(spark, sf_dir):
     assert Counter((r.doc_id, r.taken, tuple(r.shards)) for r in rows) == Counter((r.doc_id, r.taken, tuple(r.shards)) for r in again)
 
 
+def test_mix_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUPS", 2)
+    pick = random.Random(14)
+    data = [(i, pick.choice(["a", "b", "b", "b", "c", "é", None]), " ".join("w" * pick.randint(0, 40))) for i in range(600)]
+    data += [(1000, "b", "x y z")] * 40 + [(1001, "d", None), (1002, "d", ""), (1003, "e", "one " * 7)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    rows = mixing.mix(df.repartition(3), block_docs=20, carry=["source"]).collect()
+    hashes = {(r.doc_id, r.text): r.h for r in df.selectExpr("doc_id", "text", "xxhash64(0, doc_id, text) as h").collect()}
+    words = lambda t: len((t or "").split())
+    by = defaultdict(list)
+    for d, source, t in data:
+        by[source].append((hashes[d, t], words(t), d))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    size = {s: sum(w for _, w, _ in by[s]) for s in names}
+    low, high = 0.0, 1e6  # the water level by bisection
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(level * weight[s], 2 * size[s]) for s in names) < 1.5 * sum(size.values()) else (low, level)
+    for s in names:
+        target = min(high * weight[s], 2 * size[s])
+        own = sorted((x for x in by[s] if x[1]), key=lambda x: x[0])
+        blocks = max(1, -(-len(own) // 20))
+        passes = int((target + 1e-6) // size[s]) if size[s] else 0
+        left = target - passes * size[s]
+        want: Counter = Counter()
+        for b in range(blocks):
+            some = [x for x in own if x[0] % blocks == b]
+            if sum(w for _, w, _ in some) <= left + 1e-6:
+                want.update(x[2] for x in some)
+                left -= sum(w for _, w, _ in some)
+                continue
+            for h, w, d in sorted(some, key=lambda x: (-x[1], x[0])):
+                if w <= left + 1e-6:
+                    want[d] += 1
+                    left -= w
+            rest = sorted(w for d, w in Counter({}).items()) or [w for _, w, d in some if want[d] < sum(x[2] == d for x in some)]
+            if rest and min(rest) - left < left - 1e-6:
+                least = [(h, d) for h, w, d in some if w == min(rest) and want[d] < sum(x[2] == d for x in some)]
+                want[max(least)[1]] += 1
+            break
+        got: Counter = Counter()
+        for r in rows:
+            if r.source == s:
+                assert r.source_size == size[s] and r.target == pytest.approx(target, abs=1e-3) and r.taken == len(r.shards) * r["size"]
+                got[r.doc_id] += len(r.shards)
+        times = Counter()
+        for _, w, d in by[s]:
+            times[d] += passes * (w > 0)
+        assert +got == +(times + want), s
+    # a drawn part (source, pass, block, part) is in one shard, and parts are cut into runs
+    for s in names:
+        n = max(1, -(-sum(1 for x in by[s] if x[1]) // 20))
+        at = defaultdict(set)
+        for r in rows:
+            if r.source == s:
+                h = next(x[0] for x in by[s] if x[2] == r.doc_id)
+                for p, shard in enumerate(r.shards):
+                    at[(p * n + h % n) * 16 + (h >> 32) % 16].add(shard)
+        assert all(len(x) == 1 for x in at.values())
+        runs = [min(at[k]) for k in sorted(at)]
+        assert runs == sorted(runs)
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1000)
+    df = spark.range(110_000).selectExpr("id as doc_id", "case when id < 10000 then 'hot' else concat('s', id) end as source", "repeat('w ', cast(1 + id % 9 as int)) as text")
+    rows = mixing.mix(df, carry=["source"]).toPandas()
+    hot = rows[rows["source"] == "hot"]
+    assert len(rows) == 110_000 and (rows["taken"] <= 2 * rows["size"]).all() and rows["source_size"].sum() == hot["size"].sum() * 10_000 + rows["size"].sum() - hot["size"].sum()
+    assert hot["taken"].sum() == pytest.approx(hot["target"].iloc[0], abs=2)
+    whole = rows["size"].sum()
+    assert rows.groupby("source")["target"].first().sum() == pytest.approx(1.5 * whole)
+
+
 # --- tokens ----------------------------------------------------------------------------------------------------------------------
 
 

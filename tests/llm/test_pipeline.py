@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import common, simhash
@@ -35,7 +36,7 @@ def test_stages(small, spark):
     assert max(Counter(found).values()) == 1 and all(r.n_chars == len(r.text) for r in lines.collect())
     one = stages["SimHash near-dedup"](spark, lines, small).cache()
     rows = sorted(lines.collect(), key=lambda r: r.doc_id)
-    prints = np.array([simhash.fingerprint(r.text) for r in rows], dtype=np.uint64)
+    prints = np.array([simhash.fingerprint(r.text, 5) for r in rows], dtype=np.uint64)
     i, j = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2, 1))
     lab = common.labels(len(rows), i, j)
     want = {rows[n].doc_id for n in set(lab)}
@@ -67,3 +68,37 @@ def test_stages_on_odd_and_empty_tables(number, spark, tmp_path):
     rows = stage(spark, df, str(tmp_path)).collect()
     assert rows and len(rows) <= 2 * len(odd)
     assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_keep_columns_that_clash(number, spark, tmp_path):
+    """Columns named as the operators' own: those before the last keep them with their values."""
+    extra = ["lang_pred", "score", "carry_0", "n_lines", "n_kept", "fp", "root", "component_id", "size", "block", "shards", "order", "target", "taken", "ids", "n_pieces", "mark_", "part_", "h1", "line"]
+    odd = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (None, "the cat and the dog", "en", None, 19), (5, "die katze und der hund", "de", "b", 22), (7, "the cat and the dog\nand more", None, "c", None)]
+    df = spark.createDataFrame(odd, DOCS)
+    for c in extra:
+        df = df.withColumn(c, F.concat(F.lit(f"{c}-"), F.coalesce("doc_id", F.lit(0))))
+    name, stage = corpus_pipeline.STAGES[number]
+    found = stage(spark, df, str(tmp_path))
+    rows = found.collect()
+    assert rows
+    if number < 4:
+        assert found.columns == df.columns and all(r[c] == f"{c}-{r.doc_id or 0}" for r in rows for c in extra), name
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixed_rows_against_the_operator(small, spark):
+    """A row as many times as the operator takes it, rows that repeat counted together."""
+    from tessera.llm import mixing
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(5))
+    want: Counter = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += len(r.shards)
+    got = Counter(r.doc_id for r in dict(corpus_pipeline.STAGES)["mixing to target weights"](spark, docs, small).collect())
+    assert got == +want
