@@ -75,6 +75,24 @@ class NumberedTranslator:
         return [x.strip() for x in found] if len(found) == len(items) else [self.engine(x) for x in items]
 
 
+class Batched:
+    """A model that takes `items` items and `size` characters at a time at most; an item longer than that goes alone."""
+
+    def __init__(self, model: Callable[[list], list], items: int = 50, size: int = 5000):
+        self.model, self.items, self.size = model, items, size
+
+    def __call__(self, items: list) -> list:
+        out, part, used = [], [], 0
+        for x in items:
+            n = len(x) if isinstance(x, str) else 0
+            if part and (len(part) == self.items or used + n > self.size):
+                out += self.model(part)
+                part, used = [], 0
+            part.append(x)
+            used += n
+        return out + (self.model(part) if part else [])
+
+
 def first_available(engines: Sequence[tuple[str, Callable[[], bool]]]) -> str | None:
     """The first engine, in order of preference, that is available."""
     return next((name for name, there in engines if there()), None)

@@ -6,6 +6,7 @@ aggregations over tokens that combine before the shuffle; windows over tokens st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -244,6 +245,20 @@ def document_terms(rows: DataFrame, top: int = 500, least_tokens: int = 5, docum
     return kept.join(sizes, document, "left_semi")
 
 
+def tf_idf_vectors(rows: DataFrame, top: int = 500, least_tokens: int = 5, document: str = "doc_id") -> DataFrame:
+    """(document, vector array<double>): TF-IDF over the `top` lemmas in the order of their names, smooth idf, L2 norm. Documents without any of them
+    are left out."""
+    counts = document_terms(rows, top, least_tokens, document)
+    total = counts.agg(F.countDistinct(document)).first()[0]
+    idf = {r["lemma"]: math.log((1 + total) / (1 + r["df"])) + 1 for r in counts.groupBy("lemma").agg(F.count("*").alias("df")).collect()}  # at most `top` rows
+    names = sorted(idf)
+    own = counts.groupBy(document).agg(F.map_from_entries(F.collect_list(F.struct("lemma", F.col("n").cast("double")))).alias("own"))
+    pairs = F.array(*(F.struct(F.lit(x).alias("lemma"), F.lit(idf[x]).alias("idf")) for x in names)) if names else F.array().cast("array<struct<lemma:string,idf:double>>")
+    raw = own.select(document, F.transform(pairs, lambda x: F.coalesce(F.try_element_at("own", x["lemma"]), F.lit(0.0)) * x["idf"]).alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
+    return raw.withColumn("norm", norm).where("norm > 0").select(document, F.transform("raw", lambda x: x / F.col("norm")).alias("vector"))
+
+
 def documents_as_lists(rows: DataFrame, document: str = "doc_id") -> DataFrame:
     """Each document's lemmas in order."""
     t = F.array_sort(F.collect_list(F.struct("pos", "lemma")))

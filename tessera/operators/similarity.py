@@ -8,6 +8,7 @@ of blocks, and no task holds more than two blocks.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+SLICE = 1024
 
 
 def bits_of(hexadecimal: Column) -> Column:
@@ -109,13 +111,15 @@ def mean_distance(rows: DataFrame, by: Sequence[str], order: str, value: str, le
 
 def hamming_pairs(rows: DataFrame, key: str, value: str, most: int = 3) -> DataFrame:
     """J14 with a bound: (a, b, n_a, n_b, d): classes of rows with an equal hash, named by their least key, with their numbers of rows, for each pair of
-    classes at most `most` bits apart, and each class of more than one row with itself. Rows of a class aren't paired one by one. Of most + 1
-    bands of the 64 bits one is equal in such a pair, so equi-joins on bands find them."""
-    n = most + 1
+    classes at most `most` bits apart, and each class of more than one row with itself. Rows of a class aren't paired one by one. Of most + 3
+    bands of the 64 bits three are equal in such a pair, so equi-joins on any three bands (of half the bits, for three) find them."""
+    n = most + 3
     edges = [64 * i // n for i in range(n + 1)]
-    band = lambda i: F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.shiftleft(value, 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]).alias("bits"))
+    masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in some) for some in combinations(range(n), 3)]
+    signed = lambda x: x - (x >> 63 << 64)
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.col(value).bitwiseAND(F.lit(signed(mask)).cast("long")).alias("bits")) for i, mask in enumerate(masks)))
     classes = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(key).alias("id"), F.count("*").alias("n"))
-    banded = classes.select(F.struct(F.col(value).alias("h"), "id", "n").alias("c"), F.explode(F.array(*map(band, range(n)))).alias("band"))
+    banded = classes.select(F.struct(F.col(value).alias("h"), "id", "n").alias("c"), F.explode(bands).alias("band"))
     left, right = banded.withColumnRenamed("c", "x"), banded.withColumnRenamed("c", "y")
     met = left.join(right, "band").where(F.col("x.h") < F.col("y.h")).where(hamming(F.col("x.h"), F.col("y.h")) <= most).select("x", "y").distinct()
     own = classes.where("n > 1").select(F.struct(F.col(value).alias("h"), "id", "n").alias("x")).withColumn("y", F.col("x"))
@@ -185,21 +189,33 @@ def epsilon_components(rows: DataFrame, by: str, key: str, vector: str, eps: flo
         ids = table.column(key).to_numpy()
         order = np.argsort(ids, kind="stable")
         x = np.array(table.column(vector).to_pylist(), dtype=np.float64)[order]
-        near = _cosine_distances(pa.chunked_array([pa.array(list(x))]), pa.chunked_array([pa.array(list(x))])) <= eps
-        label = np.full(len(ids), -1)
-        for start in range(len(ids)):
-            if label[start] < 0:
-                label[start], todo = label.max() + 1, [start]
-                while todo:
-                    for j in np.flatnonzero(near[todo.pop()] & (label < 0)):
-                        label[j] = label[start]
-                        todo.append(j)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+        least = np.arange(len(ids))  # the first member that each is known to be joined with
+        for begin in range(0, len(ids), SLICE):  # some rows at a time: no square matrix
+            i, j = np.nonzero(1 - x[begin : begin + SLICE] @ x.T <= eps)
+            least = _joined(least, i + begin, j)
+        label = np.unique(least, return_inverse=True)[1]
         return pa.table({by: table.column(by), key: ids[order], "cluster_id": label.astype(np.int32)})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.groupBy(by).applyInArrow(task, f"{by} {kinds[by]}, {key} {kinds[key]}, cluster_id int")
 
 
+def _joined(least: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first members of the components `least` after joining those of i and j."""
+    while True:
+        a, b = least[i], least[j]
+        new, low = least.copy(), np.minimum(a, b)
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, least):
+            return least
+        least = new
+
+
 def equal_contents(rows: DataFrame, key: str, content: str) -> DataFrame:
     """MD5 groups with more than one row: (md5, n, first key)."""
     return rows.groupBy(F.md5(F.col(content).cast("binary")).alias("md5")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")

@@ -24,16 +24,19 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, points: dict
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_"))
     summed = running_sum(counts, [*by, value], "n_", "upto_")
     bounds = summed.groupBy(*by).agg(F.min(F.col("upto_") - F.col("n_")).alias("base_"), F.max("upto_").alias("last_"))
-    placed = summed.join(bounds.select(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by)), "base_", "last_"), [F.col(c).eqNullSafe(F.col(f"by_{i}")) for i, c in enumerate(by)])
+    placed = summed.crossJoin(F.broadcast(bounds)) if not by else summed.join(bounds.select(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by)), "base_", "last_"), [F.col(c).eqNullSafe(F.col(f"by_{i}")) for i, c in enumerate(by)])
     upto, n = F.col("upto_") - F.col("base_"), F.col("last_") - F.col("base_")
     at = {name: (n - 1) * F.lit(q) for name, q in points.items()}
     ends = [F.min(F.when(upto > f(at[name]), F.col(value).cast("double"))).alias(f"{end}_{name}") for name in points for end, f in (("low", F.floor), ("high", F.ceil))]
     found = placed.groupBy(*by).agg(F.max(n).alias("size_"), *ends)
     part = {name: (F.col("size_") - 1) * F.lit(q) - F.floor((F.col("size_") - 1) * F.lit(q)) for name, q in points.items()}
     between = {name: F.col(f"low_{name}") + part[name] * (F.col(f"high_{name}") - F.col(f"low_{name}")) for name in points}
+    shown = [(F.round(x, decimals) if decimals is not None else x).alias(name) for name, x in between.items()]
+    if not by:
+        return found.select(*shown)
     every = rows.select(*by).distinct()
     met = every.select(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by))).join(found, [F.col(f"by_{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)], "left")
-    return met.select(*(F.col(f"by_{i}").alias(c) for i, c in enumerate(by)), *((F.round(x, decimals) if decimals is not None else x).alias(name) for name, x in between.items()))
+    return met.select(*(F.col(f"by_{i}").alias(c) for i, c in enumerate(by)), *shown)
 
 
 def rate(flag: Column) -> Column:
@@ -78,7 +81,7 @@ def trend(before: Column, after: Column, step: int = 5) -> Column:
 
 def winsorise(rows: DataFrame, value: str, q: float) -> DataFrame:
     """Values above the q-quantile are set to it."""
-    cap = rows.agg(F.percentile(value, F.lit(q)).alias("cap_"))
+    cap = exact_quantiles(rows, [], value, {"cap_": q})  # one row
     return rows.crossJoin(F.broadcast(cap)).withColumn(value, F.least(value, "cap_")).drop("cap_")
 
 

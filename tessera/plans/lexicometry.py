@@ -277,11 +277,26 @@ def _(spark, d):
     return correspondence_analysis(correspondence_table(_tokens(spark, d), "lang"), "lang")
 
 
+def _clusters(spark, d):
+    from tessera.operators.factors import ward_clusters
+
+    vectors = lexical.tf_idf_vectors(_tokens(spark, d), 200)
+    return ward_clusters(vectors, "doc_id", "vector", 3).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+
+
 @query("L13_ward")
 def _(spark, d):
-    from tessera.operators.factors import ward_clusters
+    """Documents' clusters; migrants are not in the commonest cluster of their language."""
+    found = _clusters(spark, d)
+    home = summaries.modal(found, ["lang"], "cluster", "home")
+    return found.join(F.broadcast(home.select("lang", "home")), "lang", "left").select("doc_id", "lang", "cluster", (F.col("cluster") != F.col("home")).alias("migrant"))
+
 
-    return ward_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 3)
+@query("L13_clusters_by_phase")
+def _(spark, d):
+    from tessera.operators.statistics import chi_square, contingency
+
+    return chi_square(contingency(_clusters(spark, d), "cluster", "lang"))
 
 
 @query("L11_topics")
@@ -293,6 +308,15 @@ def _(spark, d):
     return topics.top_words(topics.fit(rows, 4, rounds=10), names.vocabulary)
 
 
+@query("L11_choose")
+def _(spark, d):
+    """Coherence and perplexity for each number of topics from 3 to 10, and which is taken."""
+    from tessera.operators import topics
+
+    best, found = topics.choose(lexical.documents_as_lists(_tokens(spark, d)), rounds=4) or (None, [])
+    return spark.createDataFrame([(k, round(c, 6), round(p, 6), k == best) for k, c, p in found], "k int, coherence double, log_perplexity double, taken boolean")
+
+
 @query("L15_toponyms", "with n as (select doc_id, lang, unnest(regexp_extract_all(text, '[A-ZÀ-Þ][a-zà-ÿ]{6,}')) as e from documents), l as (select lower(e) as entity, lang from n) select entity, count(*) filter (where lang = 'en') as en, count(*) filter (where lang = 'fr') as fr, count(*) filter (where lang in ('en', 'fr')) as total from l group by 1 having total >= 5")
 def _(spark, d):
     from tessera.functions.text import entity_name

@@ -530,7 +530,8 @@ def _(spark, d):
 @query("Q02_median_by_month", f"with c as (select cast(date_trunc('month', o_orderdate) as date) as m, round(median(o_totalprice), 4) as med from orders where o_orderstatus = 'P' group by 1), {_MONTHS} select months.m as month, med from months left join c on c.m = months.m")
 def _(spark, d):
     o = table(spark, d, "orders").where("o_orderstatus = 'P'")
-    return periods.complete(o.groupBy(periods.start_of(F.col("o_orderdate"), "month").alias("month")).agg(F.round(F.median("o_totalprice"), 4).alias("med")), "month")
+    rows = o.select(periods.start_of(F.col("o_orderdate"), "month").alias("month"), "o_totalprice")
+    return periods.complete(summaries.exact_quantiles(rows, ["month"], "o_totalprice", {"med": 0.5}, decimals=4), "month")
 
 
 @query("Q03_overlay", "with a as (select cast(date_trunc('month', o_orderdate) as date) as month, count(*) as n from orders group by 1), b as (select cast(date_trunc('month', o_orderdate) as date) as month, avg(o_totalprice) as mean from orders where o_orderstatus = 'F' group by 1), j as (select coalesce(a.month, b.month) as month, n, mean from a full join b on a.month = b.month) select month, 'n' as series, round(100.0 * (n - min(n) over ()) / (max(n) over () - min(n) over ()), 4) as index from j union all select month, 'mean', round(100.0 * (mean - min(mean) over ()) / (max(mean) over () - min(mean) over ()), 4) from j")
@@ -573,7 +574,7 @@ def _(spark, d):
 @query("Q22_caption_length", "select role, round(quantile_cont(length(text), .25), 6) as p25, round(quantile_cont(length(text), .5), 6) as p50, round(quantile_cont(length(text), .75), 6) as p75 from conversations where trim(text) <> '' group by 1")
 def _(spark, d):
     c = table(spark, d, "conversations").where(cleaning.blank_to_null(F.col("text")).isNotNull()).withColumn("n", F.char_length("text"))
-    return c.groupBy("role").agg(*summaries.quantiles("n"))
+    return summaries.exact_quantiles(c, ["role"], "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, decimals=6)
 
 
 @query("Q28_views_by_week", "select cast(date_trunc('week', ts) as date) as week, round(sum(value), 4) as total, round(sum(value) / count(*), 7) as mean, count(*) as n from events where event_type = 'view' and value is not null group by 1")

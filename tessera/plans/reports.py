@@ -65,6 +65,40 @@ def _(spark, d):
     return summaries.share(o, "n", ["quarter"])
 
 
+@query("Q05_media_mix_by_week", "with k as (select cast(unnest(generate_series((select date_trunc('week', min(ts)) from events), (select date_trunc('week', max(ts)) from events), interval 7 day)) as date) as week), lv as (select distinct event_type from events union select 'poll'), c as (select cast(date_trunc('week', ts) as date) as week, event_type, count(*) as n from events group by 1, 2) select k.week, lv.event_type, coalesce(n, 0) as n from k cross join lv left join c on c.week = k.week and c.event_type = lv.event_type")
+def _(spark, d):
+    e = table(spark, d, "events")
+    week = periods.start_of(F.col("ts"), "week")
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # declared categories, here read from the table
+    counts = e.groupBy(week.alias("week"), "event_type").agg(F.count("*").alias("n"))
+    ends = e.select(F.min(week).alias("a"), F.max(week).alias("b"))
+    weeks = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 7 day"))).alias("week"))
+    return periods.complete(counts, "week", fill={"n": 0}, levels={"event_type": [*kinds, "poll"]}, skeleton=weeks)
+
+
+@query("Q11_horizontal_by_day", f"select cast(ts as date) as day, count(*) as n, round(100.0 * avg(case when event_id % 3 = 0 then 1.0 else 0.0 end), 4) as pct from events where {EVENT_PHASE_SQL} in ('P1', 'P2') group by 1")
+def _(spark, d):
+    i = F.col("event_id") % 3
+    shape = cleaning.orientation(F.when(i == 0, 2).otherwise(1), F.when(i == 1, 2).otherwise(1))
+    e = _events(spark, d).where("phase in ('P1', 'P2')").groupBy(F.col("ts").cast("date").alias("day"))
+    return e.agg(F.count("*").alias("n"), F.round(summaries.rate(shape == "horizontal"), 4).alias("pct"))
+
+
+@query("Q20_heatmap_by_year", "with t as (select ts + interval 1 hour as t from events), h as (select year(t) as year, isodow(t) as dow, hour(t) as hour, cast(count(*) as double) as n from t group by 1, 2, 3), q as (select year, quantile_cont(n, .98) as cap from h group by 1) select h.year, dow, hour, round(least(n, cap), 6) as n from h join q on q.year = h.year")
+def _(spark, d):
+    t = periods.local(F.col("ts"), "Europe/Paris")  # January: one hour ahead of UTC
+    part = lambda x: x.cast("long")
+    counts = table(spark, d, "events").groupBy(part(F.year(t)).alias("year"), part(F.weekday(t) + 1).alias("dow"), part(F.hour(t)).alias("hour")).agg(F.count("*").cast("double").alias("n"))
+    caps = summaries.exact_quantiles(counts, ["year"], "n", {"cap": 0.98})
+    return counts.join(caps, "year").select("year", "dow", "hour", F.round(F.least("n", "cap"), 6).alias("n"))
+
+
+@query("Q23_text_length_by_month", "select doc_id % 12 as month, round(quantile_cont(length(text), .25), 6) as p25, round(quantile_cont(length(text), .5), 6) as p50, round(quantile_cont(length(text), .75), 6) as p75 from documents where trim(text) <> '' group by 1")
+def _(spark, d):
+    rows = table(spark, d, "documents").where(cleaning.blank_to_null(F.col("text")).isNotNull()).select((F.col("doc_id") % 12).alias("month"), F.char_length("text").alias("n"))
+    return summaries.exact_quantiles(rows, ["month"], "n", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, decimals=6)
+
+
 #: The first month of the planted break.
 BREAK = date(1998, 3, 1)
 

@@ -156,3 +156,22 @@ def test_document_store(spark, tmp_path):
     files.save_documents(spark.createDataFrame([(1500, "new")], "k long, body string"), path, "k")
     found = files.load_documents(spark, path, "k", "k long, body string", [1, 1500, 1501])
     assert sorted((r.k, r.body) for r in found.collect()) == [(1, "a"), (1500, "new"), (1501, "c")]
+
+
+def test_table_functions(spark):
+    from tessera.functions import tables
+
+    tables.register(spark)
+    spark.createDataFrame([(1, "Don't stop"), (2, None), (3, "")], "k int, body string").createOrReplaceTempView("texts")
+    rows = spark.sql("select k, pos, token, lemma from texts, lateral tokens_of(body)").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, "Don", "don"), (1, 1, "t", "t"), (1, 2, "stop", "stop")]
+    srt = "1\n00:00:01,000 --> 00:00:02,500\nOne\ntwo\n\n2\n00:00:03,000 --> 00:00:04,000\nthree"
+    found = tables.segments_of(spark.createDataFrame([(1, srt), (2, "bad")], "k int, body string"), F.col("body"), "k")
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1.0, 2.5, "One two"), (1, 2, 3.0, 4.0, "three")]
+
+
+def test_batches_of_a_model():
+    seen = []
+    model = enrich.Batched(lambda items: seen.append(list(items)) or [x.upper() for x in items], items=3, size=8)
+    assert model(["ab", "cd", "ef", "gh", "long enough", "i"]) == ["AB", "CD", "EF", "GH", "LONG ENOUGH", "I"]
+    assert seen == [["ab", "cd", "ef"], ["gh"], ["long enough"], ["i"]] and model([]) == []
