@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import media
 from tessera.functions import text as words
 from tessera.operators import classify, cleaning, lexical, periods, statistics, summaries
-from tessera.plans.registry import TOKENS_SQL, query, table
+from tessera.plans.registry import TOKENS_SQL, erfc_sql, query, table
 
 
 @query("P24_confidence_gate", "select event_id, case when coalesce(c, 0) >= .5 then event_type else '' end as strict, case when coalesce(c, 1) >= .5 then event_type else '' end as lenient from (select *, case when event_id % 3 <> 0 then value / 100 end as c from events)")
@@ -223,7 +223,7 @@ def _(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(words.length_of(F.collect_list("turn")).cast("long").alias("n"))
 
 
-@query("F18_p_values")
+@query("F18_p_values", f"with v as (select p_partkey, p_size / 5 as x from part) select p_partkey, round({erfc_sql('sqrt(x / 2)')} + sqrt(2 * x / pi()) * exp(-x / 2), 6) as p3, round({erfc_sql('x / sqrt(2)')}, 6) as pz from v")
 def _(spark, d):
     x = table(spark, d, "part").select("p_partkey", (F.col("p_size") / 5).alias("x"))
     return x.select("p_partkey", F.round(statistics.chi2_p(F.col("x"), F.lit(3)), 6).alias("p3"), F.round(statistics.normal_p(F.col("x")), 6).alias("pz"))

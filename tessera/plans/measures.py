@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as words
 from tessera.operators import factors, periods, similarity, statistics
-from tessera.plans.registry import EVENT_PHASE_SQL, EVENT_PHASES, query, table
+from tessera.plans.registry import EVENT_PHASE_SQL, EVENT_PHASES, erfc_sql, query, table
 
 
 def _events(spark, d):
@@ -56,15 +56,18 @@ def _(spark, d):
     return statistics.kruskal(_events(spark, d).withColumn("v", F.round("value")), "v", "phase")
 
 
-@query("M4_dunn", f"with {_RANKS} select a.g as a, b.g as b, round((a.r_g / a.n_g - b.r_g / b.n_g) / sqrt((cast(t.n as double) * (t.n + 1) / 12 - ties / (12.0 * (t.n - 1))) * (1 / a.n_g + 1 / b.n_g)), 4) as z from s a join s b on a.g < b.g, t")
+_DUNN = f"with {_RANKS} select a.g as a, b.g as b, round((a.r_g / a.n_g - b.r_g / b.n_g) / sqrt((cast(t.n as double) * (t.n + 1) / 12 - ties / (12.0 * (t.n - 1))) * (1 / a.n_g + 1 / b.n_g)), 4) as z from s a join s b on a.g < b.g, t"
+
+
+@query("M4_dunn", _DUNN)
 def _(spark, d):
     return statistics.dunn(_events(spark, d).withColumn("v", F.round("value")), "v", "phase")
 
 
-@query("M4_dunn_p")
+@query("M4_dunn_p", f"select a, b, z, round(p, 6) as p, round(least(1.0, min(p * m / k) over (order by k desc rows unbounded preceding)), 6) as p_adj from (select *, row_number() over (order by p) as k, count(*) over () as m from (select *, {erfc_sql('abs(z) / sqrt(2)')} as p from ({_DUNN})))")
 def _(spark, d):
     z = statistics.dunn(_events(spark, d).withColumn("v", F.round("value")), "v", "phase").withColumns({"p": statistics.normal_p("z"), "all": F.lit(1)})
-    return statistics.adjust(z, "p", ["all"]).drop("all")
+    return statistics.adjust(z, "p", ["all"]).select("a", "b", "z", *(F.round(c, 6).alias(c) for c in ("p", "p_adj")))
 
 
 _RHO = "select {g}count(*) as n, round(corr(rx, ry), 4) as rho from (select {g}rank() over ({p}order by x) + (count(*) over ({p2}) - 1) / 2.0 as rx, rank() over ({p}order by y) + (count(*) over ({p3}) - 1) / 2.0 as ry from ({src}))"
