@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import durable, marked
 
 MAX_ALTERNATIVES = 512
+#: Fixed value: the space and the letters from the commonest to the rarest in English; other characters count as rarer still.
+COMMON = " etaoinshrdlcumwfgypbvkjxqz"
 #: Matches whose positions are added up together.
 BLOCK = 512
 SPAN = "struct<start:int,ord:int,end:int,value:int>"
@@ -82,8 +84,13 @@ def _alternatives(tokens) -> list[tuple[str | None, ...]]:
     return found
 
 
-def trigram_query(pattern: str) -> list[list[str]] | None:
-    """Clauses (OR) of case-folded trigrams (AND), one of which each match satisfies; None: no such trigrams."""
+def _rarity(gram: str) -> tuple[int, str]:
+    return -sum(COMMON.find(c) if c in COMMON else len(COMMON) for c in gram), gram
+
+
+def trigram_query(pattern: str, most: int = 3) -> list[tuple[str, ...]] | None:
+    """Clauses (OR) of case-folded trigrams (AND), one of which each match satisfies; None: no such trigrams. Of an alternative's mandatory trigrams
+    the `most` rarest are asked for: common ones cost postings and rule out little."""
     clauses: set[tuple[str, ...]] = set()
     for alternative in _alternatives(parser.parse(pattern)):
         runs = "".join("\0" if c is None else c for c in alternative).lower().split("\0")
@@ -91,7 +98,8 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
         if not grams:
             return None
         clauses.add(tuple(sorted(grams)))
-    return [list(c) for c in sorted(clauses) if not any(set(d) < set(c) for d in clauses)]
+    least = [c for c in clauses if not any(set(d) < set(c) for d in clauses)]
+    return sorted({tuple(sorted(sorted(c, key=_rarity)[:most])) for c in least})
 
 
 def _any_of(trigrams: Sequence[str]) -> str:
@@ -112,7 +120,7 @@ def posting_rows(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
     return rows.select("doc_id", F.explode(here).alias("trigram")).distinct()
 
 
-def candidates(postings: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
+def candidates(postings: DataFrame, queries: dict[str, list[tuple[str, ...]]]) -> DataFrame:
     """(doc_id, kinds): documents whose postings satisfy a clause of a rule's query. `queries` is the rule set, which is small."""
     asked = [(kind, n, len(clause), t) for kind, clauses in queries.items() for n, clause in enumerate(clauses) for t in clause]
     terms = postings.sparkSession.createDataFrame(asked, "kind string, clause int, needs int, trigram string")

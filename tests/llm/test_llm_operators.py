@@ -77,7 +77,8 @@ def test_secrets_against_brute_force(spark):
 
 
 def test_trigram_queries():
-    assert secret_scan.trigram_query("AKIA[A-Z]+") == [["aki", "kia"]]
+    assert secret_scan.trigram_query("AKIA[A-Z]+") == [("aki", "kia")]
+    assert secret_scan.trigram_query("the_quiz") == [("_qu", "e_q", "uiz")]
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is None
     assert secret_scan.trigram_query("ab") is None and secret_scan.trigram_query("abc|x") is None
     clauses = secret_scan.trigram_query(secret_scan.BASE[0].pattern)
