@@ -24,6 +24,13 @@ def tokens(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",
     return rows.withColumn("lemma", F.col("token"))
 
 
+def adjacent(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id", "lang"), pattern: str = TOKEN) -> DataFrame:
+    """(keep.., w1, w2): each token with the one after it, from the text's own array: no shuffle of tokens."""
+    found = docs.select(*keep, F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)).alias("t_"))
+    pairs = F.arrays_zip(F.slice("t_", 1, F.greatest(F.size("t_") - 1, F.lit(0))).alias("w1"), F.slice("t_", 2, F.greatest(F.size("t_") - 1, F.lit(0))).alias("w2"))
+    return found.select(*keep, F.inline(pairs))
+
+
 def filter_tokens(rows: DataFrame, stopwords: DataFrame | None = None, excluded_tags: Sequence[str] = (), least: int = 2) -> DataFrame:
     """Tags first, then lower case, length and stopwords (a table with a column lemma; a small dimension)."""
     if excluded_tags:
@@ -102,11 +109,14 @@ def volcano(rows: DataFrame, by: str, least: int = 5) -> DataFrame:
     return met.select("a", "b", "lemma", "ca", "cb", F.round(fold, 4).alias("log2fc"), F.round(chi, 4).alias("chi2"))
 
 
-def collocations(rows: DataFrame, by: Sequence[str] = (), least: int = 5, top: int = 200, document: str = "doc_id") -> DataFrame:
-    """Adjacent pairs within a document; G2 (3 decimals), PMI (4), the `top` by G2. Pairs of a lemma with itself are left out."""
+def collocations(rows: DataFrame, by: Sequence[str] = (), least: int = 5, top: int = 200, document: str = "doc_id", pairs: DataFrame | None = None) -> DataFrame:
+    """Adjacent pairs within a document; G2 (3 decimals), PMI (4), the `top` by G2. Pairs of a lemma with itself are left out.
+    `pairs` are those of `adjacent`, where tokens were not filtered; else they come from a window over each document."""
     by = list(by)
-    following = F.lead("lemma").over(Window.partitionBy(*by, document).orderBy("pos"))
-    pairs = rows.select(*by, F.col("lemma").alias("w1"), following.alias("w2")).where("w2 is not null and w1 <> w2")
+    if pairs is None:
+        following = F.lead("lemma").over(Window.partitionBy(*by, document).orderBy("pos"))
+        pairs = rows.select(*by, F.col("lemma").alias("w1"), following.alias("w2")).where("w2 is not null")
+    pairs = pairs.where("w1 <> w2")
     counts = pairs.groupBy(*by, "w1", "w2").agg(F.count("*").alias("n"))
     words = rows.groupBy(*by, "lemma").agg(F.count("*").alias("f"))
     n_words = words.groupBy(*by).agg(F.sum("f").alias("n_words"))

@@ -130,12 +130,13 @@ select {group}w1, w2, count, freq_w1, freq_w2, g2, pmi from s qualify row_number
 
 @query("L4_collocations", _collocation_sql("", 5, 200))
 def _(spark, d):
-    return lexical.collocations(_tokens(spark, d))
+    return lexical.collocations(_tokens(spark, d), pairs=lexical.adjacent(table(spark, d, "documents")))
 
 
 @query("L4_collocations_by_phase", _collocation_sql("lang", 4, 100))
 def _(spark, d):
-    return lexical.collocations(_tokens(spark, d), ["lang"], least=4, top=100).drop("rank")
+    pairs = lexical.adjacent(table(spark, d, "documents"))
+    return lexical.collocations(_tokens(spark, d), ["lang"], least=4, top=100, pairs=pairs).drop("rank")
 
 
 def _cooccurrence_sql(threshold: float) -> str:
