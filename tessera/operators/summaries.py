@@ -39,6 +39,17 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, points: dict
     return met.select(*(F.col(f"by_{i}").alias(c) for i, c in enumerate(by)), *shown)
 
 
+def with_quantiles(rows: DataFrame, by: Sequence[str], points: dict[str, tuple[str, float]], *others: Column, decimals: int | None = None) -> DataFrame:
+    """(by.., the aggregates `others`, a column for each of `points`, named: (value, quantile)): exact quantiles beside other aggregates of the same groups."""
+    by = list(by)
+    found = rows.groupBy(*by).agg(*others) if others else None
+    for value in dict.fromkeys(v for v, _ in points.values()):
+        own = exact_quantiles(rows, by, value, {name: q for name, (v, q) in points.items() if v == value}, decimals)
+        keys = [F.col(c).eqNullSafe(F.col(f"key_{i}")) for i, c in enumerate(by)]
+        found = own if found is None else found.join(own.withColumnsRenamed({c: f"key_{i}" for i, c in enumerate(by)}), keys).drop(*(f"key_{i}" for i in range(len(by))))
+    return found
+
+
 def rate(flag: Column) -> Column:
     """Percent of rows where the flag holds."""
     return F.avg(flag.cast("double")) * 100

@@ -124,10 +124,10 @@ def _(spark, d):
 
 @query("Q55_recycling", f"with {_HASH}, m as (select b.doc_id, min(bit_count(xor(a.h, b.h))) as d from h a join h b on a.doc_id < b.doc_id group by 1) select doc_id // 100 as month, round(quantile_cont(d, .25), 6) as p25, round(quantile_cont(d, .5), 6) as p50, round(quantile_cont(d, .75), 6) as p75 from m group by 1")
 def _(spark, d):
-    from tessera.operators.summaries import quantiles
+    from tessera.operators.summaries import exact_quantiles
 
     near = similarity.nearest_earlier(_hashes(spark, d), "doc_id", "h")
-    return near.groupBy(F.floor(F.col("doc_id") / 100).alias("month")).agg(*quantiles("d"))
+    return exact_quantiles(near.withColumn("month", F.floor(F.col("doc_id") / 100)), ["month"], "d", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, decimals=6)
 
 
 @query("F9_equal_contents", "select md5(text) as md5, count(*) as n, min(doc_id) as first from documents group by 1 having count(*) > 1")

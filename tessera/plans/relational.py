@@ -397,8 +397,8 @@ _MONTHLY = "(select cast(date_trunc('month', o_orderdate) as date) as month, cou
 
 
 def _monthly(spark, d):
-    o = table(spark, d, "orders").groupBy(periods.start_of(F.col("o_orderdate"), "month").alias("month"))
-    return o.agg(F.count("*").alias("n"), F.median("o_totalprice").alias("med"))
+    o = table(spark, d, "orders").withColumn("month", periods.start_of(F.col("o_orderdate"), "month"))
+    return summaries.with_quantiles(o, ["month"], {"med": ("o_totalprice", 0.5)}, F.count("*").alias("n"))
 
 
 @query("W5_index", f"select month, n, round(100.0 * (n - min(n) over ()) / (max(n) over () - min(n) over ()), 4) as index, round(100 - 100.0 * (med - min(med) over ()) / (max(med) over () - min(med) over ()), 4) as inverted from {_MONTHLY}")
@@ -603,8 +603,8 @@ def _(spark, d):
 @query("Q39_speech", f"select {EVENT_PHASE_SQL} as phase, round(median(value / 100), 6) as med, round(avg(value / 100), 6) as mean, round(100.0 * avg(case when value > 10 then 1.0 else 0.0 end), 6) as pct from events where {EVENT_PHASE_SQL} is not null group by 1")
 def _(spark, d):
     e = table(spark, d, "events").select(periods.phase_of(F.col("ts"), EVENT_PHASES).alias("phase"), "value").where("phase is not null")
-    x = F.col("value") / 100
-    return e.groupBy("phase").agg(F.round(F.median(x), 6).alias("med"), F.round(F.avg(x), 6).alias("mean"), F.round(summaries.rate(F.col("value") > 10), 6).alias("pct"))
+    e = e.withColumn("x", F.col("value") / 100)
+    return summaries.with_quantiles(e, ["phase"], {"med": ("x", 0.5)}, F.round(F.avg("x"), 6).alias("mean"), F.round(summaries.rate(F.col("value") > 10), 6).alias("pct"), decimals=6)
 
 
 @query("Q40_two_step_lump", "with top as (select p_type from part group by 1 order by count(*) desc, p_type limit 6), c as (select p_brand, case when t.p_type is null then 'Autres' else p.p_type end as p_type, count(*) as n from part p left join top t on p.p_type = t.p_type group by 1, 2) select p_brand, p_type, n, round(100.0 * n / sum(n) over (partition by p_brand), 4) as share from c")
@@ -629,13 +629,14 @@ def _(spark, d):
 def _(spark, d):
     n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("l"))
     o = table(spark, d, "orders").where("o_totalprice > 0").join(n, "o_orderkey")
-    return o.groupBy(periods.start_of(F.col("o_orderdate"), "month").alias("month")).agg(F.round(F.median(1000 * F.col("l") / F.col("o_totalprice")), 6).alias("per_mille"))
+    rows = o.select(periods.start_of(F.col("o_orderdate"), "month").alias("month"), (1000 * F.col("l") / F.col("o_totalprice")).alias("x"))
+    return summaries.exact_quantiles(rows, ["month"], "x", {"per_mille": 0.5}, decimals=6)
 
 
 @query("Q46_synthesis", f"with m as (select cast(date_trunc('month', o_orderdate) as date) as month, median(o_totalprice) as price, avg(case when o_orderstatus = 'O' then 1.0 else 0.0 end) as open, count(*) as n from orders group by 1), l as (select month, 'price' as series, price as v from m union all select month, 'open', open from m union all select month, 'n', n from m) select month, series, round(100.0 * (v - min(v) over (partition by series)) / nullif(max(v) over (partition by series) - min(v) over (partition by series), 0), 4) as index from l")
 def _(spark, d):
-    o = table(spark, d, "orders").groupBy(periods.start_of(F.col("o_orderdate"), "month").alias("month"))
-    m = o.agg(F.median("o_totalprice").alias("price"), F.avg((F.col("o_orderstatus") == "O").cast("double")).alias("open"), F.count("*").cast("double").alias("n"))
+    o = table(spark, d, "orders").withColumn("month", periods.start_of(F.col("o_orderdate"), "month"))
+    m = summaries.with_quantiles(o, ["month"], {"price": ("o_totalprice", 0.5)}, F.avg((F.col("o_orderstatus") == "O").cast("double")).alias("open"), F.count("*").cast("double").alias("n"))
     return summaries.index_100(m.unpivot("month", ["price", "open", "n"], "series", "v"), "v", ["series"]).drop("v")
 
 

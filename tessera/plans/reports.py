@@ -104,7 +104,8 @@ BREAK = date(1998, 3, 1)
 
 
 def _series(spark, d):
-    o = table(spark, d, "orders").groupBy(_month()).agg(F.count("*").cast("double").alias("n"), F.median("o_totalprice").alias("price"), F.avg((F.col("o_orderstatus") == "O").cast("double")).alias("open"))
+    o = table(spark, d, "orders").withColumn("month", _month())
+    o = summaries.with_quantiles(o, ["month"], {"price": ("o_totalprice", 0.5)}, F.count("*").cast("double").alias("n"), F.avg((F.col("o_orderstatus") == "O").cast("double")).alias("open"))
     # a series with a known break: a level of its own from BREAK on
     o = o.withColumn("step", F.col("n") + F.when(F.col("month") >= F.lit(BREAK), 1000.0).otherwise(0.0))
     return o.unpivot("month", ["n", "price", "open", "step"], "series", "value")
@@ -133,8 +134,8 @@ def _(spark, d):
 
 @query("Q28_by_type_and_phase", f"select {EVENT_PHASE_SQL} as phase, event_type, round(median(value), 4) as med, count(*) as n, round(sum(value), 4) as total from events where value is not null and {EVENT_PHASE_SQL} is not null group by 1, 2")
 def _(spark, d):
-    e = _events(spark, d).where("value is not null").groupBy("phase", "event_type")
-    return e.agg(F.round(F.median("value"), 4).alias("med"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    e = _events(spark, d).where("value is not null")
+    return summaries.with_quantiles(e, ["phase", "event_type"], {"med": ("value", 0.5)}, F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), decimals=4)
 
 
 @query("Q32_presence_classes", f"with e as (select {EVENT_PHASE_SQL} as phase, case when value = 0 then 'absent' when value / 100 <= .5 then 'partial' when value is not null then 'dominant' end as class from events), c as (select phase, class, count(*) as n from e where phase is not null group by 1, 2) select phase, class, n, round(100.0 * n / sum(n) over (partition by phase), 4) as share from c")
@@ -159,7 +160,8 @@ def _(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count("*") - 1).alias("cuts"), F.sum("l_quantity").alias("q"))
     met = s.join(table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), "o_orderkey")
     scene, rate = F.col("q") / (F.col("cuts") + 1), F.col("cuts") / (F.col("q") / 60)
-    return met.groupBy("status").agg(F.round(F.median(scene), 4).alias("scene"), F.round(F.median(rate), 4).alias("per_minute"), F.round(summaries.rate(F.col("cuts") == 0), 4).alias("pct_zero"))
+    met = met.withColumns({"s": scene, "r": rate})
+    return summaries.with_quantiles(met, ["status"], {"scene": ("s", 0.5), "per_minute": ("r", 0.5)}, F.round(summaries.rate(F.col("cuts") == 0), 4).alias("pct_zero"), decimals=4)
 
 
 @query("Q35_written_against_spoken", f"with {TOKENS_SQL}, t as (select source, count(*) filter (where lang = 'en') as n_one, count(*) filter (where lang = 'fr') as n_other from tok where lang in ('en', 'fr') group by 1) select source, n_one, n_other, case when n_other > 0 then round(n_one / n_other, 4) end as ratio, round(100.0 * n_one / (n_one + n_other), 4) as share from t")
@@ -179,9 +181,8 @@ def _(spark, d):
 
 @query("Q41_technical_medians", f"select {ORDER_PHASE_SQL} as phase, round(median(o_totalprice / 1000), 4) as med, round(quantile_cont(o_totalprice / 1000, .25), 4) as p25, count(*) as n from orders where {ORDER_PHASE_SQL} is not null group by 1")
 def _(spark, d):
-    x = F.col("o_totalprice") / 1000
-    g = _orders(spark, d).where("phase is not null").groupBy("phase")
-    return g.agg(F.round(F.median(x), 4).alias("med"), F.round(F.percentile(x, F.lit(0.25)), 4).alias("p25"), F.count("*").alias("n"))
+    o = _orders(spark, d).where("phase is not null").withColumn("x", F.col("o_totalprice") / 1000)
+    return summaries.with_quantiles(o, ["phase"], {"med": ("x", 0.5), "p25": ("x", 0.25)}, F.count("*").alias("n"), decimals=4)
 
 
 @query("Q44_spearman_by_phase", f"select phase, count(*) as n, round(corr(rx, ry), 4) as rho from (select phase, rank() over (partition by phase order by x) + (count(*) over (partition by phase, x) - 1) / 2.0 as rx, rank() over (partition by phase order by y) + (count(*) over (partition by phase, y) - 1) / 2.0 as ry from (select {EVENT_PHASE_SQL} as phase, hour(ts) as x, round(value) as y from events where value is not null) where phase is not null) group by 1")
@@ -210,7 +211,7 @@ def _(spark, d):
 @query("Q50_quartiles_long", "with m as (select label, 'x0' as metric, cast(embedding[1] as double) as v from embeddings union all select label, 'x1', cast(embedding[2] as double) from embeddings) select label, metric, round(quantile_cont(v, .25), 6) as p25, round(quantile_cont(v, .5), 6) as p50, round(quantile_cont(v, .75), 6) as p75 from m group by 1, 2")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("label", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(2)))
-    return e.unpivot("label", ["x0", "x1"], "metric", "v").groupBy("label", "metric").agg(*summaries.quantiles("v"))
+    return summaries.exact_quantiles(e.unpivot("label", ["x0", "x1"], "metric", "v"), ["label", "metric"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, decimals=6)
 
 
 @query("Q50_clusters_by_label")
