@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +26,19 @@ def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite", compressed:
     rows.write.mode(mode).option("compression", "gzip" if compressed else "none").json(path)
 
 
+def append_batch(rows: DataFrame, path: str, batch: str, format_: str = "json") -> None:
+    """S3: appends a batch whole or not at all. It is written beside the table, where readers don't look, and moved to a folder of its own name when it is
+    complete: a crash leaves the table as it was, and a batch that is run again, or twice at once, takes its own place."""
+    spark = rows.sparkSession
+    staged, final = f"{path}/_staged-{uuid.uuid4().hex}", f"{path}/batch={batch}"
+    rows.write.format(format_).save(staged)
+    there = spark._jvm.org.apache.hadoop.fs.Path(final)
+    files = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.delete(there, True)
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), there):
+        raise OSError(f"{staged} could not be moved to {final}")
+
+
 def slim_copy(spark: SparkSession, path: str, heavy: Sequence[str], schema: str | StructType = MESSAGE) -> tuple[DataFrame, DataFrame]:
     """(rows without the heavy columns, malformed lines as they are). Both are lazy; a column `broken` is never pruned away."""
     declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -175,3 +175,25 @@ def test_batches_of_a_model():
     model = enrich.Batched(lambda items: seen.append(list(items)) or [x.upper() for x in items], items=3, size=8)
     assert model(["ab", "cd", "ef", "gh", "long enough", "i"]) == ["AB", "CD", "EF", "GH", "LONG ENOUGH", "I"]
     assert seen == [["ab", "cd", "ef"], ["gh"], ["long enough"], ["i"]] and model([]) == []
+
+
+def test_append_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one, two = ([(i, f"v{n}") for i in range(3)] for n in (1, 2))
+    files.append_batch(spark.createDataFrame(one, "k int, v string"), path, "a")
+    for _ in range(2):
+        files.append_batch(spark.createDataFrame(two, "k int, v string"), path, "b")
+    (tmp_path / "t" / "_staged-left").mkdir()  # of a run that crashed
+    (tmp_path / "t" / "_staged-left" / "part.json").write_text('{"k": 9}')
+    assert sorted((r.batch, r.k, r.v) for r in spark.read.schema("k int, v string, batch string").json(path).collect()) == sorted([("a", *r) for r in one] + [("b", *r) for r in two])
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from tessera.__main__ import arguments, main
+
+    main(["--list"])
+    assert "A10_lexical_stats" in capsys.readouterr().out.split()
+    main(["A5_distinct", "--tables", sf_dir, "--out", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    with pytest.raises(SystemExit):
+        arguments(["no_such_query", "--tables", sf_dir])
