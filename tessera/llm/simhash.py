@@ -28,6 +28,8 @@ SHINGLE = 3
 #: Node pairs that a task holds at a time.
 FRONTIER = 400_000
 DIRECT = 64
+#: Fingerprints of a node at most, where a table has many: 8 MB.
+MOST = 1 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -201,7 +203,7 @@ def trie_links(fps: DataFrame, budget: int = 2, most: int | None = None) -> Data
     """Links (a, b: long) that span the components of the distinct fingerprints `fps` (fp) under Hamming distance <= budget."""
     spark = fps.sparkSession
     n = fps.count()
-    nodes = cut_off(fps, most or min(max(n // 128, 256), 1 << 18))
+    nodes = cut_off(fps, most or min(max(n // 128, 256), MOST))
     pairs = node_pairs(nodes, budget)
     lows = np.array([x.low for x in nodes], dtype=np.uint64)
     goes: list[list[int]] = [[] for _ in nodes]

@@ -37,7 +37,7 @@ def test_stages(small, spark):
     one = stages["SimHash near-dedup"](spark, lines, small).cache()
     rows = sorted(lines.collect(), key=lambda r: r.doc_id)
     prints = np.array([simhash.fingerprint(r.text, 5) for r in rows], dtype=np.uint64)
-    i, j = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2, 1))
+    i, j = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= corpus_pipeline.BUDGET, 1))
     lab = common.labels(len(rows), i, j)
     want = {rows[n].doc_id for n in set(lab)}
     assert {r.doc_id for r in one.collect()} == want and one.count() == len(want) and one.columns == docs.columns
