@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bottom_k, embeddings, hilbert_shards, langid, line_dedup, mixing, pieces, secret_scan, simhash, wordpiece
+from tessera.llm import bottom_k, conversations, embeddings, hilbert_shards, langid, line_dedup, mixing, pieces, secret_scan, simhash, wordpiece
 from tessera.session import ship
 
 #: Folder of the public tokenizers' files; a parameter of the queries that need one.
@@ -65,9 +65,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> D
     return found.select("doc_id", "n_pieces", "ids", "round_trip")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.report(rows, conversations.damage(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_hilbert_shards, op3_language_id, op4_fingerprints, op5_line_dedup, op6_embedding_dedup, op7_simhash_dedup, op8_mixing, op9_token_counts, op10_pieces)
+    for f in (op1_secret_scan, op2_hilbert_shards, op3_language_id, op4_fingerprints, op5_line_dedup, op6_embedding_dedup, op7_simhash_dedup, op8_mixing, op9_token_counts, op10_pieces, op13_conversation_repair)
 }
 
 
