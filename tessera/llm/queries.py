@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bottom_k, conversations, embeddings, hilbert_shards, langid, line_dedup, mixing, pieces, secret_scan, simhash, spelling, wordpiece
+from tessera.llm import backoff, bottom_k, conversations, embeddings, hilbert_shards, langid, line_dedup, mixing, pieces, secret_scan, simhash, spelling, wordpiece
 from tessera.session import ship
 
 #: Folder of the public tokenizers' files; a parameter of the queries that need one.
@@ -65,6 +65,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> D
     return found.select("doc_id", "n_pieces", "ids", "round_trip")
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(documents(spark, sf_dir).select("doc_id", "text", backoff.held_out().alias("held")))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -76,7 +80,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_hilbert_shards, op3_language_id, op4_fingerprints, op5_line_dedup, op6_embedding_dedup, op7_simhash_dedup, op8_mixing, op9_token_counts, op10_pieces, op12_spelling_variants, op13_conversation_repair)
+    for f in (op1_secret_scan, op2_hilbert_shards, op3_language_id, op4_fingerprints, op5_line_dedup, op6_embedding_dedup, op7_simhash_dedup, op8_mixing, op9_token_counts, op10_pieces, op11_lm_scores, op12_spelling_variants, op13_conversation_repair)
 }
 
 
