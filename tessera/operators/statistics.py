@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.operators.ordering import running_sum
+from tessera.operators.ordering import Ordered
 
 
 @F.pandas_udf(DoubleType())
@@ -60,11 +60,15 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def adjust(rows: DataFrame, p: str, by: Sequence[str], name: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg step-up over each group: the least of p * m / rank from here to the greatest p, capped at 1."""
-    group = Window.partitionBy(*by)
-    ordered = rows.withColumn("rank_", F.row_number().over(group.orderBy(F.asc(p)))).withColumn("m_", F.count(p).over(group))
-    back = group.orderBy(F.desc("rank_")).rowsBetween(Window.unboundedPreceding, 0)
-    return ordered.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("m_") / F.col("rank_")).over(back))).drop("rank_", "m_")
+    """Benjamini-Hochberg step-up over each group: the least of p * m / rank from here to the greatest p, capped at 1. A null p is not counted and stays null."""
+    by = list(by)
+    sizes = rows.groupBy(*by).agg(F.count(p).alias("m_")).withColumnsRenamed({c: f"by_{i}_" for i, c in enumerate(by)})
+    counted = rows.join(sizes, [F.col(c).eqNullSafe(F.col(f"by_{i}_")) for i, c in enumerate(by)]).drop(*(f"by_{i}_" for i in range(len(by))))
+    apart = counted.withColumn("apart_", F.xxhash64(*(c for c, kind in rows.dtypes if not kind.startswith("map"))))  # many rows may share a p
+    down = Ordered(apart, by, [F.desc_nulls_last(p), "apart_"]).scan(place_=("sum", None))
+    rank = F.when(F.col(p).isNotNull(), F.col("m_") + 1 - F.col("place_"))
+    scanned = down.scan(**{name: ("min", F.least(F.lit(1.0), F.coalesce(F.col(p) * F.col("m_") / rank, F.lit(1.0))))}).rows
+    return scanned.withColumn(name, F.when(F.col(p).isNotNull(), F.col(name))).drop("m_", "apart_", "place_")
 
 
 def contingency(rows: DataFrame, row: str, col: str) -> DataFrame:
@@ -142,15 +146,11 @@ def ellipse(rows: DataFrame, by: str, x: str, y: str, level: float) -> DataFrame
 
 
 def ranked(rows: DataFrame, value: str, by: Sequence[str] = (), name: str = "r") -> DataFrame:
-    """Average ranks, from distinct values and their counts. Within groups by a window over their distinct values; over the whole
-    table by a running sum over range partitions, since a continuous variable has as many distinct values as rows."""
+    """Average ranks over the table or within groups, from distinct values and their counts: a running sum over range partitions, since a continuous variable has as many
+    distinct values as rows. Rows with a null value or group are left out."""
     by = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("t_"))
-    if by:
-        upto = F.sum("t_").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        counts = counts.withColumn("upto_", upto)
-    else:
-        counts = running_sum(counts, [value], "t_", "upto_")
+    counts = Ordered(counts, by, [value]).scan(upto_=("sum", F.col("t_"))).rows
     ranks = counts.withColumn(name, F.col("upto_") - (F.col("t_") - 1) / 2.0).drop("upto_")
     return rows.join(ranks, [*by, value])
 

@@ -4,50 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import running_sum
+from tessera.operators.ordering import Ordered, durable
 
 
-def quantiles(value: str | Column, points: Sequence[float] = (0.25, 0.5, 0.75)) -> list[Column]:
-    """A3, A4: exact quantiles with linear interpolation."""
-    return [F.round(F.percentile(value, F.lit(p)), 6).alias(f"p{round(100 * p)}") for p in points]
+#: Ranks that a sketch may be off by, of so many; groups that are counted without a sketch; rows within the brackets of a group that one task orders.
+ACCURACY = 2_000
+SMALL = 4_000
+BRACKET = 50_000
+#: Groups whose brackets are broadcast, and bytes of their names.
+FEW, NAMED = 20_000, 4 << 20
 
 
 def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, points: dict[str, float], decimals: int | None = None) -> DataFrame:
-    """A3, A4: (by.., a column for each of `points`): exact quantiles with linear interpolation, null where a group has no value.
-
-    No task holds a group's values: distinct values are counted, their counts summed along range partitions, and the two values
-    around each quantile's place picked by aggregation."""
-    by = list(by)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_"))
-    summed = running_sum(counts, [*by, value], "n_", "upto_")
-    bounds = summed.groupBy(*by).agg(F.min(F.col("upto_") - F.col("n_")).alias("base_"), F.max("upto_").alias("last_"))
-    placed = summed.crossJoin(F.broadcast(bounds)) if not by else summed.join(bounds.select(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by)), "base_", "last_"), [F.col(c).eqNullSafe(F.col(f"by_{i}")) for i, c in enumerate(by)])
-    upto, n = F.col("upto_") - F.col("base_"), F.col("last_") - F.col("base_")
-    at = {name: (n - 1) * F.lit(q) for name, q in points.items()}
-    ends = [F.min(F.when(upto > f(at[name]), F.col(value).cast("double"))).alias(f"{end}_{name}") for name in points for end, f in (("low", F.floor), ("high", F.ceil))]
-    found = placed.groupBy(*by).agg(F.max(n).alias("size_"), *ends)
-    part = {name: (F.col("size_") - 1) * F.lit(q) - F.floor((F.col("size_") - 1) * F.lit(q)) for name, q in points.items()}
-    between = {name: F.col(f"low_{name}") + part[name] * (F.col(f"high_{name}") - F.col(f"low_{name}")) for name in points}
-    shown = [(F.round(x, decimals) if decimals is not None else x).alias(name) for name, x in between.items()]
-    if not by:
-        return found.select(*shown)
-    every = rows.select(*by).distinct()
-    met = every.select(*(F.col(c).alias(f"by_{i}") for i, c in enumerate(by))).join(found, [F.col(f"by_{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)], "left")
-    return met.select(*(F.col(f"by_{i}").alias(c) for i, c in enumerate(by)), *shown)
+    """A3, A4: (by.., a column for each of `points`): exact quantiles with linear interpolation, null where a group has no value."""
+    return with_quantiles(rows, by, {name: (value, q) for name, q in points.items()}, decimals=decimals)
 
 
 def with_quantiles(rows: DataFrame, by: Sequence[str], points: dict[str, tuple[str, float]], *others: Column, decimals: int | None = None) -> DataFrame:
-    """(by.., the aggregates `others`, a column for each of `points`, named: (value, quantile)): exact quantiles beside other aggregates of the same groups."""
+    """(by.., the aggregates `others`, a column for each of `points`, named: (value, quantile)): exact quantiles with linear interpolation beside other aggregates of the
+    same groups.
+
+    Selection in two scans of `rows`: the first takes a sketch of each group, which brackets every quantile; the second counts what lies below a bracket and the distinct values within it,
+    among which the quantile is found by rank. A bracket holds a few thousandths of a group; those of very large groups are put in order over range
+    partitions. A bracket that its quantile isn't in shows by its ranks, and the groups are then counted anew without brackets."""
     by = list(by)
-    found = rows.groupBy(*by).agg(*others) if others else None
-    for value in dict.fromkeys(v for v, _ in points.values()):
-        own = exact_quantiles(rows, by, value, {name: q for name, (v, q) in points.items() if v == value}, decimals)
-        keys = [F.col(c).eqNullSafe(F.col(f"key_{i}")) for i, c in enumerate(by)]
-        found = own if found is None else found.join(own.withColumnsRenamed({c: f"key_{i}" for i, c in enumerate(by)}), keys).drop(*(f"key_{i}" for i in range(len(by))))
-    return found
+    keys, values = [f"by_{i}_" for i in range(len(by))], list(dict.fromkeys(v for v, _ in points.values()))
+    own = {v: [name for name, (x, _) in points.items() if x == v] for v in values}
+    around = lambda q: [max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY)]
+    sizes = [F.count(v).alias(f"n_{i}_") for i, v in enumerate(values)]
+    marks = [F.percentile_approx(F.col(v).cast("double"), [x for name in own[v] for x in around(points[name][1])], ACCURACY).alias(f"marks_{i}_") for i, v in enumerate(values)]
+    seen = Observation()
+    most = F.max(F.greatest(*(f"n_{i}_" for i in range(len(values))), F.lit(0))).alias("most")
+    named = F.sum(sum((F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in by), F.lit(0))).alias("named")
+    sketched = durable(rows.groupBy(*by).agg(*others, *sizes, *marks).observe(seen, most, F.count(F.lit(1)).alias("groups"), named))
+    of = seen.get
+    alike = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+    brackets = sketched.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), *(f"n_{i}_" for i in range(len(values))), *(f"marks_{i}_" for i in range(len(values))))
+    few = of["groups"] <= FEW and (of["named"] or 0) <= NAMED
+    small = F.broadcast if few else lambda df: df
+    brackets = small(brackets)
+    slim = rows.select(*by, *(F.col(v).cast("double").alias(f"v_{i}_") for i, v in enumerate(values)))
+    met = slim.join(brackets, alike) if by else slim.crossJoin(brackets)
+
+    def found(bracketed: bool) -> DataFrame:
+        """(by_.., point, value, missed): `point` is the place in `points`."""
+        entries = []
+        for place, (name, (v, q)) in enumerate(points.items()):
+            i, k = values.index(v), own[v].index(name)
+            x, n, small = F.col(f"v_{i}_"), F.col(f"n_{i}_"), (F.col(f"n_{i}_") <= SMALL) | F.lit(not bracketed)
+            low, high = (F.element_at(f"marks_{i}_", 2 * k + e) for e in (1, 2))
+            inside = F.when(small | (x >= low), x)  # null: below
+            entries.append(F.struct(F.lit(place).alias("point"), ((n - 1) * F.lit(q)).alias("at"), inside.alias("x"), (x.isNotNull() & (small | (x <= high))).alias("kept")))
+        each = met.select(*keys, F.inline(F.filter(F.array(*entries), lambda e: e["kept"])))
+        counts = each.groupBy(*keys, "point", "at", "x").agg(F.count("*").alias("c"))
+        group = [*keys, "point", "at"]
+        if bracketed and (of["most"] or 0) * 6 <= BRACKET * ACCURACY:  # so many rows within a bracket at most; equal ones are one by now
+            summed = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+        else:
+            summed = Ordered(counts, group, ["x"]).scan(upto=("sum", F.col("c"))).rows
+        end = lambda f: F.min(F.when(F.col("x").isNotNull() & (F.col("upto") > f("at")), F.col("x")))
+        picked = summed.groupBy(*group).agg(end(F.floor).alias("low"), end(F.ceil).alias("high"), F.coalesce(F.max(F.when(F.col("x").isNull(), F.col("upto"))), F.lit(0)).alias("below"))
+        between = F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low"))
+        return picked.select(*keys, "point", between.alias("value"), ((F.col("below") > F.floor("at")) | F.col("high").isNull()).alias("missed"))
+
+    picked = found(True)
+    if (of["most"] or 0) > SMALL:
+        if few:  # a row for each group and point
+            picked = rows.sparkSession.createDataFrame(picked.collect(), picked.schema)
+        else:
+            picked = durable(picked)
+        if not picked.where("missed").isEmpty():
+            picked = found(False)
+    shown = lambda x: F.round(x, decimals) if decimals is not None else x
+    wide = picked.groupBy(*keys).agg(*(shown(F.max(F.when(F.col("point") == i, F.col("value")))).alias(name) for i, name in enumerate(points)))
+    kept = sketched.drop(*(f"{x}_{i}_" for x in ("n", "marks") for i in range(len(values))))
+    return kept.join(small(wide), alike, "left").drop(*keys) if by else kept.crossJoin(F.broadcast(wide))
 
 
 def rate(flag: Column) -> Column:
@@ -73,12 +107,6 @@ def index_100(rows: DataFrame, value: str, by: Sequence[str] = (), name: str = "
     return scaled.withColumn(name, F.round(100 - x if inverted else x, decimals)).drop("low_", "high_")
 
 
-def unit_index(value: str, by: Sequence[str], eps: float = 1e-9) -> Column:
-    """The same from 0 to 1, with eps in the denominator."""
-    w = Window.partitionBy(*by)
-    return (F.col(value) - F.min(value).over(w)) / (F.max(value).over(w) - F.min(value).over(w) + eps)
-
-
 def capped_rank(value: str, by: Sequence[str], cap: int) -> Column:
     """Rank by descending value, ties share the least; zero and ranks beyond the cap are cap + 1."""
     w = Window.partitionBy(*by).orderBy(F.desc(value))
@@ -97,11 +125,13 @@ def winsorise(rows: DataFrame, value: str, q: float) -> DataFrame:
 
 
 def ecdf(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """(by.., value, p): the empirical distribution at each distinct value; windows run over distinct values."""
+    """(by.., value, p): the empirical distribution at each distinct value; a running sum over range partitions of the distinct values."""
+    by = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n_"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("n_").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(*by, value, F.round(upto / F.sum("n_").over(w), 6).alias("p"))
+    sizes = counts.groupBy(*by).agg(F.sum("n_").alias("all_")).withColumnsRenamed({c: f"by_{i}_" for i, c in enumerate(by)})
+    summed = Ordered(counts, by, [value]).scan(upto_=("sum", F.col("n_"))).rows
+    met = summed.join(sizes, [F.col(c).eqNullSafe(F.col(f"by_{i}_")) for i, c in enumerate(by)])
+    return met.select(*by, value, F.round(F.col("upto_") / F.col("all_"), 6).alias("p"))
 
 
 def change_points(rows: DataFrame, category: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -147,9 +177,11 @@ def faces_by(messages: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def by_strategy(rows: DataFrame, by: Sequence[str], strategies: dict[str, str], threshold: float = 0.5) -> DataFrame:
     """Each column by its strategy (mean, max, p75), and whether it reaches the threshold."""
-    how = {"mean": F.avg, "max": F.max, "p75": lambda c: F.percentile(c, F.lit(0.75))}
-    out = rows.groupBy(*by).agg(*(F.round(how[s](c), 4).alias(c) for c, s in strategies.items()))
-    return out.withColumns({f"{c}_flag": F.col(c) >= threshold for c in strategies})
+    how = {"mean": F.avg, "max": F.max}
+    plain = [F.round(how[s](c), 4).alias(c) for c, s in strategies.items() if s in how]
+    points = {c: (c, 0.75) for c, s in strategies.items() if s == "p75"}
+    out = with_quantiles(rows, by, points, *plain, decimals=4) if points else rows.groupBy(*by).agg(*plain)
+    return out.select(*by, *strategies, *((F.col(c) >= threshold).alias(f"{c}_flag") for c in strategies))
 
 
 def mean_vector(rows: DataFrame, by: Sequence[str], vector: str) -> DataFrame:

@@ -367,7 +367,9 @@ def _(spark, d):
 
 @query("W1_row_number", "select event_id, row_number() over (partition by event_type order by ts, event_id) as n from events")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long").alias("n"))
+    from tessera.operators.ordering import Ordered
+
+    return Ordered(table(spark, d, "events").select("event_type", "ts", "event_id"), ["event_type"], ["ts", "event_id"]).scan(n=("sum", None)).rows.select("event_id", "n")
 
 
 @query("W2_top_n", "select o_orderpriority, o_orderkey, r as rank from (select *, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as r from orders) where r <= 5")

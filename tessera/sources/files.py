@@ -8,11 +8,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.text import xml_escape
+from tessera.operators.ordering import Ordered
 from tessera.schema import MESSAGE, TOKENS
 
 
@@ -220,5 +221,5 @@ def gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def first_seen_order(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """The running rank of each row in its album, by id."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    """The running rank of each row in its album, by id, whatever the albums' sizes."""
+    return Ordered(rows, by, [order]).scan(rank=("sum", None)).rows
