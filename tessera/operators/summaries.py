@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from tessera.operators.ordering import Ordered, durable
 
 
-#: Ranks that a sketch may be off by, of so many; groups that are counted without a sketch; rows within the brackets of a group that one task orders.
+#: Ranks that a sketch may be off by, of so many; rows of groups that need no brackets, and distinct values within a bracket that one task orders.
 ACCURACY = 2_000
-SMALL = 4_000
-BRACKET = 50_000
+SMALL = BRACKET = 50_000
 #: Groups whose brackets are broadcast, and bytes of their names.
 FEW, NAMED = 20_000, 4 << 20
 
