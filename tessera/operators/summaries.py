@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -49,38 +50,44 @@ def with_quantiles(rows: DataFrame, by: Sequence[str], points: dict[str, tuple[s
     met = slim.join(brackets, alike) if by else slim.crossJoin(brackets)
 
     def found(bracketed: bool) -> DataFrame:
-        """(by_.., point, value, missed): `point` is the place in `points`."""
+        """(by_.., a struct for each point: its value, and whether its bracket missed it)."""
         entries = []
-        for place, (name, (v, q)) in enumerate(points.items()):
-            i, k = values.index(v), own[v].index(name)
-            x, n, small = F.col(f"v_{i}_"), F.col(f"n_{i}_"), (F.col(f"n_{i}_") <= SMALL) | F.lit(not bracketed)
-            low, high = (F.element_at(f"marks_{i}_", 2 * k + e) for e in (1, 2))
-            inside = F.when(small | (x >= low), x)  # null: below
-            entries.append(F.struct(F.lit(place).alias("point"), ((n - 1) * F.lit(q)).alias("at"), inside.alias("x"), (x.isNotNull() & (small | (x <= high))).alias("kept")))
-        each = met.select(*keys, F.inline(F.filter(F.array(*entries), lambda e: e["kept"])))
-        counts = each.groupBy(*keys, "point", "at", "x").agg(F.count("*").alias("c"))
-        group = [*keys, "point", "at"]
-        if bracketed and (of["most"] or 0) * 6 <= BRACKET * ACCURACY:  # so many rows within a bracket at most; equal ones are one by now
-            summed = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+        for i, v in enumerate(values):
+            x, whole = F.col(f"v_{i}_"), F.lit(not bracketed) | (F.col(f"n_{i}_") <= SMALL)
+            ends = [[F.element_at(f"marks_{i}_", 2 * k + e) for e in (1, 2)] for k in range(len(own[v]))]
+            inside = functools.reduce(lambda a, b: a | b, [whole, *((x >= low) & (x <= high) for low, high in ends)])
+            passed = [F.when(x > high, high) for _, high in ends]
+            # what lies between brackets counts as the end of the one before, right behind it
+            at = F.when(inside, x).otherwise(F.greatest(*passed) if len(passed) > 1 else passed[0])
+            entries.append(F.struct(F.lit(i).alias("of"), F.col(f"n_{i}_").alias("n"), at.alias("x"), (~inside).alias("gap"), x.isNotNull().alias("known")))
+        each = met.select(*keys, F.inline(F.array(*entries))) if len(entries) > 1 else met.select(*keys, entries[0].alias("e")).select(*keys, "e.*")
+        counts = each.where("known").groupBy(*keys, "of", "n", "x", "gap").agg(F.count("*").alias("c"))
+        if bracketed and (of["most"] or 0) * 6 * max(map(len, own.values())) <= BRACKET * ACCURACY:  # so many rows within a group's brackets; equal ones are one by now
+            summed = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "of").orderBy("x", "gap").rowsBetween(Window.unboundedPreceding, 0)))
         else:
-            summed = Ordered(counts, group, ["x"]).scan(upto=("sum", F.col("c"))).rows
-        end = lambda f: F.min(F.when(F.col("x").isNotNull() & (F.col("upto") > f("at")), F.col("x")))
-        picked = summed.groupBy(*group).agg(end(F.floor).alias("low"), end(F.ceil).alias("high"), F.coalesce(F.max(F.when(F.col("x").isNull(), F.col("upto"))), F.lit(0)).alias("below"))
-        between = F.col("low") + (F.col("at") - F.floor("at")) * (F.col("high") - F.col("low"))
-        return picked.select(*keys, "point", between.alias("value"), ((F.col("below") > F.floor("at")) | F.col("high").isNull()).alias("missed"))
+            summed = Ordered(counts, [*keys, "of"], ["x", "gap"]).scan(upto=("sum", F.col("c"))).rows
+        rank = lambda q: (F.col("n") - 1) * F.lit(q)
+        first = lambda v, q, f: F.min(F.when((F.col("of") == values.index(v)) & (F.col("upto") > f(rank(q))), F.struct("x", "gap", rank(q).alias("at"))))
+        picked = summed.groupBy(*keys).agg(*(first(v, q, f).alias(f"{end}_{j}") for j, (v, q) in enumerate(points.values()) for end, f in (("low", F.floor), ("high", F.ceil))))
+        shown = []
+        for j, name in enumerate(points):
+            low, high, at = F.col(f"low_{j}")["x"], F.col(f"high_{j}")["x"], F.col(f"low_{j}")["at"]
+            value = low + (at - F.floor(at)) * (high - low)
+            missed = F.coalesce(F.col(f"low_{j}")["gap"] | F.col(f"high_{j}")["gap"], F.lit(False))
+            shown.append(F.struct((F.round(value, decimals) if decimals is not None else value).alias("value"), missed.alias("missed")).alias(name))
+        return picked.select(*keys, *shown)
 
     picked = found(True)
     if (of["most"] or 0) > SMALL:
-        if few:  # a row for each group and point
+        if few:  # a row for each group
             picked = rows.sparkSession.createDataFrame(picked.collect(), picked.schema)
         else:
             picked = durable(picked)
-        if not picked.where("missed").isEmpty():
+        if not picked.where(functools.reduce(lambda a, b: a | b, [F.col(name)["missed"] for name in points])).isEmpty():
             picked = found(False)
-    shown = lambda x: F.round(x, decimals) if decimals is not None else x
-    wide = picked.groupBy(*keys).agg(*(shown(F.max(F.when(F.col("point") == i, F.col("value")))).alias(name) for i, name in enumerate(points)))
+    wide = picked.select(*keys, *(F.col(name)["value"].alias(name) for name in points))
     kept = sketched.drop(*(f"{x}_{i}_" for x in ("n", "marks") for i in range(len(values))))
-    return kept.join(small(wide), alike, "left").drop(*keys) if by else kept.crossJoin(F.broadcast(wide))
+    return kept.join(small(wide), alike, "left").drop(*keys) if by else kept.join(F.broadcast(wide), how="left")
 
 
 def rate(flag: Column) -> Column:
