@@ -12,15 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import durable
+
 #: What counts as a token, after lower-casing.
 TOKEN = r"[\p{L}_][\p{L}\p{N}_]*"
 LETTERS_TOKEN = r"(?U)\b[^\W\d_]\w*\b"
 
 
 def tokens(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id", "lang"), pattern: str = TOKEN) -> DataFrame:
-    """(keep.., pos from 0, token, lemma), in the default tokeniser, whose lemma is the lower-cased token."""
+    """(keep.., pos from 0, token, lemma), in the default tokeniser, whose lemma is the lower-cased token.
+
+    The outer form, with a filter behind it, keeps the optimiser from adding a filter before it that tokenises each text once more."""
     found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-    rows = docs.select(*keep, F.posexplode(found).alias("pos", "token"))
+    rows = docs.select(*keep, F.posexplode_outer(found).alias("pos", "token")).where("pos is not null")
     return rows.withColumn("lemma", F.col("token"))
 
 
@@ -28,7 +32,7 @@ def adjacent(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
     """(keep.., w1, w2): each token with the one after it, from the text's own array: no shuffle of tokens."""
     found = docs.select(*keep, F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)).alias("t_"))
     pairs = F.arrays_zip(F.slice("t_", 1, F.greatest(F.size("t_") - 1, F.lit(0))).alias("w1"), F.slice("t_", 2, F.greatest(F.size("t_") - 1, F.lit(0))).alias("w2"))
-    return found.select(*keep, F.inline(pairs))
+    return found.select(*keep, F.inline_outer(pairs)).where("w1 is not null")
 
 
 def filter_tokens(rows: DataFrame, stopwords: DataFrame | None = None, excluded_tags: Sequence[str] = (), least: int = 2) -> DataFrame:
@@ -158,20 +162,23 @@ def window_pairs(rows: DataFrame, vocabulary: DataFrame, window: int, by: Sequen
     return lists.select(*by, document, F.inline(pairs))
 
 
-def cooccurrence(rows: DataFrame, window: int = 5, top: int = 200, least: int = 3, threshold: float = 2.0, by: Sequence[str] = (), document: str = "doc_id") -> DataFrame:
-    """PMI edges (by.., a, b, count, pmi) among the `top` lemmas of each group; counts are of documents."""
+def cooccurrence(docs: DataFrame, window: int = 5, top: int = 200, least: int = 3, threshold: float = 2.0, by: Sequence[str] = (), document: str = "doc_id", text: str = "text") -> DataFrame:
+    """PMI edges (by.., a, b, count, pmi) among the `top` lemmas of each group of `docs`; counts are of documents. Two scans: the first counts tokens and the documents that hold them in
+    one aggregation (a document's sorted tokens tell which is the first of its kind), the second forms pairs."""
     by = list(by)
-    freq = rows.groupBy(*by, "lemma").agg(F.count("*").alias("f"))
+    found = docs.select(*by, document, F.array_sort(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("t_"))
+    once = F.transform("t_", lambda x, i: F.struct(x.alias("lemma"), (i == 0) | (x != F.get("t_", i - 1))))
+    each = found.select(*by, F.inline_outer(once)).toDF(*by, "lemma", "new_").where("lemma is not null")
+    counts = durable(each.groupBy(*by, "lemma").agg(F.count("*").alias("f"), F.count_if("new_").alias("df")))
     order = [F.desc("f"), F.asc("lemma")]
-    vocabulary = top_n(freq, by, order, top).select(*by, "lemma") if by else freq.orderBy(*order).limit(top).select("lemma")
-    pairs = window_pairs(rows, vocabulary, window, by, document)
-    counts = pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= least)
-    df = rows.join(F.broadcast(vocabulary), [*by, "lemma"], "left_semi").groupBy(*by, "lemma").agg(F.countDistinct(document).alias("df"))
-    n = rows.groupBy(*by).agg(F.countDistinct(document).alias("n"))
-    da = df.select(*by, F.col("lemma").alias("a"), F.col("df").alias("da"))
-    db = df.select(*by, F.col("lemma").alias("b"), F.col("df").alias("db"))
-    met = counts.join(F.broadcast(da), [*by, "a"]).join(F.broadcast(db), [*by, "b"])
-    met = met.join(F.broadcast(n), by) if by else met.crossJoin(F.broadcast(n))
+    vocabulary = durable((top_n(counts, by, order, top) if by else counts.orderBy(*order).limit(top)).select(*by, "lemma", "df"))  # `top` rows a group
+    pairs = window_pairs(tokens(docs, text, [*by, document]), vocabulary, window, by, document)
+    pairs = pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    n = docs.where(F.regexp_like(F.lower(text), F.lit(TOKEN))).groupBy(*by).agg(F.count("*").alias("n"))
+    da = vocabulary.select(*by, F.col("lemma").alias("a"), F.col("df").alias("da"))
+    db = vocabulary.select(*by, F.col("lemma").alias("b"), F.col("df").alias("db"))
+    met = pairs.join(da, [*by, "a"]).join(db, [*by, "b"])
+    met = met.join(n, by) if by else met.crossJoin(F.broadcast(n))
     pmi = F.round(F.log2(F.col("count") * F.col("n") / (F.col("da") * F.col("db"))), 4)
     return met.select(*by, "a", "b", "count", pmi.alias("pmi")).where(F.col("pmi") >= threshold)
 
@@ -182,36 +189,6 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.unionByName(turned)
 
 
-def kwic(rows: DataFrame, target: str, window: int = 5, keep: Sequence[str] = ("lang",), document: str = "doc_id") -> DataFrame:
-    """(keep.., document, pos, before, target, after). Only documents that hold the target are gathered."""
-    holds = rows.where(F.col("lemma") == target).select(document).distinct()
-    lists = rows.join(holds, document, "left_semi").groupBy(*keep, document).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "token"))).alias("t"))
-    t = F.col("t")
-    at = lists.select(*keep, document, "t", F.posexplode(t).alias("i", "x")).where(F.col("x.lemma") == target)
-    words = lambda part: F.array_join(F.transform(part, lambda y: y["token"]), " ")
-    before = F.slice(t, F.greatest(F.lit(1), F.col("i") + 1 - window), F.least(F.col("i"), F.lit(window)))
-    return at.select(*keep, document, F.col("x.pos").alias("pos"), words(before).alias("before"), F.col("x.token").alias("target"), words(F.slice(t, F.col("i") + 2, window)).alias("after"))
-
-
-def kwic_summary(rows: DataFrame, target: str, by: str, window: int = 5, top: int = 10, document: str = "doc_id") -> DataFrame:
-    """The commonest neighbours on each side, with local PMI = log2(c * N / (n_target * window * f)), 3 decimals."""
-    freq = rows.groupBy(by, "lemma").agg(F.count("*").alias("f"))
-    total = freq.groupBy(by).agg(F.sum("f").alias("n"), F.sum(F.when(F.col("lemma") == target, F.col("f"))).alias("n_target")).where("n_target > 0")
-    # neighbours are slices of the document's own array, around each hit: as many rows as hits times the window
-    holds = rows.where(F.col("lemma") == target).select(document).distinct()
-    lists = rows.join(holds, document, "left_semi").groupBy(by, document).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("t"))
-    at = lists.select(by, "t", F.posexplode("t").alias("i", "x")).where(F.col("x.lemma") == target)
-    first = F.greatest(F.lit(1), F.col("i") + 1 - window)
-    near = at.select(by, F.col("x.pos").alias("at"), F.inline(F.slice("t", first, F.col("i") + 2 + window - first)))
-    near = near.where(F.col("lemma") != target).withColumn("gap", F.col("pos") - F.col("at")).where(F.abs("gap") <= window)
-    side = F.when(F.col("gap") < 0, "left").otherwise("right")
-    counts = near.groupBy(by, side.alias("position"), F.col("lemma")).agg(F.count("*").alias("count"))
-    first = top_n(counts, [by, "position"], [F.desc("count"), F.asc("lemma")], top)
-    met = first.join(freq, [by, "lemma"]).join(F.broadcast(total), by)
-    pmi = F.log2(F.col("count") * F.col("n") / (F.col("n_target") * window * F.col("f")))
-    return met.select(by, "position", F.col("lemma").alias("neighbor"), "count", F.round(pmi, 3).alias("pmi_local"), "n_target")
-
-
 def top_lemmas(rows: DataFrame, source: str, top: int) -> DataFrame:
     counts = rows.groupBy(source, "lemma").agg(F.count("*").alias("f"))
     return top_n(counts, [source], [F.desc("f"), F.asc("lemma")], top)
@@ -269,12 +246,6 @@ def tf_idf_vectors(rows: DataFrame, top: int = 500, least_tokens: int = 5, docum
     return raw.withColumn("norm", norm).where("norm > 0").select(document, F.transform("raw", lambda x: x / F.col("norm")).alias("vector"))
 
 
-def documents_as_lists(rows: DataFrame, document: str = "doc_id") -> DataFrame:
-    """Each document's lemmas in order."""
-    t = F.array_sort(F.collect_list(F.struct("pos", "lemma")))
-    return rows.groupBy(document).agg(F.transform(t, lambda x: x["lemma"]).alias("lemmas"))
-
-
 def evolution(nodes: DataFrame, phases: Sequence[str], measures: Sequence[str] = ("freq", "degree", "betweenness"), order: str = "betweenness") -> DataFrame:
     """One row a lemma, a column for each phase and measure (0 where absent), by the greatest `order`."""
     columns = [F.coalesce(F.max(F.when(F.col("phase") == p, F.col(m))), F.lit(0)).alias(f"{p}_{m}") for p in phases for m in measures]

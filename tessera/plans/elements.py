@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import media
 from tessera.functions import text as words
-from tessera.operators import classify, cleaning, lexical, periods, statistics, summaries
+from tessera.operators import classify, cleaning, concordance, lexical, periods, statistics, summaries
 from tessera.plans.registry import TOKENS_SQL, erfc_sql, query, table
 
 
@@ -78,7 +78,7 @@ def _(spark, d):
     from tessera.operators import topics
 
     docs = table(spark, d, "documents")
-    lists = lexical.documents_as_lists(lexical.tokens(docs, keep=("doc_id",)))
+    lists = concordance.token_lists(docs, keep=("doc_id",)).withColumnRenamed("tokens", "lemmas")
     rows, _ = topics.vectors(lists)
     found = topics.document_topics(topics.fit(rows, 4, rounds=5), rows, "doc_id")
     return found.join(docs.select("doc_id", "lang"), "doc_id", "left").groupBy("lang", "dominant").agg(F.count("*").alias("n"))
@@ -141,9 +141,7 @@ def _(spark, d):
 
 @query("W8_bigrams", f"with {TOKENS_SQL}, n as (select lemma as w1, lead(lemma) over (partition by doc_id order by pos) as w2 from tok) select w1, w2, count(*) as n from n where w2 is not null and w1 <> w2 group by 1, 2 having count(*) >= 5")
 def _(spark, d):
-    rows = lexical.tokens(table(spark, d, "documents"), keep=("doc_id",))
-    following = F.lead("lemma").over(Window.partitionBy("doc_id").orderBy("pos"))
-    pairs = rows.select(F.col("lemma").alias("w1"), following.alias("w2")).where("w2 is not null and w1 <> w2")
+    pairs = lexical.adjacent(table(spark, d, "documents"), keep=()).where("w1 <> w2")
     return pairs.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n >= 5")
 
 
@@ -239,8 +237,7 @@ def _(spark, d):
 def _(spark, d):
     from tessera.operators.graphs import centralities
 
-    rows = lexical.tokens(table(spark, d, "documents"), keep=("doc_id", "lang"))
-    edges = lexical.cooccurrence(rows, window=5, top=60, least=3, threshold=-0.5, by=["lang"])
+    edges = lexical.cooccurrence(table(spark, d, "documents"), window=5, top=60, least=3, threshold=-0.5, by=["lang"])
     return centralities(edges, ["lang"]).groupBy("lang", "community").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("lemma")).alias("lemmas"))
 
 
@@ -277,8 +274,7 @@ def _(spark, d):
 def _(spark, d):
     from tessera.sources.files import gexf
 
-    rows = lexical.tokens(table(spark, d, "documents"), keep=("doc_id",))
-    edges = lexical.cooccurrence(rows, window=5, top=40, least=3, threshold=-0.5)
+    edges = lexical.cooccurrence(table(spark, d, "documents"), window=5, top=40, least=3, threshold=-0.5)
     return gexf(edges.select(F.explode(F.array("a", "b")).alias("lemma")).distinct(), edges)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.operators import lexical, summaries
+from tessera.operators import concordance, lexical, summaries
+from tessera.operators.ordering import shared_folder
 from tessera.plans.registry import TOKENS_SQL, query, table
 
 
@@ -12,6 +15,10 @@ def _tokens(spark, d):
     return lexical.tokens(table(spark, d, "documents"), keep=("doc_id", "lang", "source"))
 
 
+def _lists(spark, d):
+    return concordance.token_lists(table(spark, d, "documents"))
+
+
 _TURNS_SQL = r"""tok as (
   select conv_id * 1000 + turn as doc_id, role, unnest(ts) as lemma, unnest(range(len(ts))) as pos
   from (select conv_id, turn, role, regexp_extract_all(lower(text), '[\p{L}_][\p{L}\p{N}_]*') as ts from conversations)
@@ -149,7 +156,7 @@ where round(log2(count * n / cast(x.df * y.df as double)), 4) >= {threshold})"""
 
 
 def _edges(spark, d, threshold=-0.5):
-    return lexical.cooccurrence(_tokens(spark, d), window=5, top=60, least=3, threshold=threshold, by=["lang"])
+    return lexical.cooccurrence(table(spark, d, "documents"), window=5, top=60, least=3, threshold=threshold, by=["lang"])
 
 
 @query("L5_cooccurrence", f"with {_cooccurrence_sql(-0.5)} select * from edges")
@@ -168,7 +175,31 @@ w as (select h.lang, h.doc_id, h.hit, t.pos, t.lemma from h join tok t on t.doc_
 
 @query("L7_kwic", _KWIC_SQL + " select lang, doc_id, cast(hit as integer) as pos, coalesce(string_agg(lemma, ' ' order by pos) filter (where pos < hit), '') as before, 'with' as target, coalesce(string_agg(lemma, ' ' order by pos) filter (where pos > hit), '') as after from w group by 1, 2, 3")
 def _(spark, d):
-    return lexical.kwic(_tokens(spark, d), "with", 4)
+    return concordance.concordance(_lists(spark, d), ["with"], 4)
+
+
+_TARGETS_SQL = f"""with {TOKENS_SQL}, h as (select lang, doc_id, pos as hit, lemma as target from tok where lemma in ('with', 'the', 'ung', 'ción')),
+w as (select h.lang, h.doc_id, h.hit, target, t.pos, t.lemma from h join tok t on t.doc_id = h.doc_id and t.pos between h.hit - 3 and h.hit + 3)
+select lang, doc_id, cast(hit as integer) as pos, coalesce(string_agg(lemma, ' ' order by pos) filter (where pos < hit), '') as before, target, coalesce(string_agg(lemma, ' ' order by pos) filter (where pos > hit), '') as after from w group by lang, doc_id, hit, target"""
+_TARGETS = ["with", "the", "ung", "ción"]
+
+
+@query("L7_several_targets", _TARGETS_SQL)
+def _(spark, d):
+    return concordance.concordance(_lists(spark, d), _TARGETS, 3)
+
+
+@query("L7_by_index", _TARGETS_SQL)
+def _(spark, d):
+    """The same from a positional index that is written first."""
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    concordance.write_index(_lists(spark, d), path)
+    return concordance.indexed_concordance(_lists(spark, d), concordance.read_index(spark, path, _TARGETS), 3)
+
+
+@query("L7_postings", f"with {TOKENS_SQL}, g as (select lemma, doc_id, pos, pos - coalesce(lag(pos) over (partition by lemma, doc_id order by pos), 0) as gap from tok) select lemma, doc_id, string_agg(gap, ',' order by pos) as gaps from g group by 1, 2")
+def _(spark, d):
+    return concordance.postings(_lists(spark, d)).select("lemma", "doc_id", F.array_join(F.col("gaps").cast("array<string>"), ",").alias("gaps"))
 
 
 @query("L8_kwic_summary", f"""with {TOKENS_SQL}, f as (select lang, lemma, count(*) as f from tok group by 1, 2), n as (select lang, sum(f) as n, sum(f) filter (where lemma = 'with') as nt from f group by 1),
@@ -177,7 +208,7 @@ c as (select * from (select lang, case when pos < hit then 'left' else 'right' e
   qualify row_number() over (partition by lang, position order by count desc, neighbor) <= 10)
 select c.lang, position, neighbor, count, round(log2(count * n / (nt * 4.0 * f)), 3) as pmi_local, cast(nt as bigint) as n_target from c join f on f.lang = c.lang and f.lemma = neighbor join n on n.lang = c.lang""")
 def _(spark, d):
-    return lexical.kwic_summary(_tokens(spark, d), "with", "lang", 4, 10)
+    return concordance.neighbours(_lists(spark, d), "with", "lang", 4, 10)
 
 
 _DEGREES = "(select lang, a as lemma, pmi from edges union all select lang, b, pmi from edges)"
@@ -255,7 +286,7 @@ def _(spark, d):
 
 @query("A19_documents_as_lists", f"with {TOKENS_SQL} select doc_id, string_agg(lemma, ' ' order by pos) as lemmas from tok group by 1")
 def _(spark, d):
-    return lexical.documents_as_lists(_tokens(spark, d)).select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
+    return _lists(spark, d).where("size(tokens) > 0").select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
 
 
 @query("U5_vocabulary", f"with {TOKENS_SQL}, c as (select lang, lemma, count(*) as n from tok group by 1, 2) select lemma from c group by 1 having max(n) >= 10")
@@ -304,7 +335,7 @@ def _(spark, d):
 def _(spark, d):
     from tessera.operators import topics
 
-    lists = lexical.documents_as_lists(_tokens(spark, d))
+    lists = _lists(spark, d).select("doc_id", F.col("tokens").alias("lemmas"))
     rows, names = topics.vectors(lists)
     return topics.top_words(topics.fit(rows, 4, rounds=10), names.vocabulary)
 
@@ -314,7 +345,7 @@ def _(spark, d):
     """Coherence and perplexity for each number of topics from 3 to 10, and which is taken."""
     from tessera.operators import topics
 
-    best, found = topics.choose(lexical.documents_as_lists(_tokens(spark, d)), rounds=4) or (None, [])
+    best, found = topics.choose(_lists(spark, d).select("doc_id", F.col("tokens").alias("lemmas")), rounds=4) or (None, [])
     return spark.createDataFrame([(k, round(c, 6), round(p, 6), k == best) for k, c, p in found], "k int, coherence double, log_perplexity double, taken boolean")
 
 

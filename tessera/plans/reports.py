@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tessera.functions.media import resolution
-from tessera.operators import classify, cleaning, factors, lexical, periods, statistics, summaries
+from tessera.operators import classify, cleaning, concordance, factors, lexical, periods, statistics, summaries
 from tessera.operators.lexical import top_n
 from tessera.plans.measures import KRUSKAL_SQL, ranks_sql
 from tessera.plans.registry import EVENT_PHASE_SQL, EVENT_PHASES, ORDER_PHASE_SQL, ORDER_PHASES, TOKENS_SQL, query, table
@@ -149,7 +149,7 @@ def _(spark, d):
     from tessera.operators import topics
 
     docs = table(spark, d, "documents")
-    rows, _ = topics.vectors(lexical.documents_as_lists(lexical.tokens(docs, keep=("doc_id",))))
+    rows, _ = topics.vectors(concordance.token_lists(docs, keep=("doc_id",)).withColumnRenamed("tokens", "lemmas"))
     found = topics.document_topics(topics.fit(rows, 3, rounds=5), rows, "doc_id").join(docs.select("doc_id", "source"), "doc_id")
     means = found.select("source", F.posexplode("gamma").alias("topic", "g")).groupBy("source", "topic").agg(F.avg("g").alias("g"))
     return summaries.share(means, "g", ["source"]).drop("g")
@@ -239,8 +239,7 @@ def _(spark, d):
 def _nodes(spark, d):
     from tessera.operators.graphs import centralities
 
-    rows = lexical.tokens(table(spark, d, "documents"))
-    return centralities(lexical.cooccurrence(rows, window=5, top=60, least=3, threshold=-0.5, by=["lang"]), ["lang"])
+    return centralities(lexical.cooccurrence(table(spark, d, "documents"), window=5, top=60, least=3, threshold=-0.5, by=["lang"]), ["lang"])
 
 
 @query("Q56_top_betweenness")
