@@ -237,8 +237,9 @@ def _(spark, d):
 def _(spark, d):
     from tessera.operators.graphs import centralities
 
-    edges = lexical.cooccurrence(table(spark, d, "documents"), window=5, top=60, least=3, threshold=-0.5, by=["lang"])
-    return centralities(edges, ["lang"]).groupBy("lang", "community").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("lemma")).alias("lemmas"))
+    from tessera.plans.lexicometry import network_edges
+
+    return centralities(network_edges(spark, d), ["lang"]).groupBy("lang", "community").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("lemma")).alias("lemmas"))
 
 
 @query("M12_softmax", "select l_orderkey, l_linenumber, round(1 / (1 + exp(100 * (l_tax - l_discount))), 6) as p from lineitem")
@@ -274,7 +275,7 @@ def _(spark, d):
 def _(spark, d):
     from tessera.sources.files import gexf
 
-    edges = lexical.cooccurrence(table(spark, d, "documents"), window=5, top=40, least=3, threshold=-0.5)
+    edges = lexical.cooccurrence(table(spark, d, "documents"), window=5, top=400, least=3, threshold=0.1)
     return gexf(edges.select(F.explode(F.array("a", "b")).alias("lemma")).distinct(), edges)
 
 

@@ -146,8 +146,8 @@ def _(spark, d):
     return lexical.collocations(_tokens(spark, d), ["lang"], least=4, top=100, pairs=pairs).drop("rank")
 
 
-def _cooccurrence_sql(threshold: float) -> str:
-    return f"""{TOKENS_SQL}, f as (select lang, lemma, count(*) as f from tok group by 1, 2), vocab as (select lang, lemma from f qualify row_number() over (partition by lang order by f desc, lemma) <= 60),
+def _cooccurrence_sql(threshold: float, top: int = 60) -> str:
+    return f"""{TOKENS_SQL}, f as (select lang, lemma, count(*) as f from tok group by 1, 2), vocab as (select lang, lemma from f qualify row_number() over (partition by lang order by f desc, lemma) <= {top}),
 t as (select tok.* from tok join vocab using (lang, lemma)),
 p as (select distinct x.lang, x.doc_id, least(x.lemma, y.lemma) as a, greatest(x.lemma, y.lemma) as b from t x join t y on x.doc_id = y.doc_id and y.pos - x.pos between 1 and 5 and x.lemma <> y.lemma),
 c as (select lang, a, b, count(*) as count from p group by all having count(*) >= 3), df as (select lang, lemma, count(distinct doc_id) as df from t group by 1, 2), n as (select lang, count(distinct doc_id) as n from tok group by 1),
@@ -159,6 +159,14 @@ def _edges(spark, d, threshold=-0.5):
     return lexical.cooccurrence(table(spark, d, "documents"), window=5, top=60, least=3, threshold=threshold, by=["lang"])
 
 
+#: Networks: words commoner than these stand together in nearly every document, so their edges' PMI is negative.
+NETWORK = {"top": 400, "threshold": 0.1}
+
+
+def network_edges(spark, d):
+    return lexical.cooccurrence(table(spark, d, "documents"), window=5, least=3, by=["lang"], **NETWORK)
+
+
 @query("L5_cooccurrence", f"with {_cooccurrence_sql(-0.5)} select * from edges")
 def _(spark, d):
     return _edges(spark, d)
@@ -214,42 +222,42 @@ def _(spark, d):
 _DEGREES = "(select lang, a as lemma, pmi from edges union all select lang, b, pmi from edges)"
 
 
-@query("L9_degrees", f"with {_cooccurrence_sql(-0.5)} select lang, lemma, count(*) as degree, cast(round(sum(cast(pmi as decimal(20,4))), 3) as double) as weighted_degree from {_DEGREES} group by 1, 2")
+@query("L9_degrees", f"with {_cooccurrence_sql(**NETWORK)} select lang, lemma, count(*) as degree, cast(round(sum(cast(pmi as decimal(20,4))), 3) as double) as weighted_degree from {_DEGREES} group by 1, 2")
 def _(spark, d):
     from tessera.operators.graphs import degrees
 
-    return degrees(_edges(spark, d), ["lang"])
+    return degrees(network_edges(spark, d), ["lang"])
 
 
-@query("L9_density", f"with {_cooccurrence_sql(-0.5)}, v as (select lang, count(distinct lemma) as nodes from {_DEGREES} group by 1), e as (select lang, count(*) as edges from edges group by 1) select lang, nodes, edges, round(2.0 * edges / (nodes * (nodes - 1)), 6) as density from v join e using (lang)")
+@query("L9_density", f"with {_cooccurrence_sql(**NETWORK)}, v as (select lang, count(distinct lemma) as nodes from {_DEGREES} group by 1), e as (select lang, count(*) as edges from edges group by 1) select lang, nodes, edges, round(2.0 * edges / (nodes * (nodes - 1)), 6) as density from v join e using (lang)")
 def _(spark, d):
     from tessera.operators.graphs import density
 
-    return density(_edges(spark, d), ["lang"])
+    return density(network_edges(spark, d), ["lang"])
 
 
 @query("L9_centralities")
 def _(spark, d):
     from tessera.operators.graphs import centralities
 
-    return centralities(_edges(spark, d), ["lang"])
+    return centralities(network_edges(spark, d), ["lang"])
 
 
 @query("L10_evolution")
 def _(spark, d):
     from tessera.operators.graphs import centralities
 
-    nodes = centralities(_edges(spark, d), ["lang"]).withColumnRenamed("lang", "phase")
+    nodes = centralities(network_edges(spark, d), ["lang"]).withColumnRenamed("lang", "phase")
     freq = _tokens(spark, d).groupBy(F.col("lang").alias("phase"), "lemma").agg(F.count("*").alias("freq"))
     return lexical.evolution(nodes.join(freq, ["phase", "lemma"]), ["de", "en", "es", "fr"])
 
 
-@query("J7_edges_of_nodes", f"with {_cooccurrence_sql(-0.5)}, v as (select lang, lemma from {_DEGREES} group by 1, 2 having count(*) >= 10) select e.lang, a, b, count, pmi from edges e join v x on x.lang = e.lang and x.lemma = a join v y on y.lang = e.lang and y.lemma = b")
+@query("J7_edges_of_nodes", f"with {_cooccurrence_sql(**NETWORK)}, v as (select lang, lemma from {_DEGREES} group by 1, 2 having count(*) > 4) select e.lang, a, b, count, pmi from edges e join v x on x.lang = e.lang and x.lemma = a join v y on y.lang = e.lang and y.lemma = b")
 def _(spark, d):
     from tessera.operators.graphs import degrees
 
-    edges = _edges(spark, d)
-    kept = degrees(edges, ["lang"]).where("degree >= 10").select("lang", "lemma")
+    edges = network_edges(spark, d)
+    kept = degrees(edges, ["lang"]).where("degree > 4").select("lang", "lemma")
     left = edges.join(kept.withColumnRenamed("lemma", "a"), ["lang", "a"], "left_semi")
     return left.join(kept.withColumnRenamed("lemma", "b"), ["lang", "b"], "left_semi").select("lang", "a", "b", "count", "pmi")
 

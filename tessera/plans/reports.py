@@ -238,8 +238,9 @@ def _(spark, d):
 
 def _nodes(spark, d):
     from tessera.operators.graphs import centralities
+    from tessera.plans.lexicometry import network_edges
 
-    return centralities(lexical.cooccurrence(table(spark, d, "documents"), window=5, top=60, least=3, threshold=-0.5, by=["lang"]), ["lang"])
+    return centralities(network_edges(spark, d), ["lang"])
 
 
 @query("Q56_top_betweenness")

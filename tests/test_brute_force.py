@@ -59,37 +59,65 @@ def test_typical_lemmas(frame):
     assert len(found) == len(want) and len(set(found) & set(want)) >= 0.98 * len(want)  # scores that tie in four decimals aside
 
 
-def test_centralities(spark, sf_dir, frame):
-    """Degrees, and betweenness by all shortest paths, of each network."""
-    from tessera.plans.lexicometry import _edges
+@pytest.fixture(scope="module")
+def networks(spark, sf_dir):
+    from tessera.plans.lexicometry import network_edges
+
+    edges = network_edges(spark, sf_dir).toPandas()
+    assert (edges["pmi"] > 0).all() and edges.groupby("lang").size().min() > 20
+    return dict(list(edges.groupby("lang")))
+
 
-    edges = _edges(spark, sf_dir).toPandas()
+def all_shortest(far, source, goal, weight):
+    """All simple paths of least length, by following every edge that lies on one."""
+    if source == goal:
+        return [[source]]
+    return [[source, *rest] for v, w in weight[source].items() if abs(w + far[v, goal] - far[source, goal]) < 1e-9 for rest in all_shortest(far, v, goal, weight)]
+
+
+def test_centralities(frame, networks):
+    """Each network's degrees, betweenness by all shortest paths, closeness and leading eigenvector."""
     nodes = frame("L9_centralities").set_index(["lang", "lemma"])
-    for lang, own in edges.groupby("lang"):
+    assert len(nodes) == sum(len({*own["a"], *own["b"]}) for own in networks.values())
+    for lang, own in networks.items():
         names = sorted({*own["a"], *own["b"]})
-        place = {x: i for i, x in enumerate(names)}
-        degree = Counter([*own["a"], *own["b"]])
-        assert all(nodes.loc[(lang, x), "degree"] == degree[x] for x in names)
-        n = len(names)
-        far = np.full((n, n), np.inf)
-        np.fill_diagonal(far, 0)
+        place, n = {x: i for i, x in enumerate(names)}, len(names)
+        weight = [{} for _ in names]
         for r in own.itertuples():
-            i, j = place[r.a], place[r.b]
-            far[i, j] = far[j, i] = r.pmi
-        if (own["pmi"] <= 0).any():  # no metric: distances aren't compared
-            continue
-        for k in range(n):
-            far = np.minimum(far, far[:, [k]] + far[[k], :])
-        # of weights that don't tie there is one path for each pair
+            weight[place[r.a]][place[r.b]] = weight[place[r.b]][place[r.a]] = r.pmi
+        far, steps, matrix = np.full((n, n), np.inf), np.full((n, n), np.inf), np.zeros((n, n))
+        for i, row in enumerate(weight):
+            for j, w in row.items():
+                far[i, j], steps[i, j], matrix[i, j] = w, 1, w
+        for m in (far, steps):
+            np.fill_diagonal(m, 0)
+            for k in range(n):
+                np.minimum(m, m[:, [k]] + m[[k], :], out=m)
         between = np.zeros(n)
-        for k in range(n):
-            on = np.isclose(far, far[:, [k]] + far[[k], :], atol=1e-9) & np.isfinite(far)
-            on[k, :] = on[:, k] = False
-            np.fill_diagonal(on, False)
-            between[k] = on.sum() / 2
-        got = np.array([nodes.loc[(lang, x), "betweenness"] for x in names])
-        scale = (n - 1) * (n - 2) / 2
-        assert np.allclose(got, between, atol=0.02 * scale) or np.allclose(got * scale, between, atol=0.02 * scale)
+        for i in range(n):
+            for j in range(i + 1, n):
+                if np.isfinite(far[i, j]):
+                    paths = all_shortest(far, i, j, weight)
+                    for path in paths:
+                        between[path[1:-1]] += 1 / len(paths)
+        mine = nodes.loc[lang].loc[names]
+        assert mine["degree"].tolist() == [len(r) for r in weight]
+        assert mine["betweenness"].to_numpy() == pytest.approx(between * 2 / ((n - 1) * (n - 2)), abs=2e-6)
+        reached = np.isfinite(steps).sum(axis=1) - 1
+        assert mine["closeness"].to_numpy() == pytest.approx(reached**2 / np.where(np.isfinite(steps), steps, 0).sum(axis=1) / (n - 1), abs=2e-6)
+        values, vectors = np.linalg.eigh(matrix)
+        assert mine["eigenvector"].to_numpy() == pytest.approx(np.abs(vectors[:, -1]), abs=1e-4) and values[-1] - values[-2] > 1e-6
+        # the components are those of what can be reached
+        assert all((np.isfinite(steps[i]) == (mine["component"].to_numpy() == mine["component"].iloc[i])).all() for i in range(n))
+
+
+def test_edges_without_a_positive_weight_are_an_error(spark):
+    from tessera.operators import graphs
+
+    edges = spark.createDataFrame([("x", "y", 1.0), ("y", "z", -0.5)], "a string, b string, pmi double")
+    with pytest.raises(ValueError, match="positive"):
+        graphs.centralities(edges)
+    assert graphs.centralities(edges.limit(0)).count() == 0
 
 
 def test_evolution_and_trajectories(frame):
@@ -106,11 +134,33 @@ def test_evolution_and_trajectories(frame):
     assert set(ranks["trend"]) <= {"rising", "falling", "stable"}
 
 
-def test_communities_and_gexf(spark, sf_dir, frame):
+def test_communities_and_gexf(spark, sf_dir, frame, networks):
+    """Communities divide the nodes with a modularity that no move of one node, and no union of two communities, makes larger."""
+    from tessera.operators.graphs import Network, modularity
+
     found = frame("L17_communities")
-    for _, own in found.groupby("lang"):
+    for lang, own in found.groupby("lang"):
         lemmas = [x for row in own["lemmas"] for x in row]
         assert len(lemmas) == len(set(lemmas)) == own["n"].sum()
+        net = Network((), *(networks[lang][c] for c in ("a", "b", "pmi")))
+        assert set(lemmas) == set(net.names)
+        member = np.array([next(k for k, row in enumerate(own["lemmas"]) if x in row) for x in net.names])
+        matrix = np.zeros((len(member), len(member)))
+        for r in networks[lang].itertuples():
+            i, j = np.searchsorted(net.names, [r.a, r.b])
+            matrix[i, j] = matrix[j, i] = r.pmi
+        degree = matrix.sum(axis=1)
+        plain = lambda m: (np.where(m[:, None] == m[None, :], matrix - np.outer(degree, degree) / matrix.sum(), 0)).sum() / matrix.sum()
+        q = plain(member)
+        assert modularity(net, member) == pytest.approx(q) and q > 0.3 and member.max() + 1 < len(member) / 2
+        for i in range(len(member)):
+            for k in set(member[matrix[i] > 0]):
+                moved = member.copy()
+                moved[i] = k
+                assert plain(moved) <= q + 1e-9
+        for a in range(member.max() + 1):
+            for b in range(a):
+                assert plain(np.where(member == a, b, member)) <= q + 1e-9
     tree = ElementTree.fromstring(frame("S17_gexf")["value"][0].encode())
     space = "{http://gexf.net/1.3}"
     nodes = [x.get("id") for x in tree.iter(f"{space}node")]
