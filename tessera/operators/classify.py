@@ -19,6 +19,19 @@ PLATFORMS = (
 )
 #: Fundraising services by what the address contains.
 FUNDRAISING = (("Monobank", "monobank"), ("BuyMeACoffee", "buymeacoffee"), ("WhitePay", "whitepay"), ("Google Forms", "forms.gle"), ("Dignitas", "dignitas"), ("Marikatefund", "marikatefund"))
+#: How a text names the bank that has no address, and the address that stands for it.
+BANK = "приватбанк|privatbank"
+BANK_ROW = "privatbank-text"
+#: Platforms that a lower-cased text names.
+PLATFORM_MENTIONS = (
+    ("YouTube", r"youtube|youtu\.be|ютуб"),
+    ("Facebook", r"facebook|fb\.watch|фейсбук|фесбук"),
+    ("Instagram", "instagram|інстаграм|инстаграм"),
+    ("TikTok", "tiktok|тік.ток|тик.ток"),
+    ("Telegram", r"telegram|телеграм|t\.me/"),
+    ("Official site", r"\.army|sbs.?group"),
+    ("Fundraising", r"monobank|монобанк|buymeacoffee|whitepay|приватбанк|privatbank|forms\.gle|dignitas|marikatefund"),
+)
 #: Mentions in lower-cased text, and a wallet that is looked for in the text as it is.
 MENTIONS = (
     ("Monobank", "monobank|монобанк"),
@@ -44,6 +57,19 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]], contains: bool =
     return out
 
 
+def with_bank_mentions(rows: DataFrame, key: str, url: str, text: str, pattern: str = BANK) -> DataFrame:
+    """`rows` with their fundraising service, and a row more with the address BANK_ROW for each key whose text names the bank and none of whose addresses is a fundraising service's."""
+    served = rows.withColumn("service", fundraising(F.col(url)))
+    known = served.where("service is not null").select(key).distinct()
+    named = rows.where(F.lower(text).rlike(pattern)).join(known, key, "left_anti").dropDuplicates([key]).withColumn(url, F.lit(BANK_ROW))
+    return served.unionByName(named.withColumn("service", fundraising(F.col(url))))
+
+
+def fundraising(url: Column) -> Column:
+    """The service of an address."""
+    return F.coalesce(first_match(url, FUNDRAISING, contains=True), F.when(F.lower(url) == BANK_ROW, "PrivatBank"))
+
+
 def mentions(rows: DataFrame, key: str, text: Column, rules: Sequence[tuple[str, str]] = MENTIONS, exact: Sequence[tuple[str, str]] = (("USDT", WALLET),)) -> DataFrame:
     """(key, category) for each category that a text mentions, once. The rules are tried in the row: no join."""
     low = F.lower(text)

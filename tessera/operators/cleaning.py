@@ -37,11 +37,9 @@ def media_kind(kind: Column, path: Column | None = None, text_only: str = "text_
 
 
 def media_from_mime(mime: Column) -> Column:
-    """Photo, video, audio, document or other from a MIME type's prefix."""
-    return (
-        F.when(F.startswith(mime, F.lit("image/")), "photo").when(F.startswith(mime, F.lit("video/")), "video")
-        .when(F.startswith(mime, F.lit("audio/")), "audio").when(F.startswith(mime, F.lit("application/")), "document").when(mime.isNotNull(), "other")
-    )
+    """Video, audio or photo by a MIME type's beginning, document for any other, an empty one too; null where there is none."""
+    kinds = F.when(F.startswith(mime, F.lit("video")), "video").when(F.startswith(mime, F.lit("audio")), "audio").when(F.startswith(mime, F.lit("image")), "photo")
+    return kinds.when(mime.isNotNull(), "document")
 
 
 def orientation(width: Column, height: Column, given: Column | None = None) -> Column:

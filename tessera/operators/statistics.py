@@ -59,6 +59,35 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) or not k or k <= 0 else upper_gamma(k / 2, v / 2) for v, k in zip(x, df)], dtype="float64")
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function I_x(a, b): a continued fraction (Lentz), on the side where it converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    total = d
+    for m in range(1, 10_000):
+        before = total
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + step / c
+            c = c if abs(c) > tiny else tiny
+            total *= c * d
+        if abs(total - before) <= 1e-16 * abs(total):
+            break
+    return scale * total
+
+
+@F.pandas_udf(DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """two-sided p of Student's t with df degrees of freedom."""
+    return pd.Series([None if pd.isna(v) or not k or k <= 0 else beta_share(k / 2, 0.5, k / (k + v * v)) if math.isfinite(v) else 0.0 for v, k in zip(t, df)], dtype="float64")
+
+
 def adjust(rows: DataFrame, p: str, by: Sequence[str], name: str = "p_adj") -> DataFrame:
     """Benjamini-Hochberg step-up over each group: the least of p * m / rank from here to the greatest p, capped at 1. A null p is not counted and stays null."""
     by = list(by)
@@ -91,7 +120,7 @@ def expected(cells: DataFrame) -> DataFrame:
 
 
 def chi_square(cells: DataFrame, correct: bool = False) -> DataFrame:
-    """M1: one row: chi2, df, v (Cramer). correct: Yates' correction, in 2 x 2 tables only."""
+    """M1: one row: chi2, df, v (Cramer), p. correct: Yates' correction, in 2 x 2 tables only."""
     t = expected(cells)
     delta = F.abs(F.col("o") - F.col("e"))
     plain = delta * delta / F.col("e")
@@ -104,7 +133,7 @@ def chi_square(cells: DataFrame, correct: bool = False) -> DataFrame:
     chi = F.when(F.lit(correct) & (df == 1), F.col("yates")).otherwise(F.col("plain"))
     least = F.least("rows", "cols") - 1
     v = F.when((least > 0) & (F.col("n") > 0), F.sqrt(chi / (F.col("n") * least)))
-    return sums.select(F.round(chi, 4).alias("chi2"), df.cast("long").alias("df"), F.round(v, 4).alias("v"))
+    return sums.select(F.round(chi, 4).alias("chi2"), df.cast("long").alias("df"), F.round(v, 4).alias("v"), F.round(chi2_p(chi, df.cast("long")), 6).alias("p"))
 
 
 def residuals(cells: DataFrame) -> DataFrame:
@@ -156,7 +185,7 @@ def ranked(rows: DataFrame, value: str, by: Sequence[str] = (), name: str = "r")
 
 
 def kruskal(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """M3: one row: n, k, df, h (tie-corrected), p (for three groups exp(-h/2), else null). Null h below 6 values or 2 groups."""
+    """M3: one row: n, k, df, h (tie-corrected), p. Null h below 6 values or 2 groups."""
     r = ranked(rows.where(F.col(group).isNotNull()).select(group, value), value)
     sums = r.groupBy(group).agg(F.count("*").alias("n_g"), F.sum("r").alias("r_g"))
     ties = r.groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
@@ -165,7 +194,7 @@ def kruskal(rows: DataFrame, value: str, group: str) -> DataFrame:
     h = (12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
     ok = (F.col("n") >= 6) & (F.col("k") >= 2)
     found = total.crossJoin(F.broadcast(ties)).withColumn("h_", F.when(ok, h))
-    p = F.when(F.col("k") == 3, F.exp(-F.col("h_") / 2))
+    p = chi2_p(F.col("h_"), F.col("k") - 1)
     return found.select("n", "k", (F.col("k") - 1).alias("df"), F.round("h_", 4).alias("h"), F.round(p, 6).alias("p"))
 
 
@@ -183,25 +212,28 @@ def dunn(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int = 2) -> DataFrame:
-    """M5: rank correlation over rows where both are known, for each group with at least `least` of them."""
+    """M5: rank correlation over rows where both are known, for each group with at least `least` of them; p by Student's t, and its stars."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     r = ranked(ranked(both, x, by, "rx").drop("t_"), y, by, "ry")
     grouped = r.groupBy(*by) if by else r.groupBy()
     found = grouped.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho_")).where(F.col("n") >= least)
-    return found.select(*by, "n", F.round("rho_", 4).alias("rho"))
+    left = F.col("n") - 2
+    t = F.when(F.abs("rho_") < 1, F.col("rho_") * F.sqrt(left / (1 - F.col("rho_") * F.col("rho_")))).when(F.col("rho_").isNotNull(), F.lit(math.inf))
+    tested = found.withColumn("p_", t_p(t, left))
+    return tested.select(*by, "n", F.round("rho_", 4).alias("rho"), F.round("p_", 6).alias("p"), stars(F.col("p_")).alias("stars"))
 
 
 def spearman_matrix(rows: DataFrame, columns: Sequence[str], least: int = 30) -> DataFrame:
-    """M5: (x, y, n, rho) for each pair of columns, complete cases of the pair, variables with at least `least` known values."""
+    """M5: (x, y, n, rho, p, stars) for each pair of columns, complete cases of the pair, variables with at least `least` known values."""
     counts = rows.agg(*(F.count(c).alias(c) for c in columns)).first()
     kept = [c for c in columns if counts[c] >= least]
-    parts = [spearman(rows, a, b).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "n", "rho") for i, a in enumerate(kept) for b in kept[i + 1 :]]
-    out = rows.sparkSession.createDataFrame([], "x string, y string, n long, rho double")
+    parts = [spearman(rows, a, b).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "n", "rho", "p", "stars") for i, a in enumerate(kept) for b in kept[i + 1 :]]
+    out = rows.sparkSession.createDataFrame([], "x string, y string, n long, rho double, p double, stars string")
     for part in parts:
         out = out.unionByName(part)
     return out
 
 
 def stars(p: Column) -> Column:
-    """Significance marks of a p-value."""
-    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    """Significance marks of a p-value, null without one."""
+    return F.when(p.isNull(), None).when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import media
 from tessera.functions import text as words
 from tessera.operators import classify, cleaning, concordance, lexical, periods, statistics, summaries
+from tessera.plans.lexicometry import NETWORK, cooccurrence_sql, network_edges
 from tessera.plans.registry import TOKENS_SQL, erfc_sql, query, table
 
 
@@ -18,10 +19,13 @@ def _(spark, d):
     return rows.select("event_id", gate(0.0).alias("strict"), gate(1.0).alias("lenient"))
 
 
-@query("P27_clean_segments", "select conv_id, count(*) filter (where turn % 3 <> 0 and turn % 3 <> 1) as kept from conversations group by 1")
+#: Texts with their vowels and commonest consonants as Cyrillic letters, so that a segment's letters are of both scripts.
+_LATIN, _CYRILLIC = "aeiounrstldhcmA", "аеіоунрстлдхцмА"
+
+
+@query("P27_clean_segments", rf"with s as (select conv_id, translate(text, '{_LATIN}', '{_CYRILLIC}') as t from conversations), n as (select *, len(regexp_extract_all(t, '\p{{L}}')) as letters, len(regexp_extract_all(t, '[Ѐ-ӿ]')) as cyrillic from s) select conv_id, count(*) filter (where not regexp_matches(t, '[A-Za-z]{{4,}}') and (letters = 0 or (letters - cyrillic) / letters <= .4)) as kept from n group by 1")
 def _(spark, d):
-    i = F.col("turn") % 3
-    text = F.when(i == 0, F.col("text")).when(i == 1, F.lit("так abc de")).otherwise(F.lit("привіт як справи ok"))
+    text = F.translate("text", _LATIN, _CYRILLIC)
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(text.alias("text"))).alias("s"))
     return c.select("conv_id", F.size(classify.clean_segments(F.col("s"))).cast("long").alias("kept"))
 
@@ -162,10 +166,10 @@ def _(spark, d):
     return met.select("a", "b", "i", F.round(i / (F.col("x") + F.col("y") - i), 4).alias("jaccard"), F.round(2 * i / (F.col("x") + F.col("y")), 4).alias("dice"), F.round(i / F.least("x", "y"), 4).alias("overlap"))
 
 
-@query("U6_evolution", f"with {TOKENS_SQL}, c as (select lemma, lang, count(*) as n from tok group by 1, 2) select lemma, coalesce(max(n) filter (where lang = 'en'), 0) as en_freq, coalesce(max(n) filter (where lang = 'fr'), 0) as fr_freq from c group by 1")
+@query("U6_evolution", f"with {TOKENS_SQL}, c as (select lemma, lang, count(*) as n from tok group by 1, 2) select lemma, " + ", ".join(f"coalesce(max(n) filter (where lang = '{x}'), 0) as {x}_freq" for x in ("de", "en", "es", "fr")) + " from c group by 1")
 def _(spark, d):
     rows = lexical.tokens(table(spark, d, "documents")).groupBy("lemma", F.col("lang").alias("phase")).agg(F.count("*").alias("freq"))
-    return lexical.evolution(rows, ["en", "fr"], ("freq",), "freq")
+    return lexical.evolution(rows, ["de", "en", "es", "fr"], ("freq",), "freq")
 
 
 @query("F3_letters_tokens", r"select doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^\p{L}'))) as n from documents")
@@ -227,18 +231,15 @@ def _(spark, d):
     return x.select("p_partkey", F.round(statistics.chi2_p(F.col("x"), F.lit(3)), 6).alias("p3"), F.round(statistics.normal_p(F.col("x")), 6).alias("pz"))
 
 
-@query("F19_entities", "select conv_id, turn, lower(role) as entity from conversations")
+@query("F19_entities", r"select conv_id, turn, lower(regexp_replace(regexp_replace(trim(text), '^[\s\p{P}]+', ''), '[\s\p{P}]+$', '')) as entity from conversations")
 def _(spark, d):
-    shown = F.concat(F.lit(" «"), F.upper("role"), F.lit("»!, "))
-    return table(spark, d, "conversations").select("conv_id", "turn", words.entity_name(shown).alias("entity"))
+    return table(spark, d, "conversations").select("conv_id", "turn", words.entity_name(F.col("text")).alias("entity"))
 
 
 @query("L17_communities")
 def _(spark, d):
     from tessera.operators.graphs import centralities
 
-    from tessera.plans.lexicometry import network_edges
-
     return centralities(network_edges(spark, d), ["lang"]).groupBy("lang", "community").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("lemma")).alias("lemmas"))
 
 
@@ -261,14 +262,11 @@ def _(spark, d):
     return cleaning.repair(rows, patches, "doc_id")
 
 
-@query("S25_edges", f"with {TOKENS_SQL}, t as (select doc_id, pos, lemma from tok where lemma in ('the', 'of', 'and', 'to')), p as (select distinct x.doc_id, least(x.lemma, y.lemma) as a, greatest(x.lemma, y.lemma) as b from t x join t y on x.doc_id = y.doc_id and y.pos - x.pos between 1 and 5 and x.lemma <> y.lemma) select a as \"Source\", b as \"Target\", count(*) as \"RawCount\" from p group by 1, 2")
+@query("S25_edges", f"with {cooccurrence_sql(**NETWORK)} select lang, a as \"Source\", b as \"Target\", pmi as \"Weight\", count as \"RawCount\" from edges")
 def _(spark, d):
     from tessera.sources.files import edge_table
 
-    rows = lexical.tokens(table(spark, d, "documents"), keep=("doc_id",))
-    pairs = lexical.window_pairs(rows, spark.createDataFrame([(x,) for x in ("the", "of", "and", "to")], "lemma string"), 5)
-    edges = pairs.groupBy("a", "b").agg(F.count("*").alias("count")).withColumn("pmi", F.lit(0.0))
-    return edge_table(edges).drop("Weight")
+    return edge_table(network_edges(spark, d), ["lang"])
 
 
 @query("S17_gexf")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import concordance, lexical, summaries
 from tessera.operators.ordering import shared_folder
-from tessera.plans.registry import TOKENS_SQL, query, table
+from tessera.plans.registry import TOKENS_SQL, chi2_sql, query, table
 
 
 def _tokens(spark, d):
@@ -146,7 +146,7 @@ def _(spark, d):
     return lexical.collocations(_tokens(spark, d), ["lang"], least=4, top=100, pairs=pairs).drop("rank")
 
 
-def _cooccurrence_sql(threshold: float, top: int = 60) -> str:
+def cooccurrence_sql(threshold: float, top: int = 60) -> str:
     return f"""{TOKENS_SQL}, f as (select lang, lemma, count(*) as f from tok group by 1, 2), vocab as (select lang, lemma from f qualify row_number() over (partition by lang order by f desc, lemma) <= {top}),
 t as (select tok.* from tok join vocab using (lang, lemma)),
 p as (select distinct x.lang, x.doc_id, least(x.lemma, y.lemma) as a, greatest(x.lemma, y.lemma) as b from t x join t y on x.doc_id = y.doc_id and y.pos - x.pos between 1 and 5 and x.lemma <> y.lemma),
@@ -167,12 +167,12 @@ def network_edges(spark, d):
     return lexical.cooccurrence(table(spark, d, "documents"), window=5, least=3, by=["lang"], **NETWORK)
 
 
-@query("L5_cooccurrence", f"with {_cooccurrence_sql(-0.5)} select * from edges")
+@query("L5_cooccurrence", f"with {cooccurrence_sql(-0.5)} select * from edges")
 def _(spark, d):
     return _edges(spark, d)
 
 
-@query("L6_matrix", f"with {_cooccurrence_sql(-0.5)} select lang, a, b, count, pmi from edges union all select lang, b, a, count, pmi from edges")
+@query("L6_matrix", f"with {cooccurrence_sql(-0.5)} select lang, a, b, count, pmi from edges union all select lang, b, a, count, pmi from edges")
 def _(spark, d):
     return lexical.symmetric(_edges(spark, d)).select("lang", "a", "b", "count", "pmi")
 
@@ -222,14 +222,14 @@ def _(spark, d):
 _DEGREES = "(select lang, a as lemma, pmi from edges union all select lang, b, pmi from edges)"
 
 
-@query("L9_degrees", f"with {_cooccurrence_sql(**NETWORK)} select lang, lemma, count(*) as degree, cast(round(sum(cast(pmi as decimal(20,4))), 3) as double) as weighted_degree from {_DEGREES} group by 1, 2")
+@query("L9_degrees", f"with {cooccurrence_sql(**NETWORK)} select lang, lemma, count(*) as degree, cast(round(sum(cast(pmi as decimal(20,4))), 3) as double) as weighted_degree from {_DEGREES} group by 1, 2")
 def _(spark, d):
     from tessera.operators.graphs import degrees
 
     return degrees(network_edges(spark, d), ["lang"])
 
 
-@query("L9_density", f"with {_cooccurrence_sql(**NETWORK)}, v as (select lang, count(distinct lemma) as nodes from {_DEGREES} group by 1), e as (select lang, count(*) as edges from edges group by 1) select lang, nodes, edges, round(2.0 * edges / (nodes * (nodes - 1)), 6) as density from v join e using (lang)")
+@query("L9_density", f"with {cooccurrence_sql(**NETWORK)}, v as (select lang, count(distinct lemma) as nodes from {_DEGREES} group by 1), e as (select lang, count(*) as edges from edges group by 1) select lang, nodes, edges, round(2.0 * edges / (nodes * (nodes - 1)), 6) as density from v join e using (lang)")
 def _(spark, d):
     from tessera.operators.graphs import density
 
@@ -252,7 +252,7 @@ def _(spark, d):
     return lexical.evolution(nodes.join(freq, ["phase", "lemma"]), ["de", "en", "es", "fr"])
 
 
-@query("J7_edges_of_nodes", f"with {_cooccurrence_sql(**NETWORK)}, v as (select lang, lemma from {_DEGREES} group by 1, 2 having count(*) > 4) select e.lang, a, b, count, pmi from edges e join v x on x.lang = e.lang and x.lemma = a join v y on y.lang = e.lang and y.lemma = b")
+@query("J7_edges_of_nodes", f"with {cooccurrence_sql(**NETWORK)}, v as (select lang, lemma from {_DEGREES} group by 1, 2 having count(*) > 4) select e.lang, a, b, count, pmi from edges e join v x on x.lang = e.lang and x.lemma = a join v y on y.lang = e.lang and y.lemma = b")
 def _(spark, d):
     from tessera.operators.graphs import degrees
 
@@ -276,7 +276,7 @@ def _(spark, d):
     return only.select("lemma", F.col("rank").cast("long").alias("rank"))
 
 
-@query("L14_shared_chi2", f"with {_TURNS_SQL}, {_TOPS}, s as (select lemma from r where k <= 50 group by 1 having count(*) = 2), o as (select role, lemma, cast(f as double) as o from r where lemma in (select lemma from s)), e as (select *, sum(o) over (partition by role) * sum(o) over (partition by lemma) / sum(o) over () as e, sum(o) over () as n from o) select round(sum((o - e) * (o - e) / e), 4) as chi2, cast((count(distinct role) - 1) * (count(distinct lemma) - 1) as bigint) as df, round(sqrt(sum((o - e) * (o - e) / e) / (max(n) * (least(count(distinct role), count(distinct lemma)) - 1))), 4) as v from e")
+@query("L14_shared_chi2", f"with {_TURNS_SQL}, {_TOPS}, s as (select lemma from r where k <= 50 group by 1 having count(*) = 2), o as (select role, lemma, cast(f as double) as o from r where lemma in (select lemma from s)), e as (select *, sum(o) over (partition by role) * sum(o) over (partition by lemma) / sum(o) over () as e, sum(o) over () as n from o) select round(sum((o - e) * (o - e) / e), 4) as chi2, cast((count(distinct role) - 1) * (count(distinct lemma) - 1) as bigint) as df, round(sqrt(sum((o - e) * (o - e) / e) / (max(n) * (least(count(distinct role), count(distinct lemma)) - 1))), 4) as v, round({chi2_sql('sum((o - e) * (o - e) / e)', '(count(distinct role) - 1) * (count(distinct lemma) - 1)')}, 6) as p from e")
 def _(spark, d):
     return lexical.shared_chi2(_turns(spark, d), "role", "user", "assistant", 50)
 
@@ -357,10 +357,10 @@ def _(spark, d):
     return spark.createDataFrame([(k, round(c, 6), round(p, 6), k == best) for k, c, p in found], "k int, coherence double, log_perplexity double, taken boolean")
 
 
-@query("L15_toponyms", "with n as (select doc_id, lang, unnest(regexp_extract_all(text, '[A-ZÀ-Þ][a-zà-ÿ]{6,}')) as e from documents), l as (select lower(e) as entity, lang from n) select entity, count(*) filter (where lang = 'en') as en, count(*) filter (where lang = 'fr') as fr, count(*) filter (where lang in ('en', 'fr')) as total from l group by 1 having total >= 5")
+@query("L15_toponyms", "with n as (select doc_id, lang, unnest(regexp_extract_all(text, '[A-ZÀ-Þ][a-zà-ÿ]{6,}')) as e from documents), l as (select lower(e) as entity, lang from n) select entity, count(*) filter (where lang = 'de') as de, count(*) filter (where lang = 'en') as en, count(*) filter (where lang = 'es') as es, count(*) filter (where lang = 'fr') as fr, count(*) filter (where lang in ('de', 'en', 'es', 'fr')) as total from l group by 1 having total >= 5")
 def _(spark, d):
     from tessera.functions.text import entity_name
 
     found = F.explode(F.regexp_extract_all("text", F.lit("[A-ZÀ-Þ][a-zà-ÿ]{6,}"), F.lit(0)))
     rows = table(spark, d, "documents").select("lang", found.alias("e")).select("lang", entity_name(F.col("e")).alias("entity"))
-    return summaries.crosstab(rows, "entity", "lang", ["en", "fr"]).where("total >= 5")
+    return summaries.crosstab(rows, "entity", "lang", ["de", "en", "es", "fr"]).where("total >= 5")

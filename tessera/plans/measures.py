@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as words
 from tessera.operators import factors, periods, similarity, statistics
-from tessera.plans.registry import EVENT_PHASE_SQL, EVENT_PHASES, erfc_sql, query, table
+from tessera.plans.registry import EVENT_PHASE_SQL, EVENT_PHASES, chi2_sql, erfc_sql, query, rho_sql, table
 
 
 def _events(spark, d):
@@ -16,7 +16,7 @@ def _events(spark, d):
 _CELLS = f"c as (select {EVENT_PHASE_SQL} as r, event_type as k, count(*) as o from events where {EVENT_PHASE_SQL} is not null group by 1, 2), a as (select x.r, y.k, cast(coalesce(o, 0) as double) as o from (select distinct r from c) x cross join (select distinct k from c) y left join c on c.r = x.r and c.k = y.k), e as (select *, sum(o) over (partition by r) as nr, sum(o) over (partition by k) as nk, sum(o) over () as n from a), f as (select *, nr * nk / n as e from e)"
 
 
-@query("M1_chi_square", f"with {_CELLS} select round(sum((o - e) * (o - e) / e), 4) as chi2, cast((count(distinct r) - 1) * (count(distinct k) - 1) as bigint) as df, round(sqrt(sum((o - e) * (o - e) / e) / (max(n) * (least(count(distinct r), count(distinct k)) - 1))), 4) as v from f")
+@query("M1_chi_square", f"with {_CELLS} select round(sum((o - e) * (o - e) / e), 4) as chi2, cast((count(distinct r) - 1) * (count(distinct k) - 1) as bigint) as df, round(sqrt(sum((o - e) * (o - e) / e) / (max(n) * (least(count(distinct r), count(distinct k)) - 1))), 4) as v, round({chi2_sql('sum((o - e) * (o - e) / e)', '(count(distinct r) - 1) * (count(distinct k) - 1)')}, 6) as p from f")
 def _(spark, d):
     return statistics.chi_square(statistics.contingency(_events(spark, d), "phase", "event_type"))
 
@@ -26,7 +26,7 @@ def _(spark, d):
     return statistics.residuals(statistics.contingency(_events(spark, d), "phase", "event_type"))
 
 
-@query("M1_yates", "with c as (select quality as r, toxic as k, cast(count(*) as double) as o from labels group by 1, 2), a as (select x.r, y.k, coalesce(o, 0) as o from (select distinct r from c) x cross join (select distinct k from c) y left join c on c.r = x.r and c.k = y.k), e as (select *, sum(o) over (partition by r) * sum(o) over (partition by k) / sum(o) over () as e, sum(o) over () as n from a), g as (select *, abs(o - e) - least(.5, abs(o - e)) as z from e) select round(sum(z * z / e), 4) as chi2, cast(1 as bigint) as df, round(sqrt(sum(z * z / e) / max(n)), 4) as v from g")
+@query("M1_yates", "with c as (select quality as r, toxic as k, cast(count(*) as double) as o from labels group by 1, 2), a as (select x.r, y.k, coalesce(o, 0) as o from (select distinct r from c) x cross join (select distinct k from c) y left join c on c.r = x.r and c.k = y.k), e as (select *, sum(o) over (partition by r) * sum(o) over (partition by k) / sum(o) over () as e, sum(o) over () as n from a), g as (select *, abs(o - e) - least(.5, abs(o - e)) as z from e) select round(sum(z * z / e), 4) as chi2, cast(1 as bigint) as df, round(sqrt(sum(z * z / e) / max(n)), 4) as v, round(" + chi2_sql("sum(z * z / e)", "1") + ", 6) as p from g")
 def _(spark, d):
     return statistics.chi_square(statistics.contingency(table(spark, d, "labels"), "quality", "toxic"), correct=True)
 
@@ -70,22 +70,22 @@ def _(spark, d):
     return statistics.adjust(z, "p", ["all"]).select("a", "b", "z", *(F.round(c, 6).alias(c) for c in ("p", "p_adj")))
 
 
-_RHO = "select {g}count(*) as n, round(corr(rx, ry), 4) as rho from (select {g}rank() over ({p}order by x) + (count(*) over ({p2}) - 1) / 2.0 as rx, rank() over ({p}order by y) + (count(*) over ({p3}) - 1) / 2.0 as ry from ({src}))"
+RANKED = "select {g}rank() over ({p}order by x) + (count(*) over ({p2}) - 1) / 2.0 as rx, rank() over ({p}order by y) + (count(*) over ({p3}) - 1) / 2.0 as ry from ({src})"
 
 
-@query("M5_spearman", _RHO.format(g="", p="", p2="partition by x", p3="partition by y", src="select p_size as x, round(p_retailprice / 10) as y from part"))
+@query("M5_spearman", rho_sql("", RANKED.format(g="", p="", p2="partition by x", p3="partition by y", src="select p_size as x, round(p_retailprice / 10) as y from part")))
 def _(spark, d):
     return statistics.spearman(table(spark, d, "part").withColumn("y", F.round(F.col("p_retailprice") / 10)), "p_size", "y")
 
 
-@query("M5_spearman_by_group", _RHO.format(g="g, ", p="partition by g ", p2="partition by g, x", p3="partition by g, y", src="select l_returnflag as g, l_quantity as x, l_discount as y from lineitem") + " group by 1")
+@query("M5_spearman_by_group", rho_sql("g, ", RANKED.format(g="g, ", p="partition by g ", p2="partition by g, x", p3="partition by g, y", src="select l_returnflag as g, l_quantity as x, l_discount as y from lineitem"), "g, "))
 def _(spark, d):
     rows = statistics.spearman(table(spark, d, "lineitem"), "l_quantity", "l_discount", ["l_returnflag"])
     return rows.withColumnRenamed("l_returnflag", "g")
 
 
 def _rho_of(x: str, y: str) -> str:
-    return f"select '{x}' as x, '{y}' as y, n, rho from (" + _RHO.format(g="", p="", p2="partition by x", p3="partition by y", src=f"select {x} as x, {y} as y from lineitem where {x} is not null and {y} is not null") + ")"
+    return rho_sql(f"'{x}' as x, '{y}' as y, ", RANKED.format(g="", p="", p2="partition by x", p3="partition by y", src=f"select {x} as x, {y} as y from lineitem where {x} is not null and {y} is not null"))
 
 
 @query("M5_spearman_matrix", " union all ".join(_rho_of(x, y) for x, y in (("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_tax"))))
@@ -198,10 +198,18 @@ def _(spark, d):
     return found.select("vec_id", *(F.round(F.get("pc", F.lit(i)), 6).alias(f"pc{i + 1}") for i in range(3)))
 
 
+@query("M7_explained")
+def _(spark, d):
+    """The components' shares of the variance, and their running sum."""
+    _, shares = factors.pca(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    upto = shares.cumsum()
+    return spark.createDataFrame([(i + 1, round(float(x), 6), round(float(upto[i]), 6)) for i, x in enumerate(shares)], "component int, share double, upto double")
+
+
 @query("M8_kmeans")
 def _(spark, d):
     components, _ = factors.pca(table(spark, d, "embeddings"), "vec_id", "embedding")
-    return factors.kmeans(components, "vec_id", "pc", 3, runs=3)[0]
+    return factors.kmeans(components, "vec_id", "pc", 3)[0]
 
 
 @query("M6_changepoints")

@@ -34,6 +34,28 @@ def erfc_sql(x: str) -> str:
     return f"greatest(0.0, 1 - 2 / sqrt(pi()) * ({x}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: {inner})))"
 
 
+def chi2_sql(x: str, df: str) -> str:
+    """The upper tail of chi-square, by the series of the lower incomplete gamma function."""
+    a, y = f"(({df}) / 2.0)", f"(({x}) / 2.0)"
+    return f"case when ({x}) <= 0 then 1.0 else greatest(0.0, 1 - list_sum(list_transform(range(0, 600), lambda i: exp(({a} + i) * ln({y}) - {y} - lgamma({a} + i + 1))))) end"
+
+
+def t_sql(t: str, df: str) -> str:
+    """The two-sided p of Student's t, by Simpson's rule over its density."""
+    steps = 2000
+    at = f"(abs({t}) * i / {steps}.0)"
+    density = f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0) - 0.5 * ln(({df}) * pi()) - (({df}) + 1) / 2.0 * ln(1 + {at} * {at} / ({df})))"
+    inner = f"(case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end) * {density}"
+    return f"greatest(0.0, 1 - 2 * abs({t}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: {inner})))"
+
+
+def rho_sql(select: str, source: str, group: str = "") -> str:
+    """`select`, n, rho, p and stars of the ranks rx, ry of `source`."""
+    stars = "case when p is null then null when p < .001 then '***' when p < .01 then '**' when p < .05 then '*' else 'ns' end"
+    t = "(r * sqrt((n - 2) / (1 - r * r)))"
+    return f"select {select}n, round(r, 4) as rho, round(p, 6) as p, {stars} as stars from (select *, {t_sql(t, 'n - 2')} as p from (select {group}count(*) as n, corr(rx, ry) as r from ({source}){' group by all' if group else ''}))"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(function: Query) -> Query:
         QUERIES[name] = function

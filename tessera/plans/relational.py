@@ -128,9 +128,10 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", classify.first_match(_urls(), classify.PLATFORMS).alias("platform"))
 
 
-@query("P15_fundraising", f"select page_id, {_case('u', classify.FUNDRAISING, True)} as service from (select page_id, {_URLS} as u from pages)")
+@query("P15_fundraising", f"with p as (select page_id, {_URLS} as u, html from pages), s as (select page_id, {_case('u', classify.FUNDRAISING, True)} as service from p) select * from s union all select page_id, 'PrivatBank' from p where regexp_matches(lower(html), 'приватбанк|privatbank|password') and page_id not in (select page_id from s where service is not null)")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", classify.first_match(_urls(), classify.FUNDRAISING, contains=True).alias("service"))
+    pages = table(spark, d, "pages").select("page_id", _urls().alias("u"), "html")
+    return classify.with_bank_mentions(pages, "page_id", "u", "html", pattern=classify.BANK + "|password").select("page_id", "service")
 
 
 _WORDS = (("the", "the "), ("secret", "password|token"), ("mail", "@[a-z0-9.]+"), ("card", "[0-9]{16}"))
@@ -141,6 +142,11 @@ def _(spark, d):
     return classify.mentions(table(spark, d, "documents"), "doc_id", F.col("text"), _WORDS, (("key", "AKIA[A-Z0-9]{16}"),))
 
 
+@query("P16_platform_mentions", "select * from (" + " union all ".join(f"select page_id, '{label}' as category from pages where regexp_matches(lower(html || ' ' || url), '{p}')" for label, p in classify.PLATFORM_MENTIONS) + ")")
+def _(spark, d):
+    return classify.mentions(table(spark, d, "pages"), "page_id", F.concat_ws(" ", "html", "url"), classify.PLATFORM_MENTIONS, ())
+
+
 @query("P17_branding", "select conv_id, turn, case when regexp_matches(t || ' ' || role, '414') then 'strong' when regexp_matches(t || ' ' || role, 'system') then 'second' when regexp_matches(role, 'user') then 'name' when regexp_matches(t || ' ' || role, '.') then 'other' else 'none' end as brand from (select *, text as t from conversations)")
 def _(spark, d):
     c = table(spark, d, "conversations")
@@ -193,10 +199,10 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", classify.image_format(F.col("p_size"), F.col("p_partkey") % 50, buckets).alias("format"))
 
 
-@query("P31_media_type", "select event_id, case when m like 'image/%' then 'photo' when m like 'video/%' then 'video' when m like 'audio/%' then 'audio' when m like 'application/%' then 'document' when m is not null then 'other' end as kind from (select event_id, case event_id % 6 when 0 then 'image/png' when 1 then 'video/mp4' when 2 then 'audio/ogg' when 3 then 'application/pdf' when 4 then 'text/plain' end as m from events)")
+@query("P31_media_type", "select event_id, case when m like 'image/%' then 'photo' when m like 'video/%' then 'video' when m like 'audio/%' then 'audio' when m is not null then 'document' end as kind from (select event_id, case event_id % 7 when 0 then 'image/png' when 1 then 'video/mp4' when 2 then 'audio/ogg' when 3 then 'application/pdf' when 4 then 'text/plain' when 5 then '' end as m from events)")
 def _(spark, d):
-    mimes = ("image/png", "video/mp4", "audio/ogg", "application/pdf", "text/plain")
-    mime = F.get(F.array(*map(F.lit, mimes)), (F.col("event_id") % 6).cast("int"))
+    mimes = ("image/png", "video/mp4", "audio/ogg", "application/pdf", "text/plain", "")
+    mime = F.get(F.array(*map(F.lit, mimes)), (F.col("event_id") % 7).cast("int"))
     return table(spark, d, "events").select("event_id", cleaning.media_from_mime(mime).alias("kind"))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tessera.functions.media import resolution
 from tessera.operators import classify, cleaning, concordance, factors, lexical, periods, statistics, summaries
 from tessera.operators.lexical import top_n
-from tessera.plans.measures import KRUSKAL_SQL, ranks_sql
-from tessera.plans.registry import EVENT_PHASE_SQL, EVENT_PHASES, ORDER_PHASE_SQL, ORDER_PHASES, TOKENS_SQL, query, table
+from tessera.plans.measures import KRUSKAL_SQL, RANKED, ranks_sql
+from tessera.plans.registry import EVENT_PHASE_SQL, EVENT_PHASES, ORDER_PHASE_SQL, ORDER_PHASES, TOKENS_SQL, query, rho_sql, table
 
 _MONTH_SQL = "cast(date_trunc('month', o_orderdate) as date)"
 
@@ -59,6 +59,22 @@ def _(spark, d):
     return some.join(F.broadcast(total), "phase").withColumn("rate", F.round(100 * F.col("n") / F.col("n_total"), 4))
 
 
+_TITLES = "select page_id, cast(page_id % 36 as integer) as month, " + "case when page_id % 8 = 3 then 'https://send.monobank.ua/jar' when page_id % 8 = 4 then 'https://forms.gle/abc' else url end as url, html from pages"
+
+
+@query("Q17_fundraising_by_year", f"""with p as ({_TITLES}), l as (select page_id, month // 12 as year, {' '.join(['case', *(f"when contains(lower(url), '{pattern}') then '{label}'" for label, pattern in classify.FUNDRAISING), 'end'])} as service from p),
+b as (select page_id, month // 12 as year, 'PrivatBank' as service from p where regexp_matches(lower(html), 'the secret|приватбанк|privatbank') and page_id not in (select page_id from l where service is not null))
+select year, service, count(distinct page_id) as n, round(100.0 * count(distinct page_id) / sum(count(distinct page_id)) over (partition by year), 4) as share from (select * from l where service is not null union all select * from b) group by 1, 2""")
+def _(spark, d):
+    """Services by year, with the pages that name the bank and have no other fundraising link."""
+    i = F.col("page_id") % 8
+    url = F.when(i == 3, "https://send.monobank.ua/jar").when(i == 4, "https://forms.gle/abc").otherwise(F.col("url"))
+    pages = table(spark, d, "pages").select("page_id", F.floor((F.col("page_id") % 36) / 12).cast("int").alias("year"), url.alias("url"), "html")
+    rows = classify.with_bank_mentions(pages, "page_id", "url", "html", pattern="the secret|" + classify.BANK)
+    counts = rows.where("service is not null").groupBy("year", "service").agg(F.countDistinct("page_id").alias("n"))
+    return summaries.share(counts, "n", ["year"])
+
+
 @query("Q19_heatmap_by_quarter", "select concat(year(o_orderdate), '-Q', quarter(o_orderdate)) as quarter, isodow(o_orderdate) as dow, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (partition by concat(year(o_orderdate), '-Q', quarter(o_orderdate))), 4) as share from orders group by 1, 2")
 def _(spark, d):
     o = table(spark, d, "orders").groupBy(periods.period_of(F.col("o_orderdate"), "quarter").alias("quarter"), (F.weekday("o_orderdate") + 1).cast("long").alias("dow")).agg(F.count("*").alias("n"))
@@ -185,7 +201,7 @@ def _(spark, d):
     return summaries.with_quantiles(o, ["phase"], {"med": ("x", 0.5), "p25": ("x", 0.25)}, F.count("*").alias("n"), decimals=4)
 
 
-@query("Q44_spearman_by_phase", f"select phase, count(*) as n, round(corr(rx, ry), 4) as rho from (select phase, rank() over (partition by phase order by x) + (count(*) over (partition by phase, x) - 1) / 2.0 as rx, rank() over (partition by phase order by y) + (count(*) over (partition by phase, y) - 1) / 2.0 as ry from (select {EVENT_PHASE_SQL} as phase, hour(ts) as x, round(value) as y from events where value is not null) where phase is not null) group by 1")
+@query("Q44_spearman_by_phase", rho_sql("phase, ", RANKED.format(g="phase, ", p="partition by phase ", p2="partition by phase, x", p3="partition by phase, y", src=f"select * from (select {EVENT_PHASE_SQL} as phase, hour(ts) as x, round(value) as y from events where value is not null) where phase is not null"), "phase, "))
 def _(spark, d):
     e = _events(spark, d).withColumns({"x": F.hour("ts"), "y": F.round("value")})
     return statistics.spearman(e, "x", "y", ["phase"])
@@ -217,7 +233,7 @@ def _(spark, d):
 @query("Q50_clusters_by_label")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    clusters, _ = factors.kmeans(factors.pca(e, "vec_id", "embedding")[0], "vec_id", "pc", 3, runs=2)
+    clusters, _ = factors.kmeans(factors.pca(e, "vec_id", "embedding")[0], "vec_id", "pc", 3)
     counts = clusters.join(e.select("vec_id", "label"), "vec_id").groupBy("cluster", "label").agg(F.count("*").alias("n"))
     return summaries.share(counts, "n", ["cluster"])
 

@@ -199,9 +199,9 @@ def media_files(spark: SparkSession, path: str, pattern: str = "*", content: boo
     return rows.select("path", F.coalesce(frame, F.lit(1)).alias("frame"), F.col("length").alias("bytes"), *(["content"] if content else []))
 
 
-def edge_table(edges: DataFrame) -> DataFrame:
+def edge_table(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Edges in the column names of graph programs."""
-    return edges.select(F.col("a").alias("Source"), F.col("b").alias("Target"), F.col("pmi").alias("Weight"), F.col("count").alias("RawCount"))
+    return edges.select(*by, F.col("a").alias("Source"), F.col("b").alias("Target"), F.col("pmi").alias("Weight"), F.col("count").alias("RawCount"))
 
 
 def matrix(edges: DataFrame, labels: Sequence[str]) -> DataFrame:

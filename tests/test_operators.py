@@ -299,3 +299,21 @@ def test_running_sum_and_ranks_over_the_whole_table(spark):
     ranks = {r.k: r.r for r in statistics.ranked(df, "v").collect()}
     assert all(ranks[i] == 3 * (i // 3) + (2 if i < 198 else 1.5) for i in range(200))
     assert running_sum(df.limit(0), ["k"]).count() == 0
+
+
+def test_student_p():
+    assert statistics.beta_share(2.5, 0.5, 5 / (5 + 2.570581835636314**2)) == pytest.approx(0.05, abs=1e-12)
+    assert statistics.beta_share(50_000, 0.5, 100_000 / (100_000 + 1.959987713**2)) == pytest.approx(0.05, abs=1e-7)
+    assert statistics.beta_share(0.5, 0.5, 0.5) == pytest.approx(0.5, abs=1e-14) and statistics.beta_share(1, 1, 0.3) == pytest.approx(0.3, abs=1e-14)
+    assert [statistics.beta_share(2, 3, x) for x in (0, 1)] == [0, 1]
+
+
+def test_p_values_beside_their_statistics(spark):
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 1.0), ("a", 3.0, 4.0), ("a", 4.0, 3.0), ("a", 5.0, 6.0), ("b", 6.0, 5.0), ("c", 7.0, 8.0), ("d", 8.0, 7.0), ("d", 9.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    (r,) = statistics.spearman(df, "x", "y").collect()
+    assert (r.n, r.rho, r.stars) == (8, 0.9048, "**") and r.p == pytest.approx(0.002008, abs=2e-6)
+    (k,) = statistics.kruskal(df, "x", "g").collect()
+    assert (k.k, k.df) == (4, 3) and k.p == pytest.approx(statistics.upper_gamma(1.5, k.h / 2), abs=1e-4)
+    same = spark.createDataFrame([(float(i), float(i)) for i in range(5)], "x double, y double")
+    assert [(r.rho, r.p, r.stars) for r in statistics.spearman(same, "x", "y").collect()] == [(1.0, 0.0, "***")]
