@@ -3,8 +3,8 @@
 A word is a Unicode letter with the letters and marks that follow it.
 `fit` counts words and character n-grams (of words marked with ^ and $) per language over labelled rows. Where there are more than
 `train_docs` labelled rows of a language, a hashed share of about that many is taken, which bounds the fit and the model that is broadcast:
-it grows with the languages, not with the rows. All entries of these rows are kept but long ones seen once in all, with their counts in all languages. Entries
-are held as 64-bit hashes, and only the languages that have an entry are stored with it.
+it grows with the languages, not with the rows. All entries of these rows are kept, with their counts in all languages. Entries
+are held as 64-bit hashes, and only the languages that have an entry are stored with it; of entries seen once in all, which are most, only the language.
 `identify` adds, over all words of a whole text, a vector with an entry for each language: log frequencies of
 the word where it is known, else the mean log frequencies of its known n-grams of the longest length that has any.
 
@@ -53,30 +53,41 @@ def hash_of(kind: str, entry: str) -> int:
 
 
 class Entries:
-    """Log frequencies by language of the entries of one kind: sorted hashes, and for each what its languages have above an entry not seen."""
+    """Log frequencies by language of the entries of one kind: sorted hashes, and for each what its languages have above an entry not seen. Entries seen once in all are apart: a hash
+    and a language each."""
 
     def __init__(self, kind: str, hashes: np.ndarray, langs: np.ndarray, n: np.ndarray, n_langs: int, smooth: float):
         order = np.lexsort((langs, hashes))
-        self.kind, self.langs, n = kind, langs[order].astype(np.int32), n[order].astype(float)
-        self.keys, starts = np.unique(hashes[order], return_index=True)
-        self.starts = np.append(starts, len(order))
-        self.absent = np.log(smooth / np.maximum(np.bincount(self.langs, weights=n, minlength=n_langs) + smooth * len(self.keys), smooth))
-        self.more = np.log((n + smooth) / smooth)
+        hashes, langs, n = hashes[order], langs[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(hashes)))
+        once = (sizes == 1) & (n[starts] == 1)
+        rest = ~np.repeat(once, sizes)
+        self.kind, self.keys, self.once = kind, hashes[starts[~once]], hashes[starts[once]]
+        self.langs, self.once_langs = langs[rest].astype(np.int32), langs[starts[once]].astype(np.min_scalar_type(n_langs))
+        self.starts = np.concatenate([[0], np.cumsum(sizes[~once])])
+        self.absent = np.log(smooth / np.maximum(np.bincount(langs, weights=n, minlength=n_langs) + smooth * len(starts), smooth))
+        self.more, self.once_more = np.log((n[rest] + smooth) / smooth), np.log((1 + smooth) / smooth)
 
     def find(self, entries: Sequence[str]) -> np.ndarray:
-        """The entries' places, -1 where not known."""
+        """The entries' places, -1 where not known; those seen once come behind the others."""
         hashes = np.fromiter((hash_of(self.kind, x) for x in entries), np.uint64, len(entries))
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
+        found = np.full(len(hashes), -1)
+        for keys, first in ((self.keys, 0), (self.once, len(self.keys))):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                found = np.where(keys[at] == hashes, first + at, found)
+        return found
 
     def logs(self, places: np.ndarray) -> np.ndarray:
         out = np.tile(self.absent, (len(places), 1))
-        each = self.starts[places + 1] - self.starts[places]
-        row = np.repeat(np.arange(len(places)), each)
-        at = np.arange(len(row)) + np.repeat(self.starts[places] - np.cumsum(each) + each, each)
-        out[row, self.langs[at]] += self.more[at]
+        single = np.flatnonzero(places >= len(self.keys))
+        out[single, self.once_langs[places[single] - len(self.keys)]] += self.once_more
+        many = np.flatnonzero(places < len(self.keys))
+        first = self.starts[places[many]]
+        each = self.starts[places[many] + 1] - first
+        at = np.arange(int(each.sum())) + np.repeat(first - np.cumsum(each) + each, each)
+        out[np.repeat(many, each), self.langs[at]] += self.more[at]
         return out
 
 
@@ -205,7 +216,7 @@ def fit(docs: DataFrame, train_docs: int = 3000) -> Model:
     langs = sorted(lang for lang, _ in sizes)
     places = {lang: i for i, lang in enumerate(langs)}
     share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, min(1.0, train_docs / n))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / float(1 << 53)
     bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +235,12 @@ def fit(docs: DataFrame, train_docs: int = 3000) -> Model:
             lang = pa.array([places[k[0]] for k in out], pa.int32())
             kind = pa.array([KINDS.index(k[1]) for k in out], pa.int8())
             entry = pa.array(np.fromiter((hash_of(k[1], k[2]) for k in out), np.uint64, len(out)).view(np.int64))
-            short = pa.array([len(k[2]) < 4 for k in out], pa.bool_())
-            yield pa.RecordBatch.from_arrays([lang, kind, entry, pa.array(list(out.values()), pa.int64()), short], ["lang", "kind", "entry", "n", "short"])
+            yield pa.RecordBatch.from_arrays([lang, kind, entry, pa.array(list(out.values()), pa.int64())], ["lang", "kind", "entry", "n"])
 
     sample = rows.where(place < F.element_at(share, F.col("lang"))).select("text", "lang")
-    counts = sample.mapInArrow(tidy(count), "lang int, kind byte, entry long, n long, short boolean").groupBy("lang", "kind", "entry", "short").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.mapInArrow(tidy(count), "lang int, kind byte, entry long, n long").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")).toArrow()
     lang, kind, entry, n = (counts.column(c).to_numpy() for c in ("lang", "kind", "entry", "n"))
-    # a long entry seen once in all tells less than its shorter n-grams
-    _, at, times = np.unique(entry, return_inverse=True, return_counts=True)
-    kept = (n > 1) | (times[at] > 1) | counts.column("short").to_numpy()
-    return Model.of_counts(langs, lang[kept], kind[kept], entry[kept].view(np.uint64), n[kept])
+    return Model.of_counts(langs, lang, kind, entry.view(np.uint64), n)
 
 
 def identify(docs: DataFrame, model: Model, carry: Sequence[str] = ()) -> DataFrame:

@@ -252,6 +252,7 @@ def test_a_language_with_few_documents_keeps_its_words(spark):
     docs = [(1, " ".join(common_ * 2), "en"), (2, " ".join(twice * 2), "xx"), (3, " ".join(once), "yy")]
     model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     assert [model.predict(" ".join(x[:50]))[0] for x in (common_, twice, once)] == ["en", "xx", "yy"]
+    assert (model.words.find(sorted({*common_, *twice, *once})) >= 0).all()  # a word seen once is known
 
 
 def test_letters_of_any_script():
@@ -271,10 +272,6 @@ def score_plainly(rows, text):
             counts["w", lang][word] += 1
             for n in range(1, 6):
                 counts[str(n), lang].update(ends(word, n))
-    for kind in langid.KINDS:  # long entries seen once in all are left out
-        whole = sum((counts[kind, lang] for lang in langs), Counter())
-        for lang in langs:
-            counts[kind, lang] = Counter({x: n for x, n in counts[kind, lang].items() if whole[x] > 1 or len(x) < 4})
     known = {kind: set().union(*(counts[kind, lang] for lang in langs)) for kind in langid.KINDS}
     log = lambda kind, x: np.array([np.log((counts[kind, g][x] + 0.5) / (sum(counts[kind, g].values()) + 0.5 * len(known[kind]))) for g in langs])
     total = np.zeros(len(langs))
