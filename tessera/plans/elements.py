@@ -84,7 +84,7 @@ def _(spark, d):
     docs = table(spark, d, "documents")
     lists = concordance.token_lists(docs, keep=("doc_id",)).withColumnRenamed("tokens", "lemmas")
     rows, _ = topics.vectors(lists)
-    found = topics.document_topics(topics.fit(rows, 4, rounds=5), rows, "doc_id")
+    found = topics.document_topics(topics.fit(rows, 4), rows, "doc_id")
     return found.join(docs.select("doc_id", "lang"), "doc_id", "left").groupBy("lang", "dominant").agg(F.count("*").alias("n"))
 
 

@@ -339,22 +339,32 @@ def _(spark, d):
     return chi_square(contingency(_clusters(spark, d), "cluster", "lang"))
 
 
+def _chosen(spark, d):
+    from tessera.operators import topics
+
+    return topics.choose(_lists(spark, d).select("doc_id", F.col("tokens").alias("lemmas")))
+
+
 @query("L11_topics")
 def _(spark, d):
+    """The final model at the number of topics of best coherence: each topic's words, and each document's topics."""
     from tessera.operators import topics
 
-    lists = _lists(spark, d).select("doc_id", F.col("tokens").alias("lemmas"))
-    rows, names = topics.vectors(lists)
-    return topics.top_words(topics.fit(rows, 4, rounds=10), names.vocabulary)
+    found = _chosen(spark, d)
+    words = [("word", t, i + 1, lemma, None, w) for t, own in enumerate(found.words) for i, (lemma, w) in enumerate(own)] if found else []
+    named = spark.createDataFrame(words, "kind string, topic int, rank int, lemma string, doc_id long, weight double")
+    if not found:
+        return named
+    each = topics.document_topics(found.model, found.rows, "doc_id").select("doc_id", F.posexplode("gamma").alias("topic", "weight"))
+    return named.unionByName(each.select(F.lit("document").alias("kind"), "topic", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("lemma"), "doc_id", "weight"))
 
 
 @query("L11_choose")
 def _(spark, d):
     """Coherence and perplexity for each number of topics from 3 to 10, and which is taken."""
-    from tessera.operators import topics
-
-    best, found = topics.choose(_lists(spark, d).select("doc_id", F.col("tokens").alias("lemmas")), rounds=4) or (None, [])
-    return spark.createDataFrame([(k, round(c, 6), round(p, 6), k == best) for k, c, p in found], "k int, coherence double, log_perplexity double, taken boolean")
+    found = _chosen(spark, d)
+    rows = [(k, round(c, 6), round(p, 6), k == found.k) for k, c, p in found.scores] if found else []
+    return spark.createDataFrame(rows, "k int, coherence double, log_perplexity double, taken boolean")
 
 
 @query("L15_toponyms", "with n as (select doc_id, lang, unnest(regexp_extract_all(text, '[A-ZÀ-Þ][a-zà-ÿ]{6,}')) as e from documents), l as (select lower(e) as entity, lang from n) select entity, count(*) filter (where lang = 'de') as de, count(*) filter (where lang = 'en') as en, count(*) filter (where lang = 'es') as es, count(*) filter (where lang = 'fr') as fr, count(*) filter (where lang in ('de', 'en', 'es', 'fr')) as total from l group by 1 having total >= 5")

@@ -166,7 +166,7 @@ def _(spark, d):
 
     docs = table(spark, d, "documents")
     rows, _ = topics.vectors(concordance.token_lists(docs, keep=("doc_id",)).withColumnRenamed("tokens", "lemmas"))
-    found = topics.document_topics(topics.fit(rows, 3, rounds=5), rows, "doc_id").join(docs.select("doc_id", "source"), "doc_id")
+    found = topics.document_topics(topics.fit(rows, 3), rows, "doc_id").join(docs.select("doc_id", "source"), "doc_id")
     means = found.select("source", F.posexplode("gamma").alias("topic", "g")).groupBy("source", "topic").agg(F.avg("g").alias("g"))
     return summaries.share(means, "g", ["source"]).drop("g")
 

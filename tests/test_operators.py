@@ -279,12 +279,42 @@ def test_document_counts_in_topics(spark):
     docs = [(i, ("cat dog pet fur paw " if i % 2 else "car road fuel tyre door ").split() * 3) for i in range(40)]
     lists = spark.createDataFrame(docs, "doc_id long, lemmas array<string>")
     rows, names = topics.vectors(lists)
-    model = topics.fit(rows, 2, rounds=20)
+    model = topics.fit(rows, 2)
     found = topics.document_topics(model, rows, "doc_id").select("doc_id", "dominant").collect()
     assert len({r.dominant for r in found if r.doc_id % 2}) == 1
-    good = topics.coherence(lists, [["cat", "dog", "pet"], ["car", "road", "fuel"]])
-    bad = topics.coherence(lists, [["cat", "road", "pet"], ["car", "dog", "fuel"]])
-    assert good > bad
+    good, bad = [["cat", "dog", "pet"], ["car", "road", "fuel"]], [["cat", "road", "pet"], ["car", "dog", "fuel"]]
+    counts = topics.window_counts(lists, good + bad)
+    assert topics.coherence(counts, good) > topics.coherence(counts, bad)
+
+
+def test_windows_are_counted_as_if_they_were_made(spark):
+    from tessera.operators import topics
+
+    pick = np.random.default_rng(8)
+    docs = [[["a", "b", "c", "d", "e"][i] for i in pick.choice(5, int(n), p=[0.05, 0.05, 0.1, 0.3, 0.5])] for n in pick.integers(0, 60, 40)]
+    lists = spark.createDataFrame([(i, x) for i, x in enumerate(docs)] + [(99, None)], "doc_id long, lemmas array<string>").repartition(3)
+    total, counts = topics.window_counts(lists, [["a", "b", "c"], ["c", "e"]], 7)
+    made = [set(x[i : i + 7]) for x in docs for i in range(max(len(x) - 6, 1))]
+    assert total == len(made)
+    for a, b in [("a", "a"), ("b", "b"), ("c", "c"), ("e", "e"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "e")]:
+        assert counts.get((a, b), 0) == sum({a, b} <= w for w in made)
+    assert ("a", "e") not in counts
+
+
+def test_planted_topics_are_found_again(spark):
+    """Documents of three vocabularies: three topics are chosen, each with the words of one, and every document is given its own."""
+    from tessera.operators import topics
+
+    pick = np.random.default_rng(9)
+    planted = [[f"{x}{i}" for i in range(12)] for x in ("cat", "car", "sea")]
+    docs = [(i, [*pick.choice(planted[i % 3], 40), *pick.choice(["the", "of", "and"], 10)]) for i in range(60)]
+    found = topics.choose(spark.createDataFrame([(i, [str(w) for w in x]) for i, x in docs], "doc_id long, lemmas array<string>"), ks=range(3, 6), words=8)
+    assert [k for k, _, _ in found.scores] == [3, 4, 5] and max(found.scores, key=lambda x: x[1])[0] == found.k == 3
+    kinds = [{w[:3] for w, _ in own} for own in found.words]
+    assert sorted(x for k in kinds for x in k) == ["car", "cat", "sea"]
+    of = {r.doc_id: r.dominant for r in topics.document_topics(found.model, found.rows, "doc_id").collect()}
+    assert all(kinds[of[i]] == {("cat", "car", "sea")[i % 3]} for i, _ in docs)
+    assert topics.choose(spark.createDataFrame([(1, ["a"] * 9)], "doc_id long, lemmas array<string>")) is None
 
 
 def test_running_sum_and_ranks_over_the_whole_table(spark):
