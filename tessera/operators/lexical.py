@@ -16,6 +16,7 @@ from tessera.operators.ordering import durable
 
 #: What counts as a token, after lower-casing.
 TOKEN = r"[\p{L}_][\p{L}\p{N}_]*"
+BETWEEN = "\x01"  # no token has it
 LETTERS_TOKEN = r"(?U)\b[^\W\d_]\w*\b"
 
 
@@ -156,10 +157,11 @@ def window_pairs(rows: DataFrame, vocabulary: DataFrame, window: int, by: Sequen
     def near(x, i):
         # kept tokens are in order of position: at most `window` of the following ones can be near
         behind = F.filter(F.slice(t, i + 2, window), lambda y: (y["pos"] - x["pos"] <= window) & (y["lemma"] != x["lemma"]))
-        return F.transform(behind, lambda y: F.struct(F.least(x["lemma"], y["lemma"]).alias("a"), F.greatest(x["lemma"], y["lemma"]).alias("b")))
+        return F.transform(behind, lambda y: F.concat_ws(BETWEEN, F.least(x["lemma"], y["lemma"]), F.greatest(x["lemma"], y["lemma"])))
 
-    pairs = F.array_distinct(F.flatten(F.transform(t, near)))
-    return lists.select(*by, document, F.inline(pairs))
+    # as strings, of which the distinct ones are found by hashing; structs would be compared one by one
+    each = lists.select(*by, document, F.explode_outer(F.array_distinct(F.flatten(F.transform(t, near)))).alias("pair_")).where("pair_ is not null")
+    return each.select(*by, document, *(F.substring_index("pair_", BETWEEN, i).alias(c) for c, i in (("a", 1), ("b", -1))))
 
 
 def cooccurrence(docs: DataFrame, window: int = 5, top: int = 200, least: int = 3, threshold: float = 2.0, by: Sequence[str] = (), document: str = "doc_id", text: str = "text") -> DataFrame:

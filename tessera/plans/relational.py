@@ -142,9 +142,9 @@ def _(spark, d):
     return classify.mentions(table(spark, d, "documents"), "doc_id", F.col("text"), _WORDS, (("key", "AKIA[A-Z0-9]{16}"),))
 
 
-@query("P16_platform_mentions", "select * from (" + " union all ".join(f"select page_id, '{label}' as category from pages where regexp_matches(lower(html || ' ' || url), '{p}')" for label, p in classify.PLATFORM_MENTIONS) + ")")
+@query("P16_platform_mentions", "select * from (" + " union all ".join(f"select page_id, '{label}' as category from pages where regexp_matches(lower(concat_ws(' ', html, {_URLS})), '{p}')" for label, p in classify.PLATFORM_MENTIONS) + ")")
 def _(spark, d):
-    return classify.mentions(table(spark, d, "pages"), "page_id", F.concat_ws(" ", "html", "url"), classify.PLATFORM_MENTIONS, ())
+    return classify.mentions(table(spark, d, "pages"), "page_id", F.concat_ws(" ", "html", _urls()), classify.PLATFORM_MENTIONS, ())
 
 
 @query("P17_branding", "select conv_id, turn, case when regexp_matches(t || ' ' || role, '414') then 'strong' when regexp_matches(t || ' ' || role, 'system') then 'second' when regexp_matches(role, 'user') then 'name' when regexp_matches(t || ' ' || role, '.') then 'other' else 'none' end as brand from (select *, text as t from conversations)")
