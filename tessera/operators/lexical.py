@@ -151,7 +151,7 @@ def window_pairs(rows: DataFrame, vocabulary: DataFrame, window: int, by: Sequen
     """
     by = list(by)
     marked = rows.join(F.broadcast(vocabulary.select(*(c for c in by if c in vocabulary.columns), "lemma").distinct()), [*(c for c in by if c in vocabulary.columns), "lemma"])
-    lists = marked.groupBy(*by, document).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("t"))
+    lists = marked.groupBy(*by, document).agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("t"))
     t = F.col("t")
 
     def near(x, i):
@@ -168,7 +168,7 @@ def cooccurrence(docs: DataFrame, window: int = 5, top: int = 200, least: int =
     """PMI edges (by.., a, b, count, pmi) among the `top` lemmas of each group of `docs`; counts are of documents. Two scans: the first counts tokens and the documents that hold them in
     one aggregation (a document's sorted tokens tell which is the first of its kind), the second forms pairs."""
     by = list(by)
-    found = docs.select(*by, document, F.array_sort(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("t_"))
+    found = docs.select(*by, document, F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("t_"))
     once = F.transform("t_", lambda x, i: F.struct(x.alias("lemma"), (i == 0) | (x != F.get("t_", i - 1))))
     each = found.select(*by, F.inline_outer(once)).toDF(*by, "lemma", "new_").where("lemma is not null")
     counts = durable(each.groupBy(*by, "lemma").agg(F.count("*").alias("f"), F.count_if("new_").alias("df")))
