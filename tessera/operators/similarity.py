@@ -1,22 +1,27 @@
 """Similarity search: Hamming and cosine, nearest earlier neighbours, mean distances, epsilon components, equal contents.
 
-The exhaustive comparisons (every row with every earlier row) deal both sides into blocks and compare block pairs in vectorised tasks; a
-task emits a row for each of its queries, never its pairs. Compute is quadratic by definition; rows shuffled grow with the number
-of blocks, and no task holds more than two blocks.
+The exhaustive comparisons deal both sides into blocks and compare block pairs in vectorised tasks; a task emits a row for each of its
+queries, or counts, never its pairs. Compute is quadratic by definition; rows shuffled grow with the number of blocks, and no task
+holds more than two blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import durable
+
 BLOCK = 4096
 SLICE = 1024
+STEPS = 1 << 40  # a cosine is a whole number of these steps from -1 up
+SHIFTS = (27, 13, 0)  # three passes find its 41 bits
 
 
 def bits_of(hexadecimal: Column) -> Column:
@@ -43,39 +48,31 @@ def _blocks(rows: DataFrame, block: int) -> int:
     return max(1, -(-rows.count() // block))
 
 
-def block_pairs(rows: DataFrame, order: str, block: int = BLOCK, symmetric: bool = False) -> DataFrame:
-    """Rows with (a_, b_, query_) for each block pair they take part in; blocks are by hash. Every ordered pair of blocks occurs (symmetric:
-    a_ <= b_ only), so each row is copied 2 * n / block times."""
-    n = _blocks(rows, block)
-    own = F.pmod(F.xxhash64(order), F.lit(n)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    as_query = rows.withColumn("a_", own).withColumn("b_", F.explode(others)).withColumn("query_", F.lit(True))
-    as_member = rows.withColumn("b_", own).withColumn("a_", F.explode(others)).withColumn("query_", F.lit(False))
-    both = as_query.unionByName(as_member)
-    return both.where("a_ <= b_") if symmetric else both
-
-
-def _compare(rows: DataFrame, order: str, value: str, distances: Callable[[pa.ChunkedArray, pa.ChunkedArray], np.ndarray], nearest: bool, least: float | None, block: int) -> DataFrame:
-    """For each row and block, over rows with a smaller `order`: the nearest (order, distance), their number, sum and minimum."""
+def _compare(asked: DataFrame, given: DataFrame, distances: Callable[[pa.ChunkedArray, pa.ChunkedArray], np.ndarray], block: int) -> DataFrame:
+    """(id, d, near): for each row of `asked` (id, v) and block of `given` (id, v), the nearest row with a smaller id, of equals the earliest. Blocks are by hash; each row
+    goes to all blocks of the other side."""
+    a, b = _blocks(asked, block), _blocks(given, block)
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(place(a).alias("a_"), every(b).alias("b_"), F.lit(True).alias("asks"), "id", "v")
+    right = given.select(every(a).alias("a_"), place(b).alias("b_"), F.lit(False).alias("asks"), "id", "v")
 
     def task(table: pa.Table) -> pa.Table:
-        query = table.column("query_").to_numpy(zero_copy_only=False)
-        q, m = table.filter(pa.array(query)), table.filter(pa.array(~query))
-        qo, mo = (t.column(order).to_numpy() for t in (q, m))
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        q, m = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+        qo, mo = (t.column("id").to_numpy() for t in (q, m))
         if not len(qo) or not len(mo):
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "total": pa.array([], pa.float64()), "d": pa.array([], pa.float64()), "near": pa.array([], pa.int64())})
+            return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "near": pa.array([], pa.int64())})
         by = np.argsort(mo, kind="stable")
-        d = distances(q.column(value), m.column(value).take(pa.array(by)))
+        d = distances(q.column("v"), m.column("v").take(pa.array(by)))
         mo = mo[by]
         d = np.where(mo[None, :] < qo[:, None], d, np.inf)
-        n = np.isfinite(d).sum(axis=1)
-        total = np.where(np.isfinite(d), d, 0.0).sum(axis=1)
         at = d.argmin(axis=1)  # of equals the earliest
-        some = n > 0
-        return pa.table({"id": qo[some], "n": n[some], "total": total[some], "d": d[np.arange(len(qo)), at][some], "near": mo[at][some]})
+        best = d[np.arange(len(qo)), at]
+        some = np.isfinite(best)
+        return pa.table({"id": qo[some], "d": best[some], "near": mo[at][some]})
 
-    pairs = block_pairs(rows.select(F.col(order).cast("long"), value), order, block)
-    return pairs.groupBy("a_", "b_").applyInArrow(task, "id long, n long, total double, d double, near long")
+    return left.unionByName(right).groupBy("a_", "b_").applyInArrow(task, "id long, d double, near long")
 
 
 def _hamming_matrix(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
@@ -90,10 +87,39 @@ def _cosine_distances(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
     return 1 - np.where(np.isfinite(sims), sims, 0.0)
 
 
-def nearest_earlier(rows: DataFrame, order: str, value: str, kind: str = "hamming", block: int = BLOCK) -> DataFrame:
-    """(order, near, d): the nearest row of those strictly earlier in `order` (a long), the earliest of equals. value: a long for
-    hamming, an array for cosine (distance 1 - cosine)."""
-    found = _compare(rows.where(F.col(value).isNotNull()), order, value, _hamming_matrix if kind == "hamming" else _cosine_distances, True, None, block)
+def _bands(value: str, most: int) -> Column:
+    """Keys of a 64-bit hash, at least one of which two hashes share that are at most `most` bits apart: of most + 3 bands three are equal in such a pair."""
+    n = most + 3
+    edges = [64 * i // n for i in range(n + 1)]
+    masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in some) for some in combinations(range(n), 3)]
+    signed = lambda x: x - (x >> 63 << 64)
+    return F.array(*(F.struct(F.lit(i).alias("i"), F.col(value).bitwiseAND(F.lit(signed(mask)).cast("long")).alias("bits")) for i, mask in enumerate(masks)))
+
+
+def nearest_earlier(rows: DataFrame, order: str, value: str, kind: str = "hamming", block: int = BLOCK, radii: Sequence[int] = (3,)) -> DataFrame:
+    """(order, near, d): the nearest row of those strictly earlier in `order` (a long), the earliest of equals; a row for each value of `order` that has
+    an earlier row. Null values are left out. value: a long for hamming, an array for cosine (distance 1 - cosine).
+
+    Hamming: rows of an equal hash are settled by the first of them, and only firsts go on. For each radius those still open meet the firsts that share
+    three bands, which are all within it. What has no neighbour within the last radius is compared with all firsts, block by block: rows
+    shuffled are linear in the table but for the open rows."""
+    given = rows.where(F.col(value).isNotNull() & F.col(order).isNotNull()).select(F.col(order).cast("long").alias("id"), F.col(value).alias("v"))
+    if kind == "hamming":
+        firsts = durable(given.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+        repeats = given.join(firsts.withColumnRenamed("id", "near"), "v").where("id > near").select("id", F.lit(0.0).alias("d"), "near")
+        settled, asked = [repeats], firsts
+        for radius in radii:
+            left = asked.select(F.col("id").alias("a"), F.col("v").alias("x"), F.explode(_bands("v", radius)).alias("band"))
+            right = firsts.select(F.col("id").alias("b"), F.col("v").alias("y"), F.explode(_bands("v", radius)).alias("band"))
+            d = hamming(F.col("x"), F.col("y"))
+            met = left.join(right, "band").where((F.col("a") > F.col("b")) & (d <= radius))
+            best = durable(met.groupBy("a", "x").agg(F.min(F.struct(d.cast("double").alias("d"), F.col("b").alias("near"))).alias("m")).select(F.col("a").alias("id"), F.col("x").alias("v"), "m.*"))
+            settled.append(best.select("id", "d", "near"))
+            asked = asked.join(best.select("id", "v"), ["id", "v"], "left_anti")
+        settled.append(_compare(asked, firsts, _hamming_matrix, block))
+        found = reduce(DataFrame.unionByName, settled)
+    else:
+        found = _compare(given, given, _cosine_distances, block)
     best = found.groupBy("id").agg(F.min(F.struct("d", "near")).alias("b"))
     return best.select(F.col("id").alias(order), F.col("b.near").alias("near"), F.round("b.d", 6).alias("d"))
 
@@ -113,13 +139,8 @@ def hamming_pairs(rows: DataFrame, key: str, value: str, most: int = 3) -> DataF
     """J14 with a bound: (a, b, n_a, n_b, d): classes of rows with an equal hash, named by their least key, with their numbers of rows, for each pair of
     classes at most `most` bits apart, and each class of more than one row with itself. Rows of a class aren't paired one by one. Of most + 3
     bands of the 64 bits three are equal in such a pair, so equi-joins on any three bands (of half the bits, for three) find them."""
-    n = most + 3
-    edges = [64 * i // n for i in range(n + 1)]
-    masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in some) for some in combinations(range(n), 3)]
-    signed = lambda x: x - (x >> 63 << 64)
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.col(value).bitwiseAND(F.lit(signed(mask)).cast("long")).alias("bits")) for i, mask in enumerate(masks)))
     classes = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(key).alias("id"), F.count("*").alias("n"))
-    banded = classes.select(F.struct(F.col(value).alias("h"), "id", "n").alias("c"), F.explode(bands).alias("band"))
+    banded = classes.select(F.struct(F.col(value).alias("h"), "id", "n").alias("c"), F.explode(_bands(value, most)).alias("band"))
     left, right = banded.withColumnRenamed("c", "x"), banded.withColumnRenamed("c", "y")
     met = left.join(right, "band").where(F.col("x.h") < F.col("y.h")).where(hamming(F.col("x.h"), F.col("y.h")) <= most).select("x", "y").distinct()
     own = classes.where("n > 1").select(F.struct(F.col(value).alias("h"), "id", "n").alias("x")).withColumn("y", F.col("x"))
@@ -182,6 +203,69 @@ def similarity_summary(rows: DataFrame, by: str, vector: str) -> DataFrame:
     return sums.select(by, "n", F.round((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_sim"))
 
 
+def pair_quantiles(rows: DataFrame, by: str, vector: str, points: dict[str, float], block: int = BLOCK, decimals: int = 6) -> DataFrame:
+    """(by, n, a column for each of `points`): quantiles (0 the least, 0.5 the median, interpolated between two pairs) of the cosines of all pairs of a group's
+    vectors. Rows without a group, and vectors that are null or zero or hold null or non-finite components, are left out; n counts the others; groups of one have no row.
+
+    The cosines are never written: each of three passes over block pairs counts them in at most 16,385 bins of each bracket, and the next pass divides the bin that holds
+    the wanted rank. Blocks hold their rows in one order, and cosines are whole steps of 2^-40, so passes agree. Compute is quadratic in a group; a task holds two blocks."""
+    length = norm(F.col(vector))
+    some = rows.where(F.col(by).isNotNull() & F.col(vector).isNotNull() & (length > 0) & (length < float("inf")))
+    sizes = durable(some.groupBy(by).agg(F.count("*").alias("n")).where("n > 1"))
+    units = some.select(by, F.transform(vector, lambda x: x.cast("double") / length).alias("u"), F.monotonically_increasing_id().alias("row_"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = durable(units.join(sizes, by).withColumn("own_", F.pmod(F.xxhash64("row_"), blocks).cast("int")).withColumn("last_", blocks - 1).drop("n"))
+    left = dealt.select(by, "row_", "u", F.lit(True).alias("asks"), F.col("own_").alias("a_"), F.explode(F.sequence("own_", "last_")).alias("b_"))
+    right = dealt.select(by, "row_", "u", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), "own_")).alias("a_"), F.col("own_").alias("b_"))
+    met = left.unionByName(right)
+    kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == by)
+
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    place = {name: F.lit(q) * (pairs - 1) for name, q in points.items()}
+    ends = F.array_distinct(F.array(*(f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil))))
+    state = sizes.select(by, F.explode(ends).alias("rank"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("below"))
+    for number, shift in enumerate(SHIFTS):
+        width = 1 << SHIFTS[number - 1] if number else 4 * STEPS
+        brackets = state.groupBy(by).agg(F.collect_set("low").alias("lows"))
+        counted = met.join(brackets, by).groupBy(by, "a_", "b_").applyInArrow(_pair_counts(by, width, shift), f"{by} {kind}, low long, bin long, pairs long")
+        bins = counted.groupBy(by, "low", "bin").agg(F.sum("pairs").alias("pairs"))
+        # a window holds the bins of one bracket
+        upto = F.sum("pairs").over(Window.partitionBy(by, "low").orderBy("bin"))
+        bins = bins.withColumn("upto", upto).withColumn("before", upto - F.col("pairs"))
+        rank = F.col("rank") - F.col("below")
+        state = durable(state.join(bins, [by, "low"]).where((rank >= F.col("before")) & (rank < F.col("upto"))).select(by, "rank", (F.col("low") + F.shiftleft("bin", shift)).alias("low"), (F.col("below") + F.col("before")).alias("below")))
+    value = F.col("low") / F.lit(float(STEPS)) - 1
+    at = lambda x: F.max(F.when(F.col("rank") == x.cast("long"), value))
+    found = state.join(sizes, by).groupBy(by, "n").agg(*(c for name, x in place.items() for c in (at(F.floor(x)).alias(f"{name}_a"), at(F.ceil(x)).alias(f"{name}_b"))))
+    between = lambda name, x: F.col(f"{name}_a") + (F.col(f"{name}_b") - F.col(f"{name}_a")) * (x - F.floor(x))
+    return found.select(by, "n", *(F.round(between(name, x), decimals).alias(name) for name, x in place.items()))
+
+
+def _pair_counts(by: str, width: int, shift: int) -> Callable[[pa.Table], pa.Table]:
+    """Of the pairs of two blocks: their number in each bin of 2^shift steps of each bracket, which begins at one of `lows` and is `width` steps wide."""
+
+    def task(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_").combine_chunks()
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        lows = sorted(table.column("lows")[0].as_py())
+        same = table.column("a_")[0].as_py() == table.column("b_")[0].as_py()
+        q, m = (np.stack([np.asarray(v, dtype=np.float64) for v in table.column("u").filter(pa.array(side)).to_numpy()]) if side.any() else None for side in (asks, ~asks))
+        counts = np.zeros((len(lows), (width >> shift) + 1), dtype=np.int64)
+        for begin in range(0, len(q) if q is not None and m is not None else 0, SLICE):
+            sims = np.clip(q[begin : begin + SLICE] @ m.T, -1, 1)
+            steps = np.rint((sims + 1) * STEPS).astype(np.int64)
+            if same:
+                steps = steps[np.arange(len(m))[None, :] > np.arange(begin, begin + len(sims))[:, None]]
+            for i, low in enumerate(lows):
+                inside = steps[(steps >= low) & (steps < low + width)]
+                counts[i] += np.bincount((inside - low) >> shift, minlength=counts.shape[1])
+        which, found = np.nonzero(counts)
+        groups = table.column(by).take(pa.array(np.zeros(len(which), np.int64)))
+        return pa.table({by: groups, "low": pa.array(np.array(lows, np.int64)[which]), "bin": pa.array(found.astype(np.int64)), "pairs": pa.array(counts[which, found])})
+
+    return task
+
+
 def epsilon_components(rows: DataFrame, by: str, key: str, vector: str, eps: float) -> DataFrame:
     """M9: components of the graph of vectors nearer than eps in cosine distance, within each message (a message's faces are few)."""
 

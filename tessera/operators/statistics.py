@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.operators.ordering import Ordered
+from tessera.operators.ordering import Ordered, durable
 
 
 @F.pandas_udf(DoubleType())
@@ -237,3 +237,47 @@ def spearman_matrix(rows: DataFrame, columns: Sequence[str], least: int = 30) ->
 def stars(p: Column) -> Column:
     """Significance marks of a p-value, null without one."""
     return F.when(p.isNull(), None).when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+
+
+def loess(rows: DataFrame, by: Sequence[str], x: str, y: str, span: float = 0.7, points: int = 80, decimals: int = 6) -> DataFrame:
+    """(by.., n, point, x, fit): local quadratic regression of y on x with tricube weights, at `points` even places of each group's range. The neighbourhood of a place
+    reaches to its q-th nearest row, q = floor(span n), one at least. Rows with a null or non-finite x, y or a null group are left out. Where fewer than three
+    values of x have weight the curve is a line through two, or a mean; where none has (all are at the end of the reach) it is null.
+
+    The q-th nearest distance is the least reach of any q rows that follow each other in x, so ranks (range partitions) and an equi-join of ranks give it. Fits are
+    closed forms of moments, which combine before the shuffle: `points` terms for each distinct x, and no task holds a group."""
+    by = list(by)
+    finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ("x_", "y_"))
+    kept = rows.select(*by, F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")).where(finite)
+    for c in by:
+        kept = kept.where(F.col(c).isNotNull())
+    cells = durable(kept.groupBy(*by, "x_").agg(F.count("*").alias("c_"), F.sum("y_").alias("s_")))
+    reach = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * span + 1e-5))
+    groups = durable(cells.groupBy(*by).agg(F.sum("c_").alias("n"), F.min("x_").alias("lo_"), F.max("x_").alias("hi_")).withColumn("q_", reach))
+    own = groups.alias("g")
+    same = lambda left: [F.col(f"{left}.{c}") == F.col(f"g.{c}") for c in by] or F.lit(True)
+    scanned = Ordered(cells, by, ["x_"]).scan(upto=("sum", F.col("c_"))).rows
+    ranked_ = scanned.select(*by, "x_", F.explode(F.sequence(F.col("upto") - F.col("c_") + 1, F.col("upto"))).alias("rank_"))
+    ends = ranked_.alias("r").join(own, same("r")).select(*(F.col(f"r.{c}") for c in by), F.col("x_").alias("end_"), (F.col("rank_") - F.col("q_") + 1).alias("rank_"))
+    runs = ranked_.join(ends.where("rank_ > 0"), [*by, "rank_"]).groupBy(*by, "x_", "end_").agg(F.lit(0))
+    place = F.col("lo_") + (F.col("hi_") - F.col("lo_")) * F.col("point") / max(1, points - 1)
+    at_all = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
+    placed = runs.alias("r").join(own, same("r")).select(*(F.col(f"r.{c}") for c in by), "n", "lo_", "hi_", "x_", "end_", at_all).withColumn("x0_", place)
+    widths = durable(placed.groupBy(*by, "n", "point", "x0_").agg(F.min(F.greatest(F.col("x0_") - F.col("x_"), F.col("end_") - F.col("x0_"))).alias("h_")))
+    grid = widths.groupBy(*by).agg(F.collect_list(F.struct("point", "x0_", "h_")).alias("grid_")).alias("g")  # `points` entries
+    met = cells.alias("r").join(grid, same("r")).select(*(F.col(f"r.{c}") for c in by), "x_", "c_", "s_", F.explode("grid_").alias("p_")).select("*", "p_.*")
+    d = F.abs(F.col("x_") - F.col("x0_"))
+    met = met.where((d < F.col("h_")) | (d == 0))
+    cube = lambda z: z * z * z
+    weight = F.when(F.col("h_") > 0, cube(1 - cube(d / F.col("h_")))).otherwise(1.0)
+    u = F.when(F.col("h_") > 0, (F.col("x_") - F.col("x0_")) / F.col("h_")).otherwise(0.0)
+    power = lambda k: F.col("u_") ** k if k else F.lit(1.0)
+    weighed = met.withColumn("w_", weight).withColumn("u_", u)
+    sums = weighed.groupBy(*by, "point").agg(
+        F.count("*").alias("m_"), *(F.sum(F.col("w_") * F.col("c_") * power(k)).alias(f"s{k}") for k in range(5)), *(F.sum(F.col("w_") * F.col("s_") * power(k)).alias(f"t{k}") for k in range(3))
+    )
+    whole = "s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)"
+    curve = F.expr(f"(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / nullif({whole}, 0)")
+    line = F.expr("(t0 * s2 - s1 * t1) / nullif(s0 * s2 - s1 * s1, 0)")
+    fit = F.coalesce(F.when(F.col("m_") > 2, curve), F.when(F.col("m_") > 1, line), F.col("t0") / F.col("s0"))
+    return widths.join(sums, [*by, "point"], "left").select(*by, "n", "point", F.round("x0_", decimals).alias("x"), F.round(fit, decimals).alias("fit"))

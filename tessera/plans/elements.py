@@ -299,3 +299,49 @@ def _(spark, d):
     return cleaning.merge_fields(cleaning.merge_fields(old, new, ["doc_id"]), new, ["doc_id"])
 
 
+def _event_stream(spark, d):
+    from tessera.streaming.incremental import stream_of
+
+    return stream_of(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("X1_stream_ingest", "select event_id, event_type from events")
+def _(spark, d):
+    """The events twice over, as a stream into its sink."""
+    from tessera.streaming import incremental
+
+    e = _event_stream(spark, d)
+    return incremental.drained(incremental.ingest(e.unionByName(e), "event_id", "ts")).select("event_id", "event_type")
+
+
+@query("X2_stream_counts", "select cast(date_trunc('day', ts) as timestamp) as start, event_type, count(*) as n from events group by 1, 2")
+def _(spark, d):
+    from tessera.streaming import incremental
+
+    counts = incremental.windowed_counts(_event_stream(spark, d), "ts", "event_type")
+    return incremental.drained(counts, ["start", "event_type"], "update")
+
+
+@query("X3_stream_album_ranks", "select user_id as album, event_id, row_number() over (partition by user_id order by event_id) as rank from events")
+def _(spark, d):
+    """A running number for each user."""
+    from tessera.streaming import incremental
+
+    ranks = incremental.album_ranks(_event_stream(spark, d).withColumnRenamed("user_id", "album"), "album", "event_id")
+    return incremental.drained(ranks).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("X4_stream_enrichment", "select doc_id, coalesce(case when doc_id % 2 = 0 then lang end, source) as lang from documents")
+def _(spark, d):
+    """A connector's stream of results merged into a table of which half is enriched."""
+    from uuid import uuid4
+
+    from tessera.operators.ordering import shared_folder
+    from tessera.streaming import incremental
+
+    path = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    results = incremental.stream_of(spark, f"{d}/documents.parquet").select("doc_id", F.col("source").alias("lang"))
+    merge = incremental.enrich_into(f"{path}/rows", ["doc_id"])
+    results.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    old = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"))
+    return incremental.current(old, f"{path}/rows", ["doc_id"])

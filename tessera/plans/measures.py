@@ -161,6 +161,20 @@ def _(spark, d):
     return statistics.ellipse(e, "label", "x", "y", 0.8)
 
 
+@query("M11_loess", f"""with p as (select {EVENT_PHASE_SQL} as phase, extract(hour from ts) * 60.0 + extract(minute from ts) as x, value as y from events where value is not null),
+g as (select phase, count(*) as n, min(x) as lo, max(x) as hi, greatest(1, cast(floor(count(*) * 0.7 + 1e-5) as bigint)) as q from p where phase is not null group by 1),
+z as (select *, lo + (hi - lo) * point / 79 as x0 from (select *, unnest(range(0, 80)) as point from g)),
+d as (select z.*, p.x, p.y, abs(p.x - x0) as d, row_number() over (partition by z.phase, point order by abs(p.x - x0)) as k from z join p on p.phase = z.phase),
+w as (select *, max(d) filter (where k <= q) over (partition by phase, point) as h from d),
+u as (select *, pow(1 - pow(d / h, 3), 3) as w, (x - x0) / h as u from w where d < h),
+m as (select phase, n, point, x0, sum(w) as s0, sum(w * u) as s1, sum(w * u * u) as s2, sum(w * u * u * u) as s3, sum(w * u * u * u * u) as s4, sum(w * y) as t0, sum(w * u * y) as t1, sum(w * u * u * y) as t2 from u group by all)
+select phase, n, point, round(x0, 6) as x, round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)), 6) as fit from m""")
+def _(spark, d):
+    """The trend of a value over the time of day, for each phase."""
+    minute = (F.hour("ts") * 60.0 + F.minute("ts")).cast("double")
+    return statistics.loess(_events(spark, d).withColumn("minute", minute), ["phase"], "minute", "value")
+
+
 @query("S10_vector_files", "select vec_id, round(cast(embedding[1] as double) + embedding[64], 6) as ends, len(embedding) as size from embeddings")
 def _(spark, d):
     """The vectors packed into files' contents and read from them again."""
@@ -176,6 +190,21 @@ def _(spark, d):
     return similarity.similarity_summary(table(spark, d, "embeddings"), "label", "embedding")
 
 
+_PAIR_QUANTILES = "round(min(s), 6) as least, round(quantile_cont(s, .25), 6) as p25, round(quantile_cont(s, .5), 6) as p50 from (select a.label, list_cosine_similarity(a.e, b.e) as s from v a join v b on a.label = b.label and a.vec_id < b.vec_id) group by 1"
+
+
+@query("M10_pair_quantiles", f"with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings) select label, (1 + cast(sqrt(1 + 8 * count(*)) as bigint)) // 2 as n, {_PAIR_QUANTILES}")
+def _(spark, d):
+    return similarity.pair_quantiles(table(spark, d, "embeddings"), "label", "embedding", {"least": 0.0, "p25": 0.25, "p50": 0.5})
+
+
+@query("M10_all_pairs", f"with v as (select vec_id, 'all' as label, cast(embedding as double[]) as e from embeddings) select label, (1 + cast(sqrt(1 + 8 * count(*)) as bigint)) // 2 as n, {_PAIR_QUANTILES}")
+def _(spark, d):
+    """One group of all rows, dealt into blocks."""
+    rows = table(spark, d, "embeddings").withColumn("label", F.lit("all"))
+    return similarity.pair_quantiles(rows, "label", "embedding", {"least": 0.0, "p25": 0.25, "p50": 0.5})
+
+
 @query("F11_cosine", "with v as (select vec_id, cast(embedding as double[]) as e from embeddings) select a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) as sim from v a join v b on b.vec_id = a.vec_id + 1")
 def _(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")

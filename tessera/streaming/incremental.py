@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.cleaning import merge_fields
+from tessera.operators.ordering import shared_folder
 
 
 def ingest(stream: DataFrame, key: str, when: str, delay: str = "1 day") -> DataFrame:
@@ -75,3 +77,30 @@ def current(table: DataFrame, path: str, keys: Sequence[str], overwrite: bool =
     else:
         new = batches.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(BATCH))).alias(c) for c in fields))
     return merge_fields(table, new, keys, overwrite)
+
+
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet files of a folder, or one file, as a stream. (A file is a source only where its path is a pattern.)"""
+    path = path.rstrip("/")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def drained(stream: DataFrame, keys: Sequence[str] = (), mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all that its source holds, and return the rows of its sink. A batch writes a folder of its own, so one that is run again replaces its rows.
+    mode "update": the last row of each of `keys`. `folder`, on a file system that the cluster shares, holds the log and the rows; a second run with it goes on
+    where the first one ended. Without one a new folder is made in that of `spark.checkpoint.dir`."""
+    spark = stream.sparkSession
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{BATCH}={number}")
+
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/{BATCH}=-1")  # for sources that hold nothing
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    names = stream.columns
+    rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/{BATCH}=*")
+    if mode != "update":
+        return rows.select(*names)
+    last = F.max_by(F.struct(*(c for c in names if c not in keys)), F.col(BATCH)).alias("last_")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last_.*").select(*names)

@@ -120,6 +120,27 @@ def test_streams_equal_their_batch_twins(spark, tmp_path, sf_dir):
     assert all(r.m == r.n for r in ranks)
 
 
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path, sf_dir):
+    """Three files in three runs give the rows of one run over all; a run without new files changes nothing."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 7).alias("album"), "event_type")
+    source = str(tmp_path / "in")
+    for part in (0, 1, 2, None):
+        if part is not None:
+            events.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(source)
+        read = incremental.stream_of(spark, source)
+        once = incremental.drained(incremental.ingest(read.unionByName(read), "event_id", "ts", "60 days"), folder=str(tmp_path / "once"))
+        counts = incremental.drained(incremental.windowed_counts(read, "ts", "event_type", delay="60 days"), ["start", "event_type"], "update", str(tmp_path / "counts"))
+        ranks = incremental.drained(incremental.album_ranks(read, "album", "event_id"), folder=str(tmp_path / "ranks"))
+    ids = sorted(r.event_id for r in events.select("event_id").collect())
+    assert sorted(r.event_id for r in once.collect()) == ids
+    plain = events.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
+    found = ranks.groupBy("album").agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in found) == len(ids) and all(r.ranks == list(range(1, r.n + 1)) for r in found)
+    (tmp_path / "none").mkdir()
+    assert incremental.drained(spark.readStream.schema(events.schema).parquet(str(tmp_path / "none"))).count() == 0
+
+
 def test_foreach_batch_merge(spark, tmp_path):
     table = spark.createDataFrame([(1, None, None), (2, "old", None), (3, None, None)], "k int, v string, w int")
     path = str(tmp_path / "t")

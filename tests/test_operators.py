@@ -250,6 +250,74 @@ def test_hamming_pairs(spark):
     assert got == {(1, 1, 2, 2, 0), (1, 2, 2, 1, 1), (1, 5, 2, 1, 1), (2, 5, 1, 1, 2)}
 
 
+@pytest.mark.parametrize("radii", [(), (3,), (1, 3, 5)])
+def test_nearest_earlier_by_radius(spark, radii):
+    """Near copies, equal hashes, rows without a neighbour, nulls, a sign bit and an order that repeats."""
+    pick = np.random.default_rng(4)
+    base = [int(x) for x in pick.integers(0, 2**64, 25, dtype=np.uint64)]
+    signed = lambda v: v - (v >> 63 << 64)
+    flip = lambda v, n: signed(v ^ sum(1 << int(b) for b in pick.choice(64, n, replace=False)))
+    values = [flip(base[pick.integers(25)], pick.choice([0, 0, 1, 2, 3, 4, 6])) for _ in range(150)]
+    rows = [*enumerate(values), (150, None), (None, 5), (149, values[3])]
+    got = {r.k: (r.near, r.d) for r in similarity.nearest_earlier(spark.createDataFrame(rows, "k long, h long"), "k", "h", block=40, radii=radii).collect()}
+    given = [(k, h) for k, h in rows if k is not None and h is not None]
+    want = {}
+    for k, h in given:
+        for j, g in given:
+            if j < k:
+                want[k] = min(want.get(k, (99.0, 0)), (float(((h ^ g) & (2**64 - 1)).bit_count()), j))
+    assert got == {k: (j, d) for k, (d, j) in want.items()}
+    assert similarity.nearest_earlier(spark.createDataFrame([], "k long, h long"), "k", "h", radii=radii).count() == 0
+
+
+def test_pair_quantiles(spark):
+    """Groups of many blocks, of equal vectors, of two and of one; vectors that are left out."""
+    pick = np.random.default_rng(5)
+    groups = {"many": pick.normal(size=(90, 4)), "equal": np.ones((40, 4)), "two": np.array([[1.0, 0, 0, 0], [-1.0, 0, 0, 0]]), "one": np.ones((1, 4))}
+    groups["tied"] = pick.integers(0, 2, (60, 4)) + np.array([1, 0, 0, 0.0])
+    rows = [(g, v.tolist()) for g, x in groups.items() for v in x]
+    rows += [("many", None), ("many", [0.0] * 4), ("many", [1.0, None, 0.0, 0.0]), ("many", [float("nan"), 0.0, 0.0, 1.0]), ("many", [float("inf"), 0.0, 0.0, 1.0]), (None, [1.0] * 4)]
+    points = {"least": 0.0, "p10": 0.1, "mid": 0.5, "most": 1.0}
+    df = spark.createDataFrame(rows, "g string, v array<double>")
+    got = {r.g: r for r in similarity.pair_quantiles(df, "g", "v", points, block=16).collect()}
+    assert set(got) == {"many", "equal", "two", "tied"}
+    for g, r in got.items():
+        unit = groups[g] / np.linalg.norm(groups[g], axis=1, keepdims=True)
+        sims = (unit @ unit.T)[np.triu_indices(len(unit), 1)]
+        assert r.n == len(unit)
+        for name, q in points.items():
+            assert r[name] == pytest.approx(np.quantile(sims, q), abs=2e-6), (g, name)
+    assert similarity.pair_quantiles(df.limit(0), "g", "v", points).count() == 0
+
+
+def test_loess(spark):
+    """Against weighted least squares: uneven places, ties, groups too small for a curve, rows left out."""
+    pick = np.random.default_rng(6)
+    x = np.round(pick.gamma(2, 3, 300), 1)
+    groups = {"many": (x, np.sin(x) + pick.normal(0, 0.3, 300)), "two": (np.array([1.0, 2.0]), np.array([5.0, 7.0])), "one": (np.array([4.0]), np.array([9.0])), "flat": (np.full(9, 3.0), np.arange(9.0))}
+    tied = np.repeat([0.0, 1.0, 5.0, 6.0], [40, 3, 3, 1])
+    groups["tied"] = (tied, pick.normal(size=len(tied)))
+    rows = [(g, float(a), float(b)) for g, (xs, ys) in groups.items() for a, b in zip(xs, ys)] + [("many", None, 1.0), ("many", 1.0, None), ("many", float("nan"), 1.0), ("many", 2.0, float("inf")), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    found = statistics.loess(df, ["g"], "x", "y", span=0.4, points=9).collect()
+    assert len(found) == 9 * len(groups)
+    for r in found:
+        xs, ys = groups[r.g]
+        q = max(1, math.floor(len(xs) * 0.4 + 1e-5))
+        x0 = xs.min() + (xs.max() - xs.min()) * r.point / 8
+        d = np.abs(xs - x0)
+        h = np.sort(d)[q - 1]
+        w = (1 - (d / h).clip(0, 1) ** 3) ** 3 if h else (d == 0).astype(float)
+        degree = min(2, len(set(xs[w > 0])) - 1)
+        if degree < 0:  # all within reach are at its end
+            assert r.fit is None
+            continue
+        at = np.vander((xs - x0) / (h or 1), degree + 1, increasing=True)
+        want = np.linalg.lstsq(at * np.sqrt(w)[:, None], ys * np.sqrt(w), rcond=None)[0][0]
+        assert r.n == len(xs) and r.x == pytest.approx(x0, abs=1e-6) and r.fit == pytest.approx(want, abs=1e-5), (r, want)
+    assert statistics.loess(df.limit(0), ["g"], "x", "y").count() == 0
+
+
 def test_nearest_earlier_in_blocks(spark):
     pick = np.random.default_rng(1)
     values = [int(x) for x in pick.integers(0, 2**40, 60)]
