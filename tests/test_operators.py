@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections import Counter
 from datetime import date, datetime
 
 import numpy as np
@@ -328,6 +329,21 @@ def test_nearest_earlier_in_blocks(spark):
         assert got[k] == (best[1], float(best[0]))
 
 
+def test_blocks_are_shuffled_to_those_before_them_and_each_pair_is_a_task(spark):
+    """Hashes near others, far ones and repeats over ranges of keys that are not even, against all pairs; no exchange joins small blocks in one task."""
+    pick = np.random.default_rng(12)
+    values = pick.integers(-(2**63), 2**63 - 1, 300)
+    values[200:] = values[:100] ^ (np.int64(1) << pick.integers(0, 60, 100))
+    keys = np.sort(pick.choice(10**12, 300, replace=False) // np.arange(1, 301))
+    rows = [(int(k), int(v)) for k, v in zip(keys, values)]
+    found = similarity.nearest_earlier(spark.createDataFrame(rows, "k long, h long").repartition(3), "k", "h", block=30, radii=())
+    got = {r.k: (r.near, r.d) for r in found.collect()}
+    for k, v in rows:
+        want = min(((bin((v ^ w) & (2**64 - 1)).count("1"), o) for o, w in rows if o < k), default=None)
+        assert got.get(k) == (want and (want[1], float(want[0])))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
 def test_epsilon_components(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.9, 0.1]), (1, 3, [0.0, 1.0]), (2, 4, [1.0, 1.0])], "m long, k long, v array<double>")
     got = {r.k: r.cluster_id for r in similarity.epsilon_components(df, "m", "k", "v", 0.3).collect()}
@@ -355,6 +371,19 @@ def test_document_counts_in_topics(spark):
     assert topics.coherence(counts, good) > topics.coherence(counts, bad)
 
 
+def test_topic_vectors_are_dealt_out(spark):
+    """A table of one partition becomes vectors on all cores, once, with the counts of its lemmas."""
+    from tessera.operators import topics
+
+    docs = [(i, ["a"] * (i % 3 + 1) + ["b", "c", f"x{i % 4}"] * 2) for i in range(40)] + [(40, None), (41, ["b"])]
+    rows, names = topics.vectors(spark.createDataFrame(docs, "doc_id long, lemmas array<string>").coalesce(1), no_above=1)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.columns == ["doc_id", "features"]
+    assert sorted(names.vocabulary) == ["a", "b", "c", "x0", "x1", "x2", "x3"]
+    for r in rows.collect():
+        assert {names.vocabulary[i]: n for i, n in zip(r.features.indices, r.features.values)} == Counter(docs[r.doc_id][1])
+    assert rows.count() == 40
+
+
 def test_windows_are_counted_as_if_they_were_made(spark):
     from tessera.operators import topics
 
