@@ -16,10 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import durable
+from tessera.operators.ordering import durable, partitions_of
 
 BLOCK = 4096
 SLICE = 1024
+#: Rows of a block of hashes and of unit vectors, at most; up to these a table, or a group, is as many blocks as MOST_BLOCKS.
+HASHES, VECTORS, MOST_BLOCKS = 1 << 17, 1 << 14, 32
+#: Tasks of a shuffle of pairs of blocks, at most.
+MOST_TASKS = 4096
+#: Rows of the two sides that are compared at a time: what is made of them stays in a core's cache.
+TALL, WIDE = 32, 4096
 STEPS = 1 << 40  # a cosine is a whole number of these steps from -1 up
 SHIFTS = (27, 13, 0)  # three passes find its 41 bits
 
@@ -48,43 +54,60 @@ def _blocks(rows: DataFrame, block: int) -> int:
     return max(1, -(-rows.count() // block))
 
 
-def _compare(asked: DataFrame, given: DataFrame, distances: Callable[[pa.ChunkedArray, pa.ChunkedArray], np.ndarray], block: int) -> DataFrame:
-    """(id, d, near): for each row of `asked` (id, v) and block of `given` (id, v), the nearest row with a smaller id, of equals the earliest. Blocks are by hash; each row
-    goes to all blocks of the other side."""
-    a, b = _blocks(asked, block), _blocks(given, block)
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(place(a).alias("a_"), every(b).alias("b_"), F.lit(True).alias("asks"), "id", "v")
-    right = given.select(every(a).alias("a_"), place(b).alias("b_"), F.lit(False).alias("asks"), "id", "v")
+def _compare(asked: DataFrame, given: DataFrame, nearest: Callable[[pa.ChunkedArray, np.ndarray, pa.ChunkedArray, np.ndarray], tuple[np.ndarray, np.ndarray]], block: int | None) -> DataFrame:
+    """(id, d, near): for each row of `asked` (id, v) and block of `given` (id, v), the nearest row with a smaller id, of equals the earliest. Blocks are ranges of
+    ids, and a row goes to those alone that begin before it; each pair of blocks is a task's, however few bytes it has."""
+    n = given.count()
+    blocks = max(1, -(-n // (block or min(HASHES, max(BLOCK, -(-n // MOST_BLOCKS))))))
+    bounds = given.approxQuantile("id", [i / blocks for i in range(1, blocks)], 1 / (8 * blocks)) if blocks > 1 else []
+    place = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda x: x <= F.col("id").cast("double")))  # a function of the id alone
+    left = asked.select(F.lit(True).alias("asks"), "id", "v", place.alias("a_")).select("*", F.explode(F.sequence(F.lit(0), "a_")).alias("b_"))
+    right = given.select(F.lit(False).alias("asks"), "id", "v", place.alias("b_")).select("asks", "id", "v", F.explode(F.sequence("b_", F.lit(blocks - 1))).alias("a_"), "b_")
 
     def task(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         q, m = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
         qo, mo = (t.column("id").to_numpy() for t in (q, m))
         if not len(qo) or not len(mo):
             return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "near": pa.array([], pa.int64())})
-        by = np.argsort(mo, kind="stable")
-        d = distances(q.column("v"), m.column("v").take(pa.array(by)))
-        mo = mo[by]
-        d = np.where(mo[None, :] < qo[:, None], d, np.inf)
-        at = d.argmin(axis=1)  # of equals the earliest
-        best = d[np.arange(len(qo)), at]
+        best, at = nearest(q.column("v"), qo, m.column("v"), mo)
         some = np.isfinite(best)
         return pa.table({"id": qo[some], "d": best[some], "near": mo[at][some]})
 
-    return left.unionByName(right).groupBy("a_", "b_").applyInArrow(task, "id long, d double, near long")
+    dealt = left.unionByName(right).repartition(blocks * (blocks + 1) // 2, "a_", "b_")
+    return dealt.groupBy("a_", "b_").applyInArrow(task, "id long, d double, near long")
 
 
-def _hamming_matrix(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+def _nearest_hash(a: pa.ChunkedArray, qo: np.ndarray, b: pa.ChunkedArray, mo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distance of each hash of a to the nearest in b with a smaller id, infinite where there is none, and its place; both sides are in the order of ids."""
     x, y = (c.to_numpy().view(np.uint64) for c in (a, b))
-    return np.bitwise_count(x[:, None] ^ y[None, :]).astype(np.float64)
-
-
-def _cosine_distances(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    best, at = np.full(len(x), 255, np.uint8), np.zeros(len(x), np.int64)
+    for j in range(0, len(y), WIDE):
+        others, ids = y[None, j : j + WIDE], mo[j : j + WIDE]
+        for i in range(np.searchsorted(qo, ids[0], side="right"), len(x), TALL):
+            d = np.bitwise_count(x[i : i + TALL, None] ^ others)
+            if ids[-1] >= qo[i]:
+                d[ids[None, :] >= qo[i : i + TALL, None]] = 255
+            least = d.min(axis=1)
+            better = np.flatnonzero(least < best[i : i + TALL])  # of equals the earliest stays
+            if len(better):
+                best[i + better] = least[better]
+                at[i + better] = j + d[better].argmin(axis=1)
+    return np.where(best < 255, best.astype(np.float64), np.inf), at
+
+
+def _nearest_cosine(a: pa.ChunkedArray, qo: np.ndarray, b: pa.ChunkedArray, mo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for vectors, at 1 - cosine."""
     x, y = (np.array(c.to_pylist(), dtype=np.float64) for c in (a, b))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        sims = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-    return 1 - np.where(np.isfinite(sims), sims, 0.0)
+    best, at = [], []
+    for i in range(0, len(x), SLICE):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sims = (x[i : i + SLICE] @ y.T) / (np.linalg.norm(x[i : i + SLICE], axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+        d = np.where(mo[None, :] < qo[i : i + SLICE, None], 1 - np.where(np.isfinite(sims), sims, 0.0), np.inf)
+        at.append(d.argmin(axis=1))
+        best.append(d[np.arange(len(d)), at[-1]])
+    return np.concatenate(best), np.concatenate(at)
 
 
 def _bands(value: str, most: int) -> Column:
@@ -96,13 +119,13 @@ def _bands(value: str, most: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("i"), F.col(value).bitwiseAND(F.lit(signed(mask)).cast("long")).alias("bits")) for i, mask in enumerate(masks)))
 
 
-def nearest_earlier(rows: DataFrame, order: str, value: str, kind: str = "hamming", block: int = BLOCK, radii: Sequence[int] = (3,)) -> DataFrame:
+def nearest_earlier(rows: DataFrame, order: str, value: str, kind: str = "hamming", block: int | None = None, radii: Sequence[int] = (3,)) -> DataFrame:
     """(order, near, d): the nearest row of those strictly earlier in `order` (a long), the earliest of equals; a row for each value of `order` that has
     an earlier row. Null values are left out. value: a long for hamming, an array for cosine (distance 1 - cosine).
 
     Hamming: rows of an equal hash are settled by the first of them, and only firsts go on. For each radius those still open meet the firsts that share
-    three bands, which are all within it. What has no neighbour within the last radius is compared with all firsts, block by block: rows
-    shuffled are linear in the table but for the open rows."""
+    three bands, which are all within it. What has no neighbour within the last radius is compared with all earlier firsts, block by block: compute is quadratic in
+    the open rows, and each is shuffled to MOST_BLOCKS blocks at most until a block holds HASHES rows."""
     given = rows.where(F.col(value).isNotNull() & F.col(order).isNotNull()).select(F.col(order).cast("long").alias("id"), F.col(value).alias("v"))
     if kind == "hamming":
         firsts = durable(given.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
@@ -116,10 +139,10 @@ def nearest_earlier(rows: DataFrame, order: str, value: str, kind: str = "hammin
             best = durable(met.groupBy("a", "x").agg(F.min(F.struct(d.cast("double").alias("d"), F.col("b").alias("near"))).alias("m")).select(F.col("a").alias("id"), F.col("x").alias("v"), "m.*"))
             settled.append(best.select("id", "d", "near"))
             asked = asked.join(best.select("id", "v"), ["id", "v"], "left_anti")
-        settled.append(_compare(asked, firsts, _hamming_matrix, block))
+        settled.append(_compare(asked, firsts, _nearest_hash, block))
         found = reduce(DataFrame.unionByName, settled)
     else:
-        found = _compare(given, given, _cosine_distances, block)
+        found = _compare(given, given, _nearest_cosine, block or BLOCK)
     best = found.groupBy("id").agg(F.min(F.struct("d", "near")).alias("b"))
     return best.select(F.col("id").alias(order), F.col("b.near").alias("near"), F.round("b.d", 6).alias("d"))
 
@@ -203,21 +226,25 @@ def similarity_summary(rows: DataFrame, by: str, vector: str) -> DataFrame:
     return sums.select(by, "n", F.round((F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_sim"))
 
 
-def pair_quantiles(rows: DataFrame, by: str, vector: str, points: dict[str, float], block: int = BLOCK, decimals: int = 6) -> DataFrame:
+def pair_quantiles(rows: DataFrame, by: str, vector: str, points: dict[str, float], block: int | None = None, decimals: int = 6) -> DataFrame:
     """(by, n, a column for each of `points`): quantiles (0 the least, 0.5 the median, interpolated between two pairs) of the cosines of all pairs of a group's
     vectors. Rows without a group, and vectors that are null or zero or hold null or non-finite components, are left out; n counts the others; groups of one have no row.
 
     The cosines are never written: each of three passes over block pairs counts them in at most 16,385 bins of each bracket, and the next pass divides the bin that holds
-    the wanted rank. Blocks hold their rows in one order, and cosines are whole steps of 2^-40, so passes agree. Compute is quadratic in a group; a task holds two blocks."""
+    the wanted rank. Blocks hold their rows in one order, and cosines are whole steps of 2^-40, so passes agree. Compute is quadratic in a group; a task holds two blocks, of
+    VECTORS rows at most, and 2^20 cosines at a time."""
     length = norm(F.col(vector))
     some = rows.where(F.col(by).isNotNull() & F.col(vector).isNotNull() & (length > 0) & (length < float("inf")))
     sizes = durable(some.groupBy(by).agg(F.count("*").alias("n")).where("n > 1"))
     units = some.select(by, F.transform(vector, lambda x: x.cast("double") / length).alias("u"), F.monotonically_increasing_id().alias("row_"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows_of = F.lit(block) if block else F.least(F.lit(VECTORS), F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / MOST_BLOCKS)))
+    blocks = F.ceil(F.col("n") / rows_of).cast("int")
+    tasks = sizes.agg(F.sum(blocks * (blocks + 1) / 2)).first()[0] or 1
     dealt = durable(units.join(sizes, by).withColumn("own_", F.pmod(F.xxhash64("row_"), blocks).cast("int")).withColumn("last_", blocks - 1).drop("n"))
     left = dealt.select(by, "row_", "u", F.lit(True).alias("asks"), F.col("own_").alias("a_"), F.explode(F.sequence("own_", "last_")).alias("b_"))
     right = dealt.select(by, "row_", "u", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), "own_")).alias("a_"), F.col("own_").alias("b_"))
     met = left.unionByName(right)
+    parts = int(min(max(tasks, partitions_of(rows)), MOST_TASKS))  # by number: a few bytes are much work here
     kind = next(f.dataType.simpleString() for f in rows.schema.fields if f.name == by)
 
     pairs = F.col("n") * (F.col("n") - 1) / 2
@@ -227,7 +254,7 @@ def pair_quantiles(rows: DataFrame, by: str, vector: str, points: dict[str, floa
     for number, shift in enumerate(SHIFTS):
         width = 1 << SHIFTS[number - 1] if number else 4 * STEPS
         brackets = state.groupBy(by).agg(F.collect_set("low").alias("lows"))
-        counted = met.join(brackets, by).groupBy(by, "a_", "b_").applyInArrow(_pair_counts(by, width, shift), f"{by} {kind}, low long, bin long, pairs long")
+        counted = met.join(brackets, by).repartition(parts, by, "a_", "b_").groupBy(by, "a_", "b_").applyInArrow(_pair_counts(by, width, shift), f"{by} {kind}, low long, bin long, pairs long")
         bins = counted.groupBy(by, "low", "bin").agg(F.sum("pairs").alias("pairs"))
         # a window holds the bins of one bracket
         upto = F.sum("pairs").over(Window.partitionBy(by, "low").orderBy("bin"))
@@ -249,16 +276,19 @@ def _pair_counts(by: str, width: int, shift: int) -> Callable[[pa.Table], pa.Tab
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         lows = sorted(table.column("lows")[0].as_py())
         same = table.column("a_")[0].as_py() == table.column("b_")[0].as_py()
-        q, m = (np.stack([np.asarray(v, dtype=np.float64) for v in table.column("u").filter(pa.array(side)).to_numpy()]) if side.any() else None for side in (asks, ~asks))
+        q, m = (_matrix(table.column("u").filter(pa.array(side))) if side.any() else None for side in (asks, ~asks))
         counts = np.zeros((len(lows), (width >> shift) + 1), dtype=np.int64)
-        for begin in range(0, len(q) if q is not None and m is not None else 0, SLICE):
-            sims = np.clip(q[begin : begin + SLICE] @ m.T, -1, 1)
-            steps = np.rint((sims + 1) * STEPS).astype(np.int64)
+        for begin in range(0, len(q) if q is not None and m is not None else 0, tall := max(1, (1 << 20) // max(1, len(m) if m is not None else 1))):
+            steps = np.clip(q[begin : begin + tall] @ m.T, -1, 1)
+            steps += 1
+            steps *= STEPS
+            np.rint(steps, out=steps)  # whole numbers below 2^42: exact as doubles, so are shifts to the right
             if same:
-                steps = steps[np.arange(len(m))[None, :] > np.arange(begin, begin + len(sims))[:, None]]
+                steps = steps[np.arange(len(m))[None, :] > np.arange(begin, begin + len(steps))[:, None]]
             for i, low in enumerate(lows):
-                inside = steps[(steps >= low) & (steps < low + width)]
-                counts[i] += np.bincount((inside - low) >> shift, minlength=counts.shape[1])
+                inside = steps.ravel() if width >= 4 * STEPS else steps[(steps >= low) & (steps < low + width)]
+                if len(inside):
+                    counts[i] += np.bincount(((inside - low) * 2.0**-shift).astype(np.int64), minlength=counts.shape[1])
         which, found = np.nonzero(counts)
         groups = table.column(by).take(pa.array(np.zeros(len(which), np.int64)))
         return pa.table({by: groups, "low": pa.array(np.array(lows, np.int64)[which]), "bin": pa.array(found.astype(np.int64)), "pairs": pa.array(counts[which, found])})
@@ -266,6 +296,14 @@ def _pair_counts(by: str, width: int, shift: int) -> Callable[[pa.Table], pa.Tab
     return task
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as rows, without an object for each."""
+    values = column.combine_chunks()
+    if isinstance(values, pa.ChunkedArray):
+        values = pa.concat_arrays(values.chunks)
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+
 def epsilon_components(rows: DataFrame, by: str, key: str, vector: str, eps: float) -> DataFrame:
     """M9: components of the graph of vectors nearer than eps in cosine distance, within each message (a message's faces are few)."""
 
