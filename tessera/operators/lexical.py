@@ -7,8 +7,11 @@ aggregations over tokens that combine before the shuffle; windows over tokens st
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,25 +167,68 @@ def window_pairs(rows: DataFrame, vocabulary: DataFrame, window: int, by: Sequen
     return each.select(*by, document, *(F.substring_index("pair_", BETWEEN, i).alias(c) for c, i in (("a", 1), ("b", -1))))
 
 
+def document_pairs(docs: DataFrame, vocabulary: DataFrame, window: int, by: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """J13 with counts: (by.., a, b, count), a < b: in how many documents (rows of `docs`) two lemmas of the group's `vocabulary` (by.., lemma: a top-N list) are at most `window` tokens
+    apart. Each document's pairs come from its own array, whose tokens aren't shuffled: what is, is a row for each pair of lemmas and batch."""
+    by = list(by)
+    own: dict[tuple, list[str]] = {}
+    for *group, lemma in vocabulary.select(*by, "lemma").distinct().collect():  # `top` rows a group
+        own.setdefault(tuple(group), []).append(lemma)
+    shared = docs.sparkSession.sparkContext.broadcast((sorted({x for some in own.values() for x in some}), own))  # in code-point order
+    found = docs.select(*by, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("t_"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own = shared.value
+        n, known = len(names), pa.array(names, pa.string())
+        place = {x: i for i, x in enumerate(names)}
+        for batch in batches:
+            groups: dict[tuple, int] = {}
+            columns = [batch.column(i).to_pylist() for i in range(len(by))]
+            group = np.array([groups.setdefault(k, len(groups)) for k in (zip(*columns) if by else [()] * batch.num_rows)], dtype=np.int64)
+            wanted = np.zeros((len(groups), n + 1), dtype=bool)
+            for k, i in groups.items():
+                wanted[i, [place[x] for x in own.get(k, [])]] = True
+            lists = batch.column(len(by))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            document = np.repeat(np.arange(batch.num_rows), sizes)
+            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), n).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.flatnonzero(wanted[group[document], code])  # a group's lemmas alone, at their places among all tokens
+            document, code = document[at], code[at]
+            pairs = []
+            for step in range(1, window + 1):
+                x, y, d = code[:-step], code[step:], document[:-step]
+                near = (d == document[step:]) & (at[step:] - at[:-step] <= window) & (x != y)
+                pairs.append((d[near] * n + np.minimum(x, y)[near]) * n + np.maximum(x, y)[near])
+            once = np.unique(np.concatenate(pairs))  # once a document
+            key, count = np.unique(group[once // (n * n)] * (n * n) + once % (n * n), return_counts=True) if len(once) else (once, once)
+            first = np.unique(group, return_index=True)[1][key // (n * n)] if len(once) else once
+            taken = [batch.column(i).take(pa.array(first)) for i in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*taken, known.take(pa.array(key % (n * n) // n)), known.take(pa.array(key % n)), pa.array(count.astype(np.int64))], [*by, "a", "b", "n"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+    each = found.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "a string, b string, n long"]))
+    return each.groupBy(*by, "a", "b").agg(F.sum("n").alias("count"))
+
+
 def cooccurrence(docs: DataFrame, window: int = 5, top: int = 200, least: int = 3, threshold: float = 2.0, by: Sequence[str] = (), document: str = "doc_id", text: str = "text") -> DataFrame:
-    """PMI edges (by.., a, b, count, pmi) among the `top` lemmas of each group of `docs`; counts are of documents. Two scans: the first counts tokens and the documents that hold them in
-    one aggregation (a document's sorted tokens tell which is the first of its kind), the second forms pairs."""
+    """PMI edges (by.., a, b, count, pmi) among the `top` lemmas of each group of `docs`; counts are of documents. A document is a row. Two scans: the first counts tokens and the documents that hold them, and those
+    that hold any, in one aggregation (a document's sorted tokens tell which is the first of its kind, and of all), the second counts pairs."""
     by = list(by)
     found = docs.select(*by, document, F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).alias("t_"))
-    once = F.transform("t_", lambda x, i: F.struct(x.alias("lemma"), (i == 0) | (x != F.get("t_", i - 1))))
-    each = found.select(*by, F.inline_outer(once)).toDF(*by, "lemma", "new_").where("lemma is not null")
-    counts = durable(each.groupBy(*by, "lemma").agg(F.count("*").alias("f"), F.count_if("new_").alias("df")))
+    once = F.transform("t_", lambda x, i: F.struct(x.alias("lemma"), (i == 0) | (x != F.get("t_", i - 1)), i == 0))
+    each = found.select(*by, F.inline_outer(once)).toDF(*by, "lemma", "new_", "first_").where("lemma is not null")
+    counts = durable(each.groupBy(*by, "lemma").agg(F.count("*").alias("f"), F.count_if("new_").alias("df"), F.count_if("first_").alias("begun")))
     order = [F.desc("f"), F.asc("lemma")]
     vocabulary = durable((top_n(counts, by, order, top) if by else counts.orderBy(*order).limit(top)).select(*by, "lemma", "df"))  # `top` rows a group
-    pairs = window_pairs(tokens(docs, text, [*by, document]), vocabulary, window, by, document)
-    pairs = pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("count")).where(F.col("count") >= least)
-    n = docs.where(F.regexp_like(F.lower(text), F.lit(TOKEN))).groupBy(*by).agg(F.count("*").alias("n"))
+    pairs = document_pairs(docs, vocabulary, window, by, text).where(F.col("count") >= least)
+    n = counts.groupBy(*by).agg(F.sum("begun").alias("n"))
     da = vocabulary.select(*by, F.col("lemma").alias("a"), F.col("df").alias("da"))
     db = vocabulary.select(*by, F.col("lemma").alias("b"), F.col("df").alias("db"))
     met = pairs.join(da, [*by, "a"]).join(db, [*by, "b"])
     met = met.join(n, by) if by else met.crossJoin(F.broadcast(n))
     pmi = F.round(F.log2(F.col("count") * F.col("n") / (F.col("da") * F.col("db"))), 4)
-    return met.select(*by, "a", "b", "count", pmi.alias("pmi")).where(F.col("pmi") >= threshold)
+    # of a bounded vocabulary: written, since networks and matrices read their edges more than once
+    return durable(met.select(*by, "a", "b", "count", pmi.alias("pmi")).where(F.col("pmi") >= threshold))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

@@ -202,6 +202,25 @@ def test_neighbours_and_pairs_come_from_arrays(spark, sf_dir):
         assert least in plan and "(pos" not in "".join(line for line in plan.splitlines() if "Join Inner" in line)
 
 
+def test_cooccurrence_shuffles_no_tokens(spark):
+    """Counts of documents and pairs against plain ones, with null groups and texts; documents' tokens are in no exchange and in no collected list."""
+    pick = np.random.default_rng(13)
+    docs = [(i, [None, "x", "y"][i % 3], " ".join(pick.choice(list("abcdefgh"), int(n), p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05]))) for i, n in enumerate(pick.integers(0, 15, 90))]
+    df = spark.createDataFrame([*docs, (90, "x", None), (91, "z", "1 2")], "doc_id long, g string, text string").repartition(3)
+    for by in ([], ["g"]):
+        want: Counter = Counter()
+        for g in {x for _, x, _ in docs} if by else [None]:
+            own = [t.split() for _, x, t in docs if not by or x == g]
+            f = Counter(w for t in own for w in t)
+            top = {w for w, _ in sorted(f.items(), key=lambda x: (-x[1], x[0]))[:5]}
+            for t in own:
+                want.update({(g, *sorted((t[i], t[j]))) for i in range(len(t)) for j in range(i + 1, min(i + 3, len(t))) if t[i] != t[j] and {t[i], t[j]} <= top})
+        vocabulary = lexical.top_n(lexical.tokens(df, keep=["g"]).groupBy(*by, "lemma").agg(F.count("*").alias("f")), by, [F.desc("f"), F.asc("lemma")], 5)
+        found = lexical.document_pairs(df, vocabulary, 2, by)
+        assert {(r["g"] if by else None, r.a, r.b): r["count"] for r in found.collect()} == want
+        assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def test_changepoints_skip_gaps_and_short_series(spark):
     rows = [("s", i, float(i >= 20) * 9 + (i % 3) * 0.1) for i in range(40)] + [("s", 50, None), ("t", 1, 1.0), ("t", 2, 5.0)]
     df = spark.createDataFrame(rows, "k string, i int, v double")
