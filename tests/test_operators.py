@@ -263,6 +263,15 @@ def test_ward_over_groups(small, spark):
     assert [r.cluster for r in got.orderBy("k").collect()] == want
 
 
+def test_kmeans_is_written_and_lets_go_of_its_vectors(spark):
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "k long, v array<double>")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    found, _ = factors.kmeans(df, "k", "v", 3, runs=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "LogicalRDD" in plan and spark.sparkContext._jsc.getPersistentRDDs().size() <= held
+    assert found.groupBy("cluster").count().count() == 3
+
+
 def test_hamming_pairs(spark):
     rows = [(1, "0" * 16), (2, "0" * 15 + "1"), (3, "f" * 16), (4, "0" * 16), (5, "8" + "0" * 15), (6, "abc")]
     df = spark.createDataFrame(rows, "k long, x string").withColumn("h", similarity.bits_of(F.col("x")))
