@@ -22,8 +22,8 @@ BLOCK = 4096
 SLICE = 1024
 #: Rows of a block of hashes and of unit vectors, at most; up to these a table, or a group, is as many blocks as MOST_BLOCKS.
 HASHES, VECTORS, MOST_BLOCKS = 1 << 17, 1 << 14, 32
-#: Tasks of a shuffle of pairs of blocks, at most.
-MOST_TASKS = 4096
+#: Tasks of a shuffle of pairs of blocks, at most; groups up to which their brackets are sent to all executors, as a join by the group would put a hot one in one task.
+MOST_TASKS, MOST_GROUPS = 4096, 100_000
 #: Rows of the two sides that are compared at a time: what is made of them stays in a core's cache.
 TALL, WIDE = 32, 4096
 STEPS = 1 << 40  # a cosine is a whole number of these steps from -1 up
@@ -239,7 +239,7 @@ def pair_quantiles(rows: DataFrame, by: str, vector: str, points: dict[str, floa
     units = some.select(by, F.transform(vector, lambda x: x.cast("double") / length).alias("u"), F.monotonically_increasing_id().alias("row_"))
     rows_of = F.lit(block) if block else F.least(F.lit(VECTORS), F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / MOST_BLOCKS)))
     blocks = F.ceil(F.col("n") / rows_of).cast("int")
-    tasks = sizes.agg(F.sum(blocks * (blocks + 1) / 2)).first()[0] or 1
+    tasks, groups = sizes.agg(F.coalesce(F.sum(blocks * (blocks + 1) / 2), F.lit(1)), F.count("*")).first()
     dealt = durable(units.join(sizes, by).withColumn("own_", F.pmod(F.xxhash64("row_"), blocks).cast("int")).withColumn("last_", blocks - 1).drop("n"))
     left = dealt.select(by, "row_", "u", F.lit(True).alias("asks"), F.col("own_").alias("a_"), F.explode(F.sequence("own_", "last_")).alias("b_"))
     right = dealt.select(by, "row_", "u", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), "own_")).alias("a_"), F.col("own_").alias("b_"))
@@ -254,7 +254,7 @@ def pair_quantiles(rows: DataFrame, by: str, vector: str, points: dict[str, floa
     for number, shift in enumerate(SHIFTS):
         width = 1 << SHIFTS[number - 1] if number else 4 * STEPS
         brackets = state.groupBy(by).agg(F.collect_set("low").alias("lows"))
-        counted = met.join(brackets, by).repartition(parts, by, "a_", "b_").groupBy(by, "a_", "b_").applyInArrow(_pair_counts(by, width, shift), f"{by} {kind}, low long, bin long, pairs long")
+        counted = met.join(F.broadcast(brackets) if groups <= MOST_GROUPS else brackets, by).repartition(parts, by, "a_", "b_").groupBy(by, "a_", "b_").applyInArrow(_pair_counts(by, width, shift), f"{by} {kind}, low long, bin long, pairs long")
         bins = counted.groupBy(by, "low", "bin").agg(F.sum("pairs").alias("pairs"))
         # a window holds the bins of one bracket
         upto = F.sum("pairs").over(Window.partitionBy(by, "low").orderBy("bin"))
