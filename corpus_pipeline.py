@@ -20,8 +20,9 @@ from tessera.llm.queries import TOKENIZERS
 from tessera.operators.ordering import shared_folder
 from tessera.session import ship
 
-#: Words of a shingle in the near-duplicate stage.
-SHINGLE = 5
+#: Words of a shingle in the near-duplicate stage, and the bits of 64 that linked fingerprints differ in at most. At seven bits one in 10^10 pairs of
+#: unlike texts is linked; at ten, one in 10^8, which in ten million texts would be most of them.
+SHINGLE, BUDGET = 5, 7
 #: A document whose language has a posterior below this is rejected, as is one without letters.
 LEAST_SCORE = 0.5
 
@@ -51,10 +52,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of like fingerprints of five-word shingles (two bits apart at most): that with the least doc_id (then by the text's hash; rows without id
+    """Keeps one document of each component of like fingerprints of five-word shingles (BUDGET bits apart at most): that with the least doc_id (then by the text's hash; rows without id
     last). Texts without words have the fingerprint 0 and are a group like any other. Of rows that repeat, one stays."""
     ship(spark)
-    found = simhash.near_duplicates(_keyed(docs), carry=["__key_id", "__key_text"], words=SHINGLE)
+    found = simhash.near_duplicates(_keyed(docs), BUDGET, carry=["__key_id", "__key_text"], words=SHINGLE)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("carry_0").alias("__key_id"), F.col("carry_1").alias("__key_text"))).alias("first"))
     kept = _keyed(docs).join(durable(first.select("first.*")), ["__key_id", "__key_text"], "left_semi")
     return kept.dropDuplicates(["__key_id", "__key_text"]).select(*docs.columns)

@@ -7,6 +7,9 @@ more is pruned with all below it. The traversal starts on the driver over a trie
 fingerprints (its size is bounded by counts of prefixes), and each surviving pair of cut-off nodes goes on in a task of
 its own. A task emits a spanning forest of its links, and the forests' components are found by contraction.
 
+A trie prunes little where many bits may differ. Beyond TRIE bits the 64 are cut into blocks instead, two more than the budget:
+fingerprints within it have two blocks in common at least, and meet among those that are equal there (`block_links`). No link is lost either way.
+
 Edge cases: very long texts are hashed whole, some shingles at a time; a null text and one without words have fingerprint 0, which links like any other. Fewer words than a shingle has
 are one shingle. component_id is the least non-null doc_id of the component, null if it has none. Rows that repeat
 are linked. An empty table gives an empty result. Other columns are ignored.
@@ -15,6 +18,7 @@ are linked. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,12 @@ SHINGLE = 3
 #: Node pairs that a task holds at a time.
 FRONTIER = 400_000
 DIRECT = 64
+#: The largest budget, in bits, for which the trie is traversed.
+TRIE = 3
+#: Pairs of fingerprints that a task compares at a time.
+TILE = 1 << 20
+#: Rows that a task of `block_links` gathers before it compares them.
+HELD = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -244,12 +254,76 @@ def trie_links(fps: DataFrame, budget: int = 2, most: int | None = None) -> Data
     return fps.select("fp").mapInArrow(deal, "pair long, side byte, fp long").groupBy("pair").applyInArrow(join, "a long, b long")
 
 
+def _spanning(fp: np.ndarray, meet: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components within each run of equal `meet`, as indices."""
+    edge = np.flatnonzero(np.concatenate([[True], meet[1:] != meet[:-1], [True]]))
+    lab = np.arange(len(fp))
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal lab
+        if len(i):
+            own = np.flatnonzero(lab != np.arange(len(lab)))
+            lab = labels(len(lab), np.concatenate([i, own]), np.concatenate([j, lab[own]]))
+
+    size = np.diff(edge)
+    small = (size > 1) & (size <= DIRECT)
+    ranges = np.stack([edge[:-1], edge[1:], edge[:-1], edge[1:]], axis=1)
+    for some in np.array_split(ranges[small], int((size[small] ** 2).sum()) // TILE + 1):
+        i, j = _products(some)
+        ok = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+        add(i[ok], j[ok])
+    for begin, end in ranges[size > DIRECT][:, :2]:
+        step = max(1, TILE // (end - begin))
+        for at in range(begin, end, step):
+            i, j = np.nonzero(np.bitwise_count(fp[at : min(at + step, end), None] ^ fp[None, at:end]) <= budget)
+            ok = i < j
+            add(i[ok] + at, j[ok] + at)
+    node = np.flatnonzero(lab != np.arange(len(lab)))
+    return node, lab[node]
+
+
+def block_links(fps: DataFrame, budget: int) -> DataFrame:
+    """Links (a, b: long) as `trie_links` has them, for any budget. Work grows faster than the rows, the less so the smaller the budget: at 7 bits a fingerprint
+    meets 36 times one in 2^14 of the others."""
+    cuts = [64 * k // (budget + 2) for k in range(budget + 3)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    masks = [x | y for x, y in combinations(blocks, 2)]
+    signed = [x - (x >> 63 << 64) for x in masks]
+    # what is equal in two blocks has one hash; hashes that collide are compared in vain
+    meets = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(x))) for k, x in enumerate(signed)))
+    dealt = fps.select("fp", F.explode(meets).alias("meet")).repartition("meet").sortWithinPartitions("meet")
+    bound_batches(fps.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("simhash")
+        held, rows, full = [], 0, HELD
+
+        def linked(fp: np.ndarray, meet: np.ndarray) -> pa.RecordBatch:
+            i, j = _spanning(fp.view(np.uint64), meet, budget)
+            return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], ["a", "b"])
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in (0, 1)])
+            rows += batch.num_rows
+            if rows >= full:
+                fp, meet = map(np.concatenate, zip(*held))
+                last = int(np.searchsorted(meet, meet[-1]))  # the last run may go on in the next batch
+                if last:
+                    yield linked(fp[:last], meet[:last])
+                held, rows = [[fp[last:].copy(), meet[last:].copy()]], len(fp) - last
+                full = max(HELD, 2 * rows)
+        if rows:
+            yield linked(*map(np.concatenate, zip(*held)))
+
+    return dealt.select("fp", "meet").mapInArrow(tidy(run), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, budget: int = 2, carry: Sequence[str] = (), words: int = SHINGLE) -> DataFrame:
     """A row for each row of `docs` (doc_id long, text): doc_id, fp (signed long), component_id, root (a fingerprint of the component), and the
     columns in `carry` as carry_0, carry_1, .."""
     rows = durable(fingerprints(docs, carry, words))
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(trie_links(distinct, budget))
+    found = components((trie_links if budget <= TRIE else block_links)(distinct, budget))
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     more = [f"carry_{i}" for i in range(len(carry))]

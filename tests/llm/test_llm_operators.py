@@ -565,6 +565,20 @@ def test_trie_join_against_brute_force(most, spark):
     assert (got == common.labels(len(a), i, j)).all()
 
 
+@pytest.mark.parametrize("budget", [4, 7])
+def test_block_join_against_brute_force(budget, spark):
+    """Beyond the trie's budget: scattered fingerprints with neighbours, and a hot group that is compared in tiles."""
+    pick = np.random.default_rng(1)
+    near = lambda x, most: x ^ np.bitwise_or.reduce(np.uint64(1) << pick.choice(64, pick.integers(1, most), replace=False).astype(np.uint64))
+    base = pick.integers(0, 2**64, 500, dtype=np.uint64)
+    a = np.unique(np.array([*base, *(near(x, 12) for x in base[:300]), *(near(base[0], 6) for _ in range(1500)), 0, 2**64 - 1], dtype=np.uint64))
+    i, j = np.nonzero(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= budget, 1))
+    links = simhash.block_links(spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp long"), budget).collect()
+    place = {int(x): n for n, x in enumerate(a.view(np.int64))}
+    got = common.labels(len(a), np.array([place[r.a] for r in links]), np.array([place[r.b] for r in links]))
+    assert (got == common.labels(len(a), i, j)).all()
+
+
 def test_components_of_documents(spark):
     pick = random.Random(8)
     base = [" ".join(pick.choice("abcdefghijklmnop") for _ in range(400)) for _ in range(12)]

@@ -102,3 +102,15 @@ def test_mixed_rows_against_the_operator(small, spark):
         want[r.doc_id] += len(r.shards)
     got = Counter(r.doc_id for r in dict(corpus_pipeline.STAGES)["mixing to target weights"](spark, docs, small).collect())
     assert got == +want
+
+
+def test_near_copies_go(spark, tmp_path):
+    """Texts with a word changed, whose fingerprints are more than two bits apart: the first of them stays."""
+    pick = np.random.default_rng(3)
+    first = [" ".join(f"w{x}" for x in pick.integers(0, 5000, 200)) for _ in range(40)]
+    copies = [" ".join([*t.split()[:100], "changed", *t.split()[101:]]) for t in first]
+    apart = [(simhash.fingerprint(x, 5) ^ simhash.fingerprint(y, 5)).bit_count() for x, y in zip(first, copies)]
+    assert sum(2 < n <= 7 for n in apart) > 20
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(first + copies)], DOCS)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, str(tmp_path)).collect()}
+    assert kept == {*range(40), *(40 + i for i, n in enumerate(apart) if n > 7)}
