@@ -117,18 +117,24 @@ def volcano(rows: DataFrame, by: str, least: int = 5) -> DataFrame:
     return met.select("a", "b", "lemma", "ca", "cb", F.round(fold, 4).alias("log2fc"), F.round(chi, 4).alias("chi2"))
 
 
-def collocations(rows: DataFrame, by: Sequence[str] = (), least: int = 5, top: int = 200, document: str = "doc_id", pairs: DataFrame | None = None) -> DataFrame:
+def followed(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id", "lang"), pattern: str = TOKEN) -> DataFrame:
+    """(keep.., lemma, next): each token with the one after it, null after the last, from the text's own array: no shuffle of tokens."""
+    found = docs.select(*keep, F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)).alias("t_"))
+    behind = F.slice("t_", 2, F.greatest(F.size("t_") - 1, F.lit(0)))
+    return found.select(*keep, F.inline_outer(F.arrays_zip(F.col("t_").alias("lemma"), behind.alias("next")))).where("lemma is not null")
+
+
+def collocations(rows: DataFrame, by: Sequence[str] = (), least: int = 5, top: int = 200, document: str = "doc_id") -> DataFrame:
     """Adjacent pairs within a document; G2 (3 decimals), PMI (4), the `top` by G2. Pairs of a lemma with itself are left out.
-    `pairs` are those of `adjacent`, where tokens were not filtered; else they come from a window over each document."""
+    `rows` are those of `followed`; a token table without `next` (filtered, or a tagger's) gets it from a window over each document. Two scans: lemmas are counted and written once, with the number of pairs
+    that each begins, so the totals need no count of pairs, which are counted once and leave the second scan `least` times or more."""
     by = list(by)
-    if pairs is None:
-        following = F.lead("lemma").over(Window.partitionBy(*by, document).orderBy("pos"))
-        pairs = rows.select(*by, F.col("lemma").alias("w1"), following.alias("w2")).where("w2 is not null")
-    pairs = pairs.where("w1 <> w2")
-    counts = pairs.groupBy(*by, "w1", "w2").agg(F.count("*").alias("n"))
-    words = rows.groupBy(*by, "lemma").agg(F.count("*").alias("f"))
+    if "next" not in rows.columns:
+        rows = rows.withColumn("next", F.lead("lemma").over(Window.partitionBy(*by, document).orderBy("pos")))
+    words = durable(rows.groupBy(*by, "lemma").agg(F.count("*").alias("f"), F.count_if(F.col("next") != F.col("lemma")).alias("begun")))
     n_words = words.groupBy(*by).agg(F.sum("f").alias("n_words"))
-    n_pairs = counts.groupBy(*by).agg(F.sum("n").alias("n_pairs"))
+    n_pairs = words.groupBy(*by).agg(F.sum("begun").alias("n_pairs"))
+    counts = rows.where("next <> lemma").groupBy(*by, F.col("lemma").alias("w1"), F.col("next").alias("w2")).agg(F.count("*").alias("n"))
     kept = counts.where(F.col("n") >= least)
     first = words.select(*by, F.col("lemma").alias("w1"), F.col("f").alias("f1"))
     second = words.select(*by, F.col("lemma").alias("w2"), F.col("f").alias("f2"))

@@ -137,13 +137,12 @@ select {group}w1, w2, count, freq_w1, freq_w2, g2, pmi from s qualify row_number
 
 @query("L4_collocations", _collocation_sql("", 5, 200))
 def _(spark, d):
-    return lexical.collocations(_tokens(spark, d), pairs=lexical.adjacent(table(spark, d, "documents")))
+    return lexical.collocations(lexical.followed(table(spark, d, "documents"), keep=()))
 
 
 @query("L4_collocations_by_phase", _collocation_sql("lang", 4, 100))
 def _(spark, d):
-    pairs = lexical.adjacent(table(spark, d, "documents"))
-    return lexical.collocations(_tokens(spark, d), ["lang"], least=4, top=100, pairs=pairs).drop("rank")
+    return lexical.collocations(lexical.followed(table(spark, d, "documents"), keep=["lang"]), ["lang"], least=4, top=100).drop("rank")
 
 
 def cooccurrence_sql(threshold: float, top: int = 60) -> str:

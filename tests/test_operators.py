@@ -134,6 +134,29 @@ def test_tokens_tiny_collocations(spark):
     assert pairs == {("a", "b"), ("a", "c"), ("b", "c")}
 
 
+def test_collocations_count_pairs_in_one_scan(spark, sf_dir):
+    from tessera.plans.catalogue import QUERIES
+
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, "b b d"), (3, ""), (4, None)], "doc_id long, text string")
+    rows = lexical.followed(docs, keep=("doc_id",))
+    assert sorted((r.doc_id, r.lemma, r.next) for r in rows.where("doc_id = 2").fillna("-").collect()) == [(2, "b", "b"), (2, "b", "d"), (2, "d", "-")]
+    tokens = lexical.tokens(docs, keep=("doc_id",))
+    assert sorted(lexical.collocations(rows, least=1).collect()) == sorted(lexical.collocations(tokens, least=1).collect())
+    for name in ("L4_collocations", "L4_collocations_by_phase"):  # lemmas and totals are read from a checkpoint
+        assert QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Generate ") == 1, name
+
+
+def test_correspondence_table_takes_lemmas_until_enough_are_in_many_documents(spark):
+    rows = [(i, "en" if i % 2 else "fr", f"rare{k}") for k in range(30) for i in [k] for _ in range(50 - k)]
+    rows += [(i, "en" if i % 2 else "fr", w) for w, n in (("x", 9), ("y", 8), ("z", 7)) for i in range(n)] + [(0, None, "x"), (9, None, "few")]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, lemma string")
+    found = factors.correspondence_table(table, "lang", top=2)
+    assert sorted(map(tuple, found.select("lemma", "lang", "documents", "n").collect())) == [("x", "en", 9, 4), ("x", "fr", 9, 5), ("y", "en", 8, 4), ("y", "fr", 8, 4)]
+    assert "Expand" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "LocalTableScan" not in plan and "count(distinct" not in plan
+    few = factors.correspondence_table(table, "lang", top=50)
+    assert {r.lemma for r in few.collect()} == {"x", "y", "z"}
+
+
 def test_window_counts_what_is_left_out(spark):
     rows = lexical.tokens(spark.createDataFrame([(1, "a x x x b")], "doc_id long, text string"), keep=("doc_id",))
     vocabulary = spark.createDataFrame([("a",), ("b",)], "lemma string")
