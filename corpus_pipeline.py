@@ -20,8 +20,8 @@ from tessera.llm.queries import TOKENIZERS
 from tessera.operators.ordering import shared_folder
 from tessera.session import ship
 
-#: Words of a shingle in the near-duplicate stage, and the bits of 64 that linked fingerprints differ in at most. At seven bits one in 10^10 pairs of
-#: unlike texts is linked; at ten, one in 10^8, which in ten million texts would be most of them.
+#: Words of a shingle in the near-duplicate stage, and the bits of 64 that linked fingerprints differ in at most. Of pairs with random bits
+#: one in 2 * 10^10 is within seven, and one in 10^8 within ten: half a million pairs in ten million texts.
 SHINGLE, BUDGET = 5, 7
 #: A document whose language has a posterior below this is rejected, as is one without letters.
 LEAST_SCORE = 0.5
